@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,21 +74,11 @@ def cut_points(df: DataFrame, order: list[str], parts: int, sample_rows: int = 2
     return sorted({rows[len(rows) * i // parts] for i in range(1, parts)}) if rows else []
 
 
-def bucket_of(points: list, columns: list[Column]) -> Column:
-    """The number of cut points that are at most the row's columns: a binary search."""
-    if not points:
-        return F.lit(0)
+def bucket_of(points: list, columns: list[str]) -> Column:
+    """The number of cut points that are at most the row's columns (none of them null)."""
 
-    def at_least(point: tuple) -> Column:
-        condition = columns[-1] >= F.lit(point[-1])
-        for column, value in zip(reversed(columns[:-1]), reversed(point[:-1]), strict=True):
-            condition = (column > F.lit(value)) | ((column == F.lit(value)) & condition)
-        return condition
+    @F.pandas_udf("int")
+    def find(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([bisect.bisect_right(points, r) for r in rows.itertuples(index=False, name=None)], dtype="int32")
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(at_least(points[middle]), search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(points))
+    return find(F.struct(*columns)) if points else F.lit(0)
