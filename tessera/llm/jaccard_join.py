@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import Scratch, bounded_sample
+from tessera.llm.shared import Scratch, bounded_sample, small_batches
 from tessera.llm.textblocks import ODD, blocks, mix
 
 #: Up to this difference, projections are on two of three parts; beyond, on one whole part.
@@ -221,6 +221,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components are those of all links.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = scratch.keep(rows.mapInArrow(_keyed(size), "id long, key long, n_shingles long"), "keyed")
@@ -230,16 +231,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _candidate_sets(rows, keyed, shared, scratch, size)
     links = _star_links(shared, sets, scratch, percent)
     labels = components(links, scratch, "components")
+    still = scratch.keep(_still_apart(shared, labels, sets, percent), "apart")
     for i in range(STAR_ROUNDS + 1):
-        apart = scratch.keep(_still_apart(shared, labels), f"apart-{i}")
-        if apart.isEmpty():
-            break
-        pairs = _other_pairs(apart, i) if i < STAR_ROUNDS else _all_pairs(apart, sets, percent)
+        named = _mixed(still, labels)
+        pairs = _other_pairs(named, i, percent) if i < STAR_ROUNDS else _all_pairs(named, percent)
         more = scratch.keep(_compare(pairs, sets, percent).where("linked").select("a", "b"), f"links-{i}")
         if more.isEmpty():
             continue
-        named = more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-        joins = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        ends = more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        joins = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         tops = components(joins, scratch, f"tops-{i}")
         old = labels.join(tops.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         new = tops.join(labels.select("node"), "node", "left_anti")
@@ -286,30 +286,71 @@ def _star_links(shared: DataFrame, sets: DataFrame, scratch: Scratch, percent: i
     return scratch.keep(_compare(pairs, sets, percent).where("linked").select("a", "b"), "links")
 
 
-def _still_apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(signature, key, component, pivot) of buckets whose sets are not all joined yet, and
-    in which more than the pivot's own comparisons is open: three sets at least."""
-    named = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = named.groupBy("signature").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("first"),
-        F.max("key").alias("last"), F.max(F.when(F.col("key") != F.col("pivot"), F.col("key"))).alias("some"),
-    )
-    mixed = mixed.where("low < high and some is not null")
-    return named.join(mixed.select("signature"), "signature", "left_semi").select("signature", "key", "component", "pivot").distinct()
-
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    named = rows.join(labels.withColumnRenamed("node", "key"), "key", "left")
+    return named.withColumn("component", F.coalesce("component", "key"))
 
-def _other_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """Each set of a bucket with a pivot that the signature picks, if nothing joins the two."""
-    choice = F.struct(F.xxhash64("signature", "key", F.lit(turn)).alias("h"), F.col("key").alias("k"), F.col("component").alias("c"))
-    picked = apart.groupBy("signature").agg(F.min(choice).alias("p")).select("signature", "p.k", "p.c")
-    pairs = apart.join(picked, "signature").where("component <> c")
-    return pairs.select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
 
+def _still_apart(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(signature, key, n, c) of sets that may have links which no star has looked at.
 
-def _all_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket that nothing joins and whose sizes allow a link."""
-    sized = apart.join(sets.select("key", "n"), "key").select("signature", "key", "component", "n")
-    x, y = sized.alias("x"), sized.alias("y")
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    met = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near)
-    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    These are sets of buckets that aren't joined and have more than the pivot's own
+    comparisons open: three sets at least. Of the n shingles of a set, c are in another
+    of these sets too. A link needs at least percent / 100 * n of those, so most sets go
+    here, as what sets a loose copy apart from the others is mostly its own.
+    """
+    named = _labelled(shared, labels)
+    other = F.when(F.col("key") != F.col("pivot"), F.col("key"))
+    buckets = named.groupBy("signature").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(other).alias("one"), F.max(other).alias("two")
+    )
+    buckets = buckets.where("low < high and one < two").select("signature")
+    rows = named.join(buckets, "signature", "left_semi").select("signature", "key").distinct()
+    chosen = sets.join(rows.select("key").distinct(), "key", "left_semi")
+    each = chosen.select("key", "shingles").mapInArrow(_exploded, "key long, shingle long")
+    common = each.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    counts = each.join(common.select("shingle"), "shingle", "left_semi").groupBy("key").agg(F.count("*").alias("c"))
+    able = chosen.select("key", "n").join(counts, "key").where(F.col("c") * 100 >= F.col("n") * percent)
+    return rows.join(able, "key").select("signature", "key", "n", "c")
+
+
+def _exploded(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        for at in range(0, len(sets), 50):
+            some = sets[at : at + 50]
+            keys = np.repeat(batch.column("key").to_numpy()[at : at + 50], [len(s) for s in some])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(some))], ["key", "shingle"])
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their components, of buckets whose sets aren't all joined."""
+    named = _labelled(rows, labels)
+    mixed = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return named.join(mixed.select("signature"), "signature", "left_semi")
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether two sets, by their sizes and common shingles, can have a link that joins something new."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    enough = F.least(f"{x}.c", f"{y}.c") * (100 + percent) >= n * percent
+    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & enough
+
+
+def _other_pairs(named: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each set of a bucket with a pivot that the signature picks, if the two may link."""
+    columns = ["key", "component", "n", "c"]
+    picked = named.groupBy("signature").agg(F.min_by(F.struct(*columns), F.xxhash64("signature", "key", F.lit(turn))).alias("p"))
+    x, y = named.alias("x"), picked.select("signature", "p.*").alias("y")
+    met = x.join(y, (F.col("x.signature") == F.col("y.signature")) & _may_link("x", "y", percent))
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def _all_pairs(named: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share a signature and may link, each at the least one they share."""
+    all_of = named.groupBy("key").agg(F.collect_set("signature").alias("signatures"))
+    full = named.join(all_of, "key")
+    x, y = full.alias("x"), full.alias("y")
+    first = F.array_min(F.array_intersect("x.signatures", "y.signatures")) == F.col("x.signature")
+    once = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.key") < F.col("y.key"))
+    return x.join(y, once & _may_link("x", "y", percent) & first).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))

@@ -44,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Python get at most so many rows at once: texts and sets of shingles are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def clear_of(df: DataFrame, *names: str) -> None:
     """Raise if a column that an operator adds is there already."""
     taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
