@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import clear_of
+from tessera.llm.shared import clear_of, prepare
 
 #: Remembered chunks in a Python worker; beyond, it starts anew.
 REMEMBER = 400_000
@@ -288,6 +288,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
     ids joined by commas, and of the decoded bytes. Other columns pass through, repeated
     rows stay repeated; columns that have these names already are an error.
     """
+    prepare(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name != text_col]
     clear_of(docs.drop(text_col), "n_tokens", "ids_sha256", "decoded_sha256")
     at = docs.columns.index(text_col)
@@ -312,6 +313,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
 
 def tokenize(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with `ids` (array of int) in place of the text; a null text has none."""
+    prepare(docs.sparkSession)
     clear_of(docs.drop(text_col), "ids")
     rest = [f for f in docs.schema.fields if f.name != text_col]
     at = docs.columns.index(text_col)

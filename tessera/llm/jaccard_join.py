@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import Scratch, bounded_sample, small_batches
+from tessera.llm.shared import Scratch, bounded_sample, prepare
 from tessera.llm.textblocks import ODD, blocks, mix
 
 #: Up to this difference, projections are on two of three parts; beyond, on one whole part.
@@ -221,7 +221,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components are those of all links.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = scratch.keep(rows.mapInArrow(_keyed(size), "id long, key long, n_shingles long"), "keyed")

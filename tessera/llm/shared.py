@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship_package
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one in local mode only."""
@@ -44,8 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let Python get at most so many rows at once: texts and sets of shingles are long."""
+def prepare(spark: SparkSession, rows: int = 500) -> None:
+    """Let workers import the package, and get at most so many rows at once: texts are long."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))
