@@ -26,8 +26,9 @@ from tessera.llm.shared import bounded_sample, clear_of, prepare
 
 #: Labelled rows that lexicon and weights are learned from, at most.
 SAMPLE_ROWS = 6_000
-#: A word or stem must be in texts of so many different labelled toxic groups of copies.
-SUPPORT = 3
+#: A word or stem must be in texts of so many different labelled toxic groups of copies,
+#: and in this share of the toxic rows: rarer ones are mostly accidents of a few texts.
+SUPPORT, SUPPORT_SHARE = 3, 0.02
 #: Least log-odds of a learned word or stem, and the most entries of the lexicon.
 LEAST_WEIGHT, LEXICON = 2.5, 20_000
 #: Lengths of stems.
@@ -212,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = known.groupBy("toxic").count().collect()
     many = {r["toxic"]: r["count"] for r in sizes}
     odds = F.log((F.col("bad") + 0.5) / (many.get(1, 0) + 1)) - F.log((F.col("fine") + 0.5) / (many.get(0, 0) + 1))
-    best = counted.where(F.col("bad") >= SUPPORT).withColumn("weight", F.round(odds, 9)).where(F.col("weight") >= LEAST_WEIGHT)
+    support = max(SUPPORT, SUPPORT_SHARE * many.get(1, 0))
+    best = counted.where(F.col("bad") >= support).withColumn("weight", F.round(odds, 9)).where(F.col("weight") >= LEAST_WEIGHT)
     best = best.orderBy(F.desc("weight"), "entry", "kind").limit(LEXICON).collect()
     lexicon = Lexicon(*({r["entry"]: r["weight"] for r in best if r["kind"] == kind} for kind in ("word", "stem")))
     grammar = Grammar(lexicon, USUAL)
