@@ -7,9 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard_join, quality_rules, toxicity
+from tessera.llm import bpe, chat_format, jaccard_join, quality_rules, toxicity, url_rules
 from tessera.llm.shared import table
 
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -17,6 +24,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, rules).drop("url")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -32,10 +45,50 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat_format.digests(chat_format.format_chats(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_chat_formatting": op10_chat_formatting,
+}
+ORACLES: dict[str, str] = {
+    "op3_url_filters": r"""
+        WITH cut AS (
+            SELECT page_id, coalesce(translate(regexp_extract(url, '^(?:.|\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^(?:.|\n)*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), rules(h, p, v) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                   ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        )
+        SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, coalesce(max_by(v, length(h || p)), 'allow') AS verdict
+        FROM cut LEFT JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)
+        GROUP BY page_id, host, path
+    """,
+    "op10_chat_formatting": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), marked AS (
+            SELECT *, coalesce(lag(role) OVER w <> role, true) AS begins,
+                   length(text) + length(regexp_replace(text, '[^~<\[\]]', '', 'g')) AS coded,
+                   length(role) + length(regexp_replace(role, '[^~<\[\]]', '', 'g')) AS coded_role
+            FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(7 + sum(coded) + sum(CASE WHEN begins THEN 14 + coded_role ELSE 6 END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
 }
-ORACLES: dict[str, str] = {}
