@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -37,6 +37,8 @@ SEEDS = 6
 HOT, SAMPLE, SALTS = 100, 20_000, 16
 #: Star rounds with other pivots before the rest of the pairs is compared.
 STAR_ROUNDS = 2
+#: Longs of a set's bitmap.
+BITMAP = 16
 #: Keys that a task remembers to skip the signatures of copies.
 SEEN = 200_000
 
@@ -121,6 +123,13 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].view(np.int64)) if len(shingles) else 0
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP longs with a bit for each shingle: bits that differ come from shingles that differ."""
+    bits = np.zeros(BITMAP * 64, np.uint8)
+    bits[(shingles % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     for row, block in blocks(batch.column("text"), lower=True):
         for i, shingles in enumerate(block.shingle_sets(size)):
@@ -177,8 +186,9 @@ def _packed(size: int):
                 pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(made, ["key", "shingles", "n", "whole"])
+            yield pa.RecordBatch.from_arrays(made, ["key", "shingles", "n", "whole", "bits"])
 
     return run
 
@@ -273,8 +283,8 @@ def _candidate_sets(rows: DataFrame, keyed: DataFrame, shared: DataFrame, scratc
     """(key, shingles) of the sets that share a signature, each once."""
     wanted = keyed.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     texts = rows.join(wanted, "id").select("key", "text")
-    made = texts.mapInArrow(_packed(size), "key long, shingles binary, n long, whole long")
-    return scratch.keep(made.where("key = whole").select("key", "shingles", "n").dropDuplicates(["key"]), "sets")
+    made = texts.mapInArrow(_packed(size), "key long, shingles binary, n long, whole long, bits array<long>")
+    return scratch.keep(made.where("key = whole").select("key", "shingles", "n", "bits").dropDuplicates(["key"]), "sets")
 
 
 def _star_links(shared: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -310,8 +320,8 @@ def _still_apart(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     each = chosen.select("key", "shingles").mapInArrow(_exploded, "key long, shingle long")
     common = each.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     counts = each.join(common.select("shingle"), "shingle", "left_semi").groupBy("key").agg(F.count("*").alias("c"))
-    able = chosen.select("key", "n").join(counts, "key").where(F.col("c") * 100 >= F.col("n") * percent)
-    return rows.join(able, "key").select("signature", "key", "n", "c")
+    able = chosen.select("key", "n", "bits").join(counts, "key").where(F.col("c") * 100 >= F.col("n") * percent)
+    return rows.join(able, "key").select("signature", "key", "n", "c", "bits")
 
 
 def _exploded(batches):
@@ -331,15 +341,21 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _may_link(x: str, y: str, percent: int):
-    """Whether two sets, by their sizes and common shingles, can have a link that joins something new."""
+    """Whether two sets can have a link that joins something new.
+
+    They can't if too few of their shingles are common ones, or if more bits of their
+    bitmaps differ than shingles of linked sets of these sizes do.
+    """
     n = F.col(f"{x}.n") + F.col(f"{y}.n")
     enough = F.least(f"{x}.c", f"{y}.c") * (100 + percent) >= n * percent
-    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & enough
+    differ = [F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITMAP)]
+    alike = functools.reduce(Column.__add__, differ) * (100 + percent) <= n * (100 - percent)
+    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & enough & alike
 
 
 def _other_pairs(named: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each set of a bucket with a pivot that the signature picks, if the two may link."""
-    columns = ["key", "component", "n", "c"]
+    columns = ["key", "component", "n", "c", "bits"]
     picked = named.groupBy("signature").agg(F.min_by(F.struct(*columns), F.xxhash64("signature", "key", F.lit(turn))).alias("p"))
     x, y = named.alias("x"), picked.select("signature", "p.*").alias("y")
     met = x.join(y, (F.col("x.signature") == F.col("y.signature")) & _may_link("x", "y", percent))

@@ -46,9 +46,9 @@ def _power(kind: str, n: int) -> np.ndarray:
 class Block:
     """A run of texts: `data` holds their bytes, text i from offsets[i] to offsets[i + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.data, self.offsets = data, offsets
-        blank = SEPARATOR[data]
+        blank = separator[data]
         before = np.ones(len(data), bool)
         before[1:] = blank[:-1]
         after = np.ones(len(data), bool)
@@ -112,7 +112,7 @@ class Block:
                 yield total
 
 
-def blocks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Block]]:
+def blocks(texts: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Iterator[tuple[int, Block]]:
     """(row of the first text, Block) over an Arrow column of strings; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -124,5 +124,5 @@ def blocks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Block]]:
     while row < len(texts):
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + BLOCK_BYTES, "right")) - 1)
         part = data[ends[row] : ends[last]]
-        yield row, Block(LOWER[part] if lower else part, ends[row : last + 1] - ends[row])
+        yield row, Block(LOWER[part] if lower else part, ends[row : last + 1] - ends[row], separator)
         row = last
