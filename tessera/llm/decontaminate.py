@@ -36,6 +36,8 @@ EDITS = 0.2
 RECALL = 0.98
 #: Positions in one sample, and different random walks.
 SAMPLED, WALKS = 3, 4
+#: Steps of a walk for each word. It needs about two; later ones have seen more edits.
+WALKED = 2
 MOST_REPETITIONS = 48
 #: Words of the benchmark that a task holds; a larger benchmark takes several passes.
 PASS_WORDS = 400_000
@@ -49,7 +51,7 @@ def edits_of(words: int) -> int:
 
 
 class Walks:
-    """CGK embeddings of equally long windows: three times as long as the windows."""
+    """The first WALKED times as many steps as words of the CGK embeddings of windows."""
 
     def __init__(self, length: int, seed: int):
         self.length, self.seed = length, np.uint64((seed * 2 + 1) * 0xD1342543DE82EF95 % (1 << 64))
@@ -59,8 +61,8 @@ class Walks:
         rows = np.arange(len(words))
         padded = np.concatenate([words, np.zeros((len(words), 1), np.uint64)], 1)
         at = np.zeros(len(words), np.int64)
-        out = np.empty((len(words), 3 * self.length), np.uint64)
-        for j in range(3 * self.length):
+        out = np.empty((len(words), WALKED * self.length), np.uint64)
+        for j in range(WALKED * self.length):
             out[:, j] = padded[rows, at]
             step = mix(out[:, j] ^ (self.seed + np.uint64(j))) & np.uint64(1)
             at = np.minimum(at + step.astype(np.int64), self.length)
@@ -126,7 +128,7 @@ def probes(items: list[tuple[int, np.ndarray]]) -> list[Probe]:
         walks = [Walks(length, i) for i in range(WALKS)]
         words = np.array([w for _, w in own])
         # Early positions differ least, as edits before them are fewest.
-        positions = [(i % WALKS, np.sort(rng.choice(2 * length, SAMPLED, replace=False))) for i in range(MOST_REPETITIONS)]
+        positions = [(i % WALKS, np.sort(rng.choice(WALKED * length, SAMPLED, replace=False))) for i in range(MOST_REPETITIONS)]
         positions = positions[: repetitions(words, walks, positions)]
         keys: list[dict[int, list[int]]] = []
         for found in window_keys([w.embed(words) for w in walks], positions):
@@ -163,7 +165,13 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.probes = probes(items)
-        self.pairs = np.unique(np.concatenate([self._pairs(words) for _, words in items]))
+        found: dict[int, int] = {}
+        for _, words in items:
+            for pair in self._pairs(words).tolist():
+                found[pair] = found.get(pair, 0) | 1 << len(words) % 64
+        self.pairs = np.array(sorted(found), np.uint64)
+        #: For each pair the sizes, modulo 64, of the items that have it, as bits.
+        self.sizes = np.array([found[p] for p in self.pairs.tolist()], np.uint64)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.pairs >> np.uint64(42)).astype(np.int64)] = True
 
@@ -171,15 +179,18 @@ class Benchmark:
     def _pairs(words: np.ndarray) -> np.ndarray:
         return mix(words[:-1] * ODD + words[1:])
 
-    def known(self, words: np.ndarray) -> np.ndarray:
-        """Which pairs of neighbouring words are the benchmark's; a run of one word has one."""
+    def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the benchmark's pairs of neighbouring words are, and their sizes' bits.
+
+        A run of one word has one such pair.
+        """
         pairs = self._pairs(words)
         flags = self.maybe[(pairs >> np.uint64(42)).astype(np.int64)]
-        some = np.flatnonzero(flags)
-        at = np.minimum(np.searchsorted(self.pairs, pairs[some]), len(self.pairs) - 1)
-        flags[some] = self.pairs[at] == pairs[some]
         flags[1:] &= pairs[1:] != pairs[:-1]
-        return flags
+        where = np.flatnonzero(flags)
+        at = np.minimum(np.searchsorted(self.pairs, pairs[where]), len(self.pairs) - 1)
+        same = self.pairs[at] == pairs[where]
+        return where[same], self.sizes[at[same]]
 
     def search(self, block: Block) -> list[list[tuple[int, int, int, int]]]:
         """For each text of the block its hits (item, edits, first word, words), best for each item."""
@@ -187,15 +198,20 @@ class Benchmark:
         words = block.word_hashes()
         if len(words) < LEAST_WORDS:
             return [[] for _ in out]
-        sums = np.concatenate([[0, 0], np.cumsum(self.known(words))])
+        where, sizes = self.known(words)
         last_word = np.repeat(block.word_offsets[1:], block.n_words)
         for probe in self.probes:
             n, d = probe.length, edits_of(probe.length)
-            if n > len(words):
-                continue
+            own = where[(sizes >> np.uint64(n % 64)) & np.uint64(1) == 1]
             # Each edit breaks two word pairs, or breaks one and pushes one out of the window;
             # one more is lost where a window begins within a run of one word.
-            able = np.flatnonzero(sums[n : len(words) + 1] - sums[1 : len(words) - n + 2] >= max(1, probe.pairs - 1 - 2 * d))
+            need = max(1, probe.pairs - 1 - 2 * d)
+            if len(own) < need:
+                continue
+            # Windows that hold `need` of the pairs: they begin from `low` to `high`.
+            low, high = np.maximum(0, own[need - 1 :] - (n - 2)), own[: len(own) - need + 1]
+            some = [np.arange(a, b + 1) for a, b in zip(low[low <= high], high[low <= high], strict=True)]
+            able = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
             able = able[able + n <= last_word[able]]
             for k in range(0, len(able), TOGETHER):
                 self._look(probe, able[k : k + TOGETHER], words, block, out)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontaminate, hilbert_shards, jaccard_join, quality_rules, toxicity, url_rules
+from tessera.llm import bpe, chat_format, decontaminate, hilbert_shards, jaccard_join, packing, quality_rules, site_quality, toxicity, url_rules
 from tessera.llm.shared import table
 
 URL_RULES = [
@@ -40,6 +40,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, length=2048)
+    return packed.select(
+        F.col("segments.doc_id").alias("doc_ids"),
+        F.col("segments.part").alias("parts"),
+        "cu_seqlens",
+        "n_tokens",
+        F.sha2(F.array_join("ids", ",", "null"), 256).alias("ids_sha256"),
+    )
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = site_quality.judge(docs, table(spark, sf_dir, "labels"), host="source", path="lang")
+    return judged.select("doc_id", "doc_score", "host_rate", "path_rate", "quality_score", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -71,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_packing": op5_token_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
