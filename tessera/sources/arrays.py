@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import json
 import zlib
 
 import numpy as np
@@ -57,13 +56,24 @@ def _few(df: DataFrame, rows: int = 100_000) -> bool:
 
 
 def zarr_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    """(store, shape, chunks, dtype, codec) of level 0 of the Zarr stores, from their metadata alone."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".zarray").load(folder)
-    kind = "shape array<int>, chunks array<int>, dtype string, order string, compressor struct<id:string>, dimension_separator string, fill_value double"
-    meta = F.from_json(F.col("content").cast("string"), kind)
-    store = F.regexp_extract("path", r"([^/]+?)(?:[.]ome)?[.]zarr/0/[.]zarray$", 1)
-    rows = found.select(store.alias("store"), meta.alias("m")).where("store <> ''")
-    return rows.select("store", "m.shape", "m.chunks", "m.dtype", F.col("m.compressor.id").alias("codec"), F.coalesce("m.dimension_separator", F.lit(".")).alias("sep"), F.coalesce("m.fill_value", F.lit(0.0)).alias("fill"))
+    """(store, shape, chunks, dtype, codec) of level 0 of the Zarr stores, from their metadata alone.
+
+    The metadata files are hidden ones, which Spark's listings leave out: the stores' names
+    come from a listing of the folder, and tasks get the metadata's text.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(conf)
+    rows = []
+    for status in fs.listStatus(top):
+        name = status.getPath().getName()
+        if name.endswith(".zarr"):
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(status.getPath(), "0/.zarray"))
+            rows.append((name.removesuffix(".zarr").removesuffix(".ome"), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    kind = "shape array<int>, chunks array<int>, dtype string, compressor struct<id:string>"
+    meta = F.from_json("text", kind)
+    return spark.createDataFrame(rows, "store string, text string").select("store", meta.alias("m")).select("store", "m.shape", "m.chunks", "m.dtype", F.col("m.compressor.id").alias("codec"))
 
 
 def _decoded(data: bytes, codec: str | None) -> bytes:
