@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.shared import clear_of, prepare
 
 #: Remembered chunks in a Python worker; beyond, it starts anew.
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: Longer chunks aren't remembered, so that memory stays bounded.
 REMEMBER_CHARS = 64
 #: Unicode's White_Space; the regex module's \s has four more control characters.

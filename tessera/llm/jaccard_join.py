@@ -280,11 +280,14 @@ def _shared_signatures(rows: DataFrame, scratch: Scratch, size: int, percent: in
 
 
 def _candidate_sets(rows: DataFrame, keyed: DataFrame, shared: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """(key, shingles) of the sets that share a signature, each once."""
+    """(key, shingles, n, bits) of the sets that share a signature.
+
+    A set comes once for each row with its smallest id, which does no harm further on.
+    """
     wanted = keyed.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     texts = rows.join(wanted, "id").select("key", "text")
     made = texts.mapInArrow(_packed(size), "key long, shingles binary, n long, whole long, bits array<long>")
-    return scratch.keep(made.where("key = whole").select("key", "shingles", "n", "bits").dropDuplicates(["key"]), "sets")
+    return scratch.keep(made.where("key = whole").select("key", "shingles", "n", "bits"), "sets")
 
 
 def _star_links(shared: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:

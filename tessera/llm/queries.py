@@ -97,7 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {
-    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": r"""
         WITH cut AS (
             SELECT page_id, coalesce(translate(regexp_extract(url, '^(?:.|\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,

@@ -46,12 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession, rows: int = 500) -> None:
-    """Let workers import the package, and get at most so many rows at once: texts are long."""
+def prepare(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Let workers import the package, and get at most so many rows and bytes at once: texts are long."""
     ship_package(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def clear_of(df: DataFrame, *names: str) -> None:
