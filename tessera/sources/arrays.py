@@ -88,8 +88,8 @@ def _decoded(data: bytes, codec: str | None) -> bytes:
     raise NotImplementedError(f"no decoder for codec {codec!r}")
 
 
-def zarr_pixels(spark: SparkSession, folder: str, planes: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """(store, plane, y, x, value) of (C, H, W) arrays; planes and window (y, x, h, w) prune chunks.
+def zarr_pixels(spark: SparkSession, folder: str, planes: list[int] | None = None, window: tuple[int, int, int, int] | None = None, stores: list[str] | None = None) -> DataFrame:
+    """(store, plane, y, x, value) of (C, H, W) arrays; stores, planes and window (y, x, h, w) prune chunks.
 
     Chunks outside of what is asked for are not opened; missing chunks have no rows.
     """
@@ -99,6 +99,8 @@ def zarr_pixels(spark: SparkSession, folder: str, planes: list[int] | None = Non
     place = F.regexp_extract("path", r"[.]zarr/0/([0-9./]+)$", 1)
     at = F.transform(F.split(place, "[./]"), lambda p: p.cast("int"))
     chunks = listed.withColumn("store", F.regexp_extract("path", r"([^/]+?)(?:[.]ome)?[.]zarr/0/", 1)).where(place != "").withColumn("at", at).join(shapes, "store")
+    if stores is not None:
+        chunks = chunks.where(F.col("store").isin(stores))
     first, size = (lambda i: F.col("at")[i] * F.col("chunks")[i]), (lambda i: F.col("chunks")[i])
     if planes is not None:
         wanted = F.lit(False)

@@ -121,20 +121,29 @@ def tissues(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{dataset}/metadata/tissues.parquet")
 
 
+#: Statistics files by the column that they fill.
+STATISTICS = {"upper": "upper_quantiles", "lower": "lower_quantiles", "mean": "means", "std": "stds"}
+
+
 def statistics(spark: SparkSession, folder: str, level: str, channels: DataFrame) -> DataFrame:
-    """Statistics files in long form, aligned to the channels: missing ones are NULL.
+    """All statistics files of one level in long form, aligned to the channels."""
+    return statistics_of(spark, folder, level, channels, list(STATISTICS))
+
+
+def statistics_of(spark: SparkSession, folder: str, level: str, channels: DataFrame, columns: list[str]) -> DataFrame:
+    """([tissue_id,] channel and the columns): wide files in long form, missing values NULL.
 
-    The lower quantiles are optional; the other three files must be there.
+    The lower quantiles are optional; the other files must be there.
     """
     out = channels.select(F.col("channel_name").alias("channel")).distinct()
     keys = ["tissue_id", "channel"] if level == "image" else ["channel"]
-    for name, column in (("upper_quantiles", "upper"), ("lower_quantiles", "lower"), ("means", "mean"), ("stds", "std")):
+    for column in columns:
         try:
-            wide = spark.read.parquet(f"{folder}/{level}_level_{name}.parquet")
-        except Exception:
-            if column != "lower":
+            wide = spark.read.parquet(f"{folder}/{level}_level_{STATISTICS[column]}.parquet")
+        except Exception as error:
+            if column != "lower" or "PATH_NOT_FOUND" not in str(error):
                 raise
-            out = out.withColumn("lower", F.lit(None).cast("double"))
+            out = out.withColumn(column, F.lit(None).cast("double"))
             continue
         names = [c for c in wide.columns if c != "tissue_id"]
         rows = wide.unpivot([c for c in keys if c == "tissue_id"], names, "channel", column).withColumn(column, F.nanvl(column, F.lit(None)))
