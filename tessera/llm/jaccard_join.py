@@ -285,7 +285,8 @@ def _candidate_sets(rows: DataFrame, keyed: DataFrame, shared: DataFrame, scratc
     A set comes once for each row with its smallest id, which does no harm further on.
     """
     wanted = keyed.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    texts = rows.join(wanted, "id").select("key", "text")
+    wanted = wanted.withColumnRenamed("id", "first")
+    texts = rows.join(wanted, rows.id.eqNullSafe(wanted["first"])).select("key", "text")
     made = texts.mapInArrow(_packed(size), "key long, shingles binary, n long, whole long, bits array<long>")
     return scratch.keep(made.where("key = whole").select("key", "shingles", "n", "bits"), "sets")
 

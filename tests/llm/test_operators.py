@@ -111,6 +111,15 @@ def test_jaccard_on_odd_rows_and_no_rows(spark):
     assert jaccard_join.near_groups(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_jaccard_links_rows_without_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (4, " ".join(words[:-1])), (4, "something else of more than four words"), (None, "alone " * 9)]
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, got)) == sorted(
+        map(repr, [Row(doc_id=None, n_shingles=97, component_id=4), Row(doc_id=4, n_shingles=96, component_id=4), Row(doc_id=4, n_shingles=4, component_id=4), Row(doc_id=None, n_shingles=1, component_id=None)])
+    )
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in components(links, Scratch(spark), "c").collect()}
