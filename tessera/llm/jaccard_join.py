@@ -148,7 +148,7 @@ def _keyed(size: int):
     return run
 
 
-def _signed(size: int, percent: int):
+def _signed(size: int, percent: int, hot: np.ndarray):
     def run(batches):
         bands, seen = Bands(percent), set()
         for batch in batches:
@@ -165,16 +165,17 @@ def _signed(size: int, percent: int):
                 found.append(got)
                 rows += len(got)
                 if rows > 200_000:
-                    yield _rows(found, keys)
+                    yield _rows(found, keys, hot)
                     keys, found, rows = [], [], 0
             if rows:
-                yield _rows(found, keys)
+                yield _rows(found, keys, hot)
 
     return run
 
 
-def _rows(found: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys))], ["signature", "key"])
+def _rows(found: list[np.ndarray], keys: list[np.ndarray], hot: np.ndarray) -> pa.RecordBatch:
+    signature = np.concatenate(found)
+    return pa.RecordBatch.from_arrays([pa.array(signature), pa.array(np.concatenate(keys)), pa.array(np.isin(signature, hot))], ["signature", "key", "hot"])
 
 
 def _packed(size: int):
@@ -267,12 +268,11 @@ def _shared_signatures(rows: DataFrame, scratch: Scratch, size: int, percent: in
 
     Signatures of very many sets are cut by a salt; a bounded sample tells which.
     """
-    spark = rows.sparkSession
-    kind = "signature long, key long"
-    sampled = bounded_sample(rows, F.col("id"), SAMPLE).select("text").mapInArrow(_signed(size, percent), kind)
-    hot = sampled.distinct().groupBy("signature").count().where(F.col("count") >= HOT).select("signature").collect()
-    hot = F.broadcast(spark.createDataFrame([(r[0], True) for r in hot], "signature long, hot boolean"))
-    signed = rows.select("text").mapInArrow(_signed(size, percent), kind).join(hot, "signature", "left")
+    kind = "signature long, key long, hot boolean"
+    sampled = bounded_sample(rows, F.col("id"), SAMPLE).select("text").mapInArrow(_signed(size, percent, np.zeros(0, np.int64)), kind)
+    many = sampled.distinct().groupBy("signature").count().where(F.col("count") >= HOT).select("signature").collect()
+    hot = np.array([r[0] for r in many], np.int64)
+    signed = rows.select("text").mapInArrow(_signed(size, percent, hot), kind)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     w = Window.partitionBy("signature", "salt")
     found = signed.withColumn("salt", salt).withColumns({"pivot": F.min("key").over(w), "last": F.max("key").over(w)})

@@ -89,6 +89,15 @@ def test_jaccard_groups_equal_brute_force(spark, size, percent):
     assert sorted(map(tuple, got.collect())) == groups_by_brute_force(rows, size, percent)
 
 
+def test_jaccard_groups_with_salted_signatures(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 5)
+    rng = random.Random(21)
+    base = prose(rng, 80, 5000)
+    rows = [(i, " ".join(edited(rng, base, i % 4))) for i in range(60)] + [(100 + i, " ".join(prose(rng, 60, 5000))) for i in range(5)]
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == groups_by_brute_force(rows, 4, 85)
+
+
 def test_signatures_never_miss_a_linked_pair():
     rng = np.random.default_rng(1)
     bands = jaccard_join.Bands(85)
