@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import zlib
 from typing import NamedTuple
 
 import ahocorasick
@@ -26,13 +27,16 @@ from tessera.llm.shared import bounded_sample, clear_of, prepare
 
 #: Labelled rows that lexicon and weights are learned from, at most.
 SAMPLE_ROWS = 6_000
-#: A word or stem must be in texts of so many different labelled toxic groups of copies,
-#: and in this share of the toxic rows: rarer ones are mostly accidents of a few texts.
-SUPPORT, SUPPORT_SHARE = 3, 0.02
-#: Least log-odds of a learned word or stem, and the most entries of the lexicon.
-LEAST_WEIGHT, LEXICON = 2.5, 20_000
+#: A word or stem must be in texts of so many different labelled toxic groups of copies.
+#: No share of all toxic rows is asked for, which words of a small language never reach.
+SUPPORT = 3
+#: Least log-odds of a learned word or stem, the least of them less a standard error if it
+#: is in texts that aren't toxic, and the most entries of the lexicon.
+LEAST_WEIGHT, LEAST_SURE, LEXICON = 2.5, 2.25, 20_000
 #: Lengths of stems.
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
+#: Words and stems handed on at once.
+TOGETHER = 100_000
 #: Words after a negation that it reaches, and words between an insult and its target.
 SCOPE = 3
 PREDICTED_FROM = 0.3
@@ -175,19 +179,27 @@ def fit_weights(evidence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def _entries(batches):
     """(entry, kind, toxic, sketch) of each word and stem of each text, once a text.
 
-    Near copies mostly have the same sketch, so that they count as one text.
+    Near copies mostly have the same sketch, so that they count as one text; of texts
+    without long words only exact copies do.
     """
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["entry", "kind", "toxic", "sketch"])
+
     for batch in batches:
         out = ([], [], [], [])
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(WORD.findall((text or "").lower()))
-            sketch = min((_hash(w) for w in words if len(w) > 6), default=0)
-            found = {(w, "word") for w in words if len(w) >= STEMS[0]} | {(w[:n], "stem") for w in words for n in STEMS if len(w) > n}
+            sketch = min((_hash(w) for w in words if len(w) > 6), default=zlib.crc32((text or "").encode()))
+            found = {(w, "word") for w in words} | {(w[:n], "stem") for w in words for n in STEMS if len(w) > n}
             for entry, kind in found:
                 for column, value in zip(out, (entry, kind, toxic, sketch), strict=True):
                     column.append(value)
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["entry", "kind", "toxic", "sketch"])
+            if len(out[0]) >= TOGETHER:
+                yield made()
+                out = ([], [], [], [])
+        yield made()
 
 
 def _hash(word: str) -> int:
@@ -197,6 +209,27 @@ def _hash(word: str) -> int:
     return value
 
 
+def entry_weight(bad: int, fine: int, toxic: int, clean: int) -> float:
+    """Log-odds less a standard error of an entry in so many texts of either kind, or 0.
+
+    Rare entries so get small weights instead of none.
+    """
+    if bad < SUPPORT:
+        return 0.0
+    odds = math.log((bad + 0.5) / (toxic + 1)) - math.log((fine + 0.5) / (clean + 1))
+    sure = odds - math.sqrt(1 / (bad + 0.5) + 1 / (fine + 0.5))
+    return round(max(sure, 0.0), 9) if odds >= LEAST_WEIGHT and (not fine or sure >= LEAST_SURE) else 0.0
+
+
+def _lexicon(found: list, toxic: int, clean: int, less: tuple[int, int] = (0, 0)) -> Lexicon:
+    """Of rows (entry, kind, bad, fine); `less` texts of either kind are left out of the counts."""
+    out = Lexicon({}, {})
+    for r in found:
+        if weight := entry_weight(r["bad"] - less[0], max(0, r["fine"] - less[1]), toxic, clean):
+            (out.words if r["kind"] == "word" else out.stems)[r["entry"]] = weight
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
     """The grammar learned from at most about SAMPLE_ROWS labelled rows that aren't held out.
 
@@ -212,17 +245,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     sizes = known.groupBy("toxic").count().collect()
     many = {r["toxic"]: r["count"] for r in sizes}
-    odds = F.log((F.col("bad") + 0.5) / (many.get(1, 0) + 1)) - F.log((F.col("fine") + 0.5) / (many.get(0, 0) + 1))
-    support = max(SUPPORT, SUPPORT_SHARE * many.get(1, 0))
-    best = counted.where(F.col("bad") >= support).withColumn("weight", F.round(odds, 9)).where(F.col("weight") >= LEAST_WEIGHT)
-    best = best.orderBy(F.desc("weight"), "entry", "kind").limit(LEXICON).collect()
-    lexicon = Lexicon(*({r["entry"]: r["weight"] for r in best if r["kind"] == kind} for kind in ("word", "stem")))
+    toxic, clean = many.get(1, 0), many.get(0, 0)
+
+    def odds(fine):
+        return F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((fine + 0.5) / (clean + 1))
+
+    able = counted.where((F.col("bad") >= SUPPORT) & (odds(F.greatest(F.col("fine") - 1, F.lit(0))) >= LEAST_WEIGHT))
+    best = able.orderBy(F.desc(F.round(odds(F.col("fine")), 9)), "entry", "kind").limit(LEXICON).collect()
+    lexicon = _lexicon(best, toxic, clean)
+    # A labelled row is measured without its own share in the counts, as new texts are.
+    others = {1: _lexicon(best, toxic, clean, (1, 0)), 0: _lexicon(best, toxic, clean, (0, 1))}
     grammar = Grammar(lexicon, USUAL)
 
     def run(batches):
-        own = Grammar(lexicon, USUAL)
+        own = {kind: Grammar(words, USUAL) for kind, words in others.items()}
         for batch in batches:
-            seen = np.array([own.evidence(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(PATTERNS))
+            pairs = zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True)
+            seen = np.array([own[int(toxic == 1)].evidence(t) for t, toxic in pairs]).reshape(-1, len(PATTERNS))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(seen[:, i]) for i in range(len(PATTERNS)))], ["toxic", *PATTERNS])
 
     got = rows.mapInArrow(run, "toxic int, " + ", ".join(f"{p} double" for p in PATTERNS)).toPandas()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -345,6 +346,43 @@ def test_toxicity_learns_words_and_stems_from_labels(spark):
     assert sum(r.predicted == int(r.doc_id % 8 == 0) for r in got) >= 0.98 * len(got)
 
 
+def test_toxicity_learns_rare_short_and_productive_words(spark):
+    """A small group's insults in under 2 % of toxic rows, of 3 letters, and with stems beyond 5 letters."""
+    rng = random.Random(12)
+
+    def out(i):
+        return zlib.crc32(str(i).encode()) % 4 == 2
+
+    docs, labels, groups = [], [], {}
+
+    def add(i, words, toxic, group):
+        docs.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, toxic))
+        if out(i):
+            groups.setdefault(group, []).append(i)
+
+    for i in range(1600):
+        words = [*prose(rng, 60, 3000), "qualm" + "".join(rng.choices("abcde", k=4))]
+        if i % 4 == 0:
+            words[rng.randrange(60)] = "blorp"
+        add(i, words, int(i % 4 == 0), "blorp" if i % 4 == 0 else "clean")
+    ids = iter(range(5000, 6000))
+    for group, known in (("rare", 5), ("short", 18), ("productive", 18)):
+        left = {False: known, True: 5}
+        while any(left.values()):
+            if left[out(i := next(ids))]:
+                left[out(i)] -= 1
+                insult = {"rare": "grundelwort", "short": "zog", "productive": "qualmort" + "".join(rng.choices("abcdefgh", k=6))}[group]
+                words = prose(rng, 60, 3000)
+                words[3:3] = ["qualm" + "".join(rng.choices("abcde", k=4)), insult, "w", insult]
+                add(i, words, 1, group)
+    made = toxicity.judge(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    said = {r.doc_id: r.predicted for r in made.where("held_out").collect()}
+    share = {g: sum(said[i] for i in own) / len(own) for g, own in groups.items()}
+    assert share.pop("clean") <= 0.02
+    assert min(share.values()) == 1, share
+
+
 def test_patterns_of_clauses():
     grammar = toxicity.Grammar(toxicity.Lexicon({"fool": 3.0}, {}), toxicity.USUAL)
 
