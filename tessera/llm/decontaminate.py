@@ -10,10 +10,16 @@ exact edit distance of the item to the best stretch of the text there decides.
 
 The number of repetitions follows from the target recall and from how often walks of
 edited items agree, which is measured on the items themselves.
+
+What the walks leave to chance, or can't see as no whole window fits before a text's end,
+an exact bound finds: an edit breaks at most two word pairs, so of an item's rarest pairs
+a known number is in every stretch within its edits. All such stretches, of whatever size
+and place, are compared with the item too.
 """
 
 from __future__ import annotations
 
+import itertools
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +38,7 @@ APART[[*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *b"ABCDEFGHIJKLMNOPQRSTUV
 LEAST_WORDS = 8
 #: Edits allowed for each word of an item.
 EDITS = 0.2
-#: Share of contaminated windows that the sampling must find.
+#: Share of contaminated windows that the sampling should find; the exact bound finds the rest.
 RECALL = 0.98
 #: Positions in one sample, and different random walks.
 SAMPLED, WALKS = 3, 4
@@ -41,6 +47,8 @@ WALKED = 2
 MOST_REPETITIONS = 48
 #: Words of the benchmark that a task holds; a larger benchmark takes several passes.
 PASS_WORDS = 400_000
+#: Rarest pairs of an item that a stretch must hold, if the item has enough of them.
+RAREST = 4
 #: Windows that walk together.
 TOGETHER = 50_000
 HIT = "item_id long, edits int, first_word int, n_words int"
@@ -174,13 +182,36 @@ class Benchmark:
         self.sizes = np.array([found[p] for p in self.pairs.tolist()], np.uint64)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.pairs >> np.uint64(42)).astype(np.int64)] = True
+        self._index(items)
+
+    def _index(self, items: list[tuple[int, np.ndarray]]) -> None:
+        """For each pair the items that have it among their rarest, as a run of `self.having`."""
+        self.items = items
+        self.lengths = np.array([len(words) for _, words in items], np.int64)
+        #: Rarest pairs that are in each stretch within the edits of an item.
+        self.least = np.ones(len(items), np.int64)
+        own = [np.unique(self._pairs(words)) for _, words in items]
+        spread = np.zeros(len(self.pairs), np.int64)
+        for pairs in own:
+            spread[np.searchsorted(self.pairs, pairs)] += 1
+        having: list[tuple[int, int]] = []
+        for i, pairs in enumerate(own):
+            # One more is lost where a stretch begins within a run of one word.
+            lost = 2 * edits_of(int(self.lengths[i])) + 1
+            at = np.searchsorted(self.pairs, pairs)
+            rarest = at[np.argsort(spread[at], kind="stable")][: lost + RAREST]
+            self.least[i] = max(1, len(rarest) - lost)
+            having += [(p, i) for p in rarest.tolist()]
+        having.sort()
+        self.having = np.array([i for _, i in having], np.int64)
+        self.having_from = np.searchsorted(np.array([p for p, _ in having]), np.arange(len(self.pairs) + 1))
 
     @staticmethod
     def _pairs(words: np.ndarray) -> np.ndarray:
         return mix(words[:-1] * ODD + words[1:])
 
     def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the benchmark's pairs of neighbouring words are, and their sizes' bits.
+        """Where the benchmark's pairs of neighbouring words are, and their numbers.
 
         A run of one word has one such pair.
         """
@@ -190,15 +221,16 @@ class Benchmark:
         where = np.flatnonzero(flags)
         at = np.minimum(np.searchsorted(self.pairs, pairs[where]), len(self.pairs) - 1)
         same = self.pairs[at] == pairs[where]
-        return where[same], self.sizes[at[same]]
+        return where[same], at[same]
 
     def search(self, block: Block) -> list[list[tuple[int, int, int, int]]]:
         """For each text of the block its hits (item, edits, first word, words), best for each item."""
         out: list[dict[int, tuple]] = [{} for _ in range(len(block))]
         words = block.word_hashes()
-        if len(words) < LEAST_WORDS:
+        if len(words) < 2:
             return [[] for _ in out]
-        where, sizes = self.known(words)
+        where, pairs = self.known(words)
+        sizes = self.sizes[pairs]
         last_word = np.repeat(block.word_offsets[1:], block.n_words)
         for probe in self.probes:
             n, d = probe.length, edits_of(probe.length)
@@ -215,8 +247,53 @@ class Benchmark:
             able = able[able + n <= last_word[able]]
             for k in range(0, len(able), TOGETHER):
                 self._look(probe, able[k : k + TOGETHER], words, block, out)
+        self._compare_bounded(where, pairs, words, block, out)
         return [sorted(found.values()) for found in out]
 
+    def _compare_bounded(self, where: np.ndarray, pairs: np.ndarray, words: np.ndarray, block: Block, out: list[dict[int, tuple]]) -> None:
+        """Compare the items with all stretches that hold enough of their rarest pairs."""
+        offsets = block.word_offsets
+        text = np.searchsorted(offsets, where, "right") - 1
+        inside = where + 1 < offsets[text + 1]
+        where, pairs, text = where[inside], pairs[inside], text[inside]
+        many = self.having_from[pairs + 1] - self.having_from[pairs]
+        ends = np.cumsum(many)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.having_from[pairs] - ends + many, many)
+        item, at, text = self.having[place], np.repeat(where, many), np.repeat(text, many)
+        order = np.lexsort((at, item))
+        item, at, text = item[order], at[order], text[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        fits = np.flatnonzero(last < len(item))
+        last = last[fits]
+        # The most words of a stretch hold one pair less.
+        most = self.lengths[item] + (EDITS * self.lengths[item]).astype(np.int64)
+        near = (item[last] == item[fits]) & (text[last] == text[fits]) & (at[last] - at[fits] <= most[fits] - 2)
+        i, j = fits[near], last[near]
+        first = np.maximum(offsets[text[i]], at[j] + 2 - most[i])
+        end = np.minimum(offsets[text[i] + 1], at[i] + most[i])
+        # Stretches of an item that overlap are compared as one.
+        new = np.ones(len(i), bool)
+        new[1:] = (item[i][1:] != item[i][:-1]) | (text[i][1:] != text[i][:-1]) | (first[1:] > end[:-1])
+        cuts = [*np.flatnonzero(new).tolist(), len(i)]
+        for a, b in itertools.pairwise(cuts):
+            name, wanted = self.items[item[i[a]]]
+            self._compare(name, wanted, int(text[i[a]]), int(first[a]), int(end[b - 1]), words, block, out)
+
+    @staticmethod
+    def _compare(name: int, wanted: np.ndarray, text: int, first: int, end: int, words: np.ndarray, block: Block, out: list[dict[int, tuple]]) -> bool:
+        """Keep the best part of the words from first to end if it's within the item's edits."""
+        stretch, d = words[first:end], edits_of(len(wanted))
+        if np.isin(wanted, stretch).sum() < len(wanted) - d:
+            return False  # each word that is missing takes an edit
+        edits, a, b = edit_distance_within(wanted, stretch)
+        if edits > d:
+            return False
+        hit = (name, edits, first + a - int(block.word_offsets[text]), b - a)
+        best = out[text].get(name)
+        if best is None or hit[1:3] < best[1:3]:
+            out[text][name] = hit
+        return True
+
     def _look(self, probe: Probe, starts: np.ndarray, words: np.ndarray, block: Block, out: list[dict[int, tuple]]) -> None:
         windows = words[starts[:, None] + np.arange(probe.length)]
         met: set[tuple[int, int]] = set()
@@ -233,16 +310,8 @@ class Benchmark:
             text = int(np.searchsorted(block.word_offsets, start, "right")) - 1
             low, high = int(block.word_offsets[text]), int(block.word_offsets[text + 1])
             first, end = max(low, start - d), min(high, start + probe.length + 2 * d)
-            stretch, wanted = words[first:end], probe.words[item]
-            if np.isin(wanted, stretch).sum() < len(wanted) - d:
-                continue  # each word that is missing takes an edit
-            edits, a, b = edit_distance_within(wanted, stretch)
-            if edits <= d:
+            if self._compare(probe.ids[item], probe.words[item], text, first, end, words, block, out):
                 reach[item] = start + d
-                hit = (probe.ids[item], edits, first + a - low, b - a)
-                best = out[text].get(hit[0])
-                if best is None or hit[1:3] < best[1:3]:
-                    out[text][hit[0]] = hit
 
 
 def _item_words(text: str | None) -> np.ndarray:

@@ -155,6 +155,37 @@ def test_decontamination_finds_edited_passages_and_leaves_clean_texts(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("place", ["alone", "start", "end"])
+def test_decontamination_finds_all_edits_as_deletions(spark, place):
+    rng = random.Random(14)
+    items = [(i, " ".join(prose(rng, n, 5000))) for i, n in enumerate([8, 12, 15, 30, 45, 59] * 10)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        for at in sorted(rng.sample(range(len(words)), decontaminate.edits_of(len(words)) if i % 2 else 1), reverse=True):
+            del words[at]
+        more = [f"x{rng.randrange(5000)}" for _ in range(40)]
+        docs.append((i, " ".join({"alone": words, "start": words + more, "end": more + words}[place]), "en", "s"))
+    found = decontaminate.hits(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
+
+
+def test_bounded_stretches_miss_nothing_of_repeated_words(monkeypatch):
+    """Without any walk, items of few and repeated words: hits as by comparing whole texts."""
+    rng = random.Random(15)
+    monkeypatch.setattr(decontaminate.Benchmark, "_look", lambda *_: None)
+    texts = [" ".join(prose(rng, rng.randrange(8, 26), rng.choice([2, 3, 40]))) for _ in range(60)]
+    items = [(i, decontaminate._item_words(t)) for i, t in enumerate(texts)]
+    docs = [" ".join([*prose(rng, rng.randrange(4), 40), *edited(rng, t.split(), decontaminate.edits_of(len(t.split()))), *prose(rng, rng.randrange(4), 40)]) for t in texts]
+    bench = decontaminate.Benchmark(items)
+    for _, block in decontaminate.textblocks.blocks(pa.array(docs), lower=True, separator=decontaminate.APART):
+        words = block.word_hashes()
+        for n, hits in enumerate(bench.search(block)):
+            own = words[block.word_offsets[n] : block.word_offsets[n + 1]]
+            want = {(i, e) for i, w in items if (e := decontaminate.edit_distance_within(w, own)[0]) <= decontaminate.edits_of(len(w))}
+            assert {h[:2] for h in hits} == want
+
+
 def test_edit_distance_equals_brute_force():
     rng = random.Random(8)
     for _ in range(300):
