@@ -56,8 +56,7 @@ def candidate_starts(spark, sf_dir):
 
 
 def point_in_tile(spark, sf_dir):
-    points = roles.mask(spark, sf_dir).where("(y + x) % 5 = 0")
-    points = points.withColumn("point_id", F.concat_ws("-", "tissue_id", "y", "x"))
+    points = roles.mask(spark, sf_dir).withColumn("point_id", F.concat_ws("-", "tissue_id", "y", "x"))
     return tiles.hit(points, _tiles(spark, sf_dir), TILE)
 
 
@@ -66,13 +65,11 @@ def _valued(spark, sf_dir):
 
 
 def tile_crop_padded(spark, sf_dir):
-    chosen = _tiles(spark, sf_dir).where("tissue_id % 10 = 0")
-    return tiles.crop(_valued(spark, sf_dir), chosen, TILE).select("tissue_id", "tile_id", "dy", "dx", "value")
+    return tiles.crop(_valued(spark, sf_dir), _tiles(spark, sf_dir), TILE).select("tissue_id", "tile_id", "dy", "dx", "value")
 
 
 def tile_crop_default(spark, sf_dir):
-    chosen = _tiles(spark, sf_dir).where("tissue_id % 10 = 0")
-    return tiles.crop(_valued(spark, sf_dir), chosen, TILE, padded=False)
+    return tiles.crop(_valued(spark, sf_dir), _tiles(spark, sf_dir), TILE, padded=False)
 
 
 def greedy_tiles(spark, sf_dir):
