@@ -51,7 +51,7 @@ def tissues_per_dataset(spark, sf_dir):
 
 
 def coords_of_dataset(spark, sf_dir):
-    coords = roles.mask(spark, sf_dir).where("y = 0")
+    coords = roles.mask(spark, sf_dir)
     few = roles.table(spark, sf_dir, "supplier").where("s_nationkey < 8").select(F.col("s_suppkey").alias("tissue_id"))
     return metadata.of_dataset(coords, few).select("tissue_id", "x")
 
@@ -122,7 +122,7 @@ def heatmap_fill_rate(spark, sf_dir):
 
 
 def _modalities(spark, sf_dir):
-    rows = roles.marker_channels(spark, sf_dir).where("channel_index % 3 <> 0")
+    rows = roles.marker_channels(spark, sf_dir)
     resolution = metadata.resolution_name(F.col("channel_index") % 3 / 2)
     return rows.groupBy("dataset", "modality").agg(
         F.count("*").alias("channel_count"), F.count_if(F.coalesce("qc_pass", F.lit(False))).alias("qc_pass_count"), F.sum(F.col("channel_index") % 7).alias("images"), inv.joined_text(resolution).alias("resolutions")
