@@ -112,7 +112,7 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
 
 
 def repetitions(words: np.ndarray, walks: list[Walks], positions: list[tuple[int, np.ndarray]]) -> int:
-    """How many of the repetitions find RECALL of the items with the most edits allowed."""
+    """How many of the repetitions find RECALL of the items with the most edits allowed; all if they don't."""
     rng = np.random.default_rng(5)
     chosen = words[rng.integers(len(words), size=200)]
     other = np.array([_edited(w, edits_of(words.shape[1]), rng) for w in chosen])
@@ -135,7 +135,7 @@ def probes(items: list[tuple[int, np.ndarray]]) -> list[Probe]:
         rng = np.random.default_rng(length)
         walks = [Walks(length, i) for i in range(WALKS)]
         words = np.array([w for _, w in own])
-        # Early positions differ least, as edits before them are fewest.
+        # Drawn evenly over the walk; they may end below RECALL, and the exact bound finds the rest.
         positions = [(i % WALKS, np.sort(rng.choice(WALKED * length, SAMPLED, replace=False))) for i in range(MOST_REPETITIONS)]
         positions = positions[: repetitions(words, walks, positions)]
         keys: list[dict[int, list[int]]] = []

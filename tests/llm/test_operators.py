@@ -170,6 +170,16 @@ def test_decontamination_finds_all_edits_as_deletions(spark, place):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
 
 
+def test_passages_are_found_whatever_the_repetitions_reach(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 1)
+    rng = random.Random(16)
+    texts = [prose(rng, n, 5000) for n in [15, 45, 59] * 20]
+    bench = decontaminate.Benchmark([(i, decontaminate._item_words(" ".join(t))) for i, t in enumerate(texts)])
+    docs = [" ".join([*prose(rng, 50, 9), *edited(rng, t, decontaminate.edits_of(len(t))), *prose(rng, 50, 9)]) for t in texts]
+    blocks = decontaminate.textblocks.blocks(pa.array(docs), lower=True, separator=decontaminate.APART)
+    assert [[h[0] for h in hits] for _, block in blocks for hits in bench.search(block)] == [[i] for i in range(len(texts))]
+
+
 def test_bounded_stretches_miss_nothing_of_repeated_words(monkeypatch):
     """Without any walk, items of few and repeated words: hits as by comparing whole texts."""
     rng = random.Random(15)
