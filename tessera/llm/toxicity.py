@@ -2,9 +2,10 @@
 
 A lexical transducer turns words into symbols: insults and threats, whose words and stems
 are learned from labelled rows, and short lists of target, negation and reported-speech
-words. Further transducers rewrite the symbols of a clause: one marks insults in the scope
-of a negation, one those in reported speech, one those near a target. Their composition
-reads a clause once and gives each insult's pattern. A text's evidence is the summed
+words. Further transducers rewrite the symbols of a clause: one marks threats that follow a
+target, one insults and such threats in the scope of a negation, one those in reported
+speech, one insults near a target. Their composition reads a clause once and gives the
+pattern of each insult and threat. A text's evidence is the summed
 weight of its patterns, and a logistic model fitted on the labelled rows, with the
 patterns' usual weights as its prior, turns it into a score.
 """
@@ -70,16 +71,21 @@ class Transducer:
         return self.rules.get((state, symbol)) or (self.other.get(state, 0), symbol)
 
 
+def _threat() -> Transducer:
+    """After a target, to the clause's end, threats are aimed; others are words as any."""
+    return Transducer({(0, "target"): (1, "target"), (0, "threat"): (0, "word"), (1, "threat"): (1, "aimed")}, {1: 1})
+
+
 def _negation() -> Transducer:
-    """After a negation, SCOPE words long, insults are negated ones."""
+    """After a negation, SCOPE words long, insults and aimed threats are negated ones."""
     rules = {(s, "neg"): (SCOPE, "neg") for s in range(SCOPE + 1)}
-    rules |= {(s, "insult"): (s - 1, "negated") for s in range(1, SCOPE + 1)}
+    rules |= {(s, kind): (s - 1, "negated") for s in range(1, SCOPE + 1) for kind in ("insult", "aimed")}
     return Transducer(rules, {s: s - 1 for s in range(1, SCOPE + 1)})
 
 
 def _reported() -> Transducer:
-    """After a word of saying, to the clause's end, insults are reported ones."""
-    return Transducer({(0, "report"): (1, "report"), (1, "insult"): (1, "reported")}, {1: 1})
+    """After a word of saying, to the clause's end, insults and aimed threats are reported ones."""
+    return Transducer({(0, "report"): (1, "report"), (1, "insult"): (1, "reported"), (1, "aimed"): (1, "reported")}, {1: 1})
 
 
 def _targeted() -> Transducer:
@@ -116,7 +122,7 @@ class Grammar:
     def __init__(self, lexicon: Lexicon, weights: np.ndarray):
         self.lexicon, self.weights = lexicon, weights
         self.symbols = {w: s for ws, s in ((TARGETS, "target"), (NEGATIONS, "neg"), (REPORTS, "report"), (THREATS, "threat")) for w in ws}
-        self.composed = Composition([_negation(), _reported(), _targeted()])
+        self.composed = Composition([_threat(), _negation(), _reported(), _targeted()])
         self.triggers = ahocorasick.Automaton()
         for entry in {*lexicon.words, *lexicon.stems, *THREATS}:
             self.triggers.add_word(entry, len(entry))
@@ -145,13 +151,11 @@ class Grammar:
 
     def _clause(self, clause: str, out: np.ndarray) -> None:
         states = self.composed.start
-        aimed = False
         for word in WORD.findall(clause):
             symbol, weight = self.lexical(word)
             states, symbol = self.composed.step(states, symbol)
-            aimed |= symbol == "target"
-            if symbol == "threat":
-                out[PATTERNS.index("threat")] += weight if aimed else 0.0
+            if symbol == "aimed":
+                out[PATTERNS.index("threat")] += weight
             elif symbol in ("insult", "negated", "reported", "targeted"):
                 out[PATTERNS.index("plain" if symbol == "insult" else symbol)] += weight
 

@@ -437,6 +437,9 @@ def test_patterns_of_clauses():
     assert pattern("not now. a fool") == {"plain"}
     assert pattern("they will kill you") == {"threat"}
     assert pattern("kill the lights") == set()
+    assert pattern("he said you must not hurt them") == {"negated"}
+    assert pattern("she said that they will kill you") == {"reported"}
+    assert pattern("do not kill the lights") == set()
     assert pattern("foolish talk") == pattern("") == pattern(None) == set()
 
 
