@@ -206,7 +206,7 @@ _INVENTORY = f""", named AS (SELECT *, {_REASON} AS found FROM marker_channels),
     pairs AS (SELECT dataset, modality, count(*) AS n_channels, count(*) FILTER (is_nuclear) AS n_nuclear, count(*) FILTER (has_uniprot) AS n_uniprot, count(*) FILTER (coalesce(qc_pass, false)) AS n_qc_pass FROM inv GROUP BY ALL)"""
 _MODALITY = """, mods AS (SELECT dataset, modality, count(*) AS channel_count, count(*) FILTER (coalesce(qc_pass, false)) AS qc_pass_count, CAST(sum(channel_index % 7) AS BIGINT) AS images,
         string_agg(DISTINCT replace(CAST(CAST(channel_index % 3 AS DOUBLE) / 2 AS VARCHAR), '.', '_') || 'mpp', ', ' ORDER BY replace(CAST(CAST(channel_index % 3 AS DOUBLE) / 2 AS VARCHAR), '.', '_') || 'mpp') AS resolutions
-        FROM marker_channels WHERE channel_index % 3 <> 0 GROUP BY dataset, modality),
+        FROM marker_channels GROUP BY dataset, modality),
     crops AS (SELECT 'cohort_' || p_partkey % 6 AS dataset, CAST(p_size * 8 % 96 + 64 AS VARCHAR) AS crop_size FROM part),
     crop_n AS (SELECT dataset, crop_size, count(*) AS n FROM crops GROUP BY ALL),
     crop_text AS (SELECT dataset, CAST(sum(n) AS BIGINT) AS total, string_agg(crop_size || ':' || n, ', ' ORDER BY crop_size) AS crop_counts FROM crop_n GROUP BY dataset),
@@ -248,7 +248,7 @@ ORACLES = {
     ),
     "tissue_index_union": sql(" " + _ordered(" AND split IN ('F', 'O', 'P')", "split AS dataset_name, CAST(patient_id AS VARCHAR) AS tissue_id")),
     "tissues_per_dataset": sql(" SELECT split, modality, count(*) AS n, count(DISTINCT patient_id) AS patients FROM tissues GROUP BY ALL"),
-    "coords_of_dataset": sql(" SELECT tissue_id, x FROM mask WHERE y = 0 AND tissue_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 8)"),
+    "coords_of_dataset": sql(" SELECT tissue_id, x FROM mask WHERE tissue_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 8)"),
     "resolution_string": "SELECT p_partkey, replace(CAST(CAST(p_size AS DOUBLE) / 4 AS VARCHAR), '.', '_') || 'mpp' AS resolution FROM part",
     "nuclear_rules": sql(_INVENTORY + " SELECT channel_index, channel_name, is_nuclear, nuclear_reason, has_uniprot, qc_display, uni_display, dm FROM inv"),
     "pair_summary": sql(_INVENTORY + " SELECT * FROM pairs"),

@@ -167,10 +167,10 @@ ORACLES = {
     "rect_sums": sql(_INTEGRAL + " SELECT tissue_id, CAST(sum(CASE WHEN (y = 7) = (x = 7) THEN total ELSE -total END) AS BIGINT) AS pixels FROM integral WHERE y IN (7, 23) AND x IN (7, 23) GROUP BY tissue_id"),
     "candidate_starts": """SELECT p_partkey, CASE WHEN p_size <= 7 THEN '0' ELSE (SELECT string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) FROM
         (SELECT DISTINCT s FROM (SELECT unnest(range(0, CAST(p_size AS INT) - 6, 4)) AS s UNION ALL SELECT p_size - 7))) END AS starts FROM part""",
-    "point_in_tile": sql(f" SELECT concat_ws('-', m.tissue_id, m.y, m.x) AS point_id, m.tissue_id, min(t.tile_id) AS tile_id FROM mask m JOIN tiles t ON {_HELD} WHERE (m.y + m.x) % 5 = 0 GROUP BY m.tissue_id, m.y, m.x"),
+    "point_in_tile": sql(f" SELECT concat_ws('-', m.tissue_id, m.y, m.x) AS point_id, m.tissue_id, min(t.tile_id) AS tile_id FROM mask m JOIN tiles t ON {_HELD} GROUP BY m.tissue_id, m.y, m.x"),
     "tile_crop_padded": sql(""" SELECT t.tissue_id, t.tile_id, CAST(i AS INT) AS dy, CAST(j AS INT) AS dx, CASE WHEN m.y IS NULL THEN 0.0 ELSE CAST(m.y * 31 + m.x AS DOUBLE) END AS value
-        FROM tiles t CROSS JOIN range(0, 10) a(i) CROSS JOIN range(0, 10) b(j) LEFT JOIN mask m ON m.tissue_id = t.tissue_id AND m.y = t."row" + i AND m.x = t."col" + j WHERE t.tissue_id % 10 = 0"""),
-    "tile_crop_default": sql(f' SELECT t.tissue_id, t.tile_id, m.y - t."row" AS dy, m.x - t."col" AS dx, CAST(m.y * 31 + m.x AS DOUBLE) AS value FROM mask m JOIN tiles t ON {_HELD} WHERE t.tissue_id % 10 = 0'),
+        FROM tiles t CROSS JOIN range(0, 10) a(i) CROSS JOIN range(0, 10) b(j) LEFT JOIN mask m ON m.tissue_id = t.tissue_id AND m.y = t."row" + i AND m.x = t."col" + j"""),
+    "tile_crop_default": sql(f' SELECT t.tissue_id, t.tile_id, m.y - t."row" AS dy, m.x - t."col" AS dx, CAST(m.y * 31 + m.x AS DOUBLE) AS value FROM mask m JOIN tiles t ON {_HELD}'),
     "tile_index_global_id": sql(""", named AS (SELECT 'cohort_' || s_nationkey AS dataset_name, t.* FROM tiles t JOIN supplier ON s_suppkey = tissue_id)
         SELECT row_number() OVER (ORDER BY dataset_name, tissue_id, tile_id) - 1 AS global_tile_id, dataset_name, tissue_id, tile_id, "row", "col" FROM named"""),
     "tile_by_ordinal": sql(' SELECT tissue_id, tile_id, "row", "col" FROM tiles WHERE tile_id = 3'),
