@@ -8,8 +8,8 @@ number of times and so turns edits into few Hamming differences; windows that ag
 an item at the sampled positions of one of several repetitions are candidates, and the
 exact edit distance of the item to the best stretch of the text there decides.
 
-The number of repetitions follows from the target recall and from how often walks of
-edited items agree, which is measured on the items themselves.
+The number of positions in a sample and of repetitions follow from the target recall and
+from how often walks of edited items agree, which is measured on the items of each size.
 
 What the walks leave to chance, or can't see as no whole window fits before a text's end,
 an exact bound finds: an edit breaks at most two word pairs, so of an item's rarest pairs
@@ -20,6 +20,7 @@ and place, are compared with the item too.
 from __future__ import annotations
 
 import itertools
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -34,28 +35,34 @@ from tessera.llm.textblocks import ODD, Block, mix
 #: Words are runs of letters, digits and bytes beyond ASCII; A-Z count as a-z.
 APART = np.ones(256, bool)
 APART[[*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]] = False
-#: Items of fewer words are no evidence.
-LEAST_WORDS = 8
+#: Items of fewer words are looked for without edits, those of fewer than SHORT_WORDS words,
+#: which any text may hold by chance, as whole texts only.
+LEAST_WORDS, SHORT_WORDS = 8, 4
 #: Edits allowed for each word of an item.
 EDITS = 0.2
 #: Share of contaminated windows that the sampling should find; the exact bound finds the rest.
 RECALL = 0.98
-#: Positions in one sample, and different random walks.
+#: Positions in one sample at most, and different random walks.
 SAMPLED, WALKS = 3, 4
 #: Steps of a walk for each word. It needs about two; later ones have seen more edits.
 WALKED = 2
+#: Edited items that the recall is measured on.
+TRIED = 400
+#: Repetitions after which one position less is sampled.
 MOST_REPETITIONS = 48
 #: Words of the benchmark that a task holds; a larger benchmark takes several passes.
 PASS_WORDS = 400_000
 #: Rarest pairs of an item that a stretch must hold, if the item has enough of them.
 RAREST = 4
+#: Passes that a worker keeps prepared.
+PREPARED = 2
 #: Windows that walk together.
 TOGETHER = 50_000
 HIT = "item_id long, edits int, first_word int, n_words int"
 
 
 def edits_of(words: int) -> int:
-    return int(EDITS * words)
+    return int(EDITS * words) if words >= LEAST_WORDS else 0
 
 
 class Walks:
@@ -111,19 +118,26 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(row + [np.uint64(rng.integers(1 << 62)) for _ in range(len(words) - len(row))], np.uint64)
 
 
-def repetitions(words: np.ndarray, walks: list[Walks], positions: list[tuple[int, np.ndarray]]) -> int:
-    """How many of the repetitions find RECALL of the items with the most edits allowed; all if they don't."""
-    rng = np.random.default_rng(5)
-    chosen = words[rng.integers(len(words), size=200)]
+def sampling(words: np.ndarray, walks: list[Walks]) -> list[tuple[int, np.ndarray]]:
+    """(walk, positions) of the repetitions that find RECALL of the items with all edits allowed.
+
+    Of the numbers of positions, SAMPLED first, the one is taken that needs no more than
+    MOST_REPETITIONS; one position, which nearly every walk shares, needs few.
+    """
+    reach = (1 + RECALL) / 2  # above the target, as it is measured on few
+    rng = np.random.default_rng(words.shape[1])
+    chosen = words[rng.integers(len(words), size=TRIED)]
     other = np.array([_edited(w, edits_of(words.shape[1]), rng) for w in chosen])
-    here = window_keys([w.embed(chosen) for w in walks], positions)
-    there = window_keys([w.embed(other) for w in walks], positions)
-    found = np.zeros(len(chosen), bool)
-    for i, (a, b) in enumerate(zip(here, there, strict=True)):
-        found |= a == b
-        if found.mean() >= RECALL:
-            return i + 1
-    return len(positions)
+    here, there = ([w.embed(side) for w in walks] for side in (chosen, other))
+    for sampled in range(min(SAMPLED, WALKED * words.shape[1]), 0, -1):
+        positions, found = [], np.zeros(len(chosen), bool)
+        while found.mean() < reach and (sampled == 1 or len(positions) < MOST_REPETITIONS):
+            where = np.sort(rng.choice(WALKED * words.shape[1], sampled, replace=False))
+            positions.append((len(positions) % WALKS, where))
+            found |= window_keys(here, positions[-1:])[0] == window_keys(there, positions[-1:])[0]
+        if found.mean() >= reach:
+            break
+    return positions
 
 
 def probes(items: list[tuple[int, np.ndarray]]) -> list[Probe]:
@@ -132,12 +146,9 @@ def probes(items: list[tuple[int, np.ndarray]]) -> list[Probe]:
         by_size.setdefault(len(words), []).append((item, words))
     out = []
     for length, own in sorted(by_size.items()):
-        rng = np.random.default_rng(length)
         walks = [Walks(length, i) for i in range(WALKS)]
         words = np.array([w for _, w in own])
-        # Drawn evenly over the walk; they may end below RECALL, and the exact bound finds the rest.
-        positions = [(i % WALKS, np.sort(rng.choice(WALKED * length, SAMPLED, replace=False))) for i in range(MOST_REPETITIONS)]
-        positions = positions[: repetitions(words, walks, positions)]
+        positions = sampling(words, walks)
         keys: list[dict[int, list[int]]] = []
         for found in window_keys([w.embed(words) for w in walks], positions):
             keys.append({})
@@ -172,6 +183,11 @@ class Benchmark:
     """Items prepared to be looked for in many texts."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.whole: dict[tuple[int, ...], list[int]] = {}
+        for item, words in items:
+            if len(words) < SHORT_WORDS:
+                self.whole.setdefault(tuple(words.tolist()), []).append(item)
+        items = [i for i in items if len(i[1]) >= SHORT_WORDS]
         self.probes = probes(items)
         found: dict[int, int] = {}
         for _, words in items:
@@ -188,6 +204,7 @@ class Benchmark:
         """For each pair the items that have it among their rarest, as a run of `self.having`."""
         self.items = items
         self.lengths = np.array([len(words) for _, words in items], np.int64)
+        self.edits = np.array([edits_of(n) for n in self.lengths.tolist()], np.int64)
         #: Rarest pairs that are in each stretch within the edits of an item.
         self.least = np.ones(len(items), np.int64)
         own = [np.unique(self._pairs(words)) for _, words in items]
@@ -197,7 +214,7 @@ class Benchmark:
         having: list[tuple[int, int]] = []
         for i, pairs in enumerate(own):
             # One more is lost where a stretch begins within a run of one word.
-            lost = 2 * edits_of(int(self.lengths[i])) + 1
+            lost = 2 * int(self.edits[i]) + 1
             at = np.searchsorted(self.pairs, pairs)
             rarest = at[np.argsort(spread[at], kind="stable")][: lost + RAREST]
             self.least[i] = max(1, len(rarest) - lost)
@@ -227,8 +244,11 @@ class Benchmark:
         """For each text of the block its hits (item, edits, first word, words), best for each item."""
         out: list[dict[int, tuple]] = [{} for _ in range(len(block))]
         words = block.word_hashes()
-        if len(words) < 2:
-            return [[] for _ in out]
+        for text in np.flatnonzero((block.n_words > 0) & (block.n_words < SHORT_WORDS)) if self.whole else ():
+            own = words[block.word_offsets[text] : block.word_offsets[text + 1]]
+            out[text] = {item: (item, 0, 0, len(own)) for item in self.whole.get(tuple(own.tolist()), ())}
+        if len(words) < 2 or not len(self.pairs):
+            return [sorted(found.values()) for found in out]
         where, pairs = self.known(words)
         sizes = self.sizes[pairs]
         last_word = np.repeat(block.word_offsets[1:], block.n_words)
@@ -266,7 +286,7 @@ class Benchmark:
         fits = np.flatnonzero(last < len(item))
         last = last[fits]
         # The most words of a stretch hold one pair less.
-        most = self.lengths[item] + (EDITS * self.lengths[item]).astype(np.int64)
+        most = self.lengths[item] + self.edits[item]
         near = (item[last] == item[fits]) & (text[last] == text[fits]) & (at[last] - at[fits] <= most[fits] - 2)
         i, j = fits[near], last[near]
         first = np.maximum(offsets[text[i]], at[j] + 2 - most[i])
@@ -324,37 +344,49 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
     A hit is a stretch of the text within EDITS edits for each word of an item, of whole
     words without regard to case and punctuation; for each item the best one counts.
-    Items under LEAST_WORDS words and null ones aren't looked for; null and empty texts
-    have no hits. Items given twice count once for each id. Repeated rows are flagged
-    alike. A column `hits` of docs is an error.
-
-    The benchmark goes to the tasks in passes of at most PASS_WORDS words, so a larger one
-    takes more passes over the texts and no more memory.
+    Items under LEAST_WORDS words count without edits, those under SHORT_WORDS as whole
+    texts; items that are null or without words aren't looked for, and null and empty texts
+    have no hits. Items given twice count once for each id; an item without an id isn't
+    looked for. Repeated rows are flagged alike; an empty table of texts or of items gives
+    no hits. A column `hits` of docs is an error.
+
+    The benchmark goes to the tasks in passes of at most PASS_WORDS words (or one longer
+    item), so a larger one takes more passes over the texts and no more memory, in the
+    driver neither.
     """
     prepare(docs.sparkSession)
     clear_of(docs, "hits")
     items = benchmark.select(F.col(item_col).cast("long"), item_text).dropna().distinct()
-    passes: list[list[tuple[int, np.ndarray]]] = [[]]
+    out = docs.withColumn("hits", F.array().cast(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>"))
+    some: list[tuple[int, np.ndarray]] = []
     size = 0
     for item, text in items.orderBy(*items.columns).toLocalIterator():
         words = _item_words(text)
-        if len(words) >= LEAST_WORDS:
-            if size + len(words) > PASS_WORDS and passes[-1]:
-                passes, size = [*passes, []], 0
-            passes[-1].append((item, words))
+        if some and size + len(words) > PASS_WORDS:
+            out, some, size = _one_pass(out, some, text_col), [], 0
+        if len(words):
+            some.append((item, words))
             size += len(words)
-    out = docs.withColumn("hits", F.array().cast(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>"))
-    for own in passes:
-        if own:
-            out = _one_pass(out, Benchmark(own), text_col)
-    return out
+    return _one_pass(out, some, text_col) if some else out
+
+
+#: The last passes' items that this worker has prepared, by their broadcast.
+_prepared: dict[str, Benchmark] = {}
 
 
-def _one_pass(docs: DataFrame, benchmark: Benchmark, text_col: str) -> DataFrame:
+def _one_pass(docs: DataFrame, items: list[tuple[int, np.ndarray]], text_col: str) -> DataFrame:
     at, names = docs.columns.index(text_col), docs.columns
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast([(item, words.tobytes()) for item, words in items])  # at most PASS_WORDS words
+    name = f"{context.applicationId}-{uuid.uuid4().hex}"
 
     def run(batches):
+        benchmark = _prepared.get(name)
+        if benchmark is None:
+            while len(_prepared) >= PREPARED:
+                _prepared.pop(next(iter(_prepared)))
+            benchmark = _prepared[name] = Benchmark([(item, np.frombuffer(words, np.uint64)) for item, words in sent.value])
         for batch in batches:
             hits = []
             for _, block in textblocks.blocks(batch.column(at), lower=True, separator=APART):

@@ -100,7 +100,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("quality", "text")
     got = _stats(known).sort_values([*BASE, *MORE, "quality"])
     rates = features({k: got[k].to_numpy() for k in BASE + MORE})
-    scale = rates.std(0) + 1e-9 if len(rates) else np.ones(5)
+    scale = rates.std(0) + 1e-9 if len(rates) else np.ones(rates.shape[1])
     weights = fit_logistic(rates / scale, got["quality"].to_numpy().astype(float))
     by_host, by_path, share = site_rates(docs, labels, host, path, id_col)
 

@@ -1,13 +1,14 @@
 """Operator 8: toxicity by a weighted grammar of finite-state transducers over clauses.
 
-A lexical transducer turns words into symbols: insults and threats, whose words and stems
-are learned from labelled rows, and short lists of target, negation and reported-speech
-words. Further transducers rewrite the symbols of a clause: one marks threats that follow a
-target, one insults and such threats in the scope of a negation, one those in reported
-speech, one insults near a target. Their composition reads a clause once and gives the
-pattern of each insult and threat. A text's evidence is the summed
-weight of its patterns, and a logistic model fitted on the labelled rows, with the
-patterns' usual weights as its prior, turns it into a score.
+A lexical transducer turns words into weighted symbols: insults and threats, whose words
+and stems are learned from labelled rows, and short lists of target, negation and
+reported-speech words. Further transducers rewrite the symbols of a clause: one marks
+targets that are addressed right after an insult, one threats that follow a target, one
+insults and such threats in the scope of a negation, one those in reported speech, one
+insults shortly after a target. Their composition reads a clause once and gives the
+pattern and weight of each match. A text's evidence is the summed weight of its patterns,
+and a logistic model fitted on the labelled rows, with the patterns' usual weights as its
+prior, turns it into a score.
 """
 
 from __future__ import annotations
@@ -50,8 +51,10 @@ REPORTS = "said says wrote called quoted sagte schrieb nannte dit écrit appelé
 
 WORD = re.compile(r"[^\W\d_]+")
 BREAK = re.compile(r"[.!?;:\n]")
-#: Patterns that an insult or threat can end up in, and their usual weights.
+#: Patterns that an insult or threat can end up in, the last symbols that mean them (by their
+#: place in PATTERNS), and the bias and weights that they usually have.
 PATTERNS = ["plain", "targeted", "negated", "reported", "threat"]
+ENDS = {"insult": 0, "targeted": 1, "addressed": 1, "negated": 2, "reported": 3, "aimed": 4}
 USUAL = np.array([-3.0, 1.2, 1.4, 0.3, 0.3, 1.2])
 PRIOR_STRENGTH = 1.0
 
@@ -71,68 +74,89 @@ class Transducer:
         return self.rules.get((state, symbol)) or (self.other.get(state, 0), symbol)
 
 
+def _insult() -> Transducer:
+    """Up to SCOPE words after an insult, a target is addressed by it."""
+    rules = {(s, "insult"): (SCOPE, "insult") for s in range(SCOPE + 1)}
+    rules |= {(s, "target"): (0, "addressed") for s in range(1, SCOPE + 1)}
+    return Transducer(rules, {s: s - 1 for s in range(1, SCOPE + 1)})
+
+
 def _threat() -> Transducer:
     """After a target, to the clause's end, threats are aimed; others are words as any."""
-    return Transducer({(0, "target"): (1, "target"), (0, "threat"): (0, "word"), (1, "threat"): (1, "aimed")}, {1: 1})
+    rules = {(0, "target"): (1, "target"), (0, "addressed"): (1, "addressed"), (0, "threat"): (0, "word"), (1, "threat"): (1, "aimed")}
+    return Transducer(rules, {1: 1})
 
 
 def _negation() -> Transducer:
     """After a negation, SCOPE words long, insults and aimed threats are negated ones."""
     rules = {(s, "neg"): (SCOPE, "neg") for s in range(SCOPE + 1)}
     rules |= {(s, kind): (s - 1, "negated") for s in range(1, SCOPE + 1) for kind in ("insult", "aimed")}
+    rules |= {(s, "addressed"): (s - 1, "target") for s in range(1, SCOPE + 1)}
     return Transducer(rules, {s: s - 1 for s in range(1, SCOPE + 1)})
 
 
 def _reported() -> Transducer:
     """After a word of saying, to the clause's end, insults and aimed threats are reported ones."""
-    return Transducer({(0, "report"): (1, "report"), (1, "insult"): (1, "reported"), (1, "aimed"): (1, "reported")}, {1: 1})
+    rules = {(0, "report"): (1, "report"), (1, "insult"): (1, "reported"), (1, "aimed"): (1, "reported"), (1, "addressed"): (1, "target")}
+    return Transducer(rules, {1: 1})
 
 
 def _targeted() -> Transducer:
     """Shortly after a target, insults are aimed at it."""
-    rules = {(s, "target"): (SCOPE, "target") for s in range(SCOPE + 1)}
+    rules = {(s, kind): (SCOPE, kind) for s in range(SCOPE + 1) for kind in ("target", "addressed")}
     rules |= {(s, "insult"): (s - 1, "targeted") for s in range(1, SCOPE + 1)}
     return Transducer(rules, {s: s - 1 for s in range(1, SCOPE + 1)})
 
 
+class Lexicon(NamedTuple):
+    """Weights of insult words and of stems (a stem is the beginning of a longer word)."""
+
+    words: dict[str, float]
+    stems: dict[str, float]
+
+
+class Lexical:
+    """The transducer of one state that reads words: each becomes a symbol with a weight."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.symbols = {w: s for ws, s in ((TARGETS, "target"), (NEGATIONS, "neg"), (REPORTS, "report"), (THREATS, "threat")) for w in ws}
+
+    def read(self, word: str) -> tuple[str, float]:
+        weight = max([self.lexicon.words.get(word, 0.0), *(self.lexicon.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n)])
+        return ("insult", weight) if weight else (self.symbols.get(word, "word"), 1.0)
+
+
 class Composition:
-    """Transducers one after another, each reading what the one before writes."""
+    """Transducers one after another, each reading what the one before writes; the lexical one reads the words."""
 
-    def __init__(self, parts: list[Transducer]):
-        self.parts = parts
+    def __init__(self, lexical: Lexical, parts: list[Transducer]):
+        self.lexical, self.parts = lexical, parts
         self.start = (0,) * len(parts)
-        self.step = functools.lru_cache(maxsize=None)(self._step)  # few states and symbols
+        self._step = functools.lru_cache(maxsize=None)(self._compose)  # few states and symbols
 
-    def _step(self, states: tuple[int, ...], symbol: str) -> tuple[tuple[int, ...], str]:
+    def _compose(self, states: tuple[int, ...], symbol: str) -> tuple[tuple[int, ...], str]:
         after = []
         for part, state in zip(self.parts, states, strict=True):
             state, symbol = part.step(state, symbol)
             after.append(state)
         return tuple(after), symbol
 
-
-class Lexicon(NamedTuple):
-    """Weights of insult words and of stems (a stem is the beginning of a longer word)."""
-
-    words: dict[str, float]
-    stems: dict[str, float]
+    def step(self, states: tuple[int, ...], word: str) -> tuple[tuple[int, ...], str, float]:
+        symbol, weight = self.lexical.read(word)
+        return *self._step(states, symbol), weight
 
 
 class Grammar:
     def __init__(self, lexicon: Lexicon, weights: np.ndarray):
         self.lexicon, self.weights = lexicon, weights
-        self.symbols = {w: s for ws, s in ((TARGETS, "target"), (NEGATIONS, "neg"), (REPORTS, "report"), (THREATS, "threat")) for w in ws}
-        self.composed = Composition([_threat(), _negation(), _reported(), _targeted()])
+        self.composed = Composition(Lexical(lexicon), [_insult(), _threat(), _negation(), _reported(), _targeted()])
         self.triggers = ahocorasick.Automaton()
         for entry in {*lexicon.words, *lexicon.stems, *THREATS}:
             self.triggers.add_word(entry, len(entry))
         if len(self.triggers):
             self.triggers.make_automaton()
 
-    def lexical(self, word: str) -> tuple[str, float]:
-        weight = max(self.lexicon.words.get(word, 0.0), *(self.lexicon.stems.get(word[:n], 0.0) for n in STEMS))
-        return ("insult", weight) if weight else (self.symbols.get(word, "word"), 1.0)
-
     def evidence(self, text: str | None) -> np.ndarray:
         """Summed weights of the patterns of the clauses of a whole text, damped."""
         out = np.zeros(len(PATTERNS))
@@ -152,12 +176,9 @@ class Grammar:
     def _clause(self, clause: str, out: np.ndarray) -> None:
         states = self.composed.start
         for word in WORD.findall(clause):
-            symbol, weight = self.lexical(word)
-            states, symbol = self.composed.step(states, symbol)
-            if symbol == "aimed":
-                out[PATTERNS.index("threat")] += weight
-            elif symbol in ("insult", "negated", "reported", "targeted"):
-                out[PATTERNS.index("plain" if symbol == "insult" else symbol)] += weight
+            states, symbol, weight = self.composed.step(states, word)
+            if (pattern := ENDS.get(symbol)) is not None:
+                out[pattern] += weight
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         """Between 0 and 1; texts without evidence get the model's base rate."""
@@ -279,8 +300,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs with held_out, score (0 to 1) and predicted (1 from PREDICTED_FROM on).
 
     Only the text decides a score. A null or empty text has no evidence and gets the base
-    rate; repeated rows get equal scores; a null id is not held out. Columns that have
-    these names already are an error.
+    rate; repeated rows get equal scores; a null id is not held out; of an id labelled
+    twice one label counts. An empty table gives no rows; without labels the fixed words
+    and usual weights decide. Columns that have these names already are an error.
     """
     prepare(docs.sparkSession)
     clear_of(docs, "held_out", "score", "predicted")

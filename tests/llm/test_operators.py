@@ -16,7 +16,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tessera.llm import bpe, chat_format, decontaminate, hilbert_shards, jaccard_join, packing, quality_rules, site_quality, toxicity, url_rules
+from tessera.llm import bpe, chat_format, decontaminate, hilbert_shards, jaccard_join, packing, quality_rules, queries, site_quality, toxicity, url_rules
 from tessera.llm.components import components
 from tessera.llm.shared import Scratch
 
@@ -170,6 +170,43 @@ def test_decontamination_finds_all_edits_as_deletions(spark, place):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
 
 
+@pytest.mark.parametrize("n", [4, 8, 15, 30, 59, 100, 200, 300])
+def test_walks_alone_reach_the_recall_at_all_edits_allowed(n):
+    rng = np.random.default_rng(n)
+    words = rng.integers(1 << 62, size=(60, n), dtype=np.uint64)
+    walks = [decontaminate.Walks(n, i) for i in range(decontaminate.WALKS)]
+    positions = decontaminate.sampling(words, walks)
+    chosen = words[rng.integers(60, size=500)]
+    other = np.array([decontaminate._edited(w, decontaminate.edits_of(n), rng) for w in chosen])
+    keys = [decontaminate.window_keys([w.embed(x) for w in walks], positions) for x in (chosen, other)]
+    assert np.any([a == b for a, b in zip(*keys, strict=True)], axis=0).mean() >= decontaminate.RECALL - 0.01
+
+
+def test_short_items_are_found_exactly_and_tiny_ones_as_whole_texts(spark):
+    items = spark.createDataFrame([(1, "red blue green pink gold"), (2, "Yes."), (3, "一二三四五六"), (4, ""), (5, "?!"), (None, "a b c d e f g h")], "item_id long, text string")
+    docs = [
+        (1, "so: Red, blue green pink gold!"), (2, "red blue green white gold and red blue green"), (3, "yes"), (4, "yes no"), (5, "一二三四五六。"),
+        (6, "?!"), (7, ""), (8, None), (9, "a b c d e f g h"),
+    ]
+    got = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(1, 1, 0), (3, 2, 0), (5, 3, 0)] or sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2)]
+
+
+def test_hits_in_documents_equal_brute_force(spark):
+    docs = [(r.doc_id, decontaminate._item_words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    bench = [(r.item_id, decontaminate._item_words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    want = {}
+    for doc, words in docs:
+        for item, wanted in bench:
+            d = decontaminate.edits_of(len(wanted))
+            if np.isin(wanted, words).sum() >= len(wanted) - d:
+                edits = decontaminate.edit_distance_within(wanted, words)[0]
+                if edits <= d:
+                    want[doc, item] = edits
+    got = queries.op2_benchmark_decontamination(spark, "/root/testdata/sf0.001").collect()
+    assert want and {(r.doc_id, r.item_id): r.edits for r in got} == want
+
+
 def test_passages_are_found_whatever_the_repetitions_reach(monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 1)
     rng = random.Random(16)
@@ -282,6 +319,60 @@ def labelled(spark, n=300):
     return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def path_by_hand(tree, sample, row):
+    """Splits down to the row's leaf, and the usual path among the sample's rows there."""
+    at, depth, here = 0, 0, sample
+    while tree[at, 0] >= 0:
+        feature, cut = int(tree[at, 0]), tree[at, 1]
+        left = row[feature] < cut
+        here = here[(here[:, feature] < cut) == left]
+        at, depth = int(tree[at, 2 if left else 3]), depth + 1
+    n = len(here)
+    return depth + (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else n - 1)
+
+
+def test_forest_scores_equal_paths_by_hand():
+    rng = np.random.default_rng(3)
+    sample = np.column_stack([rng.random(120), rng.integers(0, 3, 120), np.zeros(120)])
+    forest = quality_rules.IsolationForest(sample, trees=20, tree_rows=120)
+    rows = np.concatenate([sample[:30], rng.random((30, 3)) * 4 - 1])
+    usual = 2 * (np.log(119) + 0.5772156649) - 2 * 119 / 120
+    by_hand = [2 ** (-np.mean([path_by_hand(t, sample, r) for t in forest.trees]) / usual) for r in rows]
+    assert np.allclose(forest.score(rows), by_hand)
+    assert forest.score(np.array([[9.0, 9.0, 0.0]]))[0] > forest.score(sample).mean()
+
+
+def test_thresholds_keep_good_rows_and_useless_forests_reject_nothing():
+    good, bad = np.linspace(0.3, 0.5, 2000), np.linspace(0.6, 0.8, 50)
+    assert 0.5 <= quality_rules.calibrated(good, bad) < 0.6
+    assert quality_rules.calibrated(good, np.linspace(0.3, 0.5, 50)) is None
+    assert quality_rules.calibrated(good, bad[:0]) == 0.5
+
+
+def test_quality_verdicts_equal_the_model_row_by_row(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op4_quality_rules(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        base = base_by_brute_force(texts[r.doc_id])
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == base
+        assert r.base_failed == (base[0] < 10 or 100 * base[4] > 20 * base[0])
+        rates = quality_rules.features(quality_rules.text_stats(pa.array([texts[r.doc_id]])))[0]
+        odd = []
+        for rule in model.rules:
+            usual = float(quality_rules._usual_path(rule.forest.rows))
+            paths = []
+            for tree in rule.forest.trees:
+                at = 0
+                while tree[at, 0] >= 0:
+                    at = int(tree[at, 2 if rates[rule.columns[int(tree[at, 0])]] < tree[at, 1] else 3])
+                paths.append(tree[at, 4])
+            odd.append(2 ** (-np.mean(paths) / usual) > rule.threshold)
+        assert r.kept == (not r.base_failed and not any(odd))
+
+
 def test_quality_rules_and_site_quality_tell_junk_from_prose(spark):
     docs, labels = labelled(spark)
     got = {r.doc_id: r for r in quality_rules.judge(docs, labels.where("doc_id < 200")).collect()}
@@ -308,6 +399,40 @@ def test_site_rates_draw_sparse_sites_to_the_level_above(spark):
     assert paths.count() == 2
 
 
+def test_site_quality_equals_brute_force(spark):
+    import pandas as pd
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    sites = docs.select("doc_id", "source", "lang").toPandas().merge(labels.select("doc_id", "quality").toPandas().dropna(), on="doc_id")
+
+    def drawn(rates, prior):
+        chance = (prior * (1 - prior)).sum()
+        seen = (rates.n * (rates.good / rates.n - prior) ** 2).sum()
+        between = max((seen - chance) / rates.n.sum(), 1e-6)
+        strength = min(max(chance / rates.n.sum() / between, site_quality.STRENGTH[0]), site_quality.STRENGTH[1])
+        return (rates.good + strength * prior) / (rates.n + strength)
+
+    share = (sites.quality.sum() + 1) / (len(sites) + 2)
+    hosts = sites.groupby("source").quality.agg(good="sum", n="count")
+    hosts["rate"] = drawn(hosts, pd.Series(share, hosts.index))
+    paths = sites.groupby(["source", "lang"]).quality.agg(good="sum", n="count").reset_index()
+    paths["rate"] = drawn(paths, paths.source.map(hosts.rate))
+    by_path = {(s, lang): rate for s, lang, rate in paths[["source", "lang", "rate"]].itertuples(index=False)}
+    place = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+
+    def odds(p):
+        return np.log(p / (1 - p))
+
+    got = queries.op6_quality_classifier(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(place)
+    for r in got:
+        host = hosts.rate.get(place[r.doc_id][0], share)
+        path = by_path.get(place[r.doc_id], host)
+        assert np.allclose([r.host_rate, r.path_rate], [host, path])
+        z = odds(min(max(r.doc_score, 1e-12), 1 - 1e-12)) + odds(path) - odds(share)
+        assert np.isclose(r.quality_score, 1 / (1 + np.exp(-z))) and r.kept == (r.quality_score >= 0.5)
+
+
 # Packing
 
 
@@ -432,6 +557,8 @@ def test_patterns_of_clauses():
 
     assert pattern("what a fool") == {"plain"}
     assert pattern("you utter fool") == {"targeted"}
+    assert pattern("a fool, you") == {"plain", "targeted"}
+    assert pattern("she said a fool, you") == {"reported"}
     assert pattern("he is not a fool") == {"negated"}
     assert pattern("she said that the man was a fool") == {"reported"}
     assert pattern("not now. a fool") == {"plain"}
@@ -443,6 +570,47 @@ def test_patterns_of_clauses():
     assert pattern("foolish talk") == pattern("") == pattern(None) == set()
 
 
+def clause_by_brute_force(symbols):
+    """Patterns of a clause's symbols (with weights), by looking at the words around each."""
+    out = dict.fromkeys(toxicity.PATTERNS, 0.0)
+
+    def before(i, kinds, reach):
+        return [j for j in range(max(0, i - reach), i) if symbols[j][0] in kinds]
+
+    for i, (kind, weight) in enumerate(symbols):
+        negated, reported = before(i, {"neg"}, 3), before(i, {"report"}, i)
+        aimed = kind == "threat" and before(i, {"target"}, i)
+        if kind == "insult" or aimed:
+            name = "negated" if negated else "reported" if reported else "threat" if aimed else "targeted" if before(i, {"target"}, 3) else "plain"
+            out[name] += weight
+        if kind == "target" and (insults := before(i, {"insult"}, 3)) and not any(j > insults[-1] for j in before(i, {"target"}, 3)) and not (negated or reported):
+            out["targeted"] += weight
+    return out
+
+
+def test_composed_transducers_equal_brute_force():
+    lexicon = toxicity.Lexicon({"fool": 3.0, "oaf": 2.5}, {"grun": 1.5})
+    grammar = toxicity.Grammar(lexicon, toxicity.USUAL)
+    rng = random.Random(17)
+    words = {"fool": ("insult", 3.0), "oaf": ("insult", 2.5), "grundel": ("insult", 1.5), "you": ("target", 1.0), "not": ("neg", 1.0), "said": ("report", 1.0), "kill": ("threat", 1.0), "tree": ("word", 1.0), "grun": ("word", 1.0)}
+    for _ in range(3000):
+        clauses = [[rng.choice(list(words)) for _ in range(rng.randrange(10))] for _ in range(rng.randrange(1, 4))]
+        total = np.zeros(len(toxicity.PATTERNS))
+        for clause in clauses:
+            total += list(clause_by_brute_force([words[w] for w in clause]).values())
+        text = ". ".join(" ".join(c) for c in clauses)
+        assert np.allclose(grammar.evidence(text), np.log1p(total)), text
+        z = toxicity.USUAL[0] + np.log1p(total) @ toxicity.USUAL[1:]
+        assert np.isclose(grammar.score(grammar.evidence(text)), 1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_finds_most_held_out_rows(spark):
+    got = queries.op8_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("predicted", "toxic").dropna().collect()
+    found = sum(r.predicted for r in got if r.toxic == 1) / sum(r.toxic == 1 for r in got)
+    false = sum(r.predicted for r in got if r.toxic == 0) / sum(r.toxic == 0 for r in got)
+    assert found >= 0.9 and false <= 0.02
+
+
 def test_toxicity_on_odd_rows_without_labels(spark):
     got = toxicity.judge(odd_docs(spark), empty_labels(spark)).collect()
     assert len(got) == 9 and all(0 <= r.score <= 1 and r.predicted == 0 for r in got)
