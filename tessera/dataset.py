@@ -1,26 +1,37 @@
-"""A dataset of one modality, and a cohort of datasets, over the folder layout.
+"""A dataset of one modality, several modalities together, and cohorts, over the folder layout.
 
-Methods return DataFrames; nothing is read before an action.
+Methods return DataFrames; nothing but small metadata is read before an action.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import channels, kernels, metadata, stats, tiles
+from tessera.operators import channels, jobs, kernels, metadata, stats, tiles
 from tessera.sources import arrays, catalog
 
+#: Planes of the modalities that are photographs.
+RGB = ["R", "G", "B"]
+#: Presets that each of them knows.
+PRESETS = {"he": ["imagenet", "hibou", "identity"], "ihc": ["imagenet", "hibou"]}
+#: Draws of a seed's sequence start far apart for different seeds.
+STRIDE = 1_000_003
+
 
 @dataclass
 class ImagingDataset:
-    """One modality of one dataset at one resolution.
+    """One modality of one dataset at one resolution: he, ihc_<marker> or a multiplex one.
 
-    `spec` (method/uq_..._level) standardizes pixels by the statistics files of that name;
-    levels say which of them to read. `filters` run after it, in order.
+    `spec` (method/uq_..._level) standardizes the pixels of a multiplex modality by the
+    statistics files of that name; levels say which of them to read, `z_score` whether means
+    and deviations count, `usable_only` whether channels without usable statistics go.
+    `preset` normalizes the RGB values of the others. `filters` run after that, in order,
+    on whole planes or on a tile's.
     """
 
     spark: SparkSession
@@ -31,121 +42,250 @@ class ImagingDataset:
     split: str | None = None
     label: str | None = None
     keep: list | None = None
+    change: Callable[[Column], Column] | None = None
     spec: str | None = None
     quantile_level: str = "image"
     stats_level: str = "image"
+    z_score: bool = True
+    usable_only: bool = True
+    preset: str = "imagenet"
     filters: list[tuple[str, dict]] = field(default_factory=list)
     strategy: str = "default"
     tile_size: int | None = None
 
+    def __post_init__(self) -> None:
+        lower = self.modality.strip().lower()
+        self.modality = catalog.ALIASES.get(lower, lower)
+        kinds = [*catalog.MODALITIES]
+        if self.modality not in kinds and not self.modality.startswith("ihc_"):
+            raise ValueError(f"no modality {self.modality!r}; there are {kinds} and ihc_<marker>")
+        if self.rgb and self.preset not in (known := PRESETS[self.modality.split("_")[0]]):
+            raise ValueError(f"no preset {self.preset!r}; there are {known}")
+        if self.spec and self.spec.split("/")[0] == "identity":
+            self.spec = None
+        for filter_name, _ in self.filters:
+            if filter_name not in kernels.FILTERS:
+                raise ValueError(f"no filter {filter_name!r}; there are {sorted(kernels.FILTERS)}")
+
+    @classmethod
+    def of_marker(cls, spark: SparkSession, root: str, name: str, marker: str, **more) -> ImagingDataset:
+        """The dataset of an IHC marker, named with or without its prefix."""
+        return cls(spark, root, name, catalog.marker_modality(marker), **more)
+
+    @property
+    def rgb(self) -> bool:
+        return self.modality == "he" or self.modality.startswith("ihc_")
+
     @property
     def folder(self) -> str:
         return f"{self.root}/{self.name}/{catalog.modality_dir(self.modality)}"
 
-    def tissues(self) -> DataFrame:
-        rows = catalog.tissues(self.spark, self.root, self.name)
-        return metadata.filtered(rows, self.split, self.label, self.keep, modality=self.modality)
+    @property
+    def images(self) -> str:
+        return f"{self.folder}/{catalog.resolution_dir(self.resolution)}/images"
+
+    def all_tissues(self) -> DataFrame:
+        """Tissues of every modality that pass the filters."""
+        return metadata.filtered(catalog.tissues(self.spark, self.root, self.name), self.split, self.label, self.keep, self.change)
+
+    def tissues(self, kind: str = "modality") -> DataFrame:
+        """Tissues of this modality, or (`all`) of every one."""
+        if kind not in ("modality", "all"):
+            raise ValueError("kind is modality or all")
+        rows = self.all_tissues()
+        return rows if kind == "all" else rows.where(F.col("modality") == self.modality)
+
+    def label_codes(self) -> DataFrame:
+        """(label, code) of the tissues' labels, in order of first appearance."""
+        if self.label is None:
+            raise ValueError("the dataset has no label")
+        return metadata.label_codes(self._placed(self.tissues()), self.label)
+
+    def _placed(self, tissues: DataFrame) -> DataFrame:
+        return tissues if "pos" in tissues.columns else tissues.withColumn("pos", F.col("tissue_id"))
 
     def cells(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.name}/metadata/cells.parquet")
 
     def patients(self) -> DataFrame:
         """(patient_id, tissue_ids), tissues of a patient in order of their ids."""
-        return metadata.patients(self.tissues().withColumn("pos", F.col("tissue_id")))
+        return metadata.patients(self._placed(self.tissues()))
 
     @functools.cached_property
     def channel_table(self) -> DataFrame:
         """channels.parquet with channel_pos, the place of each row: its index where it has one."""
+        if self.rgb:
+            return self.spark.createDataFrame(list(enumerate(RGB)), "channel_pos int, channel_name string")
         rows = self.spark.read.parquet(f"{self.folder}/channels.parquet")
         if "channel_pos" in rows.columns:
             return rows
         if "index" in rows.columns:
             return rows.withColumn("channel_pos", F.col("index").cast("int"))
-        # One small file, whose rows are in order: its row numbers.
-        return rows.withColumn("channel_pos", F.col("_metadata.row_index").cast("int"))
+        # A small table: rows in order of its files and of their rows.
+        order = Window.orderBy(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+        return rows.withColumn("channel_pos", (F.row_number().over(order) - 1).cast("int"))
 
     def measured(self) -> DataFrame:
         """(tissue_id, channel_pos, channel_name, measured); all are, where no table says otherwise."""
-        try:
-            wide = self.spark.read.parquet(f"{self.folder}/channels_per_tissue.parquet")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return channels.default_map(catalog.tissues(self.spark, self.root, self.name), self.channel_table)
-        return channels.long_map(wide).join(self.channel_table.select("channel_name", "channel_pos"), "channel_name")
+        path = f"{self.folder}/channels_per_tissue.parquet"
+        if self.rgb or not catalog.exists(self.spark, path):
+            return channels.default_map(self.tissues(), self.channel_table)
+        return channels.long_map(self.spark.read.parquet(path)).join(self.channel_table.select("channel_name", "channel_pos"), "channel_name")
 
-    def selected_channels(self, kind: str = "complete", nuclear: bool = False) -> DataFrame:
-        return channels.select(self.measured(), self.channel_table, kind, self._usable(), nuclear)
+    def selected_channels(self, kind: str = "complete", nuclear: bool = False, preprocess: bool = True) -> DataFrame:
+        if self.rgb:
+            kind = "complete"
+        return channels.select(self.measured(), self.channel_table, kind, self._usable() if preprocess else None, nuclear)
 
     def _usable(self) -> DataFrame | None:
         """(tissue_id, channel_pos) of channels with usable statistics, if pixels are standardized."""
-        if not self.spec:
+        if not self.spec or not self.usable_only:
             return None
         usable = stats.valid_stats(F.col("upper"), F.col("lower"), F.col("mean"), F.col("std"))
         return self._statistics().where(usable).select("tissue_id", "channel_pos").distinct()
 
     def _statistics(self) -> DataFrame:
         folder = f"{self.folder}/{catalog.resolution_dir(self.resolution)}/standardization/{self.spec}"
+        if not catalog.exists(self.spark, folder):
+            raise FileNotFoundError(f"no statistics {self.spec!r} of {self.name}, {self.modality}: {folder}")
         rows = self.measured().select("tissue_id", F.col("channel_name").alias("channel"), "channel_pos")
         for level, part in ((self.quantile_level, ["upper", "lower"]), (self.stats_level, ["mean", "std"])):
             table = catalog.statistics_of(self.spark, folder, level, self.channel_table, part)
-            keys = ["tissue_id", "channel"] if level == "image" else ["channel"]
-            rows = rows.join(table, keys, "left")
+            rows = catalog.with_statistics(rows, table, part)
         return rows
 
-    def pixels(self, tissue: str | None = None, kind: str = "complete", window: tuple[int, int, int, int] | None = None) -> DataFrame:
-        """(tissue_id, channel_pos, channel, y, x, value) of the chosen channels, standardized if there is a spec."""
-        chosen = self.selected_channels(kind)
-        store = f"{self.folder}/{catalog.resolution_dir(self.resolution)}/images"
-        raw = arrays.zarr_pixels(self.spark, store, window=window, stores=[tissue] if tissue else None)
+    def pixels(self, tissue: str | None = None, kind: str = "complete", window: tuple[int, int, int, int] | None = None, preprocess: bool = True) -> DataFrame:
+        """(tissue_id, channel_pos, channel, y, x, value) of the chosen channels.
+
+        Only chunks of the tissue, window (y, x, h, w) and chosen channels are read.
+        preprocess normalizes the values by the spec or preset, and filters whole planes
+        (or the window's part of them).
+        """
+        rows = self._values(tissue, kind, window, preprocess)
+        if not preprocess or not self.filters:
+            return rows
+        return self._filtered(rows, ["tissue_id", "channel_pos", "channel"])
+
+    def _values(self, tissue: str | None, kind: str, window: tuple[int, int, int, int] | None, preprocess: bool) -> DataFrame:
+        chosen = self.selected_channels(kind, preprocess=preprocess)
+        if tissue is not None:
+            chosen = chosen.where(F.col("tissue_id") == tissue)
+        planes = sorted(r["plane"] for r in chosen.select("plane").distinct().collect())  # as many as there are channels
+        raw = arrays.zarr_pixels(self.spark, self.images, planes, window, [tissue] if tissue is not None else None)
         rows = raw.withColumnRenamed("store", "tissue_id").join(chosen, ["tissue_id", "plane"]).withColumnRenamed("channel_name", "channel").drop("plane", "uniprot_id")
+        if not preprocess:
+            return rows
+        if self.rgb:
+            return rows.withColumn("value", stats.rgb_preprocess(F.col("value"), F.col("channel_pos"), self.preset))
         if not self.spec:
             return rows
         known = rows.join(self._statistics().drop("channel_pos"), ["tissue_id", "channel"])
         z = stats.transform_named(self.spec)(F.col("value"), F.col("lower"), F.col("upper"))
-        return known.withColumn("value", (z - F.col("mean")) / (F.col("std") + stats.EPSILON)).drop("upper", "lower", "mean", "std")
+        return known.withColumn("value", (z - F.col("mean")) / (F.col("std") + stats.EPSILON) if self.z_score else z).drop("upper", "lower", "mean", "std")
+
+    def _filtered(self, rows: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
+        """rows with values filtered: the plane of each key meets in one row, as a neighbourhood needs."""
+        each = kernels.as_planes(rows, keys, y, x)
+        return kernels.as_pixels(kernels.apply_filters(each, self.filters, "h", "w"), keys, y, x)
 
-    def planes(self, tissue: str, kind: str = "complete") -> DataFrame:
+    def planes(self, tissue: str | None = None, kind: str = "complete") -> DataFrame:
         """(tissue_id, channel, channel_pos, h, w, values): whole planes, filtered in order."""
-        each = F.array_sort(F.collect_list(F.struct("y", "x", "value")))
-        rows = self.pixels(tissue, kind).groupBy("tissue_id", "channel", "channel_pos").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.transform(each, lambda p: p["value"]).alias("values"))
-        if not self.filters:
-            return rows
-        size = rows.select("h", "w").first()
-        return kernels.apply_filters(rows, self.filters, size["h"], size["w"])
+        rows = kernels.as_planes(self._values(tissue, kind, None, True), ["tissue_id", "channel", "channel_pos"])
+        rows = rows.drop("top", "left")
+        return kernels.apply_filters(rows, self.filters, "h", "w") if self.filters else rows
 
-    def mask(self) -> DataFrame:
+    def image(self, tissue: str, kind: str = "complete", channels_first: bool = True) -> DataFrame:
+        """(tissue_id, values): the image flat, plane by plane or pixel by pixel."""
+        return kernels.layout(self.pixels(tissue, kind), channels_first)
+
+    def _masks_folder(self) -> str:
         folder = f"{self.root}/{self.name}/segmentations/{catalog.resolution_dir(self.resolution)}/tissue_masks"
-        return arrays.masks_or_full(arrays.masks(self.spark, folder), self.sizes())
+        if not catalog.exists(self.spark, folder):
+            raise ValueError(f"there are no tissue masks: {folder}")
+        return folder
+
+    def mask(self) -> DataFrame:
+        """(tissue_id, y, x) of tissue pixels: all of an image without a mask file, none of an empty mask."""
+        folder = self._masks_folder()
+        return arrays.masks_or_full(arrays.masks(self.spark, folder), arrays.mask_sizes(self.spark, folder), self.sizes())
+
+    def extents(self) -> DataFrame:
+        """(tissue_id, h, w) of the masks, or of the images without one."""
+        known = arrays.mask_sizes(self.spark, self._masks_folder())
+        return known.unionByName(self.sizes().select("tissue_id", "h", "w").join(known, "tissue_id", "left_anti"))
+
+    def compute_tiling(self, strategy: str = "grid", overwrite: bool = False, **how) -> list[str]:
+        """Tile the masks and write coordinates and statistics where the readers look for them."""
+        files = arrays.mask_files(self.spark, self._masks_folder())
+        return jobs.compute_tiling(self.mask(), f"{self.root}/{self.name}", self.resolution, self.tile_size, strategy, overwrite=overwrite, extents=self.extents(), files=files, **how)
+
+    def masked_pixels(self) -> DataFrame:
+        """Raw pixels of all measured channels that are tissue, which statistics are computed from."""
+        return self.pixels(preprocess=False).join(self.mask(), ["tissue_id", "y", "x"], "left_semi")
+
+    def compute_statistics(self, upper: float = 0.99, lower: float | None = None, overwrite: bool = False, **how) -> list[str]:
+        """Statistics of the tissue pixels, written where a dataset with such a spec looks for them."""
+        names = [r["channel_name"] for r in self.channel_table.orderBy("channel_pos").select("channel_name").collect()]
+        folder = f"{self.folder}/{catalog.resolution_dir(self.resolution)}"
+        return jobs.compute_statistics(self.masked_pixels(), folder, names, upper, lower, overwrite=overwrite, **how)
 
     def cell_mask(self, kind: str = "instances") -> DataFrame:
         """Labelled pixels of cells; tasks come with the names of their labels."""
         folder = f"{self.root}/{self.name}/segmentations/{catalog.resolution_dir(self.resolution)}/cell_masks/{kind}"
+        if not catalog.exists(self.spark, folder):
+            raise ValueError(f"there are no cell masks {kind!r}: {folder}")
         found = arrays.masks(self.spark, folder, labels=True)
-        return found if kind == "instances" else arrays.named_labels(found, self.spark.read.parquet(f"{folder}/label_encoder.parquet"))
+        return found if kind.startswith("instances") else arrays.named_labels(found, self.spark.read.parquet(f"{folder}/label_encoder.parquet"))
 
     def sizes(self) -> DataFrame:
         """(tissue_id, c, h, w) from the stores' metadata."""
-        shapes = arrays.zarr_shapes(self.spark, f"{self.folder}/{catalog.resolution_dir(self.resolution)}/images")
+        return self._sizes
+
+    @functools.cached_property
+    def _sizes(self) -> DataFrame:
+        shapes = arrays.zarr_shapes(self.spark, self.images)
         return shapes.select(F.col("store").alias("tissue_id"), *[F.col("shape")[i].alias(n) for i, n in enumerate("chw")])
 
     def coords(self) -> DataFrame:
         path = catalog.coords_path(self.root, self.name, self.resolution, self.strategy, self.tile_size)
         return metadata.of_dataset(tiles.validated(self.spark.read.parquet(path)), self.tissues())
 
-    def tile_at(self, tissue: str, row: int, col: int, kind: str = "complete") -> DataFrame:
-        """(tissue_id, tile_id, channel, dy, dx, value) of a tile; zeros fill it up unless the strategy is default."""
+    def tile_stats(self) -> DataFrame:
+        """The statistics that were written beside the tile coordinates."""
+        path = catalog.coords_path(self.root, self.name, self.resolution, self.strategy, self.tile_size)
+        return self.spark.read.parquet(path.replace("_coordinates.parquet", "_stats.parquet"))
+
+    def tile_at(self, tissue: str, row: int, col: int, kind: str = "complete", preprocess: bool = True) -> DataFrame:
+        """(tissue_id, tile_id, channel, dy, dx, value) of a tile; zeros fill it up unless the strategy is default.
+
+        Outside of the image are zeros before values are normalized, as a reader of a padded tile has it.
+        """
+        size = self.tile_size
         at = self.spark.createDataFrame([(tissue, 0, row, col)], "tissue_id string, tile_id int, row int, col int")
-        px = self.pixels(tissue, kind, window=(row, col, self.tile_size, self.tile_size))
-        held = tiles.containing(px, at, self.tile_size).select("tissue_id", "tile_id", "channel", (F.col("y") - F.col("row")).alias("dy"), (F.col("x") - F.col("col")).alias("dx"), "value")
-        if self.strategy == "default":
-            return held
-        steps = F.sequence(F.lit(0), F.lit(self.tile_size - 1))
-        names = self.selected_channels(kind).where(F.col("tissue_id") == tissue).select(F.col("channel_name").alias("channel"))
-        full = at.select("tissue_id", "tile_id").join(names).select("*", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
-        return full.join(held, ["tissue_id", "tile_id", "channel", "dy", "dx"], "left").na.fill(0.0, ["value"])
+        rows = self._values(tissue, kind, (row, col, size, size), False)
+        chosen = self.selected_channels(kind, preprocess=preprocess).where(F.col("tissue_id") == tissue).select("channel_pos", F.col("channel_name").alias("channel"))
+        rows = rows.join(chosen.select("channel"), "channel", "left_semi")
+        held = rows.select(F.lit(tissue).alias("tissue_id"), F.lit(0).alias("tile_id"), "channel", (F.col("y") - row).alias("dy"), (F.col("x") - col).alias("dx"), "value")
+        if self.strategy != "default":
+            steps = F.sequence(F.lit(0), F.lit(size - 1))
+            full = at.select("tissue_id", "tile_id").join(chosen.select("channel")).select("*", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
+            held = full.join(held, ["tissue_id", "tile_id", "channel", "dy", "dx"], "left").na.fill(0.0, ["value"])
+        if preprocess:
+            held = self._normalized(held.join(chosen, "channel")).drop("channel_pos")
+            if self.filters:
+                held = self._filtered(held, ["tissue_id", "tile_id", "channel"], "dy", "dx")
+        return held
+
+    def _normalized(self, rows: DataFrame) -> DataFrame:
+        if self.rgb:
+            return rows.withColumn("value", stats.rgb_preprocess(F.col("value"), F.col("channel_pos"), self.preset))
+        if not self.spec:
+            return rows
+        known = rows.join(self._statistics().drop("channel_pos"), ["tissue_id", "channel"])
+        z = stats.transform_named(self.spec)(F.col("value"), F.col("lower"), F.col("upper"))
+        return known.withColumn("value", (z - F.col("mean")) / (F.col("std") + stats.EPSILON) if self.z_score else z).drop("upper", "lower", "mean", "std")
 
-    def tile(self, tissue: str, ordinal: int, kind: str = "complete") -> DataFrame:
+    def tile(self, tissue: str, ordinal: int, kind: str = "complete", preprocess: bool = True) -> DataFrame:
         """The tile at a place of the tissue's list, or one at a reproducible random offset without a list."""
         if self.strategy == "default":
             found = tiles.random_tiles(self.sizes().where(F.col("tissue_id") == tissue), self.tile_size, ordinal)
@@ -154,35 +294,194 @@ class ImagingDataset:
         at = found.select("row", "col").first()
         if at is None:
             raise KeyError(f"tissue {tissue} has no tile {ordinal}")
-        return self.tile_at(tissue, at["row"], at["col"], kind)
+        return self.tile_at(tissue, at["row"], at["col"], kind, preprocess)
+
+    def channel_labels(self, tissue: str) -> list[str]:
+        """Names to show for a tissue's planes: identified channels, else all, else their numbers."""
+        for kind in ("uniprot_filtered", "complete"):
+            rows = self.selected_channels(kind, preprocess=False).where(F.col("tissue_id") == tissue).orderBy("channel_pos").select("channel_name").collect()
+            if rows:
+                return [r["channel_name"] for r in rows]
+        size = self.sizes().where(F.col("tissue_id") == tissue).first()
+        return [f"Ch {i}" for i in range(size["c"] if size else 10)]
+
+
+@dataclass
+class ComposedDataset:
+    """Several modalities of one dataset.
+
+    `modalities` are used in their order; `ihc` stands for all markers on disk, which come
+    last. `settings` has further arguments of ImagingDataset by modality (`ihc` for every marker).
+    """
+
+    spark: SparkSession
+    root: str
+    name: str
+    modalities: list[str]
+    resolution: float = 1.0
+    strategy: str = "default"
+    tile_size: int | None = None
+    split: str | None = None
+    settings: dict[str, dict] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if "ihc" in self.modalities:
+            markers = catalog.expanded_modalities(self.spark, self.root, self.name, ["ihc"])
+            if not markers:
+                raise FileNotFoundError(f"{self.name} has no IHC markers")
+            self.modalities = [m for m in self.modalities if m != "ihc"] + markers
+        self.datasets = {}
+        for modality in self.modalities:
+            own = self.settings.get("ihc" if modality.startswith("ihc_") else modality, {})
+            made = ImagingDataset(self.spark, self.root, self.name, modality, self.resolution, self.split, strategy=self.strategy, tile_size=self.tile_size, **own)
+            self.datasets[made.modality] = made
+
+    def dataset(self, modality: str) -> ImagingDataset:
+        if modality not in self.datasets:
+            raise KeyError(f"{modality!r} is none of {list(self.datasets)}")
+        return self.datasets[modality]
+
+    def available(self) -> list[str]:
+        return list(self.datasets)
+
+    def tissues(self, modality: str | None = None) -> DataFrame:
+        """Tissues of one modality, or the rows of all of them."""
+        if modality is not None:
+            return self.dataset(modality).tissues()
+        rows = next(iter(self.datasets.values())).all_tissues()
+        return rows.where(F.col("modality").isin(list(self.datasets)))
+
+    def tissue_modalities(self) -> DataFrame:
+        """(tissue_id, modalities) in the order of the modalities."""
+        return metadata.modalities(self.tissues(), list(self.datasets))
+
+    def patients(self) -> DataFrame:
+        rows = self.tissues().select("patient_id", "tissue_id").distinct()
+        return metadata.patients(rows.withColumn("pos", F.col("tissue_id")))
+
+    def _modalities_of(self, tissue: str) -> list[str]:
+        found = self.tissue_modalities().where(F.col("tissue_id").cast("string") == str(tissue)).first()
+        if found is None:
+            raise KeyError(f"{self.name} has no tissue {tissue}")
+        return found["modalities"]
+
+    def _together(self, tissue: str, read: Callable[[ImagingDataset], DataFrame]) -> DataFrame:
+        parts = [read(self.datasets[m]).select(F.lit(m).alias("modality"), "*") for m in self._modalities_of(tissue)]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def tissue(self, tissue: str, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
+        """(modality, tissue_id, channel_pos, channel, y, x, value) of all modalities of a tissue."""
+        return self._together(tissue, lambda d: d.pixels(tissue, kind, preprocess=preprocess))
+
+    def tile(self, tissue: str, ordinal: int, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
+        """(modality, tissue_id, tile_id, channel, dy, dx, value) of a tile in all modalities of a tissue."""
+        return self._together(tissue, lambda d: d.tile(tissue, ordinal, kind, preprocess))
+
+    def patient(self, patient: object, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame | None:
+        """All tissues of a patient, each with all of its modalities; None for an unknown patient."""
+        found = metadata.of_patient(self.patients(), patient).first()
+        parts = [self.tissue(t, kind, preprocess) for t in found["tissue_ids"]] if found else []
+        return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
 
 @dataclass
 class Cohort:
-    """Several datasets with the modalities that each of them has."""
+    """Several datasets with the modalities that each of them has.
+
+    Datasets without a modality that was asked for are left out. `settings` are those of
+    ComposedDataset, `dataset_settings` the same by dataset, which take precedence.
+    """
 
     spark: SparkSession
     root: str
     datasets: list[str]
-    modalities: list[str]
+    modalities: list[str] | None = None
     resolution: float = 1.0
     strategy: str = "default"
     tile_size: int | None = None
+    split: str | None = None
+    settings: dict[str, dict] = field(default_factory=dict)
+    dataset_settings: dict[str, dict[str, dict]] = field(default_factory=dict)
+    unit: str | None = None
+
+    def __post_init__(self) -> None:
+        if not self.datasets:
+            raise ValueError("name one dataset at least")
+        self.unit = self.unit or ("tiles" if self.tile_size is not None else "tissues")
+        if self.unit not in ("tiles", "tissues") or (self.unit == "tiles" and self.tile_size is None):
+            raise ValueError("the unit is tissues, or tiles with a tile size")
+        self.members: dict[str, ComposedDataset] = {}
+        for name in self.datasets:
+            if not catalog.exists(self.spark, f"{self.root}/{name}"):
+                raise FileNotFoundError(f"no dataset {self.root}/{name}")
+            own = catalog.expanded_modalities(self.spark, self.root, name, self.modalities)
+            if own:
+                self.members[name] = ComposedDataset(self.spark, self.root, name, own, self.resolution, self.strategy, self.tile_size, self.split, self._settings_of(name))
+        if not self.members:
+            raise ValueError("no dataset has a modality that was asked for")
+
+    def _settings_of(self, name: str) -> dict[str, dict]:
+        own = self.dataset_settings.get(name, {})
+        return {m: {**self.settings.get(m, {}), **own.get(m, {})} for m in {*self.settings, *own}}
+
+    def dataset(self, name: str) -> ComposedDataset:
+        return self.members[name]
 
     def tissue_index(self) -> DataFrame:
-        parts = {name: metadata.modalities(catalog.tissues(self.spark, self.root, name), self.modalities) for name in self.datasets}
-        return metadata.tissue_index({k: v for k, v in parts.items() if not v.isEmpty()})
+        """(dataset_name, tissue_id, modalities) of all datasets."""
+        return metadata.tissue_index({name: d.tissue_modalities() for name, d in self.members.items()})
 
     def tile_index(self) -> DataFrame:
-        own = [
-            ImagingDataset(self.spark, self.root, name, self.modalities[0], self.resolution, strategy=self.strategy, tile_size=self.tile_size)
-            for name in self.datasets
-        ]
-        coords = [metadata.of_dataset(self.spark.read.parquet(catalog.coords_path(d.root, d.name, d.resolution, d.strategy, d.tile_size)), catalog.tissues(self.spark, self.root, d.name)).withColumn("dataset_name", F.lit(d.name)) for d in own]
-        return metadata.tile_index(functools.reduce(DataFrame.unionByName, coords))
+        """Tiles of all datasets that have coordinates, with a dense global_tile_id."""
+        parts = []
+        for name, d in self.members.items():
+            path = catalog.coords_path(self.root, name, self.resolution, self.strategy, self.tile_size)
+            if catalog.exists(self.spark, path):
+                rows = metadata.of_dataset(tiles.validated(self.spark.read.parquet(path)), d.tissues())
+                parts.append(rows.select(F.lit(name).alias("dataset_name"), "tissue_id", "tile_id", "row", "col"))
+        if not parts:
+            raise FileNotFoundError(f"no dataset has tiles of {self.tile_size} by {self.strategy} at {self.resolution}")
+        return metadata.tile_index(functools.reduce(DataFrame.unionByName, parts))
+
+    def index(self) -> DataFrame:
+        """The units' index, with a dense global_id from 0."""
+        if self.unit == "tiles":
+            return self.tile_index().withColumnRenamed("global_tile_id", "global_id")
+        each = metadata.tile_index(self.tissue_index().withColumn("tile_id", F.lit(0)))
+        return each.drop("tile_id", "place").withColumnRenamed("global_tile_id", "global_id")
+
+    def size(self) -> int:
+        return self.index().count()
+
+    def per_dataset(self) -> DataFrame:
+        """(dataset_name, n) units."""
+        return self.index().groupBy("dataset_name").agg(F.count("*").alias("n"))
+
+    def at(self, index: int, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
+        """The unit with a global id, read in all its modalities; negative ones count from the end."""
+        rows = self.index()
+        wanted = index if index >= 0 else rows.count() + index
+        found = rows.where(F.col("global_id") == wanted).first()
+        if found is None:
+            raise IndexError(f"no unit {index}")
+        return self._read(found, kind, preprocess)
+
+    def _read(self, unit, kind: str, preprocess: bool) -> DataFrame:
+        d = self.members[unit["dataset_name"]]
+        rows = d.tile(unit["tissue_id"], unit["tile_id"], kind, preprocess) if self.unit == "tiles" else d.tissue(unit["tissue_id"], kind, preprocess)
+        return rows.select(F.lit(unit["dataset_name"]).alias("dataset_name"), "*")
 
     def sample(self, n: int, seed: int) -> DataFrame:
-        """n tissues, or tiles if the cohort has a tile size, each with equal chance."""
-        if self.tile_size is None:
+        """n tissues, or tiles if that is the unit, each with equal chance and once at most."""
+        if self.unit == "tissues":
             return metadata.sample(self.tissue_index(), n, seed, ["dataset_name", "tissue_id"])
         return metadata.sample(self.tile_index(), n, seed, ["global_tile_id"])
+
+    def draws(self, n: int, seed: int) -> DataFrame:
+        """n units drawn with replacement, reproducibly, with the number of the draw."""
+        return metadata.sample_with_replacement(self.index(), n, seed, "global_id")
+
+    def random(self, seed: int, draw: int = 0, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
+        """One unit drawn by seed and number of the draw, read in all its modalities."""
+        unit = metadata.sample_with_replacement(self.index(), 1, seed * STRIDE + draw, "global_id").first()
+        return self._read(unit, kind, preprocess)

@@ -129,6 +129,12 @@ def heatmap(inventory: DataFrame, pairs: list[str], mode: str = "name") -> DataF
     return wide.withColumn("prevalence", functools.reduce(Column.__add__, [F.col(f"`{p}`") for p in pairs]))
 
 
+def truncated(heat: DataFrame, n: int | None) -> DataFrame:
+    """One row: how many markers there are, how many a list of n shows, and whether that leaves some out."""
+    shown = F.col("markers") if n is None else F.least(F.col("markers"), F.lit(n))
+    return heat.agg(F.count("*").alias("markers")).select("markers", shown.alias("shown"), (F.col("markers") > shown).alias("truncated"))
+
+
 def top_markers(heat: DataFrame, n: int | None, by: str = "prevalence") -> DataFrame:
     ordered = heat.orderBy(F.desc("prevalence"), "label") if by == "prevalence" else heat.orderBy("label")
     return ordered if n is None else ordered.limit(n)
@@ -171,25 +177,135 @@ def of_pairs(df: DataFrame, modalities: DataFrame) -> DataFrame:
     return df.join(modalities.select("dataset", "modality").distinct(), ["dataset", "modality"], "left_semi")
 
 
+def sized(groups: list[str], crops: DataFrame) -> DataFrame:
+    """(groups, total_crops, crop_counts_by_size): sizes are texts and sorted as such."""
+    sizes = crops.groupBy(*groups, "crop_size").agg(F.sum("num_crops").alias("n"))
+    text = F.concat_ws(":", "crop_size", F.col("n").cast("string"))
+    each = F.array_sort(F.collect_list(F.struct("crop_size", text.alias("t"))))
+    return sizes.groupBy(*groups).agg(F.sum("n").alias("total_crops"), F.array_join(F.transform(each, lambda c: c["t"]), ", ").alias("crop_counts_by_size"))
+
+
 def dataset_summary(datasets: DataFrame, modalities: DataFrame, crops: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per dataset what its filtered modalities, crops and specs add up to; none is left out but those without a modality."""
-    tokens = F.explode(F.split("resolutions", ", *"))
+    """Per dataset what its filtered modalities, crops and specs add up to; datasets without a modality go.
+
+    datasets(dataset, ...), modalities(dataset, modality, resolutions, images_best_resolution),
+    crops(dataset, crop_size, num_crops), specs(dataset). Counts are of rows.
+    """
+    derived = ["num_modalities", "loader_modalities", "images_best_resolution_total", "resolutions", "num_crop_specs", "total_crops", "crop_counts_by_size", "num_standardization_specs"]
+    tokens = modalities.select("dataset", F.explode(F.split("resolutions", ",")).alias("r")).select("dataset", F.trim("r").alias("r")).where("r <> ''")
     by_modality = modalities.groupBy("dataset").agg(
-        F.count_distinct("modality").alias("num_modalities"), joined_text(F.col("modality")).alias("modalities"), F.sum("images").alias("images_total"), F.sum("channel_count").alias("channels_total")
+        F.count("*").alias("num_modalities"),
+        F.array_join(F.array_sort(F.collect_list("modality")), ", ").alias("loader_modalities"),
+        F.coalesce(F.sum("images_best_resolution"), F.lit(0)).alias("images_best_resolution_total"),
     )
-    resolutions = modalities.select("dataset", tokens.alias("r")).where("r <> ''").groupBy("dataset").agg(joined_text(F.col("r")).alias("resolutions"))
-    sizes = crops.groupBy("dataset", "crop_size").agg(F.sum("num_crops").alias("n"))
-    text = F.concat_ws(":", "crop_size", F.col("n").cast("string"))
-    by_crop = sizes.groupBy("dataset").agg(F.sum("n").alias("crops_total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("crop_size", text.alias("t")))), lambda c: c["t"]), ", ").alias("crop_counts"))
-    by_spec = specs.groupBy("dataset").agg(F.count("*").alias("num_specs"))
-    out = datasets.join(by_modality, "dataset").join(resolutions, "dataset", "left").join(by_crop, "dataset", "left").join(by_spec, "dataset", "left")
-    return out.na.fill(0, ["crops_total", "num_specs"]).na.fill("", ["resolutions", "crop_counts"])
+    resolutions = tokens.groupBy("dataset").agg(joined_text(F.col("r")).alias("resolutions"))
+    files = crops.groupBy("dataset").agg(F.count("*").alias("num_crop_specs"))
+    by_spec = specs.groupBy("dataset").agg(F.count("*").alias("num_standardization_specs"))
+    out = datasets.drop(*derived).join(by_modality, "dataset")
+    for part in (resolutions, files, sized(["dataset"], crops), by_spec):
+        out = out.join(part, "dataset", "left")
+    return out.na.fill(0, ["num_crop_specs", "total_crops", "num_standardization_specs"]).na.fill("", ["resolutions"]).na.fill("-", ["crop_counts_by_size"])
+
+
+def modality_rows(listed: DataFrame, channels: DataFrame, tissues: DataFrame, crops: DataFrame, specs: DataFrame) -> DataFrame:
+    """One row for each (dataset, modality) with all that the inventory tells of it.
+
+    listed(dataset, modality, root, resolution, stores): image stores by resolution, a NULL
+    resolution where there is none; channels(dataset, modality, qc_pass), one row a channel;
+    tissues(dataset, modality, tissue_id); crops(dataset, resolution, tiling_method,
+    crop_size, num_crops), shared by a dataset's modalities; specs(dataset, modality,
+    resolution, spec).
+    """
+    pair = ["dataset", "modality"]
+    there = F.col("resolution").isNotNull()
+    per_resolution = F.array_sort(F.collect_list(F.when(there, F.struct("resolution", F.concat_ws(":", "resolution", F.col("stores").cast("string")).alias("t")))))
+    rows = listed.groupBy(*pair, "root").agg(
+        F.array_join(F.transform(per_resolution, lambda r: r["resolution"]), ", ").alias("resolutions"),
+        F.count_if(there).alias("num_resolutions"),
+        F.coalesce(F.max("stores"), F.lit(0)).alias("images_best_resolution"),
+        F.coalesce(F.sum("stores"), F.lit(0)).alias("images_total_files"),
+        F.array_join(F.transform(per_resolution, lambda r: r["t"]), ", ").alias("image_counts_by_resolution"),
+    )
+    by_tissue = tissues.groupBy(*pair).agg(F.count("*").alias("metadata_rows"), F.count_distinct("tissue_id").alias("unique_tissues"))
+    by_channel = channels.groupBy(*pair).agg(F.count("*").alias("channel_count"), F.count_if(F.coalesce("qc_pass", F.lit(False))).alias("qc_pass_count"))
+    name = F.concat_ws("/", "resolution", "tiling_method", "crop_size")
+    by_crop = crops.groupBy("dataset").agg(F.count("*").alias("num_crop_specs"), F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("crop_specs"))
+    each = F.array_sort(F.collect_list(F.concat_ws("/", "resolution", "spec")))
+    by_spec = specs.groupBy(*pair).agg(F.count("*").alias("num_standardization_specs"), F.array_join(each, ", ").alias("standardization_specs"))
+    out = rows.join(by_tissue, pair, "left").join(by_channel, pair, "left").join(by_crop, "dataset", "left").join(sized(["dataset"], crops), "dataset", "left").join(by_spec, pair, "left")
+    out = out.na.fill(0, ["metadata_rows", "unique_tissues", "num_crop_specs", "total_crops", "num_standardization_specs"])
+    return out.na.fill("", ["crop_specs", "standardization_specs"]).na.fill("-", ["crop_counts_by_size"])
+
+
+def inventory_kpis(datasets: DataFrame, modalities: DataFrame, crops: DataFrame, specs: DataFrame) -> DataFrame:
+    """One row: datasets, modalities, images, tile files, standardization specs, and crops by size."""
+    by_size = crops.agg(F.lit(1).alias("one"), F.count("*").alias("tile_files"))
+    sizes = crops.groupBy("crop_size").agg(F.sum("num_crops").alias("n")).agg(F.lit(1).alias("one"), F.collect_list(F.struct("crop_size", "n")).alias("c"))
+    in_order = F.array_sort("c", lambda a, b: _by_length(a["crop_size"], b["crop_size"]))
+    one = datasets.agg(F.lit(1).alias("one"), F.count("*").alias("datasets"))
+    parts = [
+        modalities.agg(F.lit(1).alias("one"), F.count("*").alias("modalities"), F.coalesce(F.sum("images_best_resolution"), F.lit(0)).alias("images")),
+        by_size,
+        specs.agg(F.lit(1).alias("one"), F.count("*").alias("specs")),
+        sizes.select("one", F.array_join(F.transform(in_order, lambda s: F.concat_ws(":", s["crop_size"], s["n"].cast("string"))), ", ").alias("crops")),
+    ]
+    return functools.reduce(lambda a, b: a.join(b, "one"), parts, one).drop("one")
+
+
+def _by_length(a: Column, b: Column) -> Column:
+    """Order of texts by length, then value: sizes as text in order of their numbers."""
+    return F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def by_size(df: DataFrame, column: str = "crop_size") -> DataFrame:
+    """Rows in order of a size that is a text: by length, then value."""
+    return df.orderBy(F.length(column), column)
+
+
+#: What each table of the inventory is sorted by.
+ORDERS = {
+    "datasets": ["dataset"],
+    "modalities": ["dataset", "modality"],
+    "crops": ["dataset", "resolution", "tiling_method", "crop_size"],
+    "specs": ["dataset", "modality", "resolution", "spec"],
+}
+
+
+def drill_down(tables: dict[str, DataFrame], dataset: str | None = None, modality: str | None = None) -> dict[str, DataFrame]:
+    """The inventory's tables of one dataset, of one modality, or of both, sorted; tables without a modality stay."""
+
+    def some(df: DataFrame) -> DataFrame:
+        for name, value in (("dataset", dataset), ("modality", modality)):
+            df = df if value is None or name not in df.columns else df.where(F.col(name) == value)
+        return df
+
+    return {name: some(df).orderBy(*ORDERS[name]) for name, df in tables.items()}
+
+
+def pair_channels(inventory: DataFrame, dm: str) -> DataFrame:
+    """Channels of one dataset and modality in order of their index."""
+    return inventory.where(F.col("dm") == dm).orderBy("channel_index")
+
+
+def first_pairs(inventory: DataFrame, n: int = 6) -> list[str]:
+    """The pairs that a heat map begins with: the first n by dataset and modality."""
+    return [r["dm"] for r in inventory.select("dataset", "modality", "dm").distinct().orderBy("dataset", "modality").limit(n).collect()]
 
 
 def parsed_counts(text: Column) -> Column:
-    """`a:1, b:2` as a map; tokens that aren't a name and a number are skipped."""
-    parts = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t.rlike(r"^[^:]+:\s*[0-9]+$"))
-    return F.map_from_entries(F.transform(parts, lambda t: F.struct(F.trim(F.substring_index(t, ":", 1)), F.trim(F.substring_index(t, ":", -1)).cast("int"))))
+    """`a:1, b:2` as a map; tokens that aren't a name and a number are skipped, and the last of a name counts."""
+
+    def token(t: Column) -> Column:
+        colon = F.instr(t, ":")
+        number = F.when(colon > 0, F.trim(F.substring(t, colon + 1, F.length(t))).try_cast("bigint"))
+        return F.struct(F.trim(F.substring(t, F.lit(1), colon - 1)).alias("name"), number.alias("n"))
+
+    known = F.filter(F.transform(F.split(text, ","), token), lambda p: p["n"].isNotNull())
+
+    def put(so_far: Column, p: Column) -> Column:
+        return F.map_concat(F.map_filter(so_far, lambda k, _: k != p["name"]), F.create_map(p["name"], p["n"]))
+
+    return F.aggregate(known, F.create_map().cast("map<string,bigint>"), put)
 
 
 def crop_file_summary(coords: DataFrame) -> DataFrame:

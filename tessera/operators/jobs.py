@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import stats, tiling
 from tessera.sources import catalog
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
-
-
 def write_new(tables: dict[str, DataFrame], overwrite: bool = False) -> list[str]:
-    """Write each table to its path unless all of them are there; returns what was written."""
+    """Write each table to its path unless all of them are there; returns what was written.
+
+    Where only some are there, those stay and the others are written, unless asked to
+    overwrite. Each table appears as a whole: it is written beside its path and moved.
+    """
     spark = next(iter(tables.values())).sparkSession
-    if not overwrite and all(exists(spark, path) for path in tables):
-        return []
-    for path, df in tables.items():
-        df.write.mode("overwrite").parquet(path)
-    return list(tables)
+    missing = [path for path in tables if overwrite or not catalog.exists(spark, path)]
+    for path in missing:
+        catalog.replace(spark, tables[path], path)
+    return missing
 
 
 def compute_statistics(pixels: DataFrame, root: str, channels: list[str], upper: float = 0.99, lower: float | None = None, quantile_level: str = "image", stats_level: str = "image", method: str = "quantile_clipping", overwrite: bool = False) -> list[str]:
@@ -44,31 +41,27 @@ def compute_statistics(pixels: DataFrame, root: str, channels: list[str], upper:
     return write_new(tables, overwrite)
 
 
-def compute_tiling(mask: DataFrame, root: str, resolution: float, size: int, strategy: str = "grid", stride: int | None = None, tolerance: float = 0.85, overwrite: bool = False, **greedy) -> list[str]:
+def compute_tiling(mask: DataFrame, root: str, resolution: float, size: int, strategy: str = "grid", stride: int | None = None, tolerance: float = 0.85, overwrite: bool = False, goal: float = 1.0, min_gain: float = 0.05, extents: DataFrame | None = None, files: DataFrame | None = None, **greedy) -> list[str]:
     """Coordinates and statistics of a grid, or of the greedy cover for any other strategy.
 
-    The strategy named default has no tiles of its own: readers slice it freely.
+    extents(tissue_id, h, w) are the masks' shapes. A greedy cover takes mask files(path,
+    content) instead of the pixels where they are given, and so needs no shuffle. The
+    strategy named default has no tiles of its own: readers slice it freely.
     """
     if strategy == "default":
         raise ValueError("the default strategy can't be tiled")
     path = f"{root}/tiling/{catalog.resolution_dir(resolution)}/{strategy}/{size}_tile"
     if strategy == "grid":
-        coords, found = tiling.grid_tiles(mask, size, stride, tolerance).drop("valid"), tiling.grid_stats(mask, size, stride, tolerance)
+        step = stride or size
+        coords, found = tiling.grid_tiles(mask, size, step, tolerance), tiling.grid_stats(mask, size, step, tolerance, extents)
     else:
-        rows = tiling.greedy_tiles(mask, size, stride, tolerance, **greedy)
-        coords = rows.where("tile_id is not null").select("tissue_id", "tile_id", "row", "col")
-        found = _greedy_stats(rows)
-    parameters = {"tile_size": str(size), "tolerance": str(tolerance), "tiling_method": f"'{strategy}'"}
-    found = found.selectExpr("*", *(f"{v} AS {k}" for k, v in parameters.items()))
-    return write_new({f"{path}_coordinates.parquet": coords, f"{path}_stats.parquet": found.orderBy("tissue_id")}, overwrite)
-
-
-def _greedy_stats(rows: DataFrame) -> DataFrame:
-    covered, total = F.first("covered"), F.first("total")
-    return rows.groupBy("tissue_id").agg(
-        F.count("tile_id").alias("num_tiles"),
-        covered.alias("covered_valid_pixels"),
-        total.alias("total_valid_pixels"),
-        (covered / total).alias("coverage_ratio"),
-        F.first("stop_reason").alias("stop_reason"),
-    )
+        step = stride or max(1, size // 2)
+        how = {"tile": size, "stride": step, "tolerance": tolerance, "goal": goal, "min_gain": min_gain, **greedy}
+        rows = tiling.greedy_tiles(mask, extents=extents, **how) if files is None else tiling.greedy_file_tiles(files, **how)
+        coords, found = rows.where("tile_id is not null"), tiling.greedy_stats(rows, size)
+    parameters = {"tile_size": F.lit(size), "stride": F.lit(step), "tolerance": F.lit(float(tolerance)), "coverage_goal": F.lit(float(goal)), "min_gain_ratio": F.lit(float(min_gain)), "tiling_method": F.lit(strategy)}
+    tables = {
+        f"{path}_coordinates.parquet": coords.select("tissue_id", "tile_id", "row", "col"),
+        f"{path}_stats.parquet": found.withColumns(parameters).orderBy("tissue_id"),
+    }
+    return write_new(tables, overwrite)

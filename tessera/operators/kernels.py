@@ -40,8 +40,11 @@ def gaussian(plane: np.ndarray, size: int = 3, sigma: float = 1.0) -> np.ndarray
 FILTERS: dict[str, Callable[..., np.ndarray]] = {"median": median, "gaussian": gaussian}
 
 
-def apply_filters(planes: DataFrame, filters: list[tuple[str, dict]], height: int, width: int, values: str = "values") -> DataFrame:
-    """planes with its array column `values` (row by row) filtered by each filter in order."""
+def apply_filters(planes: DataFrame, filters: list[tuple[str, dict]], height: int | str, width: int | str, values: str = "values") -> DataFrame:
+    """planes with its array column `values` (row by row) filtered by each filter in order.
+
+    height and width are numbers, or the names of columns with them.
+    """
     for name, _ in filters:
         if name not in FILTERS:
             raise ValueError(f"no filter {name!r}; there are {sorted(FILTERS)}")
@@ -49,16 +52,30 @@ def apply_filters(planes: DataFrame, filters: list[tuple[str, dict]], height: in
     ship_package(planes.sparkSession)
 
     @F.pandas_udf("array<double>")
-    def run(column: pd.Series) -> pd.Series:
+    def run(column: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
         out = []
-        for flat in column:
-            plane = np.asarray(flat, float).reshape(height, width)
+        for flat, h, w in zip(column, heights, widths, strict=True):
+            plane = np.asarray(flat, float).reshape(h, w)
             for name, more in filters:
                 plane = FILTERS[name](plane, **more)
             out.append(plane.ravel())
         return pd.Series(out)
 
-    return planes.withColumn(values, run(values))
+    h, w = (F.col(n) if isinstance(n, str) else F.lit(n) for n in (height, width))
+    return planes.withColumn(values, run(values, h, w))
+
+
+def as_planes(pixels: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
+    """(keys, top, left, h, w, values) of full rectangles of pixels, row by row."""
+    each = F.array_sort(F.collect_list(F.struct(y, x, "value")))
+    size = [(F.max(c) - F.min(c) + 1).alias(n) for c, n in ((y, "h"), (x, "w"))]
+    return pixels.groupBy(*keys).agg(F.min(y).alias("top"), F.min(x).alias("left"), *size, F.transform(each, lambda p: p["value"]).alias("values"))
+
+
+def as_pixels(planes: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
+    """The pixels (keys, y, x, value) of such planes."""
+    rows = planes.select(*keys, "top", "left", "w", F.posexplode("values").alias("at", "value"))
+    return rows.select(*keys, (F.col("top") + F.floor(F.col("at") / F.col("w"))).cast("int").alias(y), (F.col("left") + F.col("at") % F.col("w")).cast("int").alias(x), "value")
 
 
 def stretch(planes: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -70,7 +87,10 @@ def stretch(planes: DataFrame, keys: list[str], low: float = 0.01, high: float =
 
 
 def overlay(levels: DataFrame, image: str, marker: str, pick: list[int]) -> DataFrame:
-    """(image, y, x, red, green, blue) of up to five markers, added up in their colours."""
+    """(image, y, x, red, green, blue) of up to five markers, added up in their colours; one alone is grey."""
+    if len(pick[:5]) == 1:
+        grey = levels.where(F.col(marker) == pick[0]).groupBy(image, "y", "x").agg(F.max("level").cast("int").alias("red"))
+        return grey.withColumns({"green": F.col("red"), "blue": F.col("red")})
     places = F.create_map(*[F.lit(v) for i, m in enumerate(pick[:5]) for v in (m, i)])
     chosen = levels.withColumn("i", F.try_element_at(places, F.col(marker))).where("i is not null")
 
@@ -81,6 +101,27 @@ def overlay(levels: DataFrame, image: str, marker: str, pick: list[int]) -> Data
     return chosen.groupBy(image, "y", "x").agg(channel(0).alias("red"), channel(1).alias("green"), channel(2).alias("blue"))
 
 
+def rgb_composite(levels: DataFrame, image: str, plane: str, planes: int) -> DataFrame:
+    """(image, y, x, red, green, blue) of the first three planes; one plane gives grey, two repeat the last."""
+    picked = [min(i, planes - 1) for i in range(3)]
+    each = [F.max(F.when(F.col(plane) == p, F.col("level"))).cast("int").alias(n) for p, n in zip(picked, ("red", "green", "blue"), strict=True)]
+    return levels.where(F.col(plane).isin(picked)).groupBy(image, "y", "x").agg(*each)
+
+
+def png_images(pixels: DataFrame, image: str) -> DataFrame:
+    """(image, png) of pixels (image, y, x, red, green, blue): each image, in one row, as PNG bytes."""
+    ship_package(pixels.sparkSession)
+    each = F.array_sort(F.collect_list(F.struct("y", "x", "red", "green", "blue")))
+    flat = F.flatten(F.transform(each, lambda p: F.array(p["red"], p["green"], p["blue"])))
+    rows = pixels.groupBy(image).agg(flat.alias("flat"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
+
+    @F.pandas_udf("binary")
+    def encoded(values: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
+        return pd.Series([png(np.asarray(v).reshape(h, w, 3)) for v, h, w in zip(values, heights, widths, strict=True)])
+
+    return rows.select(image, encoded("flat", "h", "w").alias("png"))
+
+
 def png(pixels: np.ndarray) -> bytes:
     """An 8-bit grey (h, w) or RGB (h, w, 3) image as PNG bytes."""
     h, w = pixels.shape[:2]

@@ -50,10 +50,14 @@ def modalities(tissues: DataFrame, requested: list[str]) -> DataFrame:
 
 
 def composed(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key with a map from modality to the sample's other columns."""
+    """One row for each key with a map from modality to the sample's other columns.
+
+    Of several samples of a modality the one with the greatest columns counts.
+    """
     rest = [c for c in samples.columns if c not in (*keys, "modality")]
-    each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", F.struct(*rest)))))
-    return samples.groupBy(*keys).agg(each.alias("samples"))
+    once = samples.groupBy(*keys, "modality").agg(F.max(F.struct(*rest)).alias("sample"))
+    each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", "sample"))))
+    return once.groupBy(*keys).agg(each.alias("samples"))
 
 
 def tissue_index(parts: dict[str, DataFrame]) -> DataFrame:
@@ -90,15 +94,21 @@ def of_dataset(coords: DataFrame, tissues: DataFrame) -> DataFrame:
     return coords.join(ids, F.col("tissue_id").cast("string") == F.col("id"), "left_semi")
 
 
+def drawn(keys: list, seed: int) -> Column:
+    """A reproducible 60-bit number for the keys' values, by a hash that other engines have too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sample(index: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
     """n reproducible rows, each drawn with equal chance and without regard to order."""
-    return index.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return index.orderBy(drawn(keys, seed), *keys).limit(n)
 
 
 def sample_with_replacement(index: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
     """n reproducible draws from a table whose row_id is dense from 0; a row may come again."""
     size = index.count()
-    draws = index.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias(row_id), F.col("id").alias("draw"))
+    draws = index.sparkSession.range(n).select((drawn(["id"], seed) % size).alias(row_id), F.col("id").alias("draw"))
     return draws.join(index, row_id)
 
 

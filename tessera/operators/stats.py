@@ -6,9 +6,10 @@ infinite ones count as missing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
@@ -23,15 +24,63 @@ def finite(value: Column) -> Column:
 def quantiles(pixels: DataFrame, level: str, upper: float = 0.99, lower: float | None = None, accuracy: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles by tissue and channel (image) or channel (global).
 
-    An exact quantile keeps its group's distinct values in memory; `accuracy` asks for the
-    mergeable approximate one, which is the choice for the global level of very large data.
+    The image level holds an image's distinct values of a channel in one place; the global
+    level goes by ranges of values. `accuracy` asks for the mergeable approximate ones.
     """
+    if level == "global" and accuracy is None:
+        return range_quantiles(pixels, LEVELS[level], upper, lower)
     rank = F.percentile if accuracy is None else lambda c, p: F.percentile_approx(c, p, accuracy)
     value = finite(F.col("value").cast("double"))
     low = rank(value, lower) if lower is not None else F.lit(None).cast("double")
     return pixels.groupBy(*LEVELS[level]).agg(rank(value, upper).alias("upper"), low.alias("lower"))
 
 
+#: Ranges that a group's values are counted by.
+RANGES = 64
+
+
+def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: float | None = None) -> DataFrame:
+    """The same exact quantiles, for few large groups (channels): no task sees all of one.
+
+    Approximate quantiles cut a group's values into ranges, and counts by range say which
+    ones hold the wanted ranks; only the values of those are counted one by one and put in
+    order. Each step is a scan with partial aggregation; between them travel a row for each
+    group and range, and the distinct values of two or four ranges.
+    """
+    rows = pixels.select(*keys, finite(F.col("value").cast("double")).alias("value"))
+    groups = rows.select(*keys).groupBy(*keys).agg(F.lit(1).alias("some"))
+    rows = rows.where("value is not null")
+    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("value", steps, RANGES * 20).alias("cuts"))
+    # A row for each group, of which there are as many as channels.
+    located = rows.join(F.broadcast(cuts), keys).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
+    counts = located.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(*keys))})
+
+    def position(p: float) -> Column:
+        return F.lit(p) * (F.col("total") - 1)
+
+    ends = {f"{name}_{end}": at(position(p)) for name, p in (("upper", upper), ("lower", lower)) if p is not None for end, at in (("lo", F.floor), ("hi", F.ceil))}
+    ranked = placed.withColumns(ends)
+    held = functools.reduce(Column.__or__, [(F.col(e) >= F.col("before")) & (F.col(e) < F.col("before") + F.col("n")) for e in ends])
+    wanted = ranked.where(held).drop("n")
+    few = located.join(F.broadcast(wanted), [*keys, "range"]).groupBy(*keys, "range", "value", "before", "total", *ends).agg(F.count("*").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("value"))
+    ordered = few.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    found = ordered.groupBy(*keys, "total").agg(*[F.max(F.when((F.col(e) >= F.col("from")) & (F.col(e) < F.col("upto")), F.col("value"))).alias(e) for e in ends])
+
+    def interpolated(name: str, p: float | None) -> Column:
+        if p is None:
+            return F.lit(None).cast("double")
+        at, lo, hi = position(p), F.floor(position(p)), F.ceil(position(p))
+        between = (hi - at) * F.col(f"{name}_lo") + (at - lo) * F.col(f"{name}_hi")
+        return F.when(lo == hi, F.col(f"{name}_lo")).otherwise(between)
+
+    made = found.select(*keys, interpolated("upper", upper).alias("upper"), interpolated("lower", lower).alias("lower"))
+    return groups.drop("some").join(made, keys, "left")
+
+
 def clip(value: Column, lower: Column, upper: Column) -> Column:
     """NULL in, NULL out; the floor is 0 where there is no lower quantile."""
     low = F.coalesce(lower, F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.metadata import drawn
+
 
 def in_bounds(coords: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
     """coords of tiles that lie within their tissue's (h, w)."""
@@ -45,6 +47,11 @@ def ratio_histogram(ratios: DataFrame, bins: int = 20) -> DataFrame:
     return ratios.groupBy(at.alias("bin")).agg(F.count("*").alias("tiles"))
 
 
+def ratio_summary(ratios: DataFrame) -> DataFrame:
+    """Tiles and their mean valid ratio."""
+    return ratios.agg(F.count("*").alias("tiles"), F.avg("valid_ratio").alias("mean_ratio"))
+
+
 def hit(points: DataFrame, coords: DataFrame, tile: int) -> DataFrame:
     """For each point(point_id, tissue_id, y, x) the first tile of the list that holds it."""
     first = Window.partitionBy("point_id").orderBy("tile_id")
@@ -74,11 +81,11 @@ def by_ordinal(coords: DataFrame, ordinal: int) -> DataFrame:
 
 
 def validated(coords: DataFrame) -> DataFrame:
-    """Coordinates with the columns that readers need, in order of tissue and tile."""
+    """Coordinates with the columns that readers need; `lists` puts a tissue's in order."""
     missing = {"tissue_id", "tile_id", "row", "col"} - set(coords.columns)
     if missing:
         raise ValueError(f"tile coordinates lack {sorted(missing)}")
-    return coords.orderBy("tissue_id", "tile_id")
+    return coords
 
 
 def lists(coords: DataFrame) -> DataFrame:
@@ -92,6 +99,6 @@ def random_tiles(sizes: DataFrame, tile: int, seed: int) -> DataFrame:
 
     def offset(n: str, what: str) -> Column:
         room = F.greatest(F.col(n) - tile + 1, F.lit(1))
-        return F.pmod(F.xxhash64("tissue_id", F.lit(seed), F.lit(what)), room).cast("int")
+        return (drawn(["tissue_id", F.lit(what)], seed) % room).cast("int")
 
     return sizes.select("tissue_id", offset("h", "row").alias("row"), offset("w", "col").alias("col"))

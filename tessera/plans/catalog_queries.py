@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import inventory as inv
 from tessera.operators import kernels, metadata
+from tessera.plans.tile_queries import drawn_sql
 from tessera.sources import catalog, roles
 
 MODALITIES = ["5-LOW", "1-URGENT", "3-MEDIUM"]
@@ -121,43 +125,90 @@ def heatmap_fill_rate(spark, sf_dir):
     return inv.fill_rate(inv.heatmap(_inventory(spark, sf_dir), PAIRS, "uniprot"), len(PAIRS))
 
 
-def _modalities(spark, sf_dir):
+def _listed(spark, sf_dir):
+    """Image stores by resolution of each modality."""
     rows = roles.marker_channels(spark, sf_dir)
-    resolution = metadata.resolution_name(F.col("channel_index") % 3 / 2)
-    return rows.groupBy("dataset", "modality").agg(
-        F.count("*").alias("channel_count"), F.count_if(F.coalesce("qc_pass", F.lit(False))).alias("qc_pass_count"), F.sum(F.col("channel_index") % 7).alias("images"), inv.joined_text(resolution).alias("resolutions")
-    )
+    resolution = metadata.resolution_name(F.col("channel_index") % 3 / 2).alias("resolution")
+    return rows.groupBy("dataset", "modality", F.col("modality").alias("root"), resolution).agg(F.sum(F.col("channel_index") % 7).alias("stores"))
 
 
-def modality_inventory(spark, sf_dir):
-    return _modalities(spark, sf_dir)
+def _tissue_rows(spark, sf_dir):
+    key = F.col("o_orderkey")
+    modality = F.element_at(F.array(*[F.lit(m) for m in roles.MULTIPLEX]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    return roles.table(spark, sf_dir, "orders").select(F.concat(F.lit("cohort_"), (key % 3).cast("string")).alias("dataset"), modality.alias("modality"), (key % 50).alias("tissue_id"))
 
 
 def _crops(spark, sf_dir):
     part = roles.table(spark, sf_dir, "part")
-    return part.select(F.concat(F.lit("cohort_"), (F.col("p_partkey") % 6).cast("string")).alias("dataset"), (F.col("p_size") * 8 % 96 + 64).cast("string").alias("crop_size"), F.lit(1).alias("num_crops"))
+    rows = part.select(
+        F.concat(F.lit("cohort_"), (F.col("p_partkey") % 6).cast("string")).alias("dataset"),
+        metadata.resolution_name(F.col("p_partkey") % 2 + 0.5).alias("resolution"),
+        F.when(F.col("p_partkey") % 3 == 0, "grid").otherwise("greedy").alias("tiling_method"),
+        (F.col("p_size") * 8 % 96 + 64).cast("string").alias("crop_size"),
+    )
+    return rows.groupBy("dataset", "resolution", "tiling_method", "crop_size").agg(F.count("*").alias("num_crops"))
 
 
 def _specs(spark, sf_dir):
     part = roles.table(spark, sf_dir, "part")
-    return part.select(F.concat(F.lit("cohort_"), (F.col("p_partkey") % 7).cast("string")).alias("dataset"), F.element_at(F.array(*[F.lit(m) for m in roles.MULTIPLEX]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("modality"), F.concat(F.lit("uq_"), (F.col("p_size") % 4).cast("string")).alias("spec")).distinct()
+    return part.select(
+        F.concat(F.lit("cohort_"), (F.col("p_partkey") % 7).cast("string")).alias("dataset"),
+        F.element_at(F.array(*[F.lit(m) for m in roles.MULTIPLEX]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("modality"),
+        metadata.resolution_name(F.col("p_partkey") % 2 + 0.5).alias("resolution"),
+        F.concat(F.lit("uq_"), (F.col("p_size") % 4).cast("string")).alias("spec"),
+    ).distinct()
+
+
+def modality_inventory(spark, sf_dir):
+    return inv.modality_rows(_listed(spark, sf_dir), roles.marker_channels(spark, sf_dir), _tissue_rows(spark, sf_dir), _crops(spark, sf_dir), _specs(spark, sf_dir))
 
 
 def crop_counts_string(spark, sf_dir):
-    sizes = _crops(spark, sf_dir).groupBy("dataset", "crop_size").agg(F.sum("num_crops").alias("n"))
-    text = F.concat_ws(":", "crop_size", F.col("n").cast("string"))
-    return sizes.groupBy("dataset").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("crop_size", text.alias("t")))), lambda c: c["t"]), ", ").alias("crop_counts"))
+    return inv.sized(["dataset"], _crops(spark, sf_dir))
+
+
+def _datasets(spark, sf_dir):
+    return _crops(spark, sf_dir).select("dataset").distinct()
 
 
 def dataset_summary(spark, sf_dir):
-    modalities = _modalities(spark, sf_dir)
-    datasets = _crops(spark, sf_dir).select("dataset").distinct()
-    specs = inv.of_pairs(_specs(spark, sf_dir), modalities)
-    return inv.dataset_summary(datasets, modalities, _crops(spark, sf_dir), specs)
+    modalities = modality_inventory(spark, sf_dir)
+    return inv.dataset_summary(_datasets(spark, sf_dir), modalities, _crops(spark, sf_dir), inv.of_pairs(_specs(spark, sf_dir), modalities))
+
+
+def inventory_kpis(spark, sf_dir):
+    return inv.inventory_kpis(_datasets(spark, sf_dir), modality_inventory(spark, sf_dir), _crops(spark, sf_dir), _specs(spark, sf_dir))
+
+
+def crop_sizes(spark, sf_dir):
+    sizes = inv.by_size(_crops(spark, sf_dir).select("crop_size").distinct())
+    return sizes.agg(F.lit("all").alias("which"), F.array_join(F.collect_list("crop_size"), ",").alias("sizes"))
+
+
+def inventory_drill_down(spark, sf_dir):
+    tables = {"modalities": modality_inventory(spark, sf_dir), "crops": _crops(spark, sf_dir), "specs": _specs(spark, sf_dir)}
+    some = inv.drill_down(tables, "cohort_1", "imc")
+    each = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in some.items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def heatmap_truncation(spark, sf_dir):
+    heat = inv.heatmap(_inventory(spark, sf_dir), PAIRS, "both")
+    return inv.truncated(heat, 25).select(F.lit(25).alias("n"), "*").union(inv.truncated(heat, 100_000).select(F.lit(100_000).alias("n"), "*"))
+
+
+def pair_channels(spark, sf_dir):
+    return inv.pair_channels(_inventory(spark, sf_dir), "cohort_1 / codex").select("channel_index", "channel_name", "qc_display")
+
+
+def first_pairs_heatmap(spark, sf_dir):
+    rows = _inventory(spark, sf_dir)
+    heat = inv.heatmap(rows, inv.first_pairs(rows))
+    return heat.agg(F.count("*").alias("markers"), F.sum("prevalence").alias("filled"), F.lit(len(heat.columns) - 2).alias("pairs"))
 
 
 def std_spec_semijoin(spark, sf_dir):
-    return inv.of_pairs(_specs(spark, sf_dir), _modalities(spark, sf_dir)).select("dataset", "modality", "spec")
+    return inv.of_pairs(_specs(spark, sf_dir), roles.marker_channels(spark, sf_dir)).select("dataset", "modality", "resolution", "spec")
 
 
 def modality_groups(spark, sf_dir):
@@ -171,7 +222,7 @@ def modality_alias(spark, sf_dir):
 
 
 def parsed_crop_counts(spark, sf_dir):
-    text = F.concat(F.lit("64:"), F.col("p_size").cast("string"), F.lit(", bad, 128: 7 , x:y"))
+    text = F.concat(F.lit("64:"), F.col("p_size").cast("string"), F.lit(", bad, 128: 7 , x:y,128:99999999999,a:1:2"))
     counts = inv.parsed_counts(text)
     return roles.table(spark, sf_dir, "part").select("p_partkey", F.element_at(counts, "64").alias("c64"), F.element_at(counts, "128").alias("c128"), F.size(counts).alias("n"))
 
@@ -193,6 +244,7 @@ QUERIES = {
         split_filter, label_filter_encode, patient_tissues, patient_lookup, tissue_modalities, composed_sample, tissue_index_union, tissues_per_dataset, coords_of_dataset,
         sample_tissues, resolution_string, nuclear_rules, pair_summary, summary_pairs_join, kpi_strip, nuclear_rollup, qc_tristate, literal_search, filtered_channels,
         regex_search, marker_heatmap, marker_prevalence_topn, heatmap_fill_rate, modality_inventory, crop_counts_string, dataset_summary, std_spec_semijoin,
+        inventory_kpis, crop_sizes, inventory_drill_down, heatmap_truncation, pair_channels, first_pairs_heatmap,
         modality_groups, modality_alias, parsed_crop_counts, picked_markers, task_mask_labels,
     )
 }
@@ -204,13 +256,23 @@ _INVENTORY = f""", named AS (SELECT *, {_REASON} AS found FROM marker_channels),
         CASE WHEN qc_pass IS NULL THEN 'unknown' WHEN qc_pass THEN 'pass' ELSE 'fail' END AS qc_display, dataset || ' / ' || modality AS dm FROM named),
     inv AS (SELECT *, CASE WHEN has_uniprot THEN trim(uniprot_id) ELSE '' END AS uni_display FROM inventory),
     pairs AS (SELECT dataset, modality, count(*) AS n_channels, count(*) FILTER (is_nuclear) AS n_nuclear, count(*) FILTER (has_uniprot) AS n_uniprot, count(*) FILTER (coalesce(qc_pass, false)) AS n_qc_pass FROM inv GROUP BY ALL)"""
-_MODALITY = """, mods AS (SELECT dataset, modality, count(*) AS channel_count, count(*) FILTER (coalesce(qc_pass, false)) AS qc_pass_count, CAST(sum(channel_index % 7) AS BIGINT) AS images,
-        string_agg(DISTINCT replace(CAST(CAST(channel_index % 3 AS DOUBLE) / 2 AS VARCHAR), '.', '_') || 'mpp', ', ' ORDER BY replace(CAST(CAST(channel_index % 3 AS DOUBLE) / 2 AS VARCHAR), '.', '_') || 'mpp') AS resolutions
-        FROM marker_channels GROUP BY dataset, modality),
-    crops AS (SELECT 'cohort_' || p_partkey % 6 AS dataset, CAST(p_size * 8 % 96 + 64 AS VARCHAR) AS crop_size FROM part),
-    crop_n AS (SELECT dataset, crop_size, count(*) AS n FROM crops GROUP BY ALL),
-    crop_text AS (SELECT dataset, CAST(sum(n) AS BIGINT) AS total, string_agg(crop_size || ':' || n, ', ' ORDER BY crop_size) AS crop_counts FROM crop_n GROUP BY dataset),
-    specs AS (SELECT DISTINCT 'cohort_' || p_partkey % 7 AS dataset, (['imc', 'codex', 'cycif', 'mibi'])[CAST(p_partkey % 4 + 1 AS INT)] AS modality, 'uq_' || p_size % 4 AS spec FROM part),
+_RES = "replace(CAST(CAST({} AS DOUBLE) AS VARCHAR), '.', '_') || 'mpp'"
+_MULTI = "(['imc', 'codex', 'cycif', 'mibi'])[CAST({} % 4 + 1 AS INT)]"
+_MODALITY = f""", listed AS (SELECT dataset, modality, {_RES.format('channel_index % 3 / 2')} AS resolution, CAST(sum(channel_index % 7) AS BIGINT) AS stores FROM marker_channels GROUP BY ALL),
+    image AS (SELECT dataset, modality, modality AS root, string_agg(resolution, ', ' ORDER BY resolution) AS resolutions, count(*) AS num_resolutions, max(stores) AS images_best_resolution,
+        CAST(sum(stores) AS BIGINT) AS images_total_files, string_agg(resolution || ':' || stores, ', ' ORDER BY resolution) AS image_counts_by_resolution FROM listed GROUP BY ALL),
+    chans AS (SELECT dataset, modality, count(*) AS channel_count, count(*) FILTER (coalesce(qc_pass, false)) AS qc_pass_count FROM marker_channels GROUP BY ALL),
+    meta AS (SELECT 'cohort_' || o_orderkey % 3 AS dataset, {_MULTI.format('o_custkey')} AS modality, count(*) AS metadata_rows, count(DISTINCT o_orderkey % 50) AS unique_tissues FROM orders GROUP BY ALL),
+    crops AS (SELECT 'cohort_' || p_partkey % 6 AS dataset, {_RES.format('p_partkey % 2 + 0.5')} AS resolution, CASE p_partkey % 3 WHEN 0 THEN 'grid' ELSE 'greedy' END AS tiling_method,
+        CAST(p_size * 8 % 96 + 64 AS VARCHAR) AS crop_size, count(*) AS num_crops FROM part GROUP BY ALL),
+    crop_n AS (SELECT dataset, crop_size, CAST(sum(num_crops) AS BIGINT) AS n FROM crops GROUP BY ALL),
+    crop_text AS (SELECT dataset, CAST(sum(n) AS BIGINT) AS total_crops, string_agg(crop_size || ':' || n, ', ' ORDER BY crop_size) AS crop_counts_by_size FROM crop_n GROUP BY dataset),
+    crop_file AS (SELECT dataset, count(*) AS num_crop_specs, string_agg(concat_ws('/', resolution, tiling_method, crop_size), ', ' ORDER BY concat_ws('/', resolution, tiling_method, crop_size)) AS crop_specs FROM crops GROUP BY dataset),
+    specs AS (SELECT DISTINCT 'cohort_' || p_partkey % 7 AS dataset, {_MULTI.format('p_partkey')} AS modality, {_RES.format('p_partkey % 2 + 0.5')} AS resolution, 'uq_' || p_size % 4 AS spec FROM part),
+    spec_text AS (SELECT dataset, modality, count(*) AS num_standardization_specs, string_agg(resolution || '/' || spec, ', ' ORDER BY resolution || '/' || spec) AS standardization_specs FROM specs GROUP BY ALL),
+    mods AS (SELECT i.*, coalesce(metadata_rows, 0) AS metadata_rows, coalesce(unique_tissues, 0) AS unique_tissues, channel_count, qc_pass_count, coalesce(num_crop_specs, 0) AS num_crop_specs, coalesce(crop_specs, '') AS crop_specs,
+        coalesce(total_crops, 0) AS total_crops, coalesce(crop_counts_by_size, '-') AS crop_counts_by_size, coalesce(num_standardization_specs, 0) AS num_standardization_specs, coalesce(standardization_specs, '') AS standardization_specs
+        FROM image i LEFT JOIN meta USING (dataset, modality) LEFT JOIN chans USING (dataset, modality) LEFT JOIN crop_file USING (dataset) LEFT JOIN crop_text USING (dataset) LEFT JOIN spec_text USING (dataset, modality)),
     kept_specs AS (SELECT * FROM specs SEMI JOIN mods USING (dataset, modality))"""
 
 
@@ -249,6 +311,7 @@ ORACLES = {
     "tissue_index_union": sql(" " + _ordered(" AND split IN ('F', 'O', 'P')", "split AS dataset_name, CAST(patient_id AS VARCHAR) AS tissue_id")),
     "tissues_per_dataset": sql(" SELECT split, modality, count(*) AS n, count(DISTINCT patient_id) AS patients FROM tissues GROUP BY ALL"),
     "coords_of_dataset": sql(" SELECT tissue_id, x FROM mask WHERE tissue_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 8)"),
+    "sample_tissues": sql(f" SELECT tissue_id, split FROM tissues ORDER BY {drawn_sql(11, 'tissue_id')}, tissue_id LIMIT 40"),
     "resolution_string": "SELECT p_partkey, replace(CAST(CAST(p_size AS DOUBLE) / 4 AS VARCHAR), '.', '_') || 'mpp' AS resolution FROM part",
     "nuclear_rules": sql(_INVENTORY + " SELECT channel_index, channel_name, is_nuclear, nuclear_reason, has_uniprot, qc_display, uni_display, dm FROM inv"),
     "pair_summary": sql(_INVENTORY + " SELECT * FROM pairs"),
@@ -269,19 +332,28 @@ ORACLES = {
     "modality_inventory": sql(_MODALITY + " SELECT * FROM mods"),
     "crop_counts_string": sql(_MODALITY + " SELECT * FROM crop_text"),
     "dataset_summary": sql(
-        _MODALITY + """, m AS (SELECT dataset, count(DISTINCT modality) AS num_modalities, string_agg(DISTINCT modality, ', ' ORDER BY modality) AS modalities, CAST(sum(images) AS BIGINT) AS images_total, CAST(sum(channel_count) AS BIGINT) AS channels_total FROM mods GROUP BY dataset),
-        r AS (SELECT dataset, string_agg(DISTINCT r, ', ' ORDER BY r) AS resolutions FROM (SELECT dataset, unnest(string_split(resolutions, ', ')) AS r FROM mods) GROUP BY dataset),
-        s AS (SELECT dataset, count(*) AS num_specs FROM kept_specs GROUP BY dataset)
-        SELECT dataset, num_modalities, modalities, images_total, channels_total, coalesce(resolutions, '') AS resolutions, coalesce(total, 0) AS crops_total, coalesce(crop_counts, '') AS crop_counts, coalesce(num_specs, 0) AS num_specs
-        FROM (SELECT DISTINCT dataset FROM crops) JOIN m USING (dataset) LEFT JOIN r USING (dataset) LEFT JOIN crop_text USING (dataset) LEFT JOIN s USING (dataset)"""
+        _MODALITY + """, m AS (SELECT dataset, count(*) AS num_modalities, string_agg(modality, ', ' ORDER BY modality) AS loader_modalities, CAST(sum(images_best_resolution) AS BIGINT) AS images_best_resolution_total FROM mods GROUP BY dataset),
+        r AS (SELECT dataset, string_agg(DISTINCT resolution, ', ' ORDER BY resolution) AS resolutions FROM listed GROUP BY dataset), s AS (SELECT dataset, count(*) AS n FROM kept_specs GROUP BY dataset)
+        SELECT dataset, num_modalities, loader_modalities, images_best_resolution_total, resolutions, num_crop_specs, total_crops, crop_counts_by_size, coalesce(n, 0) AS num_standardization_specs
+        FROM crop_text JOIN crop_file USING (dataset) JOIN m USING (dataset) JOIN r USING (dataset) LEFT JOIN s USING (dataset)"""
     ),
     "std_spec_semijoin": sql(_MODALITY + " SELECT * FROM kept_specs"),
+    "inventory_kpis": sql(_MODALITY + """ SELECT (SELECT count(DISTINCT dataset) FROM crops) AS datasets, (SELECT count(*) FROM mods) AS modalities, (SELECT CAST(sum(images_best_resolution) AS BIGINT) FROM mods) AS images,
+        (SELECT count(*) FROM crops) AS tile_files, (SELECT count(*) FROM specs) AS specs,
+        (SELECT string_agg(crop_size || ':' || n, ', ' ORDER BY length(crop_size), crop_size) FROM (SELECT crop_size, CAST(sum(n) AS BIGINT) AS n FROM crop_n GROUP BY crop_size)) AS crops"""),
+    "crop_sizes": sql(_MODALITY + " SELECT 'all' AS which, string_agg(crop_size, ',' ORDER BY length(crop_size), crop_size) AS sizes FROM (SELECT DISTINCT crop_size FROM crops)"),
+    "inventory_drill_down": sql(_MODALITY + """ SELECT 'modalities' AS name, count(*) AS n FROM mods WHERE dataset = 'cohort_1' AND modality = 'imc' UNION ALL SELECT 'crops', count(*) FROM crops WHERE dataset = 'cohort_1'
+        UNION ALL SELECT 'specs', count(*) FROM specs WHERE dataset = 'cohort_1' AND modality = 'imc'"""),
+    "heatmap_truncation": sql(_heat(_BOTH) + " SELECT n, count(*) AS markers, least(count(*), n) AS shown, count(*) > n AS truncated FROM wide, (VALUES (25), (100000)) v(n) GROUP BY n"),
+    "pair_channels": sql(_INVENTORY + " SELECT channel_index, channel_name, qc_display FROM inv WHERE dm = 'cohort_1 / codex'"),
+    "first_pairs_heatmap": sql(_INVENTORY + """, p AS (SELECT DISTINCT dataset, modality, dm FROM inv ORDER BY dataset, modality LIMIT 6), c AS (SELECT DISTINCT channel_name, dm FROM inv SEMI JOIN p USING (dm))
+        SELECT count(DISTINCT channel_name) AS markers, count(*) AS filled, CAST((SELECT count(*) FROM p) AS INT) AS pairs FROM c"""),
     "modality_groups": sql(
         ", r AS (SELECT channel_index, CASE channel_index % 6 WHEN 0 THEN 'he' WHEN 1 THEN 'ihc_cd3' ELSE modality END AS modality FROM marker_channels)"
         " SELECT channel_index, modality, CASE WHEN modality = 'ihc_cd3' THEN 'ihc' ELSE modality END AS root FROM r WHERE modality <> 'he'"
     ),
     "modality_alias": sql(" SELECT channel_index, CASE channel_index % 5 WHEN 0 THEN 'codex' WHEN 1 THEN 'ihc_cd3' ELSE modality END AS modality FROM marker_channels"),
-    "parsed_crop_counts": "SELECT p_partkey, p_size AS c64, 7 AS c128, 2 AS n FROM part",
+    "parsed_crop_counts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS c64, CAST(99999999999 AS BIGINT) AS c128, 2 AS n FROM part",
     "picked_markers": "SELECT p_partkey, '3,' || least(9, p_size) || ',0,0,9' AS markers FROM part",
     "task_mask_labels": "SELECT n_name AS name, count(*) AS cells FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1",
 }

@@ -137,7 +137,29 @@ def marker_overlay(spark, sf_dir):
     return kernels.overlay(levels, "image_id", "marker", [0, 2, 1])
 
 
+def single_marker(spark, sf_dir):
+    levels = kernels.stretch(roles.planes(spark, sf_dir), ["plane_id"])
+    levels = levels.select(F.floor(F.col("plane_id") / 3).cast("long").alias("image_id"), (F.col("plane_id") % 3).cast("int").alias("marker"), "y", "x", "level")
+    return kernels.overlay(levels, "image_id", "marker", [1])
+
+
+def rgb_composite(spark, sf_dir):
+    levels = kernels.stretch(roles.planes(spark, sf_dir), ["plane_id"])
+    levels = levels.select(F.floor(F.col("plane_id") / 2).cast("long").alias("image_id"), (F.col("plane_id") % 2).cast("int").alias("c"), "y", "x", "level")
+    return kernels.rgb_composite(levels, "image_id", "c", 2)
+
+
+def planes_and_back(spark, sf_dir):
+    """Part of each plane as a rectangle, blurred, and as pixels again."""
+    part = roles.planes(spark, sf_dir).where("y between 2 and 6 and x between 1 and 5")
+    blurred = kernels.apply_filters(kernels.as_planes(part, ["plane_id"]), [("median", {"size": 1})], "h", "w")
+    return kernels.as_pixels(blurred, ["plane_id"]).withColumn("value", F.round("value", 5))
+
+
 QUERIES = {
+    "single_marker": single_marker,
+    "rgb_composite": rgb_composite,
+    "planes_and_back": planes_and_back,
     "image_quantiles": image_quantiles,
     "global_quantiles": global_quantiles,
     "image_stats_clip": _moments("image", "image", "clip"),
@@ -266,5 +288,8 @@ ORACLES = {
         " FROM full_planes f JOIN planes p ON p.plane_id = f.plane_id AND p.y = f.ny AND p.x = f.nx, w GROUP BY f.plane_id, f.y, f.x"
     ),
     "percentile_stretch": sql(_LEVELS + " SELECT plane_id, y, x, level FROM levels"),
+    "single_marker": sql(_LEVELS + " SELECT plane_id // 3 AS image_id, y, x, level AS red, level AS green, level AS blue FROM levels WHERE plane_id % 3 = 1"),
+    "rgb_composite": sql(_LEVELS + " SELECT plane_id // 2 AS image_id, y, x, max(level) FILTER (plane_id % 2 = 0) AS red, max(level) FILTER (plane_id % 2 = 1) AS green, max(level) FILTER (plane_id % 2 = 1) AS blue FROM levels GROUP BY ALL"),
+    "planes_and_back": sql(" SELECT plane_id, y, x, round(value, 5) AS value FROM planes WHERE y BETWEEN 2 AND 6 AND x BETWEEN 1 AND 5"),
     "marker_overlay": sql(_LEVELS + f" SELECT plane_id // 3 AS image_id, y, x, {_color(0)} AS red, {_color(1)} AS green, {_color(2)} AS blue FROM levels GROUP BY ALL"),
 }

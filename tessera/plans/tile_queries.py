@@ -20,6 +20,18 @@ def grid_tile_stats(spark, sf_dir):
     return stats.withColumns({c: F.round(c, 6) for c in exact})
 
 
+def _extents(spark, sf_dir):
+    """Shapes of all suppliers' masks, larger than their pixels' extent, and of as many that are empty."""
+    ids = roles.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tissue_id"))
+    every = ids.union(ids.select(F.col("tissue_id") + 1_000_000))
+    return every.select("tissue_id", (F.col("tissue_id") % 7 + 50).cast("int").alias("h"), F.lit(40).alias("w"))
+
+
+def grid_stats_of_shapes(spark, sf_dir):
+    stats = tiling.grid_stats(roles.mask(spark, sf_dir), TILE, None, TOLERANCE, _extents(spark, sf_dir))
+    return stats.withColumns({c: F.round(c, 6) for c in ("tissue_mask_frac", "coverage_ratio", "overlap_ratio")})
+
+
 def tiling_summary(spark, sf_dir):
     s = tiling.run_summary(tiling.grid_stats(roles.mask(spark, sf_dir), TILE, STRIDE, TOLERANCE))
     return s.select("tissues", "tiles", F.round("mean_coverage", 6).alias("mean_coverage"), F.round("std_coverage", 6).alias("std_coverage"))
@@ -34,6 +46,11 @@ def valid_ratio_hist(spark, sf_dir):
     return tiles.ratio_histogram(tiles.valid_ratio(roles.mask(spark, sf_dir), _tiles(spark, sf_dir), TILE))
 
 
+def valid_ratio_mean(spark, sf_dir):
+    r = tiles.ratio_summary(tiles.valid_ratio(roles.mask(spark, sf_dir), _tiles(spark, sf_dir), TILE))
+    return r.select("tiles", F.round("mean_ratio", 6).alias("mean_ratio"))
+
+
 def in_bounds_tiles(spark, sf_dir):
     mask = roles.mask(spark, sf_dir)
     return tiles.in_bounds(_tiles(spark, sf_dir), tiling.sizes(mask), TILE).select("tissue_id", "tile_id")
@@ -107,7 +124,15 @@ def random_tile_offsets(spark, sf_dir):
     return tiles.random_tiles(tiling.sizes(roles.mask(spark, sf_dir)), TILE, 3)
 
 
+def tile_draws(spark, sf_dir):
+    index = metadata.tile_index(_tiles(spark, sf_dir).withColumn("dataset_name", F.lit("all")))
+    return metadata.sample_with_replacement(index, 60, 5, "global_tile_id").select("draw", "global_tile_id", "tissue_id", "tile_id")
+
+
 QUERIES = {
+    "grid_stats_of_shapes": grid_stats_of_shapes,
+    "valid_ratio_mean": valid_ratio_mean,
+    "tile_draws": tile_draws,
     "grid_tiles": _tiles,
     "grid_tile_stats": grid_tile_stats,
     "tiling_summary": tiling_summary,
@@ -145,6 +170,12 @@ _INTEGRAL = """, cells AS (SELECT tissue_id, CAST(i AS INT) AS y, CAST(j AS INT)
     integral AS (SELECT tissue_id, y, x, CAST(sum(s) OVER (PARTITION BY tissue_id, x ORDER BY y) AS BIGINT) AS total FROM along)"""
 
 
+def drawn_sql(seed: int, *keys: str) -> str:
+    """The number that samplers draw for the keys."""
+    text = " || '|' || ".join([f"'{seed}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
 def sql(body: str) -> str:
     return f"WITH {roles.VIEWS_SQL}{_GRID}{body}"
 
@@ -156,9 +187,24 @@ def _extent(n: str) -> str:
 ORACLES = {
     "grid_tiles": sql(" SELECT * FROM tiles"),
     "grid_tile_stats": sql(_STATS + f""" SELECT tissue_id, h AS mask_height, w AS mask_width, round(total / (h * w), 6) AS tissue_mask_frac, num_tiles, round(covered / total, 6) AS coverage_ratio,
-        covered AS covered_valid_pixels, total AS total_valid_pixels, greatest(0, num_tiles * 100 - covered) AS overlap_pixels,
-        round(CASE WHEN num_tiles = 0 THEN 0.0 ELSE greatest(0, num_tiles * 100 - covered) / (num_tiles * 100) END, 6) AS overlap_ratio,
-        {_extent('h')} AS padded_height, {_extent('w')} AS padded_width, 'fixed_grid_complete' AS stop_reason FROM st"""),
+        covered AS covered_valid_pixels, total AS total_valid_pixels, num_tiles AS candidate_count, num_tiles * 100 AS total_tile_area, greatest(0, num_tiles * 100 - covered) AS overlap_pixels,
+        round(CASE WHEN num_tiles = 0 THEN 0.0 ELSE greatest(0, num_tiles * 100 - covered) / (num_tiles * 100) END, 6) AS overlap_ratio, 'fixed_grid_complete' AS stop_reason,
+        CAST((({_extent('h')} - 10) / 8 + 1) * (({_extent('w')} - 10) / 8 + 1) AS INT) AS grid_candidate_count, {_extent('h')} AS padded_height, {_extent('w')} AS padded_width FROM st"""),
+    "grid_stats_of_shapes": f"""WITH {roles.VIEWS_SQL}, shape AS (SELECT s_suppkey + d AS tissue_id, CAST((s_suppkey + d) % 7 + 50 AS INT) AS h, 40 AS w FROM supplier, (VALUES (0), (1000000)) v(d)),
+        c AS (SELECT tissue_id, y // 10 AS r, x // 10 AS k, count(*) AS valid FROM mask GROUP BY ALL),
+        kept AS (SELECT tissue_id, count(*) AS num_tiles, CAST(sum(valid) AS BIGINT) AS covered FROM c WHERE valid / 100.0 >= 1 - CAST(0.7 AS DOUBLE) GROUP BY tissue_id),
+        total AS (SELECT tissue_id, count(*) AS total FROM mask GROUP BY tissue_id),
+        st AS (SELECT tissue_id, h, w, coalesce(total, 0) AS total, coalesce(num_tiles, 0) AS num_tiles, coalesce(covered, 0) AS covered, CAST(ceil(h / 10.0) * 10 AS INT) AS ph FROM shape LEFT JOIN kept USING (tissue_id) LEFT JOIN total USING (tissue_id))
+        SELECT tissue_id, h AS mask_height, w AS mask_width, round(total / (h * w), 6) AS tissue_mask_frac, num_tiles, round(CASE WHEN total = 0 THEN 1.0 ELSE covered / total END, 6) AS coverage_ratio,
+        covered AS covered_valid_pixels, total AS total_valid_pixels, num_tiles AS candidate_count, num_tiles * 100 AS total_tile_area, num_tiles * 100 - covered AS overlap_pixels,
+        round(CASE WHEN num_tiles = 0 THEN 0.0 ELSE (num_tiles * 100 - covered) / (num_tiles * 100) END, 6) AS overlap_ratio,
+        CASE WHEN total = 0 THEN 'empty_mask' ELSE 'fixed_grid_complete' END AS stop_reason, CAST(ph / 10 * 4 AS INT) AS grid_candidate_count, ph AS padded_height, 40 AS padded_width FROM st""",
+    "valid_ratio_mean": sql(_RATIO + " SELECT count(*) AS tiles, round(avg(CAST(valid_ratio AS DOUBLE)), 6) AS mean_ratio FROM ratio"),
+    "sample_tiles_hash": sql(f" SELECT tissue_id, tile_id FROM tiles ORDER BY {drawn_sql(7, 'tissue_id', 'tile_id')}, tissue_id, tile_id LIMIT 50"),
+    "random_tile_offsets": sql(f""" SELECT tissue_id, CAST({drawn_sql(3, 'tissue_id', "'row'")} % greatest(h - 9, 1) AS INT) AS "row", CAST({drawn_sql(3, 'tissue_id', "'col'")} % greatest(w - 9, 1) AS INT) AS "col" FROM size"""),
+    "tile_draws": sql(f""", numbered AS (SELECT row_number() OVER (ORDER BY tissue_id, tile_id) - 1 AS global_tile_id, tissue_id, tile_id FROM tiles),
+        draws AS (SELECT d AS draw, {drawn_sql(5, 'd')} % (SELECT count(*) FROM tiles) AS global_tile_id FROM range(60) r(d))
+        SELECT draw, global_tile_id, tissue_id, tile_id FROM draws JOIN numbered USING (global_tile_id)"""),
     "tiling_summary": sql(_STATS + " SELECT count(*) AS tissues, CAST(sum(num_tiles) AS BIGINT) AS tiles, round(avg(covered / total), 6) AS mean_coverage, round(stddev_pop(covered / total), 6) AS std_coverage FROM st"),
     "tile_valid_ratio": sql(_RATIO + " SELECT tissue_id, tile_id, round(CAST(valid_ratio AS DOUBLE), 6) AS valid_ratio, CASE WHEN valid_ratio >= 0.5 THEN 'good' WHEN valid_ratio >= 0.2 THEN 'warn' ELSE 'none' END AS grade FROM ratio"),
     "valid_ratio_hist": sql(_RATIO + " SELECT CAST(least(19, floor(CAST(valid_ratio AS DOUBLE) * 20)) AS INT) AS bin, count(*) AS tiles FROM ratio GROUP BY 1"),

@@ -6,8 +6,9 @@ Listings go through Spark's own file source, so any store that Spark reads will
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Environment variable with the folder that holds all datasets.
@@ -42,6 +43,27 @@ def resolution_dir(resolution: float) -> str:
     return str(float(resolution)).replace(".", "_") + "mpp"
 
 
+def expanded_modalities(spark: SparkSession, root: str, dataset: str, requested: list[str] | None) -> list[str]:
+    """Modalities of a dataset's folders: what was asked for and is there, in that order; None asks for all.
+
+    `ihc` stands for all of its markers, in order, where it is named.
+    """
+    there = [n for n, is_folder in children(spark, f"{root}/{dataset}") if is_folder and n in MODALITIES]
+    markers = [n for n, is_folder in children(spark, f"{root}/{dataset}/ihc") if is_folder and n.startswith("ihc_")]
+    if requested is None:
+        return [m for m in MODALITIES if m in there] + markers
+    out = []
+    for name in requested:
+        key = ALIASES.get(name.strip().lower(), name.strip().lower())
+        out += markers if key == "ihc" else [key] if key in there or key in markers else []
+    return list(dict.fromkeys(out))
+
+
+def marker_modality(marker: str) -> str:
+    """The modality of an IHC marker, with its prefix once: cd3 and ihc_cd3 are ihc_cd3."""
+    return marker if marker.startswith("ihc_") else f"ihc_{marker}"
+
+
 def spec_dir(method: str, upper: float, lower: float | None, level: str) -> str:
     """quantile_clipping/uq_0.99_lq_0.01_image and the like."""
     low = "" if lower is None else f"_lq_{lower}"
@@ -58,6 +80,48 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return found.select("path", "length")
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder holds, in order; nothing if there is no such folder.
+
+    One listing, of names only: what is in the folders below isn't looked at.
+    """
+    fs, at = _path(spark, path)
+    if not fs.exists(at):
+        return []
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(at))
+
+
+def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write df and put it in the place of what was at the path, once it is complete."""
+    fs, at = _path(spark, path)
+    made = f"{path}.writing-{uuid.uuid4().hex}"
+    df.write.parquet(made)
+    fs.delete(at, True)
+    if not fs.rename(_path(spark, made)[1], at):
+        raise OSError(f"can't put {made} in the place of {path}")
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file, hidden ones too, which Spark's readers leave out."""
+    fs, at = _path(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def _part(n: int) -> Column:
     """The n-th folder below the datasets' root."""
     return F.get(F.split(F.col("below"), "/"), F.lit(n))
@@ -146,6 +210,31 @@ def statistics_of(spark: SparkSession, folder: str, level: str, channels: DataFr
             out = out.withColumn(column, F.lit(None).cast("double"))
             continue
         names = [c for c in wide.columns if c != "tissue_id"]
+        wide = _first_rows(wide) if level == "image" else wide
         rows = wide.unpivot([c for c in keys if c == "tissue_id"], names, "channel", column).withColumn(column, F.nanvl(column, F.lit(None)))
         out = out.join(rows, [k for k in keys if k in out.columns], "left")
     return out
+
+
+def _first_rows(wide: DataFrame) -> DataFrame:
+    """The first row of each tissue, in order of the files and of their rows."""
+    order = Window.partitionBy("tissue_id").orderBy(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    return wide.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
+def with_statistics(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """rows(tissue_id, channel, ...) with the columns of a long statistics table.
+
+    A tissue that the table lacks has no values, unless the table has one tissue only: that
+    one then holds for all.
+    """
+    if "tissue_id" not in table.columns:
+        return rows.join(table, "channel", "left")
+    joined = rows.join(table, ["tissue_id", "channel"], "left")
+    few = table.where("tissue_id is not null").select("tissue_id").distinct().limit(2).collect()
+    if len(few) != 1:
+        return joined
+    only = table.where(F.col("tissue_id") == few[0][0]).select("channel", *[F.col(c).alias(f"only_{c}") for c in columns])
+    known = F.col("tissue_id") == few[0][0]
+    filled = joined.join(only, "channel", "left").withColumns({c: F.when(known, F.col(c)).otherwise(F.col(f"only_{c}")) for c in columns})
+    return filled.drop(*[f"only_{c}" for c in columns])

@@ -40,22 +40,23 @@ def test_grid_covers_a_full_mask(ones):
     ],
 )
 def test_greedy_cover_of_a_full_mask(more, tiles_, reason, covered):
-    chosen, why, n = tiling.greedy_cover(np.ones((5, 7), bool), 3, 3, 0.2, *more)
-    assert ([(r, c, g) for r, c, _, g in chosen], why, n) == (tiles_, reason, covered)
+    cover = tiling.greedy_cover(np.ones((5, 7), bool), 3, 3, 0.2, *more)
+    assert ([(r, c, g) for r, c, _, g in cover.tiles], cover.reason, cover.covered) == (tiles_, reason, covered)
+    assert cover.candidates == 6
 
 
 def test_greedy_cover_equals_full_recomputation(spark):
     rng = np.random.default_rng(1)
     for _ in range(20):
         mask = rng.random((rng.integers(3, 25), rng.integers(3, 25))) < 0.6
-        chosen, _, covered = tiling.greedy_cover(mask, 5, 3, 0.9, 0.95, 0.05, None, True)
+        chosen, _, covered, _ = tiling.greedy_cover(mask, 5, 3, 0.9, 0.95, 0.05, None, True)
         left = np.zeros((max(5, mask.shape[0]), max(5, mask.shape[1])), bool)
         left[: mask.shape[0], : mask.shape[1]] = mask
         for row, col, _, gain in chosen:
             assert left[row : row + 5, col : col + 5].sum() == gain
             left[row : row + 5, col : col + 5] = False
         assert sum(g for *_, g in chosen) == covered <= mask.sum()
-    assert tiling.greedy_cover(np.zeros((4, 4), bool), 3, 3, 0.2, 0.99, 0.05, None, True) == ([], "empty_mask", 0)
+    assert tiling.greedy_cover(np.zeros((4, 4), bool), 3, 3, 0.2, 0.99, 0.05, None, True) == ([], "empty_mask", 0, 0)
 
 
 def test_quantiles_and_moments_of_small_values(spark):
@@ -169,8 +170,12 @@ def test_array_stores(spark, tmp_path):
     np.savez(tmp_path / "t1.npz", mask=mask)
     got = arrays.masks(spark, str(tmp_path), labels=True)
     assert {tuple(r) for r in got.collect()} == {("t1", 1, 2, 1), ("t1", 3, 4, 7)}
-    sizes = spark.createDataFrame([("t1", 4, 5), ("t2", 2, 3)], "tissue_id string, h int, w int")
-    assert arrays.masks_or_full(got, sizes).groupBy("tissue_id").count().orderBy("tissue_id").collect() == [("t1", 2), ("t2", 6)]
+    np.savez(tmp_path / "t3.npz", mask=np.zeros((5, 6)))
+    sizes = spark.createDataFrame([("t1", 4, 5), ("t2", 2, 3), ("t3", 5, 6)], "tissue_id string, h int, w int")
+    known = arrays.mask_sizes(spark, str(tmp_path))
+    assert sorted(map(tuple, known.collect())) == [("t1", 4, 5), ("t3", 5, 6)]
+    full = arrays.masks_or_full(got, known, sizes)
+    assert full.groupBy("tissue_id").count().orderBy("tissue_id").collect() == [("t1", 2), ("t2", 6)]
     level = tmp_path / "images" / "t1.ome.zarr" / "0"
     level.mkdir(parents=True)
     image = np.arange(2 * 5 * 7, dtype="<f4").reshape(2, 5, 7)
@@ -190,6 +195,89 @@ def test_array_stores(spark, tmp_path):
     assert {(r.plane, r.y, r.x): r.value for r in part} == {(1, y, x): float(image[1, y, x]) for y in (3, 4) for x in (2, 3, 4)}
 
 
+@pytest.mark.parametrize("separator", [".", "/"])
+def test_only_chunks_asked_for_are_opened(spark, tmp_path, separator):
+    image = np.arange(3 * 6 * 6, dtype="<i2").reshape(3, 6, 6)
+    for store in ("t1", "t2"):
+        level = tmp_path / f"{store}.ome.zarr" / "0"
+        level.mkdir(parents=True)
+        meta = {"shape": [3, 6, 6], "chunks": [1, 3, 3], "dtype": "<i2", "order": "F", "compressor": None, "fill_value": 7, "dimension_separator": separator}
+        (level / ".zarray").write_text(json.dumps(meta))
+        for c in range(3):
+            for y in range(2):
+                for x in range(2):
+                    if (c, y, x) == (2, 1, 1):
+                        continue  # a missing chunk
+                    file = level / separator.join(map(str, (c, y, x)))
+                    file.parent.mkdir(parents=True, exist_ok=True)
+                    data = image[c : c + 1, 3 * y : 3 * y + 3, 3 * x : 3 * x + 3].tobytes(order="F")
+                    file.write_bytes(data if store == "t1" and c != 1 else b"unreadable")
+    folder = str(tmp_path)
+    got = arrays.zarr_pixels(spark, folder, planes=[0, 2], window=(2, 2, 3, 3), stores=["t1"])
+    want = image.astype(float)
+    want[2, 3:, 3:] = 7
+    assert {(r.plane, r.y, r.x): r.value for r in got.collect()} == {(c, y, x): want[c, y, x] for c in (0, 2) for y in (2, 3, 4) for x in (2, 3, 4)}
+    opened = arrays.zarr_chunks(spark, folder, [0], (0, 0, 2, 2), ["t1"])
+    assert {f.rsplit(".zarr/0/", 1)[1] for f in opened.inputFiles()} == {separator.join("000")}
+    assert arrays.zarr_pixels(spark, folder, planes=[2], window=(4, 4, 1, 1), stores=["t1"]).first().value == 7
+    assert arrays.zarr_pixels(spark, folder, planes=[0], window=(50, 50, 3, 3)).collect() == []
+
+
+def test_covers_of_mask_files_have_all_statistics(spark, tmp_path):
+    folder = tmp_path / "masks"
+    folder.mkdir()
+    corner = np.zeros((20, 20), np.uint8)
+    corner[:4, :4] = 1
+    for name, mask in (("corner", corner), ("empty", np.zeros((9, 11))), ("full", np.ones((5, 7)))):
+        np.savez(folder / f"{name}.npz", mask=mask)
+    pixels, files, known = (f(spark, str(folder)) for f in (arrays.masks, arrays.mask_files, arrays.mask_sizes))
+    root = str(tmp_path / "d")
+    jobs.compute_tiling(pixels, root, 1, 3, "grid", 3, 0.85, extents=known)
+    jobs.compute_tiling(pixels, root, 1, 3, "greedy", 3, 0.2, goal=0.99, files=files)
+    grid, greedy = ({r.tissue_id: r for r in spark.read.parquet(f"{root}/tiling/1_0mpp/{s}/3_tile_stats.parquet").collect()} for s in ("grid", "greedy"))
+    assert (grid["corner"].mask_height, grid["corner"].padded_height, grid["corner"].grid_candidate_count, grid["corner"].num_tiles) == (20, 21, 49, 3)
+    assert grid["corner"].tissue_mask_frac == 16 / 400
+    for stats_ in (grid, greedy):
+        e = stats_["empty"]
+        assert (e.mask_height, e.mask_width, e.num_tiles, e.coverage_ratio, e.stop_reason, e.overlap_pixels) == (9, 11, 0, 1.0, "empty_mask", 0)
+    full = greedy["full"]
+    assert (full.num_tiles, full.candidate_count, full.covered_valid_pixels, full.overlap_pixels, full.stop_reason) == (6, 6, 35, 19, "candidates_exhausted")
+    assert (full.tile_size, full.stride, full.tolerance, full.coverage_goal, full.min_gain_ratio, full.tiling_method) == (3, 3, 0.2, 0.99, 0.05, "greedy")
+    again = tiling.greedy_tiles(pixels, 3, 3, 0.2, extents=known)
+    assert sorted(map(tuple, again.select("tissue_id", "row", "col").dropna().collect())) == sorted(map(tuple, spark.read.parquet(f"{root}/tiling/1_0mpp/greedy/3_tile_coordinates.parquet").select("tissue_id", "row", "col").collect()))
+    assert {r.tissue_id: r.stop_reason for r in again.collect()}["empty"] == "empty_mask"
+    assert "Exchange" not in tiling.greedy_file_tiles(files, tile=3)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], [float(i * i % 97) for i in range(1000)], [float(i) for i in range(7)] + [float("nan"), float("inf")]])
+def test_range_quantiles_equal_the_sorted_ones(spark, values):
+    px = spark.createDataFrame([(1, c, v * k) for c, k in (("a", 1), ("b", -2)) for v in values] + [(1, "none", None)], "tissue_id long, channel string, value double")
+    got = {r.channel: (r.upper, r.lower) for r in stats.quantiles(px, "global", 0.93, 0.07).collect()}
+    fine = np.array([v for v in values if np.isfinite(v)])
+    assert got.pop("none") == (None, None)
+    for c, k in (("a", 1), ("b", -2)):
+        assert np.allclose(got[c], np.quantile(fine * k, [0.93, 0.07]))
+
+
+def test_first_and_single_rows_of_statistics(spark, tmp_path):
+    for name, rows in (("upper_quantiles", [("t1", 1.0), ("t1", 9.0)]), ("means", [("t1", 0.1), ("t2", 0.2)]), ("stds", [("t1", 1.0), ("t2", 2.0)])):
+        spark.createDataFrame(rows, "tissue_id string, a double").coalesce(1).write.parquet(str(tmp_path / f"image_level_{name}.parquet"))
+    names = spark.createDataFrame([("a",)], "channel_name string")
+    rows = spark.createDataFrame([("t1", "a"), ("t2", "a"), ("t3", "a")], "tissue_id string, channel string")
+    for columns in (["upper", "lower"], ["mean", "std"]):
+        rows = catalog.with_statistics(rows, catalog.statistics_of(spark, str(tmp_path), "image", names, columns), columns)
+    got = {r.tissue_id: (r.upper, r["mean"]) for r in rows.collect()}
+    assert got == {"t1": (1.0, 0.1), "t2": (1.0, 0.2), "t3": (1.0, None)}
+
+
+def test_counts_in_text_and_composed_samples(spark):
+    text = ["64:1, 64:2", "128:99999999999", "a, :3, b:x, c:1:2, d: -4 ", "", None]
+    got = [r.m for r in spark.createDataFrame([(t,) for t in text], "t string").select(inventory.parsed_counts(F.col("t")).alias("m")).collect()]
+    assert got == [{"64": 2}, {"128": 99999999999}, {"": 3, "d": -4}, {}, None]
+    rows = spark.createDataFrame([("t", "he", 1), ("t", "he", 2), ("t", "imc", 3)], "tissue_id string, modality string, n int")
+    assert {k: v["n"] for k, v in metadata.composed(rows, ["tissue_id"]).first().samples.items()} == {"he": 2, "imc": 3}
+
+
 def test_catalog_of_folders(spark, tmp_path):
     for name in ("d1/imc/1_0mpp/images/t.ome.zarr/0/0.0.0", "d1/imc/1_0mpp/images/t.ome.zarr/0/0.0.1", "d1/ihc/ihc_cd3/x.txt", "d2/he/y.txt", "d1/standardization/clip/uq_0.9_image/a.parquet", "d1/segmentations/1_0mpp/cell_masks/types/t.npz", "d1/segmentations/1_0mpp/cell_masks/instances/t.npz"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -1,4 +1,4 @@
-"""Datasets and cohorts over a small folder tree."""
+"""Datasets, composed datasets, cohorts and inventories over a small folder tree."""
 
 from __future__ import annotations
 
@@ -8,54 +8,170 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.dataset import Cohort, ImagingDataset
-from tessera.operators import jobs
+from tessera.dataset import Cohort, ComposedDataset, ImagingDataset
+from tessera.operators import inventory, kernels
+from tessera.sources import collections
+
+MULTI = {"t1": 2, "t2": 3}
+
+
+def store(level, image):
+    level.mkdir(parents=True)
+    (level / ".zarray").write_text(json.dumps({"shape": list(image.shape), "chunks": [1, 5, 6], "dtype": image.dtype.str, "compressor": {"id": "zlib"}, "fill_value": 0}))
+    for c in range(len(image)):
+        (level / f"{c}.0.0").write_bytes(zlib.compress(image[c].tobytes()))
+
+
+def multiplex(planes):
+    return np.arange(planes * 30, dtype="<f4").reshape(planes, 5, 6)
+
+
+def photo():
+    return (np.arange(90) * 2).astype("u1").reshape(3, 5, 6)
 
 
 @pytest.fixture(scope="module")
 def root(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("datasets")
+    rows = [("t1", "p", "imc", "train"), ("t2", "p", "imc", "test"), ("t1", "p", "he", "train"), ("t1", "p", "ihc_cd3", "train")]
     for name in ("d1", "d2"):
         base = top / name
-        spark.createDataFrame([("t1", "p", "imc", "train"), ("t2", "p", "imc", "test"), ("t1", "p", "he", "train")], "tissue_id string, patient_id string, modality string, split string").coalesce(1).write.parquet(str(base / "metadata/tissues.parquet"))
+        spark.createDataFrame(rows, "tissue_id string, patient_id string, modality string, split string").coalesce(1).write.parquet(str(base / "metadata/tissues.parquet"))
         spark.createDataFrame([(0, "DAPI", None, True), (1, "CD3", "P07766", True), (2, "CD8", "P01732", False)], "index int, channel_name string, uniprot_id string, qc_pass boolean").write.parquet(str(base / "imc/channels.parquet"))
         spark.createDataFrame([("t1", 1, 0, 1), ("t2", 1, 1, 1)], "tissue_id string, DAPI int, CD3 int, CD8 int").write.parquet(str(base / "imc/channels_per_tissue.parquet"))
-        for tissue, planes in (("t1", 2), ("t2", 3)):
-            level = base / f"imc/1_0mpp/images/{tissue}.ome.zarr/0"
-            level.mkdir(parents=True)
-            image = np.arange(planes * 30, dtype="<f4").reshape(planes, 5, 6)
-            (level / ".zarray").write_text(json.dumps({"shape": [planes, 5, 6], "chunks": [1, 5, 6], "dtype": "<f4", "compressor": {"id": "zlib"}}))
-            for c in range(planes):
-                (level / f"{c}.0.0").write_bytes(zlib.compress(image[c].tobytes()))
+        for tissue, planes in MULTI.items():
+            store(base / f"imc/1_0mpp/images/{tissue}.ome.zarr/0", multiplex(planes))
+        store(base / "he/1_0mpp/images/t1.ome.zarr/0", photo())
+        store(base / "ihc/ihc_cd3/1_0mpp/images/t1.ome.zarr/0", photo())
         masks = base / "segmentations/1_0mpp/tissue_masks"
         masks.mkdir(parents=True)
-        np.savez(masks / "t1.npz", mask=np.ones((5, 6)))
+        mask = np.ones((5, 6))
+        mask[0, 0] = 0
+        np.savez(masks / "t1.npz", mask=mask)
+    (top / "d3" / "notes").mkdir(parents=True)
     return str(top)
 
 
+@pytest.fixture(scope="module")
+def tiled(spark, root):
+    """Statistics of d1 and tiles of d1 and d2."""
+    for name in ("d1", "d2"):
+        ImagingDataset(spark, root, name, "imc", tile_size=4).compute_tiling(overwrite=True)
+    ImagingDataset(spark, root, "d1", "imc").compute_statistics(0.9)
+    return root
+
+
 def test_pixels_of_measured_channels(spark, root):
     d = ImagingDataset(spark, root, "d1", "imc")
     got = {(r.channel, r.y, r.x): r.value for r in d.pixels("t1").collect()}
     assert len(got) == 60 and got["DAPI", 0, 1] == 1 and got["CD8", 0, 0] == 30
     assert {r.channel_name for r in d.selected_channels("qc_filtered").where("tissue_id = 't2'").collect()} == {"DAPI", "CD3"}
     assert {r.tissue_id: (r.c, r.h, r.w) for r in d.sizes().collect()} == {"t1": (2, 5, 6), "t2": (3, 5, 6)}
-    assert d.mask().groupBy("tissue_id").count().where("count = 30").count() == 2
+    assert {r.tissue_id: r["count"] for r in d.mask().groupBy("tissue_id").count().collect()} == {"t1": 29, "t2": 30}
     assert [r.tissue_ids for r in d.patients().collect()] == [["t1", "t2"]]
+    assert (d.tissues().count(), d.tissues("all").count()) == (2, 4)
+    assert d.channel_labels("t2") == ["CD3"] and d.channel_labels("t1") == ["DAPI", "CD8"]
+    opened = {f.rsplit("/", 1)[1] for f in d.pixels(kind="uniprot_filtered").inputFiles() if ".zarr/" in f}
+    assert opened == {"1.0.0"}  # only the plane of CD3
 
 
-def test_standardized_pixels_and_tiles(spark, root):
-    raw = ImagingDataset(spark, root, "d1", "imc", strategy="grid", tile_size=4)
-    folder = f"{root}/d1/imc/1_0mpp"
-    jobs.compute_statistics(raw.pixels().withColumnRenamed("pos", "pix"), folder, ["DAPI", "CD3", "CD8"], 0.9)
-    ready = ImagingDataset(spark, root, "d1", "imc", spec="quantile_clipping/uq_0.9_image")
-    values = np.array([r.value for r in ready.pixels("t1").where("channel = 'CD8'").collect()])
+def test_standardized_pixels_and_masked_statistics(spark, tiled):
+    raw = ImagingDataset(spark, tiled, "d1", "imc")
+    assert raw.masked_pixels().where("tissue_id = 't1' and channel = 'DAPI'").count() == 29
+    ready = ImagingDataset(spark, tiled, "d1", "imc", spec="quantile_clipping/uq_0.9_image")
+    values = np.array([r.value for r in ready.pixels("t2").where("channel = 'CD8'").collect()])
     assert abs(values.mean()) < 1e-6 and abs(values.std() - 1) < 1e-6
-    jobs.compute_tiling(raw.mask(), f"{root}/d1", 1, 4)
-    jobs.compute_tiling(raw.mask(), f"{root}/d2", 1, 4)
-    tile = {(r.channel, r.dy, r.dx): r.value for r in raw.tile("t1", 1).collect()}
+    plain = ImagingDataset(spark, tiled, "d1", "imc", spec="quantile_clipping/uq_0.9_image", z_score=False)
+    assert max(r.value for r in plain.pixels("t2").collect()) <= 1
+    assert ImagingDataset(spark, tiled, "d1", "imc", spec="identity").pixels("t1").count() == 60
+    with pytest.raises(FileNotFoundError, match="uq_0.5"):
+        ImagingDataset(spark, tiled, "d1", "imc", spec="quantile_clipping/uq_0.5_image").pixels("t1")
+    for wrong in ({"modality": "xray"}, {"modality": "he", "preset": "other"}, {"modality": "ihc_cd3", "preset": "identity"}, {"modality": "imc", "filters": [("blur", {})]}):
+        with pytest.raises(ValueError, match="no "):
+            ImagingDataset(spark, tiled, "d1", **wrong)
+
+
+def test_photographs_are_normalized_by_channel(spark, root):
+    he = ImagingDataset(spark, root, "d1", "HE", preset="hibou")
+    got = {(r.channel, r.y, r.x): r.value for r in he.pixels("t1").collect()}
+    mean, std = [0.7068, 0.5755, 0.722], [0.195, 0.2316, 0.1816]
+    image = photo()
+    assert len(got) == 90
+    assert all(abs(got["RGB"[c], y, x] - (image[c, y, x] / 255 - mean[c]) / std[c]) < 1e-9 for c in range(3) for y in range(5) for x in range(6))
+    ihc = ImagingDataset.of_marker(spark, root, "d1", "cd3")
+    assert ihc.modality == "ihc_cd3"
+    assert {r.value for r in ihc.pixels("t1", preprocess=False).where("channel = 'R'").collect()} == set(image[0].ravel().astype(float))
+    flat = he.image("t1", channels_first=False).first()["values"]
+    assert len(flat) == 90 and abs(flat[1] - got["G", 0, 0]) < 1e-12
+
+
+def test_tiles_with_padding_and_filters(spark, tiled):
+    grid = ImagingDataset(spark, tiled, "d1", "imc", strategy="grid", tile_size=4)
+    tile = {(r.channel, r.dy, r.dx): r.value for r in grid.tile("t1", 1).collect()}
     assert len(tile) == 2 * 16 and tile["DAPI", 0, 0] == 4 and tile["DAPI", 0, 3] == 0
-    cohort = Cohort(spark, root, ["d1", "d2"], ["imc"], strategy="grid", tile_size=4)
+    assert {r.stop_reason for r in grid.tile_stats().collect()} == {"fixed_grid_complete"}
+    free = ImagingDataset(spark, tiled, "d1", "imc", tile_size=4, filters=[("median", {})])
+    got = {(r.channel, r.dy, r.dx): r.value for r in free.tile_at("t2", 2, 3).collect()}
+    want = {c: kernels.median(multiplex(3)[i, 2:5, 3:6]) for i, c in enumerate(("DAPI", "CD3", "CD8"))}
+    assert got == {(c, y, x): want[c][y, x] for c in want for y in range(3) for x in range(3)}
+    whole = {(r.channel, r.y, r.x): r.value for r in free.pixels("t1").collect()}
+    assert whole["DAPI", 0, 0] == kernels.median(multiplex(2)[0])[0, 0]
+    assert {(r.h, r.w, len(r["values"])) for r in free.planes().collect()} == {(5, 6, 30)}
+    with pytest.raises(KeyError):
+        grid.tile("t1", 99)
+
+
+def test_modalities_together(spark, tiled):
+    both = ComposedDataset(spark, tiled, "d1", ["ihc", "he", "imc"], strategy="grid", tile_size=4, settings={"he": {"preset": "identity"}})
+    assert both.available() == ["he", "imc", "ihc_cd3"]
+    assert {r.tissue_id: r.modalities for r in both.tissue_modalities().collect()} == {"t1": ["he", "imc", "ihc_cd3"], "t2": ["imc"]}
+    rows = both.tissue("t1", "complete").groupBy("modality").count().collect()
+    assert {r.modality: r["count"] for r in rows} == {"he": 90, "imc": 60, "ihc_cd3": 90}
+    assert abs(both.tissue("t1").where("modality = 'he' and channel = 'G' and y = 0 and x = 0").first().value - 60 / 255) < 1e-9
+    assert {r.modality: r["count"] for r in both.tile("t1", 0, "complete").groupBy("modality").count().collect()} == {"he": 48, "imc": 32, "ihc_cd3": 48}
+    assert both.patient("p", "complete").select("tissue_id").distinct().count() == 2 and both.patient("x") is None
+    with pytest.raises(KeyError):
+        both.dataset("codex")
+    with pytest.raises(KeyError):
+        both.tissue("t9")
+
+
+def test_cohorts(spark, tiled):
+    cohort = Cohort(spark, tiled, ["d1", "d3", "d2"], ["imc", "he"], strategy="grid", tile_size=4, settings={"he": {"preset": "identity"}}, dataset_settings={"d2": {"he": {"preset": "hibou"}}})
+    assert list(cohort.members) == ["d1", "d2"]
+    assert [cohort.dataset(n).dataset("he").preset for n in ("d1", "d2")] == ["identity", "hibou"]
     index = cohort.tile_index()
-    assert sorted(r.global_tile_id for r in index.collect()) == list(range(index.count()))
-    assert cohort.sample(3, 1).count() == 3
-    assert {(r.dataset_name, r.tissue_id, tuple(r.modalities)) for r in Cohort(spark, root, ["d1"], ["he", "imc"]).tissue_index().collect()} == {("d1", "t1", ("he", "imc")), ("d1", "t2", ("imc",))}
+    assert sorted(r.global_tile_id for r in index.collect()) == list(range(index.count())) and cohort.size() == index.count()
+    assert cohort.sample(3, 1).count() == 3 and cohort.draws(50, 2).count() == 50
+    first = cohort.at(0, "complete")
+    assert {r.dataset_name for r in first.collect()} == {"d1"} and {r.dataset_name for r in cohort.at(-1, "complete").collect()} == {"d2"}
+    assert cohort.random(3, 1, "complete").collect() == cohort.random(3, 1, "complete").collect() != []
+    with pytest.raises(IndexError):
+        cohort.at(999)
+    some = Cohort(spark, tiled, ["d1", "d2"], ["imc"], strategy="grid", tile_size=999)
+    with pytest.raises(FileNotFoundError, match="999"):
+        some.tile_index()
+    tissues = Cohort(spark, tiled, ["d1"], ["he", "imc"])
+    assert {(r.dataset_name, r.tissue_id, tuple(r.modalities)) for r in tissues.tissue_index().collect()} == {("d1", "t1", ("he", "imc")), ("d1", "t2", ("imc",))}
+    assert {r.dataset_name: r.n for r in tissues.per_dataset().collect()} == {"d1": 2} and tissues.at(1, "complete").count() == 90
+    for names, modalities, error in ((["d3"], None, ValueError), ([], None, ValueError), (["nope"], None, FileNotFoundError), (["d1"], ["codex"], ValueError)):
+        with pytest.raises(error):
+            Cohort(spark, tiled, names, modalities)
+
+
+def test_inventory_of_folders(spark, tiled):
+    tables = collections.load(spark, tiled)
+    heads = {r.dataset: r for r in tables["datasets"].collect()}
+    assert set(heads) == {"d1", "d2"}
+    d1 = heads["d1"]
+    assert (d1.num_modalities, d1.loader_modalities, d1.disk_roots, d1.metadata_rows, d1.unique_metadata_tissues) == (3, "he, ihc_cd3, imc", "he, ihc, imc", 4, 2)
+    assert (d1.images_best_resolution_total, d1.num_crop_specs, d1.resolutions, d1.num_standardization_specs) == (4, 1, "1_0mpp", 1)
+    imc = tables["modalities"].where("dataset = 'd1' and modality = 'imc'").first()
+    assert (imc.channel_count, imc.qc_pass_count, imc.image_counts_by_resolution, imc.crop_specs, imc.standardization_specs) == (3, 2, "1_0mpp:2", "1_0mpp/grid/4", "1_0mpp/quantile_clipping/uq_0.9_image")
+    crop = tables["crops"].where("dataset = 'd1'").first()
+    assert (crop.crop_size, crop.tissues_with_crops) == ("4", 2) and d1.crop_counts_by_size == f"4:{crop.num_crops}"
+    kpis = inventory.inventory_kpis(tables["datasets"], tables["modalities"], tables["crops"], tables["specs"]).first()
+    assert (kpis.datasets, kpis.modalities, kpis.images, kpis.tile_files, kpis.specs) == (2, 6, 8, 2, 1)
+    assert inventory.drill_down(tables, "d2", "he")["modalities"].count() == 1
+    assert collections.channels(spark, tiled, ["d2"]).select("dm", "qc_display").distinct().count() == 2
+    assert collections.load(spark, tiled, ["none"])["datasets"].collect() == []
