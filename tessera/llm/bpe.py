@@ -23,9 +23,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import clear_of, prepare
+from tessera.llm.shared import aside, prepare, ship_file
 
 #: Remembered chunks in a Python worker; beyond, it starts anew.
 REMEMBER = 150_000
@@ -108,6 +109,13 @@ class RankTree:
         return i - self.width
 
 
+def pattern_keeps_spaces(pattern: str) -> bool:
+    """Whether texts can be cut before single spaces: no piece of such a pattern goes on over one."""
+    pieces = regex.compile(pattern).findall
+    letters = "aé文7½.,'’_-\u0301😀"
+    return all(pieces(f"{x}{x} {y}{y}") == pieces(x + x) + pieces(f" {y}{y}") for x in letters for y in letters)
+
+
 class Encoded(NamedTuple):
     ids: str
     n: int
@@ -118,6 +126,8 @@ class ByteBPE:
     """Encodes and decodes by a rank file and the pattern that cuts text before merges."""
 
     def __init__(self, path: str, pattern: str):
+        if not pattern_keeps_spaces(pattern):
+            raise ValueError("the pattern must begin a piece at each single space between other characters")
         self.ranks = load_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         explicit = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
@@ -241,17 +251,18 @@ class ByteBPE:
     def parts(self, texts: list[str]) -> list[list[Encoded]]:
         """The encoded chunks of each text: texts are cut before single spaces only."""
         gc.disable()  # what is made here holds no cycles, but would be searched for them
-        cut = [(CUT.split(t) if TIGHT.search(t) else t.split(" ")) if t else [] for t in texts]
-        self._fill(self.first, {c[0] for c in cut if c}, "")
-        self._fill(self.later, set().union(*(c[1:] for c in cut)), " ")
-        first, later = self.first.__getitem__, self.later.__getitem__
-        out = [[first(c[0]), *map(later, c[1:])] if c else [] for c in cut]
-        for memory in (self.first, self.later):
-            for chunk in [c for c in self.long if c in memory]:
-                del memory[chunk]
-        self.long.clear()
-        gc.enable()
-        return out
+        try:
+            cut = [(CUT.split(t) if TIGHT.search(t) else t.split(" ")) if t else [] for t in texts]
+            self._fill(self.first, {c[0] for c in cut if c}, "")
+            self._fill(self.later, set().union(*(c[1:] for c in cut)), " ")
+            first, later = self.first.__getitem__, self.later.__getitem__
+            return [[first(c[0]), *map(later, c[1:])] if c else [] for c in cut]
+        finally:
+            for memory in (self.first, self.later):
+                for chunk in [c for c in self.long if c in memory]:
+                    del memory[chunk]
+            self.long.clear()
+            gc.enable()
 
     def _fill(self, memory: dict[str, Encoded], chunks: set[str], lead: str) -> None:
         unknown = [c for c in chunks if c not in memory]
@@ -286,15 +297,18 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
     Texts are encoded whole, without special tokens, and decoded again; a null text counts
     as an empty one: no tokens, and the digests of nothing. The digests are of the decimal
     ids joined by commas, and of the decoded bytes. Other columns pass through, repeated
-    rows stay repeated; columns that have these names already are an error.
+    rows stay repeated, an empty table gives no rows; columns that have these names already
+    come back with _input behind them. The rank file goes to the workers with the job. A pattern must begin a
+    piece at each single space between other characters, as those of byte-level tokenizers
+    do; others are an error.
     """
     prepare(docs.sparkSession)
+    docs, text_col = aside(docs, ["n_tokens", "ids_sha256", "decoded_sha256"], text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    clear_of(docs.drop(text_col), "n_tokens", "ids_sha256", "decoded_sha256")
-    at = docs.columns.index(text_col)
+    at, name = docs.columns.index(text_col), ship_file(docs.sparkSession, path)
 
     def run(batches):
-        bpe = tokenizer(path, pattern)
+        bpe = tokenizer(SparkFiles.get(name), pattern)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for parts in _in_turn(bpe, batch.column(at)):
@@ -314,12 +328,12 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
 def tokenize(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with `ids` (array of int) in place of the text; a null text has none."""
     prepare(docs.sparkSession)
-    clear_of(docs.drop(text_col), "ids")
+    docs, text_col = aside(docs, ["ids"], text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    at = docs.columns.index(text_col)
+    at, name = docs.columns.index(text_col), ship_file(docs.sparkSession, path)
 
     def run(batches):
-        bpe = tokenizer(path, pattern)
+        bpe = tokenizer(SparkFiles.get(name), pattern)
         for batch in batches:
             ids = [[int(i) for p in parts for i in p.ids.split(",")] for parts in _in_turn(bpe, batch.column(at))]
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]

@@ -34,8 +34,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Turns are put in order of turn, equal ones by role and text; null turns come first,
     null roles and texts are empty. Adjacent turns of a role are merged into one block.
     loss_spans holds (start, length), in code points of `formatted` from 1, of the escaped
-    text of each turn of the trained role; marks and separators lie outside. Rows with a
-    null conversation id are one conversation, and repeated rows are repeated turns. An
+    text of each turn of the trained role; marks and separators lie outside. A row without a
+    conversation id is a conversation of its own, and repeated rows are repeated turns. An
     empty table gives no rows. Other columns are not read. A conversation's turns meet in
     one row, as it is one training text.
     """
@@ -45,7 +45,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
         ).alias("one"),
     )
-    each = columns.groupBy("conv_id").agg(F.array_sort(F.collect_list("one")).alias("turns"))
+    each = columns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("one")).alias("turns"))
+    each = each.union(columns.where("conv_id is null").select("conv_id", F.array("one")))
 
     def piece(one: Column, i: Column) -> Column:
         """Marks before a turn's text, the text, marks after it."""

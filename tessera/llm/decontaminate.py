@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks
-from tessera.llm.shared import clear_of, prepare
+from tessera.llm.shared import aside, prepare
 from tessera.llm.textblocks import ODD, Block, mix
 
 #: Words are runs of letters, digits and bytes beyond ASCII; A-Z count as a-z.
@@ -348,14 +348,14 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     texts; items that are null or without words aren't looked for, and null and empty texts
     have no hits. Items given twice count once for each id; an item without an id isn't
     looked for. Repeated rows are flagged alike; an empty table of texts or of items gives
-    no hits. A column `hits` of docs is an error.
+    no hits. A column `hits` of docs comes back as hits_input.
 
     The benchmark goes to the tasks in passes of at most PASS_WORDS words (or one longer
     item), so a larger one takes more passes over the texts and no more memory, in the
     driver neither.
     """
     prepare(docs.sparkSession)
-    clear_of(docs, "hits")
+    docs, text_col = aside(docs, ["hits"], text_col)
     items = benchmark.select(F.col(item_col).cast("long"), item_text).dropna().distinct()
     out = docs.withColumn("hits", F.array().cast(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>"))
     some: list[tuple[int, np.ndarray]] = []
@@ -405,6 +405,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataF
     return found.select(id_col, "hit.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose texts hold no passage of the benchmark."""
-    return flag(docs, benchmark).where(F.size("hits") == 0).drop("hits")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose texts hold no passage of the benchmark."""
+    flagged = flag(docs, benchmark, text_col)
+    return flagged.where(F.size("hits") == 0).drop("hits").toDF(*docs.columns)

@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import prepare
+from tessera.llm.shared import prepare, ship_file
 
 #: Token ids that are packed together; what a task holds is bounded by it.
 BATCH_TOKENS = 1_000_000
@@ -89,11 +90,13 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 2048, id_col: s
     Null and empty texts have no tokens and no segments; a null id stays null. Repeated
     rows are packed each time. Rows are packed in batches of BATCH_TOKENS within a task, so
     which segments share a row depends on how the input is dealt out, what is in them not.
+    Other columns are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
+    name = ship_file(docs.sparkSession, path)
 
     def segments(batches) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        encoding = _encoding(path, pattern)
+        encoding = _encoding(SparkFiles.get(name), pattern)
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.array(encoding.encode_ordinary(text.as_py() or ""), np.int32)
@@ -143,10 +146,11 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 2048, id_col: s
 
 def write_matrix(packed: DataFrame, path: str) -> None:
     """Parquet files of packed rows: the id matrix as little-endian 32-bit bytes beside the lists."""
+    rest = packed.columns[1:]
 
     def run(batches):
         for batch in batches:
             data = [np.asarray(row.values, "<i4").tobytes() for row in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *batch.columns[1:]], ["matrix_row", *packed.columns[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *batch.columns[1:]], ["matrix_row", *rest])
 
     packed.mapInArrow(run, SCHEMA.replace("ids array<int>", "matrix_row binary")).write.parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat_format, decontaminate, hilbert_shards, jaccard_join, packing, quality_rules, site_quality, toxicity, url_rules
-from tessera.llm.shared import table
+from tessera.llm.shared import Scratch, table
 
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -30,7 +30,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS rules(host, path, verdict)")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, rules).drop("url")
 
@@ -49,6 +49,7 @@ def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cu_seqlens",
         "n_tokens",
         F.sha2(F.array_join("ids", ",", "null"), 256).alias("ids_sha256"),
+        F.sha2(F.array_join("positions", ",", "null"), 256).alias("positions_sha256"),
     )
 
 
@@ -61,9 +62,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash")
     )
-    placed = hilbert_shards.shard(docs, ["lang", "source", "size"], ["text_crc32", "doc_id"], shards=8)
+    narrow = Scratch(spark).keep(docs, "narrow")  # texts are read once
+    placed = hilbert_shards.shard(narrow, ["lang", "source", "size"], ["text_hash", "doc_id"], shards=8, together="text_hash")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -79,7 +81,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS said(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
     return chat_format.digests(chat_format.format_chats(turns))
 
@@ -97,6 +99,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), lists AS (
+            SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS ss FROM words
+        ), shingles AS (SELECT DISTINCT doc_id, unnest(ss) AS s FROM lists),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS top FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.top = e.a)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(top) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
+    """,
     "op3_url_filters": r"""
         WITH cut AS (
             SELECT page_id, coalesce(translate(regexp_extract(url, '^(?:.|\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import tempfile
 import uuid
 
@@ -62,11 +63,32 @@ def prepare(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
             spark.conf.set(key, str(most))
 
 
-def clear_of(df: DataFrame, *names: str) -> None:
-    """Raise if a column that an operator adds is there already."""
-    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are there already; rename them first")
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Let workers open a small local file of the driver's, by the name that comes back: SparkFiles.get(name)."""
+    context = spark.sparkContext
+    shipped = context.__dict__.setdefault("_tessera_files", {})
+    if path not in shipped:
+        context.addFile(path)
+        shipped[path] = os.path.basename(path)
+    return shipped[path]
+
+
+def aside(df: DataFrame, names: list[str], *used: str) -> tuple:
+    """df with _input behind those of its columns that are named like one of `names`; then the new names of `used`.
+
+    So an operator's own columns have their names, and the others are still there.
+    """
+    taken, have = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    new = []
+    for column in df.columns:
+        if column.lower() in taken:
+            column += "_input"
+            while column.lower() in taken | have:
+                column += "_input"
+            have.add(column.lower())
+        new.append(column)
+    to = dict(zip(df.columns, new, strict=True))
+    return df.toDF(*new) if new != df.columns else df, *[to[u] for u in used]
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:

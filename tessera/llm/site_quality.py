@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.quality_rules import BASE, MORE, features, text_stats
-from tessera.llm.shared import bounded_sample, clear_of, prepare
+from tessera.llm.shared import bounded_sample, aside, prepare
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 8_000
@@ -89,12 +89,12 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     A path or host without labelled rows gets the rate of the level above. Null hosts and
     paths are sites of their own. Null and empty texts count as texts without words.
-    Without labels, all rates are one half. Columns that have these names already are an
-    error; repeated rows are judged alike.
+    Without labels, all rates are one half; null ids have no label. Repeated rows are judged
+    alike; an empty table gives no rows. Columns of docs that have these names already, or
+    are named h1, h2 or p2, come back with _input behind them.
     """
     spark = docs.sparkSession
     prepare(spark)
-    clear_of(docs, "doc_score", "host_rate", "path_rate", "quality_score", "kept")
     wanted = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["id"])
     wanted = bounded_sample(wanted, F.col("id"), SAMPLE_ROWS)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("quality", "text")
@@ -104,6 +104,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     weights = fit_logistic(rates / scale, got["quality"].to_numpy().astype(float))
     by_host, by_path, share = site_rates(docs, labels, host, path, id_col)
 
+    docs, host, path, text_col = aside(docs, ["doc_score", "host_rate", "path_rate", "quality_score", "kept", "h1", "h2", "p2"], host, path, text_col)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, clear_of, prepare
+from tessera.llm.shared import bounded_sample, aside, prepare
 
 #: Labelled rows that lexicon and weights are learned from, at most.
 SAMPLE_ROWS = 6_000
@@ -302,11 +302,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Only the text decides a score. A null or empty text has no evidence and gets the base
     rate; repeated rows get equal scores; a null id is not held out; of an id labelled
     twice one label counts. An empty table gives no rows; without labels the fixed words
-    and usual weights decide. Columns that have these names already are an error.
+    and usual weights decide. Columns of docs that have these names already come back with
+    _input behind them.
     """
     prepare(docs.sparkSession)
-    clear_of(docs, "held_out", "score", "predicted")
     model = fit(docs, labels, id_col, text_col)
+    docs, id_col, text_col = aside(docs, ["held_out", "score", "predicted"], id_col, text_col)
     lexicon, weights = model.lexicon, model.weights
     at, names = docs.columns.index(text_col), docs.columns
 

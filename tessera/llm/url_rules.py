@@ -9,13 +9,11 @@ rules on the stack are then looked at.
 
 from __future__ import annotations
 
-import bisect
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bucket_of, clear_of, cut_points, prepare
+from tessera.llm.shared import bucket_of, aside, cut_points, prepare
 
 #: Sorts behind every key that begins with the host's.
 AFTER = "\U0010ffff"
@@ -74,7 +72,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     long ones the one with the longer host, then the greater string; a rule given twice
     counts once, and two verdicts for one rule are an error of the caller's: block wins.
     Null URLs and URLs without :// have an empty host and path, which no rule fits.
-    Repeated pages come back repeated. Columns that have these names already are an error.
+    Repeated pages come back repeated, null ids as any; an empty table gives no rows, and
+    without rules every page gets the default. Columns of pages named like these, or like
+    bucket, key, kind and salt, come back with _input behind their names.
 
     Cuts between ranges come from a bounded sample of keys and a hash of the page, so a
     host or URL that many pages share is spread over several ranges; a rule goes to each
@@ -82,7 +82,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     spark = pages.sparkSession
     prepare(spark)
-    clear_of(pages, "host", "path", "rule", "verdict", "bucket", "key", "kind", "salt")
+    pages, id_col, url_col = aside(pages, ["host", "path", "rule", "verdict", "bucket", "key", "kind", "salt"], id_col, url_col)
     old = pages.columns
     urls = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     urls = urls.withColumns({"key": reversed_host(F.col("host")), "salt": F.xxhash64(id_col, url_col), "kind": F.lit(1)})
@@ -91,13 +91,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     heads = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     heads = heads.withColumns({"key": reversed_host(F.col("host")), "rule": F.concat("host", "path"), "kind": F.lit(0), "salt": F.lit(None).cast("long")})
-    first_keys = [p[0] for p in points]
-
-    @F.udf("array<int>")
-    def ranges(key):
-        return list(range(bisect.bisect_left(first_keys, key), bisect.bisect_right(first_keys, key + AFTER) + 1))
-
-    heads = heads.withColumn("bucket", F.explode(ranges("key")))
+    first_keys = F.array(*[F.lit(p[0]) for p in points]) if points else F.array().cast("array<string>")
+    low = F.size(F.filter(first_keys, lambda k: k < F.col("key")))
+    high = F.size(F.filter(first_keys, lambda k: k <= F.concat("key", F.lit(AFTER))))
+    heads = heads.withColumn("bucket", F.explode(F.sequence(low, high)))
     both = urls.unionByName(heads, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "key", "kind")
     kept = [*old, "host", "path"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "host string, path string, rule string, verdict string"])

@@ -279,8 +279,11 @@ def test_url_rules_equal_brute_force(spark):
     assert sorted((r.page_id, r.url or "", r.host, r.path, r.rule or "-", r.verdict) for r in got) == sorted(
         (i, u or "", *verdict(u)[:2], verdict(u)[2] or "-", verdict(u)[3]) for i, u in enumerate(urls + urls[-1:] * 50)
     )
-    with pytest.raises(ValueError, match="rename"):
-        url_rules.judge(pages.withColumn("host", F.lit(1)), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    named = spark.createDataFrame(rules, "host string, path string, verdict string")
+    more = url_rules.judge(pages.withColumns({"host": F.lit(1), "KEY": F.lit(2)}), named)
+    assert more.columns == ["page_id", "url", "host_input", "KEY_input", "host", "path", "rule", "verdict"] and more.select("host_input", "KEY_input").distinct().collect() == [(1, 2)]
+    assert url_rules.judge(pages.limit(0), named).collect() == []
+    assert {r.verdict for r in url_rules.judge(pages.withColumn("page_id", F.lit(None).cast("long")), named.limit(0)).collect()} == {"allow"}
 
 
 # Quality rules and site quality
@@ -494,6 +497,54 @@ def test_shards_are_even_and_slots_gapless(spark, n):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
 
 
+def test_shards_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    got = {r.doc_id: r for r in queries.op7_sharding(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == sorted(r.doc_id for r in rows)
+    cuts, values = [], {"lang": [r.lang for r in rows], "source": [r.source for r in rows], "size": [len((r.text or "").encode()) + 1 for r in rows]}
+    for name in values:
+        known = sorted(v for v in values[name] if v is not None)
+        cuts.append(sorted({known[len(known) * i // 64] for i in range(1, 64)}))
+    cells = np.array([[0 if v is None else sum(c <= v for c in cuts[d]) for v in values[n]] for d, n in enumerate(values)]).T
+    curve = {r.doc_id: int(c) for r, c in zip(rows, hilbert_shards.hilbert_index(cells, hilbert_shards.BITS), strict=True)}
+    first = {}
+    for r in rows:
+        first[r.text] = min(first.get(r.text, 1 << 62), curve[r.doc_id])
+    counts = Counter(g.shard for g in got.values())
+    assert max(counts.values()) - min(counts.values()) <= 1 and set(counts) == set(range(8))
+    order = sorted(rows, key=lambda r: (got[r.doc_id].shard, got[r.doc_id].slot))
+    assert [first[r.text] for r in order] == sorted(first[r.text] for r in rows)
+    for r in rows:
+        data = (r.text or "").encode()
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32, got[r.doc_id].law, got[r.doc_id].grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    for s in range(8):
+        assert sorted(g.slot for g in got.values() if g.shard == s) == list(range(counts[s]))
+    places = {}
+    for i, r in enumerate(order):
+        places.setdefault(r.text, []).append(i)
+    assert all(max(p) - min(p) == len(p) - 1 for p in places.values())  # equal texts are neighbours
+
+
+def test_curve_ranges_come_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_shards, "SAMPLE_ROWS", 50)
+    same = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    sample = hilbert_shards.bounded_sample(same, F.struct("lang", "doc_id"), 50)
+    assert sample.count() < 150
+    assert hilbert_shards.shard(same, ["lang"], ["doc_id"]).groupBy("shard").count().where("count <> 250").count() == 0
+
+
+def test_written_shards_and_matrices_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s") for i in range(40)], DOCS)
+    placed = hilbert_shards.shard(docs, ["lang"], ["text", "doc_id"])
+    hilbert_shards.write_shards(placed, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().where("count = 5").count() == 8
+    packed = packing.pack(docs, RANKS, public_tokenizers.PATTERN, length=16)
+    packing.write_matrix(packed, str(tmp_path / "matrix"))
+    want = sorted(tuple(r.ids) for r in packed.collect())
+    assert sorted(tuple(np.frombuffer(bytes(r.matrix_row), "<i4").tolist()) for r in spark.read.parquet(str(tmp_path / "matrix")).collect()) == want
+
+
 # Toxicity
 
 
@@ -636,8 +687,39 @@ def test_bpe_digests_on_odd_rows(spark):
     nothing = hashlib.sha256(b"").hexdigest()
     assert len(got) == 9
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got}[1] == (0, nothing, nothing)
-    with pytest.raises(ValueError, match="rename"):
-        bpe.encode_digests(odd_docs(spark).withColumn("n_tokens", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    assert bpe.encode_digests(odd_docs(spark).limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.ByteBPE(RANKS, r"\S+ \S+|\S+|\s+")
+
+
+def test_columns_with_an_operators_names_come_back_beside_its_own(spark):
+    names = ["n_words", "kept", "held_out", "Score", "predicted", "hits", "doc_score", "h1", "host_rate", "curve", "shard", "slot", "rank", "n_tokens", "ids", "key", "bits", "id", "hash", "component_id"]
+    docs = odd_docs(spark).withColumns({n: F.lit(f"own {n}") for n in names})
+    none = empty_labels(spark)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    made = {
+        "quality": quality_rules.judge(docs, none), "toxicity": toxicity.judge(docs, none), "hits": decontaminate.flag(docs, bench), "site": site_quality.judge(docs, none),
+        "shards": hilbert_shards.shard(docs, ["lang", "slot"], ["text", "doc_id", "rank"], together="text"), "bpe": bpe.encode_digests(docs, RANKS, public_tokenizers.PATTERN), "ids": bpe.tokenize(docs, RANKS, public_tokenizers.PATTERN),
+    }
+    added = {"quality": ["n_words", "kept"], "toxicity": ["held_out", "Score", "predicted"], "hits": ["hits"], "site": ["kept", "doc_score", "h1", "host_rate"], "shards": ["curve", "shard", "slot", "rank", "h1"], "bpe": ["n_tokens"], "ids": ["ids"]}
+    for what, got in made.items():
+        rows = got.collect()
+        assert len(rows) == 9, what
+        for n in names:
+            assert {r[f"{n}_input" if n in added[what] else n] for r in rows} == {f"own {n}"}, (what, n)
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+    assert jaccard_join.near_groups(docs).count() == 9
+    assert packing.pack(docs, RANKS, public_tokenizers.PATTERN).count() > 0
+
+
+def test_operators_on_empty_tables(spark):
+    none, rows = empty_labels(spark), spark.createDataFrame([], DOCS)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    for got in (
+        quality_rules.judge(rows, none), toxicity.judge(rows, none), decontaminate.flag(rows, bench), decontaminate.hits(odd_docs(spark), bench.limit(0)), site_quality.judge(rows, none), hilbert_shards.shard(rows, ["lang"], ["text", "doc_id"], together="text"),
+        packing.pack(rows, RANKS, public_tokenizers.PATTERN), jaccard_join.near_groups(rows), chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
+    ):
+        assert got.collect() == []
 
 
 # Chat formatting
@@ -661,4 +743,12 @@ def test_chats_of_no_rows_and_null_ids(spark):
     kind = "conv_id long, turn long, role string, text string"
     assert chat_format.digests(chat_format.format_chats(spark.createDataFrame([], kind))).count() == 0
     got = chat_format.digests(chat_format.format_chats(spark.createDataFrame([(None, None, None, None), (None, None, None, None)], kind))).collect()
-    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in got] == [(None, 2, 0)]
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in got] == [(None, 1, 0), (None, 1, 0)]
+
+
+def test_chats_with_repeated_turns_and_long_texts(spark):
+    long = "[é~" * 70_000
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", long), (None, 5, "assistant", "b"), (None, 5, "assistant", "b")]
+    got = chat_format.digests(chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 1), (0, 1, 1), (1, 3, len(long))]
+    assert {r.loss_sha256 for r in got if r.conv_id == 1} == {hashlib.sha256(long.encode()).hexdigest()}

@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, queries
@@ -42,6 +43,21 @@ def test_each_stage_keeps_what_it_should(spark):
     assert all(last[r.doc_id] == hashlib.sha256((r.text or "").encode()).hexdigest() for r in table(spark, SMALLEST, "documents").collect() if r.doc_id in last)
 
 
+def test_each_stage_takes_odd_rows_and_more_columns(spark):
+    rows = [(1, None, "en", "a", 1), (2, "", None, "a", None), (None, "one two three four five six seven eight nine ten eleven twelve", "en", None, 3), (5, "long word " * 20_000, "de", "b", 4), (5, "long word " * 20_000, "de", "b", 4)]
+    names = ["kept", "predicted", "hits", "score", "component_id", "c0"]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(f"own {n}") for n in names})
+    for stage_name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0)):
+            got = stage(spark, docs, SMALLEST)
+            if stage_name != corpus_pipeline.STAGES[-1][0]:
+                assert got.columns == odd.columns
+            kept = got.collect()
+            assert all(r[n] == f"own {n}" for r in kept for n in names)
+            assert len(kept) <= docs.count()
+    assert corpus_pipeline.tokens(spark, odd.withColumn("n_tokens", F.lit(9)), SMALLEST).where("n_tokens_input = 9").count() == 5
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):
     got = queries.QUERIES[name](spark, SMALLEST)
