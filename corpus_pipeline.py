@@ -12,14 +12,23 @@ from tessera.llm.queries import VOCABULARY
 from tessera.llm.shared import Scratch, table
 
 
+def _by_place(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, str, str]:
+    """docs with columns named by their places, so that none clashes; labels to fit; the id's and the text's names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    key, text = names["doc_id"], names["text"]
+    return docs.toDF(*names.values()), labels.withColumnRenamed("doc_id", key), key, text
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the fixed rules or the forest reject go."""
-    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Texts that the fixed rules or the forests reject go, null and empty ones among them."""
+    placed, labels, key, text = _by_place(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(placed, labels, key, text).where("kept").select(placed.columns).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts predicted to be toxic go."""
-    return toxicity.judge(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
+    placed, labels, key, text = _by_place(docs, table(spark, sf_dir, "labels"))
+    return toxicity.judge(placed, labels, key, text).where("predicted = 0").select(placed.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, encoded and decoded again."""
+    """What is left, encoded and decoded again; a column named like a digest comes back with _input behind it."""
     return bpe.encode_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
@@ -56,9 +65,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written and read again."""
+    """The stages one after another over documents, each written and read again.
+
+    A stage's table goes once the next one is written. Documents without text go with the
+    short ones, an empty table gives no rows, and more columns of documents, whatever their
+    names, pass through.
+    """
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        scratch.drop(f"stage-{i - 1}")
     return docs
