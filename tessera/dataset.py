@@ -21,6 +21,17 @@ RGB = ["R", "G", "B"]
 PRESETS = {"he": ["imagenet", "hibou", "identity"], "ihc": ["imagenet", "hibou"]}
 #: Draws of a seed's sequence start far apart for different seeds.
 STRIDE = 1_000_003
+#: Kinds of datasets of further modalities, by the modality's name; see register_modality.
+KINDS: dict[str, type[ImagingDataset]] = {}
+
+
+def register_modality(name: str, kind: type[ImagingDataset]) -> None:
+    """Let datasets, compositions and cohorts know a modality of one's own.
+
+    Its folder has the modality's name. The kind is a subclass that changes what it needs
+    to: channel_table, measured, _normalized (values that are ready to use) or any read.
+    """
+    KINDS[name.strip().lower()] = kind
 
 
 @dataclass
@@ -56,7 +67,7 @@ class ImagingDataset:
     def __post_init__(self) -> None:
         lower = self.modality.strip().lower()
         self.modality = catalog.ALIASES.get(lower, lower)
-        kinds = [*catalog.MODALITIES]
+        kinds = [*catalog.MODALITIES, *KINDS]
         if self.modality not in kinds and not self.modality.startswith("ihc_"):
             raise ValueError(f"no modality {self.modality!r}; there are {kinds} and ihc_<marker>")
         if self.rgb and self.preset not in (known := PRESETS[self.modality.split("_")[0]]):
@@ -173,15 +184,7 @@ class ImagingDataset:
         planes = sorted(r["plane"] for r in chosen.select("plane").distinct().collect())  # as many as there are channels
         raw = arrays.zarr_pixels(self.spark, self.images, planes, window, [tissue] if tissue is not None else None)
         rows = raw.withColumnRenamed("store", "tissue_id").join(chosen, ["tissue_id", "plane"]).withColumnRenamed("channel_name", "channel").drop("plane", "uniprot_id")
-        if not preprocess:
-            return rows
-        if self.rgb:
-            return rows.withColumn("value", stats.rgb_preprocess(F.col("value"), F.col("channel_pos"), self.preset))
-        if not self.spec:
-            return rows
-        known = rows.join(self._statistics().drop("channel_pos"), ["tissue_id", "channel"])
-        z = stats.transform_named(self.spec)(F.col("value"), F.col("lower"), F.col("upper"))
-        return known.withColumn("value", (z - F.col("mean")) / (F.col("std") + stats.EPSILON) if self.z_score else z).drop("upper", "lower", "mean", "std")
+        return self._normalized(rows) if preprocess else rows
 
     def _filtered(self, rows: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
         """rows with values filtered: the plane of each key meets in one row, as a neighbourhood needs."""
@@ -333,7 +336,8 @@ class ComposedDataset:
         self.datasets = {}
         for modality in self.modalities:
             own = self.settings.get("ihc" if modality.startswith("ihc_") else modality, {})
-            made = ImagingDataset(self.spark, self.root, self.name, modality, self.resolution, self.split, strategy=self.strategy, tile_size=self.tile_size, **own)
+            kind = KINDS.get(modality.strip().lower(), ImagingDataset)
+            made = kind(self.spark, self.root, self.name, modality, self.resolution, self.split, strategy=self.strategy, tile_size=self.tile_size, **own)
             self.datasets[made.modality] = made
 
     def dataset(self, modality: str) -> ImagingDataset:
@@ -414,7 +418,7 @@ class Cohort:
         for name in self.datasets:
             if not catalog.exists(self.spark, f"{self.root}/{name}"):
                 raise FileNotFoundError(f"no dataset {self.root}/{name}")
-            own = catalog.expanded_modalities(self.spark, self.root, name, self.modalities)
+            own = catalog.expanded_modalities(self.spark, self.root, name, self.modalities, list(KINDS))
             if own:
                 self.members[name] = ComposedDataset(self.spark, self.root, name, own, self.resolution, self.strategy, self.tile_size, self.split, self._settings_of(name))
         if not self.members:

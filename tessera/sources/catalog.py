@@ -43,15 +43,16 @@ def resolution_dir(resolution: float) -> str:
     return str(float(resolution)).replace(".", "_") + "mpp"
 
 
-def expanded_modalities(spark: SparkSession, root: str, dataset: str, requested: list[str] | None) -> list[str]:
+def expanded_modalities(spark: SparkSession, root: str, dataset: str, requested: list[str] | None, more: list[str] | None = None) -> list[str]:
     """Modalities of a dataset's folders: what was asked for and is there, in that order; None asks for all.
 
-    `ihc` stands for all of its markers, in order, where it is named.
+    `ihc` stands for all of its markers, in order, where it is named; `more` names further modalities.
     """
-    there = [n for n, is_folder in children(spark, f"{root}/{dataset}") if is_folder and n in MODALITIES]
+    every = [*MODALITIES, *(more or [])]
+    there = [n for n, is_folder in children(spark, f"{root}/{dataset}") if is_folder and n in every]
     markers = [n for n, is_folder in children(spark, f"{root}/{dataset}/ihc") if is_folder and n.startswith("ihc_")]
     if requested is None:
-        return [m for m in MODALITIES if m in there] + markers
+        return [m for m in every if m in there] + markers
     out = []
     for name in requested:
         key = ALIASES.get(name.strip().lower(), name.strip().lower())

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def _tissues(spark: SparkSession, root: str, dataset: str) -> DataFrame | None:
     """(dataset, modality, tissue_id) of a readable metadata table; None where there is none."""
     try:
         rows = catalog.tissues(spark, root, dataset)
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         return None
     columns = [(F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in ("modality", "tissue_id")]
     return rows.select(F.lit(dataset).alias("dataset"), *columns)
@@ -68,7 +69,7 @@ def _crops(spark: SparkSession, files: list[tuple]) -> DataFrame:
         try:
             coords = spark.read.parquet(path)
             counts = inventory.crop_file_summary(coords.select("tissue_id")) if "tissue_id" in coords.columns else coords.agg(F.lit(0).cast("long").alias("tissues_with_crops"), F.count("*").alias("num_crops"))
-        except AnalysisException:
+        except (PySparkException, Py4JJavaError):
             counts = spark.createDataFrame([(0, 0)], "tissues_with_crops long, num_crops long")
         parts.append(row.join(counts))  # one row each
     return _union(parts, spark, f"{CROP_FILES}, tissues_with_crops long, num_crops long")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import pathlib
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.dataset import Cohort, ComposedDataset, ImagingDataset
+from tessera import dataset
+from tessera.dataset import Cohort, ComposedDataset, ImagingDataset, register_modality
 from tessera.operators import inventory, kernels
 from tessera.sources import collections
 
@@ -159,6 +163,49 @@ def test_cohorts(spark, tiled):
             Cohort(spark, tiled, names, modalities)
 
 
+def test_a_modality_of_ones_own(spark, root):
+    class Depth(ImagingDataset):
+        """One plane of depths in millimetres, read as metres."""
+
+        @property
+        def rgb(self):
+            return False
+
+        @functools.cached_property
+        def channel_table(self):
+            return self.spark.createDataFrame([(0, "depth")], "channel_pos int, channel_name string")
+
+        def all_tissues(self):
+            return super().all_tissues().where("modality = 'he'").withColumn("modality", F.lit("depth"))
+
+        def _normalized(self, rows):
+            return rows.withColumn("value", F.col("value") / 1000)
+
+    register_modality("depth", Depth)
+    try:
+        store(pathlib.Path(root) / "d1/depth/1_0mpp/images/t1.ome.zarr/0", multiplex(1))
+        both = ComposedDataset(spark, root, "d1", ["depth"], tile_size=2)
+        assert both.dataset("depth").pixels("t1").where("y = 4 and x = 5").first().value == 0.029
+        assert both.dataset("depth").tile_at("t1", 4, 5).collect()[0].value == 0.029
+        assert Cohort(spark, root, ["d1", "d2"], ["depth"]).members.keys() == {"d1"}
+    finally:
+        dataset.KINDS.clear()
+
+
+def test_unreadable_tables_count_nothing(spark, tmp_path):
+    for name in ("good", "bad"):
+        spark.createDataFrame([("t", "p", "imc")], "tissue_id string, patient_id string, modality string").write.parquet(str(tmp_path / name / "metadata/tissues.parquet"))
+    at = tmp_path / "good/tiling/1_0mpp/grid"
+    at.mkdir(parents=True)
+    (at / "64_tile_coordinates.parquet").write_bytes(b"no parquet file")
+    broken = tmp_path / "worse/metadata"
+    broken.mkdir(parents=True)
+    (broken / "tissues.parquet").write_bytes(b"no parquet file")
+    tables = collections.load(spark, str(tmp_path))
+    assert [(r.dataset, r.crop_counts_by_size) for r in tables["datasets"].collect()] == [("bad", "-"), ("good", "64:0")]
+    assert [(r.tissues_with_crops, r.num_crops) for r in tables["crops"].collect()] == [(0, 0)]
+
+
 def test_inventory_of_folders(spark, tiled):
     tables = collections.load(spark, tiled)
     heads = {r.dataset: r for r in tables["datasets"].collect()}
