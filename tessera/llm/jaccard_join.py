@@ -45,6 +45,8 @@ BITMAP = 16
 SEEN = 200_000
 #: Parts of the star of one set that is compared with many.
 STAR_SALTS = 32
+#: Pairs up to which their sets' places are broadcast; each has two sets, of some 100 bytes.
+FEW = 5_000
 #: Sets whose common shingles a task finds by itself.
 TOGETHER = 100
 
@@ -238,9 +240,10 @@ class Corpus:
         self.places = scratch.keep(sets.select("key", "place.id", "place.hash"), "places")
         self.slim = self.keyed.where("n_shingles > 0").select("key", F.col("n_shingles").alias("n"), "bits")
 
-    def texts_of(self, keys: DataFrame) -> DataFrame:
-        """(text, and the columns of keys) for each row of keys(key, ...)."""
-        wanted = self.places.join(keys, "key").withColumnsRenamed({"id": "at_id", "hash": "at_hash"})
+    def texts_of(self, keys: DataFrame, few: bool = False) -> DataFrame:
+        """(text, and the columns of keys) for each row of keys(key, ...); few: they were counted to be so."""
+        wanted = self.places.join(F.broadcast(keys) if few else keys, "key").withColumnsRenamed({"id": "at_id", "hash": "at_hash"})
+        wanted = F.broadcast(wanted) if few else wanted
         same = (self.rows["hash"] == wanted["at_hash"]) & self.rows["id"].eqNullSafe(wanted["at_id"])
         return self.rows.join(wanted, same).drop("id", "hash", "at_id", "at_hash")
 
@@ -254,12 +257,13 @@ class Corpus:
         A star (all pairs of one a) is dealt to STAR_SALTS parts, and each set goes to the
         parts in which it has pairs, the centre once to each of them.
         """
+        few = pairs.limit(FEW + 1).count() <= FEW  # then the texts stay where they are
         dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(STAR_SALTS)).cast("int").alias("salt"))
         ends = dealt.select("a", "salt", F.lit(True).alias("is_b"), F.col("b").alias("key"))
         centres = dealt.select("a", "salt", F.lit(False).alias("is_b"), F.col("a").alias("key")).distinct()
         asked = ends.union(centres).groupBy("key").agg(F.collect_list(F.struct("a", "salt", "is_b")).alias("stars"))
         kind = "key long, stars array<struct<a:long,salt:int,is_b:boolean>>, shingles binary"
-        sets = self.texts_of(asked).select("key", "stars", "text").mapInArrow(_packed(self.size), kind)
+        sets = self.texts_of(asked, few).select("key", "stars", "text").mapInArrow(_packed(self.size), kind)
         members = sets.select("key", F.explode("stars").alias("star"), "shingles").select("star.*", "key", "shingles")
         order = ["a", "salt"]
         return members.repartition(*order).sortWithinPartitions(*order, "is_b").mapInArrow(_verified(percent), "a long, b long").distinct()
