@@ -49,7 +49,7 @@ WALKED = 2
 #: Edited items that the recall is measured on.
 TRIED = 400
 #: Repetitions after which one position less is sampled.
-MOST_REPETITIONS = 48
+MOST_REPETITIONS = 160
 #: Words of the benchmark that a task holds; a larger benchmark takes several passes.
 PASS_WORDS = 400_000
 #: Rarest pairs of an item that a stretch must hold, if the item has enough of them.
@@ -140,15 +140,25 @@ def sampling(words: np.ndarray, walks: list[Walks]) -> list[tuple[int, np.ndarra
     return positions
 
 
-def probes(items: list[tuple[int, np.ndarray]]) -> list[Probe]:
-    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+def by_size(items: list[tuple[int, np.ndarray]]) -> dict[int, list[tuple[int, np.ndarray]]]:
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
     for item, words in items:
-        by_size.setdefault(len(words), []).append((item, words))
+        if len(words) >= SHORT_WORDS:
+            out.setdefault(len(words), []).append((item, words))
+    return out
+
+
+def samplings(items: list[tuple[int, np.ndarray]]) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """The sampling for the items of each size."""
+    return {n: sampling(np.array([w for _, w in own]), [Walks(n, i) for i in range(WALKS)]) for n, own in by_size(items).items()}
+
+
+def probes(items: list[tuple[int, np.ndarray]], sampled: dict[int, list[tuple[int, np.ndarray]]]) -> list[Probe]:
     out = []
-    for length, own in sorted(by_size.items()):
+    for length, own in sorted(by_size(items).items()):
         walks = [Walks(length, i) for i in range(WALKS)]
         words = np.array([w for _, w in own])
-        positions = sampling(words, walks)
+        positions = sampled[length]
         keys: list[dict[int, list[int]]] = []
         for found in window_keys([w.embed(words) for w in walks], positions):
             keys.append({})
@@ -182,13 +192,13 @@ def edit_distance_within(item: np.ndarray, stretch: np.ndarray) -> tuple[int, in
 class Benchmark:
     """Items prepared to be looked for in many texts."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], sampled: dict[int, list[tuple[int, np.ndarray]]] | None = None):
         self.whole: dict[tuple[int, ...], list[int]] = {}
         for item, words in items:
             if len(words) < SHORT_WORDS:
                 self.whole.setdefault(tuple(words.tolist()), []).append(item)
         items = [i for i in items if len(i[1]) >= SHORT_WORDS]
-        self.probes = probes(items)
+        self.probes = probes(items, samplings(items) if sampled is None else sampled)
         found: dict[int, int] = {}
         for _, words in items:
             for pair in self._pairs(words).tolist():
@@ -374,19 +384,25 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 _prepared: dict[str, Benchmark] = {}
 
 
+def _benchmark_of(name: str, sent) -> Benchmark:
+    """Prepared once in a worker: a function of the module, as tasks get copies of what they close over."""
+    if name not in _prepared:
+        while len(_prepared) >= PREPARED:
+            _prepared.pop(next(iter(_prepared)))
+        own, sampled = sent.value
+        _prepared[name] = Benchmark([(item, np.frombuffer(words, np.uint64)) for item, words in own], sampled)
+    return _prepared[name]
+
+
 def _one_pass(docs: DataFrame, items: list[tuple[int, np.ndarray]], text_col: str) -> DataFrame:
     at, names = docs.columns.index(text_col), docs.columns
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast([(item, words.tobytes()) for item, words in items])  # at most PASS_WORDS words
+    sent = context.broadcast(([(item, words.tobytes()) for item, words in items], samplings(items)))  # at most PASS_WORDS words
     name = f"{context.applicationId}-{uuid.uuid4().hex}"
 
     def run(batches):
-        benchmark = _prepared.get(name)
-        if benchmark is None:
-            while len(_prepared) >= PREPARED:
-                _prepared.pop(next(iter(_prepared)))
-            benchmark = _prepared[name] = Benchmark([(item, np.frombuffer(words, np.uint64)) for item, words in sent.value])
+        benchmark = _benchmark_of(name, sent)
         for batch in batches:
             hits = []
             for _, block in textblocks.blocks(batch.column(at), lower=True, separator=APART):
