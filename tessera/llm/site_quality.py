@@ -4,7 +4,8 @@ A logistic model over the rates of the quality rules gives a text's own evidence
 rows also give each host and each of its paths a share of good texts; shares of sparse
 sites are drawn towards the level above: a path's towards its host's, a host's towards the
 global one, each with the strength that the spread between sites shows. Both add up on the
-scale of log-odds.
+scale of log-odds. Rows are dealt into folds by their ids, and each is judged by the labels
+of the other folds, so that no row's own label is in its site's rates.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tessera.llm.shared import bounded_sample, aside, prepare
 SAMPLE_ROWS = 8_000
 RIDGE = 1.0
 KEPT_FROM = 0.5
+#: Folds of rows.
+FOLDS = 4
 #: Bounds of the strength (in rows) with which a level draws its sites.
 STRENGTH = (2.0, 200.0)
 
@@ -54,34 +57,45 @@ def _stats(known: DataFrame):
     return known.mapInArrow(run, "quality int, " + ", ".join(f"{k} long" for k in BASE + MORE)).dropDuplicates().toPandas()
 
 
+def fold_of(key: Column) -> Column:
+    """0 to FOLDS - 1 by the id; rows without an id, which have no label, are in the first."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)).cast("int"), F.lit(0))
+
+
 def _drawn(rates: DataFrame, prior: Column) -> DataFrame:
-    """rates(good, n and what the prior needs) with `rate`: the share drawn towards the prior.
+    """rates(fold, good, n and what the prior needs) with `rate`: the share drawn towards the prior.
 
     The strength is the prior's variance over the variance between sites beyond chance
-    (method of moments over all sites), within STRENGTH.
+    (method of moments over all sites of a fold), within STRENGTH.
     """
     share = F.col("good") / F.col("n")
-    moments = rates.agg(
+    moments = rates.groupBy("fold").agg(
         F.sum(F.col("n") * (share - prior) ** 2).alias("seen"), F.sum(prior * (1 - prior)).alias("chance"), F.sum("n").alias("n")
     )
     between = F.greatest((F.col("seen") - F.col("chance")) / F.col("n"), F.lit(1e-6))
-    strength = moments.select(F.least(F.greatest(F.col("chance") / F.greatest(F.col("n"), F.lit(1)) / between, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
-    drawn = rates.crossJoin(F.broadcast(strength))  # one row
+    strength = moments.select("fold", F.least(F.greatest(F.col("chance") / F.greatest(F.col("n"), F.lit(1)) / between, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
+    drawn = rates.join(F.broadcast(strength), "fold")  # a row for each fold
     return drawn.withColumn("rate", (F.col("good") + F.col("strength") * prior) / (F.col("n") + F.col("strength"))).drop("strength")
 
 
-def site_rates(docs: DataFrame, labels: DataFrame, host: str, path: str, id_col: str) -> tuple[DataFrame, DataFrame, float]:
-    """(host, host_rate), (host, path, path_rate) and the global share, from all labelled rows."""
+def site_rates(docs: DataFrame, labels: DataFrame, host: str, path: str, id_col: str) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(fold, host, host_rate), (fold, host, path, path_rate) and the global share of each fold.
+
+    They are from all labelled rows of the other folds.
+    """
     known = labels.select(id_col, F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates([id_col])
     sites = docs.select(id_col, F.col(host).alias("host"), F.col(path).alias("path")).join(known, id_col)
-    paths = sites.groupBy("host", "path").agg(F.sum("quality").alias("good"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
-    share = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 2)
-    by_host = _drawn(hosts, F.lit(share)).select("host", F.col("rate").alias("host_rate"))
-    named = paths.join(by_host.select(F.col("host").alias("h"), "host_rate"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    by_path = _drawn(named, F.col("host_rate")).select("host", "path", F.col("rate").alias("path_rate"))
-    return by_host, by_path, share
+    own = sites.groupBy("host", "path", fold_of(F.col(id_col)).alias("own")).agg(F.sum("quality").alias("good"), F.count("*").alias("n"))
+    others = own.withColumn("fold", F.explode(F.filter(F.array(*[F.lit(f) for f in range(FOLDS)]), lambda f: f != F.col("own"))))
+    paths = others.groupBy("fold", "host", "path").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    hosts = paths.groupBy("fold", "host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    totals = {r["fold"]: (r["good"], r["n"]) for r in hosts.groupBy("fold").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}
+    shares = [(good + 1) / (n + 2) for good, n in (totals.get(f, (0, 0)) for f in range(FOLDS))]
+    by_host = _drawn(hosts, F.get(F.array(*map(F.lit, shares)), F.col("fold"))).select("fold", "host", F.col("rate").alias("host_rate"))
+    upper = by_host.select(F.col("fold").alias("f"), F.col("host").alias("h"), "host_rate")
+    named = paths.join(upper, (F.col("fold") == F.col("f")) & F.col("host").eqNullSafe(F.col("h"))).drop("f", "h")
+    by_path = _drawn(named, F.col("host_rate")).select("fold", "host", "path", F.col("rate").alias("path_rate"))
+    return by_host, by_path, shares
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +105,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     paths are sites of their own. Null and empty texts count as texts without words.
     Without labels, all rates are one half; null ids have no label. Repeated rows are judged
     alike; an empty table gives no rows. Columns of docs that have these names already, or
-    are named h1, h2 or p2, come back with _input behind them.
+    those of working columns (h1, h2, p2, f1, f2, fold), come back with _input behind them.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -102,9 +116,9 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     rates = features({k: got[k].to_numpy() for k in BASE + MORE})
     scale = rates.std(0) + 1e-9 if len(rates) else np.ones(rates.shape[1])
     weights = fit_logistic(rates / scale, got["quality"].to_numpy().astype(float))
-    by_host, by_path, share = site_rates(docs, labels, host, path, id_col)
+    by_host, by_path, shares = site_rates(docs, labels, host, path, id_col)
 
-    docs, host, path, text_col = aside(docs, ["doc_score", "host_rate", "path_rate", "quality_score", "kept", "h1", "h2", "p2"], host, path, text_col)
+    docs, host, path, text_col, id_col = aside(docs, ["doc_score", "host_rate", "path_rate", "quality_score", "kept", "h1", "h2", "p2", "f1", "f2", "fold"], host, path, text_col, id_col)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
@@ -113,12 +127,14 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*names, "doc_score"])
 
     old = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(run, f"{old}, doc_score double")
-    hosts = by_host.withColumnRenamed("host", "h1")
-    paths = by_path.withColumnsRenamed({"host": "h2", "path": "p2"})
-    out = out.join(paths, out[host].eqNullSafe(paths["h2"]) & out[path].eqNullSafe(paths["p2"]), "left").drop("h2", "p2")
-    out = out.join(hosts, F.col(host).eqNullSafe(hosts["h1"]), "left").drop("h1")
-    out = out.withColumn("host_rate", F.coalesce("host_rate", F.lit(share)))
+    out = docs.mapInArrow(run, f"{old}, doc_score double").withColumn("fold", fold_of(F.col(id_col)))
+    hosts = by_host.withColumnsRenamed({"fold": "f1", "host": "h1"})
+    paths = by_path.withColumnsRenamed({"fold": "f2", "host": "h2", "path": "p2"})
+    same_path = (out["fold"] == paths["f2"]) & out[host].eqNullSafe(paths["h2"]) & out[path].eqNullSafe(paths["p2"])
+    out = out.join(paths, same_path, "left").drop("f2", "h2", "p2")
+    out = out.join(hosts, (F.col("fold") == hosts["f1"]) & F.col(host).eqNullSafe(hosts["h1"]), "left").drop("f1", "h1")
+    share = F.get(F.array(*map(F.lit, shares)), F.col("fold"))
+    out = out.withColumn("host_rate", F.coalesce("host_rate", share))
     out = out.withColumn("path_rate", F.coalesce("path_rate", "host_rate"))
-    odds = _logit(F.least(F.greatest("doc_score", F.lit(1e-12)), F.lit(1 - 1e-12))) + _logit(F.col("path_rate")) - _logit(F.lit(share))
-    return out.withColumn("quality_score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality_score") >= KEPT_FROM)
+    odds = _logit(F.least(F.greatest("doc_score", F.lit(1e-12)), F.lit(1 - 1e-12))) + _logit(F.col("path_rate")) - _logit(share)
+    return out.withColumn("quality_score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality_score") >= KEPT_FROM).drop("fold")

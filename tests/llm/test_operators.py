@@ -395,11 +395,16 @@ def test_quality_on_odd_rows_without_labels(spark):
 def test_site_rates_draw_sparse_sites_to_the_level_above(spark):
     docs = spark.createDataFrame([(i, "t", "p", "big") for i in range(100)] + [(200, "t", "p", "tiny")], DOCS)
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(100)] + [(200, 0, 0)], "doc_id long, quality int, toxic int")
-    hosts, paths, share = site_quality.site_rates(docs, labels, "source", "lang", "doc_id")
-    rates = {r.host: r.host_rate for r in hosts.collect()}
-    assert abs(rates["big"] - 0.75) < 0.02
-    assert 0.2 < rates["tiny"] < share
-    assert paths.count() == 2
+    hosts, paths, shares = site_quality.site_rates(docs, labels, "source", "lang", "doc_id")
+    rates = {(r.fold, r.host): r.host_rate for r in hosts.collect()}
+    own = zlib.crc32(b"200") % site_quality.FOLDS
+    for fold in range(site_quality.FOLDS):
+        assert abs(rates[fold, "big"] - 0.75) < 0.05
+        if fold == own:  # the row's own label doesn't count
+            assert (fold, "tiny") not in rates
+        else:
+            assert 0.2 < rates[fold, "tiny"] < shares[fold]
+    assert paths.count() == 2 * site_quality.FOLDS - 1
 
 
 def test_site_quality_equals_brute_force(spark):
@@ -415,12 +420,16 @@ def test_site_quality_equals_brute_force(spark):
         strength = min(max(chance / rates.n.sum() / between, site_quality.STRENGTH[0]), site_quality.STRENGTH[1])
         return (rates.good + strength * prior) / (rates.n + strength)
 
-    share = (sites.quality.sum() + 1) / (len(sites) + 2)
-    hosts = sites.groupby("source").quality.agg(good="sum", n="count")
-    hosts["rate"] = drawn(hosts, pd.Series(share, hosts.index))
-    paths = sites.groupby(["source", "lang"]).quality.agg(good="sum", n="count").reset_index()
-    paths["rate"] = drawn(paths, paths.source.map(hosts.rate))
-    by_path = {(s, lang): rate for s, lang, rate in paths[["source", "lang", "rate"]].itertuples(index=False)}
+    fold_of = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % site_quality.FOLDS for r in docs.collect()}
+    known = {}
+    for fold in range(site_quality.FOLDS):
+        some = sites[[fold_of[d] != fold for d in sites.doc_id]]
+        share = (some.quality.sum() + 1) / (len(some) + 2)
+        hosts = some.groupby("source").quality.agg(good="sum", n="count")
+        hosts["rate"] = drawn(hosts, pd.Series(share, hosts.index))
+        paths = some.groupby(["source", "lang"]).quality.agg(good="sum", n="count").reset_index()
+        paths["rate"] = drawn(paths, paths.source.map(hosts.rate))
+        known[fold] = share, hosts.rate, {(s, lang): rate for s, lang, rate in paths[["source", "lang", "rate"]].itertuples(index=False)}
     place = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
 
     def odds(p):
@@ -429,7 +438,8 @@ def test_site_quality_equals_brute_force(spark):
     got = queries.op6_quality_classifier(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.doc_id for r in got) == sorted(place)
     for r in got:
-        host = hosts.rate.get(place[r.doc_id][0], share)
+        share, hosts, by_path = known[fold_of[r.doc_id]]
+        host = hosts.get(place[r.doc_id][0], share)
         path = by_path.get(place[r.doc_id], host)
         assert np.allclose([r.host_rate, r.path_rate], [host, path])
         z = odds(min(max(r.doc_score, 1e-12), 1 - 1e-12)) + odds(path) - odds(share)
