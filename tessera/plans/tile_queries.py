@@ -170,6 +170,26 @@ _INTEGRAL = """, cells AS (SELECT tissue_id, CAST(i AS INT) AS y, CAST(j AS INT)
     integral AS (SELECT tissue_id, y, x, CAST(sum(s) OVER (PARTITION BY tissue_id, x ORDER BY y) AS BIGINT) AS total FROM along)"""
 
 
+#: The greedy cover step by step: each row of `steps` holds a tissue's tiles so far, and why it stopped.
+_GREEDY = """, ys AS (SELECT DISTINCT tissue_id, s AS r FROM (SELECT tissue_id, unnest(range(0, greatest(h - 10, 0) + 1, 5)) AS s FROM size UNION ALL SELECT tissue_id, greatest(h - 10, 0) FROM size)),
+    xs AS (SELECT DISTINCT tissue_id, s AS c FROM (SELECT tissue_id, unnest(range(0, greatest(w - 10, 0) + 1, 5)) AS s FROM size UNION ALL SELECT tissue_id, greatest(w - 10, 0) FROM size)),
+    held AS (SELECT m.tissue_id, r, c, m.y, m.x FROM ys JOIN xs USING (tissue_id) JOIN mask m ON m.tissue_id = ys.tissue_id AND m.y BETWEEN r AND r + 9 AND m.x BETWEEN c AND c + 9),
+    able AS (SELECT tissue_id, r, c, count(*) AS valid FROM held GROUP BY ALL HAVING count(*) / 100.0 >= 1 - CAST(0.9 AS DOUBLE)),
+    px AS (SELECT held.*, valid FROM held JOIN able USING (tissue_id, r, c)),
+    steps AS (
+        SELECT tissue_id, 0 AS n, CAST([] AS STRUCT(r BIGINT, c BIGINT, valid BIGINT, gain BIGINT)[]) AS tiles, CAST(0 AS BIGINT) AS covered, total, CAST(NULL AS VARCHAR) AS stop FROM size
+        UNION ALL
+        SELECT tissue_id, n + 1, CASE WHEN why IS NULL THEN list_append(tiles, best) ELSE tiles END, CASE WHEN why IS NULL THEN covered + best.gain ELSE covered END, total, why
+        FROM (SELECT *, CASE WHEN best.gain <= 0 THEN 'no_gain' WHEN covered / total >= 0.9 AND best.gain < 10 THEN 'adaptive_stop' END AS why
+              FROM (SELECT tissue_id, n, tiles, covered, total, max_by({'r': r, 'c': c, 'valid': valid, 'gain': gain}, gain * 1000000 - r * 1000 - c) AS best
+                    FROM (SELECT s.tissue_id, s.n, s.tiles, s.covered, s.total, CAST(p.r AS BIGINT) AS r, CAST(p.c AS BIGINT) AS c, any_value(p.valid) AS valid,
+                                 count(*) FILTER (len(list_filter(s.tiles, lambda t: p.y BETWEEN t.r AND t.r + 9 AND p.x BETWEEN t.c AND t.c + 9)) = 0) AS gain
+                          FROM steps s JOIN px p ON p.tissue_id = s.tissue_id WHERE s.stop IS NULL AND len(list_filter(s.tiles, lambda t: t.r = p.r AND t.c = p.c)) = 0
+                          GROUP BY s.tissue_id, s.n, s.tiles, s.covered, s.total, p.r, p.c)
+                    GROUP BY tissue_id, n, tiles, covered, total))),
+    greedy AS (SELECT tissue_id, tiles, covered, total, coalesce(stop, 'candidates_exhausted') AS stop_reason FROM steps QUALIFY row_number() OVER (PARTITION BY tissue_id ORDER BY n DESC) = 1)"""
+
+
 def drawn_sql(seed: int, *keys: str) -> str:
     """The number that samplers draw for the keys."""
     text = " || '|' || ".join([f"'{seed}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
@@ -217,6 +237,10 @@ ORACLES = {
     "tile_crop_padded": sql(""" SELECT t.tissue_id, t.tile_id, CAST(i AS INT) AS dy, CAST(j AS INT) AS dx, CASE WHEN m.y IS NULL THEN 0.0 ELSE CAST(m.y * 31 + m.x AS DOUBLE) END AS value
         FROM tiles t CROSS JOIN range(0, 10) a(i) CROSS JOIN range(0, 10) b(j) LEFT JOIN mask m ON m.tissue_id = t.tissue_id AND m.y = t."row" + i AND m.x = t."col" + j"""),
     "tile_crop_default": sql(f' SELECT t.tissue_id, t.tile_id, m.y - t."row" AS dy, m.x - t."col" AS dx, CAST(m.y * 31 + m.x AS DOUBLE) AS value FROM mask m JOIN tiles t ON {_HELD}'),
+    "greedy_tiles": sql(_GREEDY + """, placed AS (SELECT tissue_id, CASE WHEN len(tiles) = 0 THEN [NULL] ELSE range(0, len(tiles)) END AS ids, tiles FROM greedy),
+        each AS (SELECT tissue_id, unnest(ids) AS i, tiles FROM placed)
+        SELECT tissue_id, CAST(i AS INT) AS tile_id, CAST(tiles[i + 1].r AS INT) AS "row", CAST(tiles[i + 1].c AS INT) AS "col", CAST(tiles[i + 1].valid AS INT) AS valid, CAST(tiles[i + 1].gain AS INT) AS gain FROM each""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "greedy_tile_stats": sql(_GREEDY + " SELECT tissue_id, len(tiles) AS num_tiles, covered, total, stop_reason FROM greedy").replace("WITH ", "WITH RECURSIVE ", 1),
     "tile_index_global_id": sql(""", named AS (SELECT 'cohort_' || s_nationkey AS dataset_name, t.* FROM tiles t JOIN supplier ON s_suppkey = tissue_id)
         SELECT row_number() OVER (ORDER BY dataset_name, tissue_id, tile_id) - 1 AS global_tile_id, dataset_name, tissue_id, tile_id, "row", "col" FROM named"""),
     "tile_by_ordinal": sql(' SELECT tissue_id, tile_id, "row", "col" FROM tiles WHERE tile_id = 3'),
