@@ -37,16 +37,14 @@ SEEDS = 6
 #: A signature that so many of SAMPLE sampled sets share is salted: at most SAMPLE / HOT
 #: groups of near copies have such signatures, so their list is small.
 HOT, SAMPLE, SALTS = 100, 20_000, 16
-#: Star rounds with other pivots before the rest of the pairs is compared.
-STAR_ROUNDS = 2
+#: Other pivots of a bucket that its sets are compared with before the rest of the pairs is.
+OTHER_PIVOTS = 2
 #: Longs of a set's bitmap.
 BITMAP = 16
 #: Keys that a task remembers to skip the signatures of copies.
 SEEN = 200_000
 #: Parts of the star of one set that is compared with many.
 STAR_SALTS = 32
-#: Pairs up to which their sets' places are broadcast; each has two sets, of some 100 bytes.
-FEW = 5_000
 #: Sets whose common shingles a task finds by itself.
 TOGETHER = 100
 
@@ -240,10 +238,9 @@ class Corpus:
         self.places = scratch.keep(sets.select("key", "place.id", "place.hash"), "places")
         self.slim = self.keyed.where("n_shingles > 0").select("key", F.col("n_shingles").alias("n"), "bits")
 
-    def texts_of(self, keys: DataFrame, few: bool = False) -> DataFrame:
-        """(text, and the columns of keys) for each row of keys(key, ...); few: they were counted to be so."""
-        wanted = self.places.join(F.broadcast(keys) if few else keys, "key").withColumnsRenamed({"id": "at_id", "hash": "at_hash"})
-        wanted = F.broadcast(wanted) if few else wanted
+    def texts_of(self, keys: DataFrame) -> DataFrame:
+        """(text, and the columns of keys) for each row of keys(key, ...)."""
+        wanted = self.places.join(keys, "key").withColumnsRenamed({"id": "at_id", "hash": "at_hash"})
         same = (self.rows["hash"] == wanted["at_hash"]) & self.rows["id"].eqNullSafe(wanted["at_id"])
         return self.rows.join(wanted, same).drop("id", "hash", "at_id", "at_hash")
 
@@ -257,13 +254,12 @@ class Corpus:
         A star (all pairs of one a) is dealt to STAR_SALTS parts, and each set goes to the
         parts in which it has pairs, the centre once to each of them.
         """
-        few = pairs.limit(FEW + 1).count() <= FEW  # then the texts stay where they are
         dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(STAR_SALTS)).cast("int").alias("salt"))
         ends = dealt.select("a", "salt", F.lit(True).alias("is_b"), F.col("b").alias("key"))
         centres = dealt.select("a", "salt", F.lit(False).alias("is_b"), F.col("a").alias("key")).distinct()
         asked = ends.union(centres).groupBy("key").agg(F.collect_list(F.struct("a", "salt", "is_b")).alias("stars"))
         kind = "key long, stars array<struct<a:long,salt:int,is_b:boolean>>, shingles binary"
-        sets = self.texts_of(asked, few).select("key", "stars", "text").mapInArrow(_packed(self.size), kind)
+        sets = self.texts_of(asked).select("key", "stars", "text").mapInArrow(_packed(self.size), kind)
         members = sets.select("key", F.explode("stars").alias("star"), "shingles").select("star.*", "key", "shingles")
         order = ["a", "salt"]
         return members.repartition(*order).sortWithinPartitions(*order, "is_b").mapInArrow(_verified(percent), "a long, b long").distinct()
@@ -297,9 +293,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links, scratch, "components")
     still = scratch.keep(_still_apart(shared, labels, corpus, percent), "apart")
     scratch.drop("shared", "pairs", "links")
-    for i in range(STAR_ROUNDS + 1):
-        named = _mixed(still, labels)
-        pairs = scratch.keep(_other_pairs(named, i, percent) if i < STAR_ROUNDS else _all_pairs(named, percent), f"pairs-{i}")
+    for i, which in enumerate((_other_pairs, _all_pairs)):
+        pairs = scratch.keep(which(_mixed(still, labels), percent), f"pairs-{i}")
         more = scratch.keep(corpus.links(pairs, percent), f"links-{i}")
         if not more.isEmpty():
             ends = more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
@@ -430,11 +425,12 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (F.col(f"{x}.component") != F.col(f"{y}.component")) & enough & _alike(x, y, percent)
 
 
-def _other_pairs(named: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each set of a bucket with a pivot that the signature picks, if the two may link."""
+def _other_pairs(named: DataFrame, percent: int) -> DataFrame:
+    """Each set of a bucket with OTHER_PIVOTS pivots that the signature picks, if the two may link."""
     columns = ["key", "component", "n", "c", "bits"]
-    picked = named.groupBy("signature").agg(F.min_by(F.struct(*columns), F.xxhash64("signature", "key", F.lit(turn))).alias("p"))
-    x, y = named.alias("x"), picked.select("signature", "p.*").alias("y")
+    least = [F.min_by(F.struct(*columns), F.xxhash64("signature", "key", F.lit(turn))) for turn in range(OTHER_PIVOTS)]
+    picked = named.groupBy("signature").agg(F.array(*least).alias("pivots"))
+    x, y = named.alias("x"), picked.select("signature", F.explode(F.array_distinct("pivots")).alias("p")).select("signature", "p.*").alias("y")
     met = x.join(y, (F.col("x.signature") == F.col("y.signature")) & _may_link("x", "y", percent))
     return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
