@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import channels, jobs, kernels, metadata, stats, tiles
-from tessera.sources import arrays, catalog
+from tessera.operators import channels, index, jobs, kernels, metadata, stats, tiles
+from tessera.sources import arrays, catalog, store
 
 #: Planes of the modalities that are photographs.
 RGB = ["R", "G", "B"]
@@ -110,17 +110,19 @@ class ImagingDataset:
         """(label, code) of the tissues' labels, in order of first appearance."""
         if self.label is None:
             raise ValueError("the dataset has no label")
-        return metadata.label_codes(self._placed(self.tissues()), self.label)
+        return metadata.label_codes(self._placed(), self.label)
 
-    def _placed(self, tissues: DataFrame) -> DataFrame:
-        return tissues if "pos" in tissues.columns else tissues.withColumn("pos", F.col("tissue_id"))
+    def _placed(self) -> DataFrame:
+        """The tissues with `pos`, their place in the table: by its files' names, then their rows."""
+        rows = catalog.placed(catalog.tissues(self.spark, self.root, self.name))
+        return metadata.filtered(rows, self.split, self.label, self.keep, self.change, self.modality)
 
     def cells(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.name}/metadata/cells.parquet")
 
     def patients(self) -> DataFrame:
-        """(patient_id, tissue_ids), tissues of a patient in order of their ids."""
-        return metadata.patients(self._placed(self.tissues()))
+        """(patient_id, tissue_ids), tissues of a patient in order of the table."""
+        return metadata.patients(self._placed())
 
     @functools.cached_property
     def channel_table(self) -> DataFrame:
@@ -182,10 +184,19 @@ class ImagingDataset:
         if tissue is not None:
             chosen = chosen.where(F.col("tissue_id") == tissue)
         planes = sorted(r["plane"] for r in chosen.select("plane").distinct().collect())  # as many as there are channels
-        raw = arrays.zarr_pixels(self.spark, self.images, planes, window, [tissue] if tissue is not None else None)
-        rows = raw.withColumnRenamed("store", "tissue_id").join(chosen, ["tissue_id", "plane"]).withColumnRenamed("channel_name", "channel").drop("plane", "uniprot_id")
+        rows = self._stored(planes, window, tissue).join(chosen, ["tissue_id", "plane"]).withColumnRenamed("channel_name", "channel").drop("plane", "uniprot_id")
         return self._normalized(rows) if preprocess else rows
 
+    def _stored(self, planes: list[int], window: tuple[int, int, int, int] | None, tissue: str | None) -> DataFrame:
+        """(tissue_id, plane, y, x, value): tasks read the stores by themselves where they reach them, else Spark lists the files."""
+        if not store.reachable(self.images):
+            return arrays.zarr_pixels(self.spark, self.images, planes, window, [tissue] if tissue is not None else None).withColumnRenamed("store", "tissue_id")
+        rows = store.pixels(self.spark, self.images).where(F.col("plane").isin(planes))
+        if window is not None:
+            y, x, h, w = window
+            rows = rows.where((F.col("y") >= y) & (F.col("y") < y + h) & (F.col("x") >= x) & (F.col("x") < x + w))
+        return rows if tissue is None else rows.where(F.col("tissue_id") == tissue)
+
     def _filtered(self, rows: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
         """rows with values filtered: the plane of each key meets in one row, as a neighbourhood needs."""
         each = kernels.as_planes(rows, keys, y, x)
@@ -230,7 +241,10 @@ class ImagingDataset:
         """Statistics of the tissue pixels, written where a dataset with such a spec looks for them."""
         names = [r["channel_name"] for r in self.channel_table.orderBy("channel_pos").select("channel_name").collect()]
         folder = f"{self.folder}/{catalog.resolution_dir(self.resolution)}"
-        return jobs.compute_statistics(self.masked_pixels(), folder, names, upper, lower, overwrite=overwrite, **how)
+        # a name that comes again has the statistics of its first measured channel
+        first = self.selected_channels(preprocess=False).groupBy("tissue_id", F.col("channel_name").alias("channel")).agg(F.min("channel_pos").alias("channel_pos"))
+        pixels = self.masked_pixels().join(first, ["tissue_id", "channel", "channel_pos"], "left_semi")
+        return jobs.compute_statistics(pixels, folder, list(dict.fromkeys(names)), upper, lower, overwrite=overwrite, **how)
 
     def cell_mask(self, kind: str = "instances") -> DataFrame:
         """Labelled pixels of cells; tasks come with the names of their labels."""
@@ -246,6 +260,8 @@ class ImagingDataset:
 
     @functools.cached_property
     def _sizes(self) -> DataFrame:
+        if store.reachable(self.images):
+            return store.shapes(self.spark, self.images)
         shapes = arrays.zarr_shapes(self.spark, self.images)
         return shapes.select(F.col("store").alias("tissue_id"), *[F.col("shape")[i].alias(n) for i, n in enumerate("chw")])
 
@@ -259,32 +275,32 @@ class ImagingDataset:
         return self.spark.read.parquet(path.replace("_coordinates.parquet", "_stats.parquet"))
 
     def tile_at(self, tissue: str, row: int, col: int, kind: str = "complete", preprocess: bool = True) -> DataFrame:
-        """(tissue_id, tile_id, channel, dy, dx, value) of a tile; zeros fill it up unless the strategy is default.
+        """(tissue_id, tile_id, channel, channel_pos, dy, dx, value) of a tile; zeros fill it up unless the strategy is default.
 
         Outside of the image are zeros before values are normalized, as a reader of a padded tile has it.
         """
         size = self.tile_size
-        at = self.spark.createDataFrame([(tissue, 0, row, col)], "tissue_id string, tile_id int, row int, col int")
-        rows = self._values(tissue, kind, (row, col, size, size), False)
-        chosen = self.selected_channels(kind, preprocess=preprocess).where(F.col("tissue_id") == tissue).select("channel_pos", F.col("channel_name").alias("channel"))
-        rows = rows.join(chosen.select("channel"), "channel", "left_semi")
-        held = rows.select(F.lit(tissue).alias("tissue_id"), F.lit(0).alias("tile_id"), "channel", (F.col("y") - row).alias("dy"), (F.col("x") - col).alias("dx"), "value")
+        chosen = self.selected_channels(kind, preprocess=preprocess).where(F.col("tissue_id") == tissue).select("tissue_id", "channel_pos", F.col("channel_name").alias("channel"))
+        rows = self._values(tissue, kind, (row, col, size, size), False).join(chosen.select("channel_pos"), "channel_pos", "left_semi")
+        held = rows.select("channel_pos", (F.col("y") - row).alias("dy"), (F.col("x") - col).alias("dx"), "value")
         if self.strategy != "default":
             steps = F.sequence(F.lit(0), F.lit(size - 1))
-            full = at.select("tissue_id", "tile_id").join(chosen.select("channel")).select("*", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
-            held = full.join(held, ["tissue_id", "tile_id", "channel", "dy", "dx"], "left").na.fill(0.0, ["value"])
+            full = chosen.select("channel_pos").select("*", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
+            held = full.join(held, ["channel_pos", "dy", "dx"], "left").na.fill(0.0, ["value"])
+        held = held.join(chosen, "channel_pos").withColumn("tile_id", F.lit(0))
         if preprocess:
-            held = self._normalized(held.join(chosen, "channel")).drop("channel_pos")
+            held = self._normalized(held)
             if self.filters:
-                held = self._filtered(held, ["tissue_id", "tile_id", "channel"], "dy", "dx")
-        return held
+                held = self._filtered(held, ["tissue_id", "tile_id", "channel", "channel_pos"], "dy", "dx")
+        return held.select("tissue_id", "tile_id", "channel", "channel_pos", "dy", "dx", "value")
 
     def _normalized(self, rows: DataFrame) -> DataFrame:
+        """rows(tissue_id, channel_pos, channel, value, ...) normalized by the place of their channel, not by its name."""
         if self.rgb:
             return rows.withColumn("value", stats.rgb_preprocess(F.col("value"), F.col("channel_pos"), self.preset))
         if not self.spec:
             return rows
-        known = rows.join(self._statistics().drop("channel_pos"), ["tissue_id", "channel"])
+        known = rows.join(self._statistics().drop("channel"), ["tissue_id", "channel_pos"])
         z = stats.transform_named(self.spec)(F.col("value"), F.col("lower"), F.col("upper"))
         return known.withColumn("value", (z - F.col("mean")) / (F.col("std") + stats.EPSILON) if self.z_score else z).drop("upper", "lower", "mean", "std")
 
@@ -359,9 +375,16 @@ class ComposedDataset:
         """(tissue_id, modalities) in the order of the modalities."""
         return metadata.modalities(self.tissues(), list(self.datasets))
 
+    def _placed(self) -> DataFrame:
+        """(tissue_id, patient_id, pos): each tissue once, at its first place in the table."""
+        first = next(iter(self.datasets.values()))
+        rows = metadata.filtered(catalog.placed(catalog.tissues(self.spark, self.root, self.name)), first.split)
+        rows = rows.where(F.col("modality").isin(list(self.datasets)))
+        return rows.groupBy("tissue_id", "patient_id").agg(F.min("pos").alias("pos"))
+
     def patients(self) -> DataFrame:
-        rows = self.tissues().select("patient_id", "tissue_id").distinct()
-        return metadata.patients(rows.withColumn("pos", F.col("tissue_id")))
+        """(patient_id, tissue_ids), tissues of a patient in order of the table."""
+        return metadata.patients(self._placed())
 
     def _modalities_of(self, tissue: str) -> list[str]:
         found = self.tissue_modalities().where(F.col("tissue_id").cast("string") == str(tissue)).first()
@@ -378,9 +401,13 @@ class ComposedDataset:
         return self._together(tissue, lambda d: d.pixels(tissue, kind, preprocess=preprocess))
 
     def tile(self, tissue: str, ordinal: int, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
-        """(modality, tissue_id, tile_id, channel, dy, dx, value) of a tile in all modalities of a tissue."""
+        """(modality, tissue_id, tile_id, channel, channel_pos, dy, dx, value) of a tile in all modalities of a tissue."""
         return self._together(tissue, lambda d: d.tile(tissue, ordinal, kind, preprocess))
 
+    def tile_at(self, tissue: str, row: int, col: int, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
+        """The same of the tile at a row and column."""
+        return self._together(tissue, lambda d: d.tile_at(tissue, row, col, kind, preprocess))
+
     def patient(self, patient: object, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame | None:
         """All tissues of a patient, each with all of its modalities; None for an unknown patient."""
         found = metadata.of_patient(self.patients(), patient).first()
@@ -407,6 +434,7 @@ class Cohort:
     settings: dict[str, dict] = field(default_factory=dict)
     dataset_settings: dict[str, dict[str, dict]] = field(default_factory=dict)
     unit: str | None = None
+    stored: index.StoredIndex | None = None
 
     def __post_init__(self) -> None:
         if not self.datasets:
@@ -436,26 +464,42 @@ class Cohort:
         return metadata.tissue_index({name: d.tissue_modalities() for name, d in self.members.items()})
 
     def tile_index(self) -> DataFrame:
-        """Tiles of all datasets that have coordinates, with a dense global_tile_id."""
+        """Tiles of all datasets that have coordinates, with a dense global_tile_id: by dataset as given, then by place in the file."""
         parts = []
-        for name, d in self.members.items():
+        for place, (name, d) in enumerate(self.members.items()):
             path = catalog.coords_path(self.root, name, self.resolution, self.strategy, self.tile_size)
             if catalog.exists(self.spark, path):
-                rows = metadata.of_dataset(tiles.validated(self.spark.read.parquet(path)), d.tissues())
-                parts.append(rows.select(F.lit(name).alias("dataset_name"), "tissue_id", "tile_id", "row", "col"))
+                rows = metadata.of_dataset(catalog.placed(tiles.validated(self.spark.read.parquet(path))), d.tissues())
+                parts.append(rows.select(F.lit(place).alias("place"), "pos", F.lit(name).alias("dataset_name"), "tissue_id", "tile_id", "row", "col"))
         if not parts:
             raise FileNotFoundError(f"no dataset has tiles of {self.tile_size} by {self.strategy} at {self.resolution}")
-        return metadata.tile_index(functools.reduce(DataFrame.unionByName, parts))
+        return self._numbered(functools.reduce(DataFrame.unionByName, parts), "global_tile_id")
+
+    def _numbered(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows(place, pos, ...) numbered from 0 by place of the dataset, then place in the table; blocks of rows bound each sort."""
+        blocks = rows.withColumns({"file": F.col("pos.file"), "block": F.floor(F.col("pos.row") / index.BLOCK)})
+        return index.numbered(blocks, ["place", "file", "block"], ["pos"], name).drop("place", "pos", "file", "block")
 
     def index(self) -> DataFrame:
-        """The units' index, with a dense global_id from 0."""
+        """The units' index, with a dense global_id from 0 in the order of the datasets given."""
         if self.unit == "tiles":
             return self.tile_index().withColumnRenamed("global_tile_id", "global_id")
-        each = metadata.tile_index(self.tissue_index().withColumn("tile_id", F.lit(0)))
-        return each.drop("tile_id", "place").withColumnRenamed("global_tile_id", "global_id")
+        parts = [
+            d.tissue_modalities().join(d._placed().groupBy("tissue_id").agg(F.min("pos").alias("pos")), "tissue_id")
+            .select(F.lit(place).alias("place"), "pos", F.lit(name).alias("dataset_name"), F.col("tissue_id").cast("string").alias("tissue_id"), "modalities")
+            for place, (name, d) in enumerate(self.members.items())
+        ]
+        return self._numbered(functools.reduce(DataFrame.unionByName, parts), "global_id")
+
+    def store_index(self, path: str, overwrite: bool = False) -> index.StoredIndex:
+        """The index written once to a folder; `at`, `random`, `draws` and `size` use it from then on, and read the files they need only."""
+        self.stored = index.StoredIndex(self.spark, path)
+        if overwrite or not self.stored.there():
+            self.stored.write(self.index())
+        return self.stored
 
     def size(self) -> int:
-        return self.index().count()
+        return self.stored.size() if self.stored else self.index().count()
 
     def per_dataset(self) -> DataFrame:
         """(dataset_name, n) units."""
@@ -463,16 +507,16 @@ class Cohort:
 
     def at(self, index: int, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
         """The unit with a global id, read in all its modalities; negative ones count from the end."""
-        rows = self.index()
-        wanted = index if index >= 0 else rows.count() + index
-        found = rows.where(F.col("global_id") == wanted).first()
+        wanted = index if index >= 0 else self.size() + index
+        found = (self.stored.at(wanted) if self.stored else self.index().where(F.col("global_id") == wanted)).first() if wanted >= 0 else None
         if found is None:
             raise IndexError(f"no unit {index}")
         return self._read(found, kind, preprocess)
 
     def _read(self, unit, kind: str, preprocess: bool) -> DataFrame:
         d = self.members[unit["dataset_name"]]
-        rows = d.tile(unit["tissue_id"], unit["tile_id"], kind, preprocess) if self.unit == "tiles" else d.tissue(unit["tissue_id"], kind, preprocess)
+        tissue = unit["tissue_id"]
+        rows = d.tile_at(tissue, unit["row"], unit["col"], kind, preprocess) if self.unit == "tiles" else d.tissue(tissue, kind, preprocess)
         return rows.select(F.lit(unit["dataset_name"]).alias("dataset_name"), "*")
 
     def sample(self, n: int, seed: int) -> DataFrame:
@@ -483,9 +527,11 @@ class Cohort:
 
     def draws(self, n: int, seed: int) -> DataFrame:
         """n units drawn with replacement, reproducibly, with the number of the draw."""
+        if self.stored:
+            return self.stored.draws(n, seed)
         return metadata.sample_with_replacement(self.index(), n, seed, "global_id")
 
     def random(self, seed: int, draw: int = 0, kind: str = "uniprot_filtered", preprocess: bool = True) -> DataFrame:
         """One unit drawn by seed and number of the draw, read in all its modalities."""
-        unit = metadata.sample_with_replacement(self.index(), 1, seed * STRIDE + draw, "global_id").first()
+        unit = self.draws(1, seed * STRIDE + draw).first()
         return self._read(unit, kind, preprocess)

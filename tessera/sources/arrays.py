@@ -1,4 +1,4 @@
-"""Image planes and masks from array stores: .npz files and Zarr v2 groups without blosc.
+"""Image planes and masks from array stores: .npz files and Zarr v2 groups.
 
 A file or a chunk is a row that Spark deals out; numpy only decodes it. What is asked for
 (stores, planes, a window) becomes a pattern of chunk names, so other chunks are neither
@@ -8,20 +8,18 @@ listed for reading nor opened.
 from __future__ import annotations
 
 import functools
-import gzip
 import io
-import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 from tessera.sources import catalog
+from tessera.sources.layout import decoded
 
 #: Metadata files that are read at once.
 READERS = 16
@@ -114,18 +112,6 @@ def zarr_shapes(spark: SparkSession, folder: str, stores: list[str] | None = Non
     )
 
 
-def _decoded(data: bytes, codec: str | None) -> bytes:
-    if codec in (None, ""):
-        return data
-    if codec == "zlib":
-        return zlib.decompress(data)
-    if codec == "gzip":
-        return gzip.decompress(data)
-    if codec == "zstd":
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    raise NotImplementedError(f"no decoder for codec {codec!r}")
-
-
 def chunk_numbers(n: int, chunk: int, first: int = 0, size: int | None = None) -> list[int]:
     """Numbers along one axis of the chunks that hold [first, first + size) of n."""
     last = n if size is None else min(n, first + size)
@@ -226,7 +212,7 @@ def zarr_pixels(spark: SparkSession, folder: str, planes: list[int] | None = Non
                 if r["content"] is None:
                     values = np.full(size, float(r["fill"]))
                 else:
-                    values = np.frombuffer(_decoded(r["content"], r["codec"]), kind).reshape(size, order=r["order"])
+                    values = np.frombuffer(decoded(r["content"], r["codec"]), kind).reshape(size, order=r["order"])
                 begin = [a * n for a, n in zip(r["at"], size, strict=True)]
                 low, high = list(begin), [min(b + n, s) for b, n, s in zip(begin, size, r["shape"], strict=True)]
                 if window is not None:

@@ -108,9 +108,14 @@ def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
     fs, at = _path(spark, path)
     made = f"{path}.writing-{uuid.uuid4().hex}"
     df.write.parquet(made)
-    fs.delete(at, True)
+    aside = _path(spark, f"{made}.before")[1]
+    before = fs.exists(at) and fs.rename(at, aside)  # never without one of the two
     if not fs.rename(_path(spark, made)[1], at):
+        if before:
+            fs.rename(aside, at)
         raise OSError(f"can't put {made} in the place of {path}")
+    if before:
+        fs.delete(aside, True)
 
 
 def text_of(spark: SparkSession, path: str) -> str:
@@ -186,6 +191,11 @@ def tissues(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{dataset}/metadata/tissues.parquet")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """A table's rows with `pos`, their place in it: (file, row), by its files' names and their rows."""
+    return rows.withColumn("pos", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 #: Statistics files by the column that they fill.
 STATISTICS = {"upper": "upper_quantiles", "lower": "lower_quantiles", "mean": "means", "std": "stds"}
 

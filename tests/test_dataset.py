@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import dataset
 from tessera.dataset import Cohort, ComposedDataset, ImagingDataset, register_modality
-from tessera.operators import inventory, kernels
+from tessera.operators import index, inventory, kernels
 from tessera.sources import collections
 
 MULTI = {"t1": 2, "t2": 3}
@@ -75,8 +75,12 @@ def test_pixels_of_measured_channels(spark, root):
     assert [r.tissue_ids for r in d.patients().collect()] == [["t1", "t2"]]
     assert (d.tissues().count(), d.tissues("all").count()) == (2, 4)
     assert d.channel_labels("t2") == ["CD3"] and d.channel_labels("t1") == ["DAPI", "CD8"]
-    opened = {f.rsplit("/", 1)[1] for f in d.pixels(kind="uniprot_filtered").inputFiles() if ".zarr/" in f}
-    assert opened == {"1.0.0"}  # only the plane of CD3
+    for name in ("0.0.0", "2.0.0"):  # only the plane of CD3 is opened
+        file = pathlib.Path(root, "d1/imc/1_0mpp/images/t2.ome.zarr/0", name)
+        data = file.read_bytes()
+        file.write_bytes(b"unreadable")
+        assert d.pixels("t2", "uniprot_filtered").count() == 30
+        file.write_bytes(data)
 
 
 def test_standardized_pixels_and_masked_statistics(spark, tiled):
@@ -222,3 +226,73 @@ def test_inventory_of_folders(spark, tiled):
     assert inventory.drill_down(tables, "d2", "he")["modalities"].count() == 1
     assert collections.channels(spark, tiled, ["d2"]).select("dm", "qc_display").distinct().count() == 2
     assert collections.load(spark, tiled, ["none"])["datasets"].collect() == []
+
+
+# Repeated channel names, orders of tables and cohorts, stored indices
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """A dataset whose channels DAPI, CD3, CD3 have planes of their own, and rows in no order of their ids."""
+    top = tmp_path_factory.mktemp("repeated")
+    for name, ids in (("zeta", ["t9", "t1", "t5"]), ("alpha", ["t3", "t2"])):
+        base = top / name
+        rows = [(t, f"p{len(t) % 2}", "imc", label) for t, label in zip(ids, ["late", "early", "late"], strict=False)]
+        spark.createDataFrame(rows, "tissue_id string, patient_id string, modality string, grade string").coalesce(1).write.parquet(str(base / "metadata/tissues.parquet"))
+        spark.createDataFrame([(0, "DAPI"), (1, "CD3"), (2, "CD3")], "index int, channel_name string").coalesce(1).write.parquet(str(base / "imc/channels.parquet"))
+        masks = base / "segmentations/1_0mpp/tissue_masks"
+        masks.mkdir(parents=True)
+        for t in ids:
+            store(base / f"imc/1_0mpp/images/{t}.ome.zarr/0", multiplex(3))
+            np.savez(masks / f"{t}.npz", mask=np.ones((5, 6)))
+        coords = [(t, i, 0, c) for t in ids for i, c in ((9, 2), (5, 1))]
+        spark.createDataFrame(coords, "tissue_id string, tile_id int, row int, col int").coalesce(1).write.parquet(str(base / "tiling/1_0mpp/grid/4_tile_coordinates.parquet"))
+    return str(top)
+
+
+def test_repeated_channel_names_keep_their_planes(spark, repeated):
+    d = ImagingDataset(spark, repeated, "zeta", "imc", strategy="grid", tile_size=4)
+    d.compute_statistics(0.9, overwrite=True)
+    image = multiplex(3)
+    spec = ImagingDataset(spark, repeated, "zeta", "imc", spec="quantile_clipping/uq_0.9_image", z_score=False, strategy="grid", tile_size=4)
+    got = {(r.channel_pos, r.y, r.x): r.value for r in spec.pixels("t1").collect()}
+    assert len(got) == 90 == spec.pixels("t1").count()
+    bound = np.quantile(image[1], 0.9)  # of the first CD3, for both
+    assert got[2, 4, 5] == pytest.approx(1) and got[1, 0, 1] == pytest.approx(image[1, 0, 1] / bound, rel=1e-6)
+    tile = spec.tile_at("t1", 1, 1)
+    assert tile.count() == 48 and len({(r.channel_pos, r.dy, r.dx) for r in tile.collect()}) == 48
+    raw = {(r.channel_pos, r.dy, r.dx): r.value for r in d.tile_at("t1", 3, 4, preprocess=False).collect()}
+    assert len(raw) == 48 and raw[2, 0, 0] == image[2, 3, 4] and raw[1, 1, 1] == image[1, 4, 5] and raw[1, 2, 0] == 0
+
+
+def test_labels_patients_and_cohorts_follow_the_tables(spark, repeated):
+    d = ImagingDataset(spark, repeated, "zeta", "imc", label="grade")
+    assert {r.grade: r.code for r in d.label_codes().collect()} == {"late": 0, "early": 1}
+    assert [r.tissue_ids for r in d.patients().collect()] == [["t9", "t1", "t5"]]
+    cohort = Cohort(spark, repeated, ["zeta", "alpha"], ["imc"])
+    assert [(r.dataset_name, r.tissue_id) for r in cohort.index().orderBy("global_id").collect()] == [("zeta", "t9"), ("zeta", "t1"), ("zeta", "t5"), ("alpha", "t3"), ("alpha", "t2")]
+    assert [r.tissue_ids for r in cohort.dataset("alpha").patients().collect()] == [["t3", "t2"]]
+
+
+def test_stored_index_is_read_by_number(spark, repeated, tmp_path):
+    cohort = Cohort(spark, repeated, ["zeta", "alpha"], ["imc"], strategy="grid", tile_size=4)
+    want = [(n, t, i) for n, ids in (("zeta", ["t9", "t1", "t5"]), ("alpha", ["t3", "t2"])) for t in ids for i in (9, 5)]
+    assert [(r.dataset_name, r.tissue_id, r.tile_id) for r in cohort.index().orderBy("global_id").collect()] == want
+    before = {r.draw: (r.dataset_name, r.tissue_id, r.tile_id) for r in cohort.draws(20, 3).collect()}
+    stored = index.StoredIndex(spark, str(tmp_path / "index"))
+    stored.write(cohort.index(), file_rows=3)
+    assert cohort.store_index(str(tmp_path / "index")).size() == cohort.size() == 10
+    assert stored.manifest.count() == 4 and stored.manifest.agg(F.max(F.expr("last - first"))).first()[0] <= 3
+    row = stored.at(7)
+    assert [(r.dataset_name, r.tissue_id, r.tile_id) for r in row.collect()] == [want[7]]
+    plan = row._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and len(row.inputFiles()) == 1 and "PushedFilters: [IsNotNull(global_id), EqualTo(global_id,7)]" in plan
+    assert {r.draw: (r.dataset_name, r.tissue_id, r.tile_id) for r in cohort.draws(20, 3).collect()} == before
+    image = multiplex(3)
+    got = {(r.channel_pos, r.dy, r.dx): r.value for r in cohort.at(1, "complete").collect()}
+    assert len(got) == 48 and got[2, 1, 1] == image[2, 1, 2]  # tile 5 of t9, at column 1, whatever the ids
+    assert {r.tissue_id for r in cohort.at(-1, "complete").collect()} == {"t2"}
+    for wrong in (10, -11):
+        with pytest.raises(IndexError):
+            cohort.at(wrong)
+    assert stored.at(99).collect() == [] == stored.numbers([]).collect()
