@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import channels, index, jobs, kernels, metadata, stats, tiles
+from tessera.operators import channels, index, jobs, kernels, metadata, runs, stats, stencil, tiles
 from tessera.sources import arrays, catalog, store
 
 #: Planes of the modalities that are photographs.
@@ -198,7 +198,9 @@ class ImagingDataset:
         return rows if tissue is None else rows.where(F.col("tissue_id") == tissue)
 
     def _filtered(self, rows: DataFrame, keys: list[str], y: str = "y", x: str = "x") -> DataFrame:
-        """rows with values filtered: the plane of each key meets in one row, as a neighbourhood needs."""
+        """rows with values filtered: in chunks with a halo, or whole planes for filters whose reach isn't known."""
+        if all(name in stencil.REACH for name, _ in self.filters):
+            return stencil.filter_pixels(rows, keys, self.filters, y, x)
         each = kernels.as_planes(rows, keys, y, x)
         return kernels.as_pixels(kernels.apply_filters(each, self.filters, "h", "w"), keys, y, x)
 
@@ -223,6 +225,15 @@ class ImagingDataset:
         folder = self._masks_folder()
         return arrays.masks_or_full(arrays.masks(self.spark, folder), arrays.mask_sizes(self.spark, folder), self.sizes())
 
+    def mask_runs(self) -> DataFrame:
+        """The same as runs (tissue_id, y, x0, x1)."""
+        folder = self._masks_folder()
+        return arrays.runs_or_full(arrays.mask_runs(self.spark, folder), arrays.mask_sizes(self.spark, folder), self.sizes())
+
+    def valid_ratios(self) -> DataFrame:
+        """The tiles' coordinates with the share of tissue of each, and its grade."""
+        return runs.valid_ratio(self.mask_runs(), self.coords(), self.tile_size)
+
     def extents(self) -> DataFrame:
         """(tissue_id, h, w) of the masks, or of the images without one."""
         known = arrays.mask_sizes(self.spark, self._masks_folder())
@@ -235,7 +246,7 @@ class ImagingDataset:
 
     def masked_pixels(self) -> DataFrame:
         """Raw pixels of all measured channels that are tissue, which statistics are computed from."""
-        return self.pixels(preprocess=False).join(self.mask(), ["tissue_id", "y", "x"], "left_semi")
+        return runs.masked(self.pixels(preprocess=False), self.mask_runs())
 
     def compute_statistics(self, upper: float = 0.99, lower: float | None = None, overwrite: bool = False, **how) -> list[str]:
         """Statistics of the tissue pixels, written where a dataset with such a spec looks for them."""

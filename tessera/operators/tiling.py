@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,8 @@ from tessera.sources.arrays import decoded_mask
 
 #: What a greedy cover tells of each tile, and of its tissue in each of the tissue's rows.
 TILE = "tile_id int, row int, col int, valid int, gain int, stop_reason string, covered long, total long, candidates int, h int, w int"
+#: Rows of an image that are summed at once.
+STRIP = 256
 # Why a cover stopped, as the statistics files have it.
 GRID_COMPLETE, EMPTY, NO_GAIN, ADAPTIVE, MOST, EXHAUSTED = "fixed_grid_complete", "empty_mask", "no_gain", "adaptive_stop", "max_tiles", "candidates_exhausted"
 
@@ -115,11 +118,15 @@ def _starts(n: int, tile: int, stride: int) -> np.ndarray:
 
 
 def _window_sums(values: np.ndarray, rows: np.ndarray, cols: np.ndarray, tile: int) -> np.ndarray:
-    """Sums of tile x tile windows, from prefix sums."""
-    sums = np.zeros((values.shape[0] + 1, values.shape[1] + 1), np.int64)
-    sums[1:, 1:] = values.cumsum(0).cumsum(1)
-    r, c = np.ix_(rows, cols)
-    return sums[r + tile, c + tile] - sums[r, c + tile] - sums[r + tile, c] + sums[r, c]
+    """Sums of tile x tile windows, from prefix sums of a strip of the image at a time along its rows, then of the windows' columns downwards."""
+    down = np.zeros((len(values) + 1, len(cols)), np.int64)
+    for top in range(0, len(values), STRIP):
+        part = values[top : top + STRIP]
+        sums = np.zeros((len(part), values.shape[1] + 1), np.int32)
+        np.cumsum(part, axis=1, out=sums[:, 1:])
+        down[top + 1 : top + 1 + len(part)] = sums[:, cols + tile] - sums[:, cols]
+    np.cumsum(down, axis=0, out=down)
+    return down[rows + tile] - down[rows]
 
 
 class Cover(NamedTuple):
@@ -142,39 +149,36 @@ def greedy_cover(mask: np.ndarray, tile: int, stride: int, tolerance: float, goa
     rows, cols = _starts(h, tile, stride), _starts(w, tile, stride)
     valid = _window_sums(open_pixels, rows, cols, tile)
     able = (valid > 0) & (valid / tile**2 >= 1 - tolerance)
-    gains = np.where(able, valid, -1)
-    chosen, covered, least, candidates = [], 0, int(np.ceil(min_gain * tile**2)), int(able.sum())
-    while (gains >= 0).any():
-        i, j = np.unravel_index(int(gains.argmax()), gains.shape)
-        gain = int(gains[i, j])
+    # gains only fall, so the top of the heap is the largest one if it is up to date; ties go to the first in order
+    heap = [(-int(valid[i, j]), int(i), int(j)) for i, j in zip(*np.nonzero(able), strict=True)]
+    heapq.heapify(heap)
+    old, gone = np.zeros(able.shape, bool), np.zeros(able.shape, bool)
+    chosen, covered, least, candidates = [], 0, int(np.ceil(min_gain * tile**2)), len(heap)
+    while heap:
+        gain, i, j = -heap[0][0], heap[0][1], heap[0][2]
+        row, col = int(rows[i]), int(cols[j])
+        if gone[i, j]:
+            heapq.heappop(heap)
+            continue
+        if old[i, j]:
+            old[i, j] = False
+            heapq.heapreplace(heap, (-int(np.count_nonzero(open_pixels[row : row + tile, col : col + tile])), i, j))
+            continue
         if gain <= 0:
             return Cover(chosen, NO_GAIN, covered, candidates)
         if (goal >= 1 or covered / total >= goal) and gain < least:
             return Cover(chosen, ADAPTIVE, covered, candidates)
-        row, col = int(rows[i]), int(cols[j])
+        heapq.heappop(heap)
         chosen.append((row, col, int(valid[i, j]), gain))
         covered += gain
-        near_r = np.flatnonzero(np.abs(rows - row) < tile)
-        near_c = np.flatnonzero(np.abs(cols - col) < tile)
         open_pixels[row : row + tile, col : col + tile] = False
-        near = np.ix_(near_r, near_c)
-        if overlap:
-            gains[near] = np.where(gains[near] >= 0, _window_sums_of(open_pixels, rows[near_r], cols[near_c], tile), -1)
-        else:
-            gains[near] = -1
-        gains[i, j] = -1
+        near = (slice(*np.searchsorted(rows, (row - tile + 1, row + tile))), slice(*np.searchsorted(cols, (col - tile + 1, col + tile))))
+        (old if overlap else gone)[near] = True
         if max_tiles is not None and len(chosen) >= max_tiles:
             return Cover(chosen, MOST, covered, candidates)
     return Cover(chosen, EXHAUSTED, covered, candidates)
 
 
-def _window_sums_of(values: np.ndarray, rows: np.ndarray, cols: np.ndarray, tile: int) -> np.ndarray:
-    """Window sums from the part of the image that the windows touch."""
-    top, left = int(rows.min()), int(cols.min())
-    part = values[top : int(rows.max()) + tile, left : int(cols.max()) + tile]
-    return _window_sums(part, rows - top, cols - left, tile)
-
-
 class Greedy(NamedTuple):
     """How tiles are chosen: each the first with the largest gain, until what stops it."""
 

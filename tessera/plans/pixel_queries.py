@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import channels as ch
-from tessera.operators import kernels, stats
+from tessera.operators import kernels, stats, stencil
 from tessera.sources import roles
 
 SPEC = {"clip": "quantile_clipping", "log1p": "quantile_clipping_log1p"}
@@ -83,11 +83,19 @@ def quantiles_wide_pivot(spark, sf_dir):
     return wide.select("tissue_id", *[r6(c) for c in CHANNELS])
 
 
+def _usable(spark, sf_dir) -> DataFrame:
+    """(tissue_id, channel_pos) of channels whose pixels, the prices of a part from a supplier, have usable statistics."""
+    px = roles.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tissue_id"), F.col("l_partkey").alias("channel"), F.col("l_extendedprice").alias("value"))
+    bounds = stats.quantiles(px, "image", 0.99, 0.01)
+    both = bounds.join(stats.moments(px, bounds, "image", "image"), ["tissue_id", "channel"])
+    usable = stats.valid_stats(F.col("upper"), F.col("lower"), F.col("mean"), F.col("std"))
+    return both.where(usable).select("tissue_id", F.col("channel").alias("channel_pos"))
+
+
 def _channels(kind: str, valid: bool = False):
     def query(spark, sf_dir):
         measured = roles.channels_per_tissue(spark, sf_dir)
-        good = measured.where((F.col("tissue_id") + F.col("channel_pos")) % 3 != 0) if valid else None
-        return ch.select(measured, roles.channels(spark, sf_dir), kind, good)
+        return ch.select(measured, roles.channels(spark, sf_dir), kind, _usable(spark, sf_dir) if valid else None)
 
     return query
 
@@ -150,10 +158,19 @@ def rgb_composite(spark, sf_dir):
 
 
 def planes_and_back(spark, sf_dir):
-    """Part of each plane as a rectangle, blurred, and as pixels again."""
-    part = roles.planes(spark, sf_dir).where("y between 2 and 6 and x between 1 and 5")
-    blurred = kernels.apply_filters(kernels.as_planes(part, ["plane_id"]), [("median", {"size": 1})], "h", "w")
-    return kernels.as_pixels(blurred, ["plane_id"]).withColumn("value", F.round("value", 5))
+    """Planes that begin at offsets of their own, as rectangles, their medians, and as pixels again."""
+    moved = roles.planes(spark, sf_dir).select("plane_id", (F.col("y") + F.col("plane_id") % 5).cast("int").alias("y"), (F.col("x") + 20).alias("x"), "value")
+    medians = kernels.apply_filters(kernels.as_planes(moved, ["plane_id"]), [("median", {})], "h", "w")
+    return kernels.as_pixels(medians, ["plane_id"]).withColumn("value", F.round("value", 5))
+
+
+def _chunked(name: str, **more):
+    def query(spark, sf_dir):
+        """Planes cut into chunks of 4 x 4 that are filtered with their halos."""
+        made = stencil.filter_pixels(roles.planes(spark, sf_dir), ["plane_id"], [(name, more)], chunk=4)
+        return made.withColumn("value", F.round("value", 5))
+
+    return query
 
 
 QUERIES = {
@@ -183,6 +200,8 @@ QUERIES = {
     "rgb_preprocess": rgb_preprocess,
     "median_3x3": _filtered("median"),
     "gaussian_3x3": _filtered("gaussian"),
+    "median_3x3_chunks": _chunked("median"),
+    "gaussian_3x3_chunks": _chunked("gaussian"),
     "percentile_stretch": percentile_stretch,
     "marker_overlay": marker_overlay,
 }
@@ -272,7 +291,13 @@ ORACLES = {
     "channels_complete": sql(_CHOSEN),
     "channels_qc_filtered": sql(_CHOSEN + " WHERE coalesce(c.qc_pass, false)"),
     "channels_uniprot_filtered": sql(_CHOSEN + f" WHERE coalesce(c.qc_pass, false) AND {_UNIPROT}"),
-    "channels_refined": sql(_CHOSEN + f" WHERE coalesce(c.qc_pass, false) AND {_UNIPROT} AND (m.tissue_id + m.channel_pos) % 3 <> 0"),
+    "channels_refined": sql(
+        ", px AS (SELECT l_suppkey AS tissue_id, l_partkey AS channel_pos, l_extendedprice AS value FROM lineitem),"
+        " pq AS (SELECT tissue_id, channel_pos, quantile_cont(value, 0.99) AS upper, quantile_cont(value, 0.01) AS lower FROM px GROUP BY ALL),"
+        " pz AS (SELECT tissue_id, channel_pos, upper, (least(greatest(value, lower), upper) - lower) / (upper - lower + 1e-8) AS z FROM px JOIN pq USING (tissue_id, channel_pos)),"
+        " good AS (SELECT tissue_id, channel_pos FROM pz GROUP BY tissue_id, channel_pos HAVING max(upper) > 0 AND stddev_pop(z) > 0)"
+        + _CHOSEN + f" JOIN good g ON g.tissue_id = m.tissue_id AND g.channel_pos = m.channel_pos WHERE coalesce(c.qc_pass, false) AND {_UNIPROT}"
+    ),
     "channel_lists": sql(
         ", chosen AS (SELECT t.tissue_id, c.* FROM channels_per_tissue t JOIN channels c USING (channel_pos) WHERE coalesce(c.qc_pass, false) AND " + _UNIPROT + ")"
         " SELECT tissue_id, string_agg(channel_name, '|' ORDER BY channel_pos) AS channel_names, string_agg(uniprot_id, '|' ORDER BY channel_pos) AS uniprot_ids FROM chosen GROUP BY tissue_id"
@@ -290,6 +315,10 @@ ORACLES = {
     "percentile_stretch": sql(_LEVELS + " SELECT plane_id, y, x, level FROM levels"),
     "single_marker": sql(_LEVELS + " SELECT plane_id // 3 AS image_id, y, x, level AS red, level AS green, level AS blue FROM levels WHERE plane_id % 3 = 1"),
     "rgb_composite": sql(_LEVELS + " SELECT plane_id // 2 AS image_id, y, x, max(level) FILTER (plane_id % 2 = 0) AS red, max(level) FILTER (plane_id % 2 = 1) AS green, max(level) FILTER (plane_id % 2 = 1) AS blue FROM levels GROUP BY ALL"),
-    "planes_and_back": sql(" SELECT plane_id, y, x, round(value, 5) AS value FROM planes WHERE y BETWEEN 2 AND 6 AND x BETWEEN 1 AND 5"),
+    "planes_and_back": sql(
+        _NEAR + " SELECT f.plane_id, CAST(f.y + f.plane_id % 5 AS INT) AS y, CAST(f.x + 20 AS INT) AS x, round(quantile_cont(p.value, 0.5), 5) AS value"
+        " FROM full_planes f JOIN planes p ON p.plane_id = f.plane_id AND p.y = f.ny AND p.x = f.nx GROUP BY f.plane_id, f.y, f.x"
+    ),
     "marker_overlay": sql(_LEVELS + f" SELECT plane_id // 3 AS image_id, y, x, {_color(0)} AS red, {_color(1)} AS green, {_color(2)} AS blue FROM levels GROUP BY ALL"),
 }
+ORACLES |= {f"{name}_chunks": ORACLES[name] for name in ("median_3x3", "gaussian_3x3")}

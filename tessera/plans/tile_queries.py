@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metadata, tiles, tiling
+from tessera.operators import index, metadata, runs, summed, tiles, tiling
 from tessera.sources import roles
 
 TILE, STRIDE, TOLERANCE = 10, 8, 0.7
@@ -67,6 +67,53 @@ def rect_sums(spark, sf_dir):
     return total.groupBy("tissue_id").agg(F.sum(sign * F.col("total")).alias("pixels"))
 
 
+def integral_image_blocks(spark, sf_dir):
+    return summed.integral_image(roles.mask(spark, sf_dir), block=8)
+
+
+def rect_sums_blocks(spark, sf_dir):
+    """Pixels of rectangles that parts lay over the tissues of their suppliers, some beyond the borders."""
+    mask = roles.mask(spark, sf_dir)
+    extents = tiling.sizes(mask)
+    laid = roles.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tissue_id"), F.col("l_partkey").alias("rect_id")).distinct()
+    y0, x0 = (F.col("rect_id") % 47 - 3).cast("int"), (F.col("rect_id") % 29 - 2).cast("int")
+    laid = laid.withColumns({"y0": y0, "x0": x0, "y1": (y0 + 1 + F.col("rect_id") % 13).cast("int"), "x1": (x0 + 1 + F.col("rect_id") % 17).cast("int")})
+    found = summed.rect_sums(laid, summed.summed_areas(mask, extents, 8), extents, 8)
+    return found.select("tissue_id", "rect_id", "pixels")
+
+
+def _runs(spark, sf_dir):
+    return runs.of_pixels(roles.mask(spark, sf_dir))
+
+
+def mask_runs(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+def grid_tiles_runs(spark, sf_dir):
+    return runs.grid_tiles(_runs(spark, sf_dir), TILE, STRIDE, TOLERANCE)
+
+
+def tile_valid_ratio_runs(spark, sf_dir):
+    r = runs.valid_ratio(_runs(spark, sf_dir), _tiles(spark, sf_dir), TILE)
+    return r.select("tissue_id", "tile_id", F.round("valid_ratio", 6).alias("valid_ratio"), "grade")
+
+
+def masked_pixels_runs(spark, sf_dir):
+    """Items whose place, moved by their number, is tissue of their supplier."""
+    items = roles.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("tissue_id"), (F.col("l_quantity").cast("int") - 1).alias("y"), (F.dayofmonth("l_shipdate") - 1 + F.col("l_linenumber") % 3).alias("x"), "l_orderkey", "l_linenumber"
+    )
+    return runs.masked(items, _runs(spark, sf_dir), 4).select("l_orderkey", "l_linenumber")
+
+
+def cohort_index_in_order(spark, sf_dir):
+    """Tiles numbered by cohort in an order of its own, then tissue and tile."""
+    names = roles.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tissue_id"), (25 - F.col("s_nationkey")).alias("place"), F.concat(F.lit("cohort_"), F.col("s_nationkey").cast("string")).alias("dataset_name"))
+    made = index.numbered(_tiles(spark, sf_dir).join(names, "tissue_id"), ["place", "tissue_id"], ["tile_id"])
+    return made.select("global_id", "dataset_name", "tissue_id", "tile_id", "row", "col")
+
+
 def candidate_starts(spark, sf_dir):
     starts = tiling.candidate_starts(F.col("p_size"), 7, 4)
     return roles.table(spark, sf_dir, "part").select("p_partkey", F.array_join(starts, ",").alias("starts"))
@@ -141,6 +188,13 @@ QUERIES = {
     "in_bounds_tiles": in_bounds_tiles,
     "integral_image": integral_image,
     "rect_sums": rect_sums,
+    "integral_image_blocks": integral_image_blocks,
+    "rect_sums_blocks": rect_sums_blocks,
+    "mask_runs": mask_runs,
+    "grid_tiles_runs": grid_tiles_runs,
+    "tile_valid_ratio_runs": tile_valid_ratio_runs,
+    "masked_pixels_runs": masked_pixels_runs,
+    "cohort_index_in_order": cohort_index_in_order,
     "candidate_starts": candidate_starts,
     "point_in_tile": point_in_tile,
     "tile_crop_padded": tile_crop_padded,
@@ -246,3 +300,16 @@ ORACLES = {
     "tile_by_ordinal": sql(' SELECT tissue_id, tile_id, "row", "col" FROM tiles WHERE tile_id = 3'),
     "tile_lists": sql(""" SELECT tissue_id, string_agg(tile_id || ':' || "row" || ':' || "col", ' ' ORDER BY tile_id) AS tiles FROM tiles GROUP BY tissue_id"""),
 }
+ORACLES |= {
+    "integral_image_blocks": ORACLES["integral_image"],
+    "grid_tiles_runs": ORACLES["grid_tiles"],
+    "tile_valid_ratio_runs": ORACLES["tile_valid_ratio"],
+    "rect_sums_blocks": sql(""", laid AS (SELECT DISTINCT l_suppkey AS tissue_id, l_partkey AS rect_id FROM lineitem),
+        rects AS (SELECT *, rect_id % 47 - 3 AS y0, rect_id % 29 - 2 AS x0, rect_id % 47 - 2 + rect_id % 13 AS y1, rect_id % 29 - 1 + rect_id % 17 AS x1 FROM laid)
+        SELECT r.tissue_id, r.rect_id, count(m.y) AS pixels FROM rects r LEFT JOIN mask m ON m.tissue_id = r.tissue_id AND m.y >= y0 AND m.y < y1 AND m.x >= x0 AND m.x < x1 GROUP BY ALL"""),
+    "mask_runs": sql(" SELECT tissue_id, y, CAST(min(x) AS INT) AS x0, CAST(max(x) + 1 AS INT) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY tissue_id, y ORDER BY x) AS k FROM mask) GROUP BY tissue_id, y, k"),
+    "masked_pixels_runs": sql(""" SELECT l_orderkey, l_linenumber FROM lineitem JOIN mask m ON m.tissue_id = l_suppkey AND m.y = CAST(l_quantity AS INT) - 1
+        AND m.x = CAST(day(l_shipdate) AS INT) - 1 + l_linenumber % 3"""),
+    "cohort_index_in_order": sql(""", named AS (SELECT 'cohort_' || s_nationkey AS dataset_name, s_nationkey, t.* FROM tiles t JOIN supplier ON s_suppkey = tissue_id)
+        SELECT row_number() OVER (ORDER BY s_nationkey DESC, tissue_id, tile_id) - 1 AS global_id, dataset_name, tissue_id, tile_id, "row", "col" FROM named"""),
+}

@@ -56,6 +56,30 @@ def masks(spark: SparkSession, folder: str, labels: bool = False) -> DataFrame:
     return mask_files(spark, folder).mapInArrow(run, "tissue_id string, y int, x int" + (", label int" if labels else ""))
 
 
+def mask_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(tissue_id, y, x0, x1): the runs of non-zero pixels of <tissue>.npz files, found where a file is read."""
+
+    def run(batches):
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                tissue, mask = decoded_mask(path, data)
+                step = max(1, TOGETHER // max(1, mask.shape[1]))
+                for top in range(0, len(mask), step):
+                    inside = np.pad(mask[top : top + step] != 0, ((0, 0), (1, 1)))
+                    y, edges = np.nonzero(inside[:, 1:] != inside[:, :-1])
+                    y, x0, x1 = (y[::2] + top).astype(np.int32), edges[::2].astype(np.int32), edges[1::2].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([tissue] * len(y), pa.string()), *map(pa.array, (y, x0, x1))], ["tissue_id", "y", "x0", "x1"])
+
+    return mask_files(spark, folder).mapInArrow(run, "tissue_id string, y int, x0 int, x1 int")
+
+
+def runs_or_full(found: DataFrame, known: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Runs, and whole rows (h, w of sizes) for tissues without a mask file, which known(tissue_id) don't name."""
+    missing = sizes.join(known.select("tissue_id"), "tissue_id", "left_anti").where("h > 0 and w > 0")
+    full = missing.select("tissue_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), F.lit(0).alias("x0"), F.col("w").alias("x1"))
+    return found.unionByName(full)
+
+
 def mask_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """(tissue_id, h, w) of every mask file, empty masks too."""
 
