@@ -1,10 +1,10 @@
 """Operator 3: allow and block rules for URLs by a sort-merge range join.
 
-A host is written with its labels reversed (`com,example,www,`), so that a rule for a host
-and all its subdomains is an interval of such keys, and nested rules are nested intervals.
-Rules and URLs are dealt into the same ranges of keys; within a range, one sweep over the
-sorted keys keeps the stack of the rules whose intervals are open. Only the paths of the
-rules on the stack are then looked at.
+A host is written with its labels reversed (`com/example/www/`; no host holds a slash), so that a
+rule for a host and all its subdomains is an interval of such keys, and nested rules are nested
+intervals. Rules and URLs are dealt into the same ranges of keys; within a range, one sweep over the
+sorted keys keeps the stack of the hosts whose intervals are open. Each has its rules by path, so
+that a URL costs a look-up for each open host and length of its paths, however many they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,27 @@ def path_of(url: Column) -> Column:
 
 
 def reversed_host(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
+
+
+class _Host:
+    """The rules of one host whose interval is open."""
+
+    def __init__(self, key: str):
+        self.key, self.rules, self.lengths = key, {}, []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        self.rules[path] = (rule, verdict)
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+    def longest(self, path: str) -> tuple[int, int, str, str] | None:
+        """(length of the rule, length of the host's key, rule, verdict) of the longest path that `path` begins with."""
+        for n in self.lengths:
+            found = self.rules.get(path[:n]) if n <= len(path) else None
+            if found:
+                return len(found[0]), len(self.key), *found
+        return None
 
 
 def _sweep(rows: list[str]):
@@ -45,14 +65,15 @@ def _sweep(rows: list[str]):
             for i, (b, key, kind) in enumerate(zip(columns["bucket"], columns["key"], columns["kind"], strict=True)):
                 if b != bucket:
                     bucket, stack = b, []
-                while stack and not key.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1].key):
                     stack.pop()
                 if kind == 0:
-                    stack.append((key, columns["path"][i], columns["rule"][i], columns["verdict"][i]))
+                    if not stack or stack[-1].key != key:
+                        stack.append(_Host(key))
+                    stack[-1].add(columns["path"][i], columns["rule"][i], columns["verdict"][i])
                     continue
                 path = columns["path"][i]
-                fitting = [s for s in stack if path.startswith(s[1])]
-                best = max(fitting, key=lambda s: (len(s[2]), len(s[0]), s[2]), default=None)
+                best = max((f for f in (host.longest(path) for host in stack) if f), default=None)
                 urls.append(i)
                 rules.append(best and best[2])
                 verdicts.append(best and best[3])

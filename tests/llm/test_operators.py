@@ -260,6 +260,30 @@ def test_decontamination_in_several_passes_and_on_odd_rows(spark, monkeypatch):
 # URL rules
 
 
+def test_url_rules_of_hosts_with_commas_and_odd_signs(spark):
+    rules = [("com", "/en/", "block"), ("a,b.com", "/", "block"), ("a", "/x", "block"), ("com,evil", "/y", "block")]
+    urls = {
+        "http://com,evil/en/x": None, "http://com,a/en/": None, "http://x.com,evil/y": "com,evil/y", "http://com/en/x": "com/en/", "http://b.com/zz": None, "http://m.a,b.com/zz": "a,b.com/",
+        "http://b.com,a/en/": None, "http://a,/x": None, "http://,a/x": None, "http://..a/x": "a/x", "http://com-x/en/": None, "http://com!/en/": None, "http://!.com/en/": "com/en/", "http://com\x00/en/": None,
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, "http://com/en/"), (None, None)], "page_id long, url string")
+    got = url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted((r.url or "", r.rule or "") for r in got) == sorted([(u, r or "") for u, r in urls.items()] + [("http://com/en/", "com/en/"), ("", "")])
+
+
+def test_many_rules_of_one_host_and_very_long_urls(spark):
+    rules = [("big.com", "/" + "d/" * (i % 7) + str(i), "block") for i in range(10_000)] + [("com", "/", "allow")]
+    urls = ["http://m.big.com/" + "d/" * (i % 7) + str(i) + "x" * (i % 3) for i in range(0, 10_000, 11)] + ["http://big.com/" + "y" * 300_000, "http://" + "z." * 50_000 + "com/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    known = {h + p for h, p, _ in rules}
+    for i, url in enumerate(urls[:-2]):
+        path = url.removeprefix("http://m.big.com")
+        want = max((path[:n] for n in range(len(path) + 1) if "big.com" + path[:n] in known), key=len)
+        assert got[i] == "big.com" + want
+    assert (got[len(urls) - 2], got[len(urls) - 1]) == ("com/", "com/")
+
+
 def test_url_rules_equal_brute_force(spark):
     rng = random.Random(5)
     hosts = ["com", "a.com", "b.a.com", "xa.com", "net", "a.net", ""]
