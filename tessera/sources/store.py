@@ -24,8 +24,8 @@ from tessera.sources.layout import Layout, read_layout
 NAME = "tessera_store"
 PIXELS = "tissue_id string, plane int, y int, x int, value double"
 SHAPES = "tissue_id string, c int, h int, w int"
-#: A store's chunks are dealt to so many tasks, while there are no more stores than MANY; more stores share tasks.
-SLICES, MANY = 8, 2000
+#: Tasks of a read unless it is told: few stores are dealt out in slices, many share tasks.
+TASKS = 200
 #: Pixels in one batch of rows.
 TOGETHER = 1 << 20
 #: Where Arrow's file systems reach.
@@ -100,7 +100,7 @@ class StoreReader(DataSourceReader):
         self.shapes = options.get("rows", "pixels") == "shapes"
         self.level = int(options.get("level", 0))
         self.axes = options.get("axes")
-        self.slices = 1 if self.shapes else int(options.get("slices", SLICES))
+        self.tasks = int(options.get("tasks", TASKS))
         self.fixed = {a: int(options.get(a, 0)) for a in "tz"}
         self.bounds = Bounds()
 
@@ -119,9 +119,10 @@ class StoreReader(DataSourceReader):
             paths = [f"{folder}/{t}{end}" for t in sorted(t for t in wanted if t) for end in (".ome.zarr", ".zarr")]
             found = files.get_file_info(paths) if paths else []
         names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.endswith(".zarr"))
-        if len(names) > MANY:
-            return [Stores(names[i::MANY]) for i in range(MANY)]
-        return [Stores([n], i, self.slices) for n in names for i in range(self.slices)] or [Stores([])]
+        if self.shapes or len(names) >= self.tasks:
+            return [Stores(names[i :: self.tasks]) for i in range(min(len(names), self.tasks))] or [Stores([])]
+        slices = -(-self.tasks // max(1, len(names)))
+        return [Stores([n], i, slices) for n in names for i in range(slices)] or [Stores([])]
 
     def read(self, partition: Stores) -> Iterator[pa.RecordBatch]:
         files, folder = opened(self.folder)
@@ -166,7 +167,7 @@ class StoreSource(DataSource):
 
     Options: `rows` (`shapes` gives tissue_id, c, h, w instead), `level` (0), `axes` (letters of t, c,
     z, y, x, where stores neither name theirs nor have a usual order), `t` and `z` (0, the place along
-    those axes), `slices` (tasks a store is dealt to). A missing chunk has the store's fill value, and
+    those axes), `tasks` (about so many, each with some stores or a slice of one's chunks). A missing chunk has the store's fill value, and
     no rows if it has none.
     """
 
@@ -190,7 +191,8 @@ def register(spark: SparkSession) -> None:
 
 def pixels(spark: SparkSession, folder: str, **options) -> DataFrame:
     register(spark)
-    return spark.read.format(NAME).options(**options).load(folder)
+    tasks = str(4 * spark.sparkContext.defaultParallelism)
+    return spark.read.format(NAME).options(**{"tasks": tasks, **options}).load(folder)
 
 
 def shapes(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,7 +101,7 @@ def test_layouts_give_the_same_pixels(spark, tmp_path, version, axes, codec):
     image = np.arange(3 * 9 * 7, dtype="<i2").reshape(3, 9, 7)
     written(tmp_path / "t1.ome.zarr", image, axes, version, codec, name="full" if version == 3 else "0")
     want = {(c, y, x): float(image[c, y, x]) for c in range(3) for y in range(9) for x in range(7)}
-    assert pixels_of(store.pixels(spark, str(tmp_path), slices=3)) == want
+    assert pixels_of(store.pixels(spark, str(tmp_path), tasks=3)) == want
     some = store.pixels(spark, f"file://{tmp_path}").where("tissue_id = 't1' and plane in (0, 2) and y > 2 and y <= 6 and x = 5")
     assert pixels_of(some) == {k: v for k, v in want.items() if k[0] != 1 and 2 < k[1] <= 6 and k[2] == 5}
     assert [tuple(r) for r in store.shapes(spark, str(tmp_path)).collect()] == [("t1", 3, 9, 7)]
@@ -134,16 +134,15 @@ def test_filters_leave_other_stores_and_chunks_closed(spark, tmp_path):
     assert store.pixels(spark, str(tmp_path / "nowhere")).collect() == []
 
 
-def test_many_stores_share_tasks_and_few_are_sliced(tmp_path, monkeypatch):
+def test_many_stores_share_tasks_and_few_are_sliced(tmp_path):
     for i in range(30):
         (tmp_path / f"t{i}.zarr").mkdir()
     (tmp_path / "notes").mkdir()
-    reader = store.StoreReader({"path": str(tmp_path), "slices": "2"})
-    assert len(reader.partitions()) == 60
-    monkeypatch.setattr(store, "MANY", 4)
-    parts = reader.partitions()
-    assert sorted(n for p in parts for n in p.names) == sorted(f"t{i}.zarr" for i in range(30))
-    assert (len(parts), {p.slices for p in parts}) == (4, {1})
+    few = store.StoreReader({"path": str(tmp_path), "tasks": "60"}).partitions()
+    assert sorted((p.names[0], p.slice, p.slices) for p in few) == sorted((f"t{i}.zarr", k, 2) for i in range(30) for k in range(2))
+    many = store.StoreReader({"path": str(tmp_path), "tasks": "4"}).partitions()
+    assert sorted(n for p in many for n in p.names) == sorted(f"t{i}.zarr" for i in range(30))
+    assert (len(many), {p.slices for p in many}) == (4, {1})
 
 
 def test_missing_chunks_and_nothing_to_fill_them(spark, tmp_path):
