@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Adaptive execution, UTC times and filter pushdown into the Python sources.
+#: Adaptive execution, UTC times and filter pushdown into the data source of array stores.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
