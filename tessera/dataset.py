@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import channels, index, jobs, kernels, metadata, runs, stats, stencil, tiles
+from tessera.operators import channels, index, jobs, kernels, metadata, runs, states, stats, stencil, tiles
 from tessera.sources import arrays, catalog, store
 
 #: Planes of the modalities that are photographs.
@@ -225,10 +225,11 @@ class ImagingDataset:
         folder = self._masks_folder()
         return arrays.masks_or_full(arrays.masks(self.spark, folder), arrays.mask_sizes(self.spark, folder), self.sizes())
 
-    def mask_runs(self) -> DataFrame:
-        """The same as runs (tissue_id, y, x0, x1)."""
+    def mask_runs(self, tissues: list[str] | None = None) -> DataFrame:
+        """The same as runs (tissue_id, y, x0, x1); of some tissues only their files are read."""
         folder = self._masks_folder()
-        return arrays.runs_or_full(arrays.mask_runs(self.spark, folder), arrays.mask_sizes(self.spark, folder), self.sizes())
+        sizes = self.sizes() if tissues is None else self.sizes().where(F.col("tissue_id").isin(tissues))
+        return arrays.runs_or_full(arrays.mask_runs(self.spark, folder, tissues), arrays.mask_sizes(self.spark, folder, tissues), sizes)
 
     def valid_ratios(self) -> DataFrame:
         """The tiles' coordinates with the share of tissue of each, and its grade."""
@@ -244,18 +245,45 @@ class ImagingDataset:
         files = arrays.mask_files(self.spark, self._masks_folder())
         return jobs.compute_tiling(self.mask(), f"{self.root}/{self.name}", self.resolution, self.tile_size, strategy, overwrite=overwrite, extents=self.extents(), files=files, **how)
 
-    def masked_pixels(self) -> DataFrame:
+    def masked_pixels(self, tissues: list[str] | None = None) -> DataFrame:
         """Raw pixels of all measured channels that are tissue, which statistics are computed from."""
-        return runs.masked(self.pixels(preprocess=False), self.mask_runs())
+        rows = self.pixels(preprocess=False)
+        if tissues is not None:
+            rows = rows.where(F.col("tissue_id").isin(tissues))
+        return runs.masked(rows, self.mask_runs(tissues))
 
-    def compute_statistics(self, upper: float = 0.99, lower: float | None = None, overwrite: bool = False, **how) -> list[str]:
-        """Statistics of the tissue pixels, written where a dataset with such a spec looks for them."""
+    def _measured_pixels(self, tissues: list[str] | None = None) -> tuple[DataFrame, str, list[str]]:
+        """Pixels to compute statistics from, the folder that they go to, and the channels' names."""
         names = [r["channel_name"] for r in self.channel_table.orderBy("channel_pos").select("channel_name").collect()]
         folder = f"{self.folder}/{catalog.resolution_dir(self.resolution)}"
         # a name that comes again has the statistics of its first measured channel
         first = self.selected_channels(preprocess=False).groupBy("tissue_id", F.col("channel_name").alias("channel")).agg(F.min("channel_pos").alias("channel_pos"))
-        pixels = self.masked_pixels().join(first, ["tissue_id", "channel", "channel_pos"], "left_semi")
-        return jobs.compute_statistics(pixels, folder, list(dict.fromkeys(names)), upper, lower, overwrite=overwrite, **how)
+        pixels = self.masked_pixels(tissues).join(first, ["tissue_id", "channel", "channel_pos"], "left_semi")
+        return pixels, folder, list(dict.fromkeys(names))
+
+    def compute_statistics(self, upper: float = 0.99, lower: float | None = None, overwrite: bool = False, **how) -> list[str]:
+        """Statistics of the tissue pixels, written where a dataset with such a spec looks for them."""
+        pixels, folder, names = self._measured_pixels()
+        return jobs.compute_statistics(pixels, folder, names, upper, lower, overwrite=overwrite, **how)
+
+    @property
+    def pixel_counts(self) -> states.PixelCounts:
+        """The counts of values that update_statistics keeps beside the images."""
+        return states.PixelCounts(self.spark, f"{self.folder}/{catalog.resolution_dir(self.resolution)}/value_counts")
+
+    def update_statistics(self, upper: float = 0.99, lower: float | None = None, **how) -> list[str]:
+        """The same files, of all tissues so far: images and masks of tissues that came since the last time are read, those before aren't.
+
+        A tissue without a tissue pixel leaves no count, and so is looked at again.
+        """
+        counts = self.pixel_counts
+        known = counts.tissues()
+        # names of tissues, as many as came since; none is named the first time
+        new = None if known.isEmpty() else [r[0] for r in self.tissues().select(F.col("tissue_id").cast("string").alias("tissue_id")).distinct().join(known, "tissue_id", "left_anti").collect()]
+        pixels, folder, names = self._measured_pixels(new)
+        if new is None or new:
+            counts.add(pixels)
+        return jobs.update_statistics(counts, folder, names, upper, lower, **how)
 
     def cell_mask(self, kind: str = "instances") -> DataFrame:
         """Labelled pixels of cells; tasks come with the names of their labels."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import stats, tiling
+from tessera.operators import states, stats, tiling
 from tessera.sources import catalog
 
 
@@ -24,9 +24,21 @@ def write_new(tables: dict[str, DataFrame], overwrite: bool = False) -> list[str
 
 def compute_statistics(pixels: DataFrame, root: str, channels: list[str], upper: float = 0.99, lower: float | None = None, quantile_level: str = "image", stats_level: str = "image", method: str = "quantile_clipping", overwrite: bool = False) -> list[str]:
     """Quantiles, then means and deviations of the clipped pixels, a wide file for each."""
-    folder = f"{root}/standardization/{catalog.spec_dir(method, upper, lower, quantile_level)}"
     bounds = stats.quantiles(pixels, quantile_level, upper, lower)
     found = stats.moments(pixels, bounds, quantile_level, stats_level, method)
+    return _write_statistics(bounds, found, root, channels, upper, lower, quantile_level, stats_level, method, overwrite)
+
+
+def update_statistics(counts: states.PixelCounts, root: str, channels: list[str], upper: float = 0.99, lower: float | None = None, quantile_level: str = "image", stats_level: str = "image", method: str = "quantile_clipping") -> list[str]:
+    """The same files from the counts that there are, in the place of those from fewer tissues."""
+    held = counts.table()
+    bounds = states.quantiles(held, quantile_level, upper, lower)
+    found = states.moments(held, bounds, quantile_level, stats_level, method)
+    return _write_statistics(bounds, found, root, channels, upper, lower, quantile_level, stats_level, method, True)
+
+
+def _write_statistics(bounds: DataFrame, found: DataFrame, root: str, channels: list[str], upper: float, lower: float | None, quantile_level: str, stats_level: str, method: str, overwrite: bool) -> list[str]:
+    folder = f"{root}/standardization/{catalog.spec_dir(method, upper, lower, quantile_level)}"
 
     def wide(df: DataFrame, value: str, level: str) -> DataFrame:
         if level == "image":

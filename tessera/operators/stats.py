@@ -39,22 +39,26 @@ def quantiles(pixels: DataFrame, level: str, upper: float = 0.99, lower: float |
 RANGES = 64
 
 
-def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: float | None = None) -> DataFrame:
+def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: float | None = None, weight: str | None = None) -> DataFrame:
     """The same exact quantiles, for few large groups (channels): no task sees all of one.
 
+    `weight` names the column that says how many pixels a row stands for.
+
     Approximate quantiles cut a group's values into ranges, and counts by range say which
     ones hold the wanted ranks; only the values of those are counted one by one and put in
     order. Each step is a scan with partial aggregation; between them travel a row for each
     group and range, and the distinct values of two or four ranges.
     """
-    rows = pixels.select(*keys, finite(F.col("value").cast("double")).alias("value"))
+    several = [] if weight is None else [F.col(weight).alias("weight")]
+    held_by = F.count("*") if weight is None else F.sum("weight")
+    rows = pixels.select(*keys, finite(F.col("value").cast("double")).alias("value"), *several)
     groups = rows.select(*keys).groupBy(*keys).agg(F.lit(1).alias("some"))
     rows = rows.where("value is not null")
     steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("value", steps, RANGES * 20).alias("cuts"))
     # A row for each group, of which there are as many as channels.
     located = rows.join(F.broadcast(cuts), keys).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
-    counts = located.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    counts = located.groupBy(*keys, "range").agg(held_by.alias("n"))
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(*keys))})
 
@@ -65,7 +69,7 @@ def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: flo
     ranked = placed.withColumns(ends)
     held = functools.reduce(Column.__or__, [(F.col(e) >= F.col("before")) & (F.col(e) < F.col("before") + F.col("n")) for e in ends])
     wanted = ranked.where(held).drop("n")
-    few = located.join(F.broadcast(wanted), [*keys, "range"]).groupBy(*keys, "range", "value", "before", "total", *ends).agg(F.count("*").alias("n"))
+    few = located.join(F.broadcast(wanted), [*keys, "range"]).groupBy(*keys, "range", "value", "before", "total", *ends).agg(held_by.alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("value"))
     ordered = few.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
     found = ordered.groupBy(*keys, "total").agg(*[F.max(F.when((F.col(e) >= F.col("from")) & (F.col(e) < F.col("upto")), F.col("value"))).alias(e) for e in ends])

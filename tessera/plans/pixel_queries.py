@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import channels as ch
-from tessera.operators import kernels, stats, stencil
+from tessera.operators import kernels, states, stats, stencil
 from tessera.sources import roles
 
 SPEC = {"clip": "quantile_clipping", "log1p": "quantile_clipping_log1p"}
@@ -54,6 +54,19 @@ def stats_4way_levels(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def counted_stats_levels(spark, sf_dir):
+    """Statistics of all levels from counts of values: one scan of the pixels, whose counts all of them share."""
+    counts = states.counted(foreground(spark, sf_dir))
+    parts = []
+    for q in stats.LEVELS:
+        bounds = states.quantiles(counts, q)
+        for s in stats.LEVELS:
+            m = states.moments(counts, bounds, q, s)
+            tissue = F.col("tissue_id") if s == "image" else F.lit(None).cast("string")
+            parts.append(m.select(F.lit(q).alias("quantile_level"), F.lit(s).alias("stats_level"), tissue.cast("long").alias("tissue_id"), "channel", r6("mean"), r6("std"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _standardized(how: str):
     def query(spark, sf_dir):
         px = foreground(spark, sf_dir)
@@ -184,6 +197,7 @@ QUERIES = {
     "global_stats_clip": _moments("global", "global", "clip"),
     "global_stats_log1p": _moments("global", "global", "log1p"),
     "stats_4way_levels": stats_4way_levels,
+    "counted_stats_levels": counted_stats_levels,
     "standardize_pixels": _standardized("clip"),
     "standardize_log1p": _standardized("log1p"),
     "large_image_stats": large_image_stats,
@@ -322,3 +336,4 @@ ORACLES = {
     "marker_overlay": sql(_LEVELS + f" SELECT plane_id // 3 AS image_id, y, x, {_color(0)} AS red, {_color(1)} AS green, {_color(2)} AS blue FROM levels GROUP BY ALL"),
 }
 ORACLES |= {f"{name}_chunks": ORACLES[name] for name in ("median_3x3", "gaussian_3x3")}
+ORACLES["counted_stats_levels"] = ORACLES["stats_4way_levels"]

@@ -19,6 +19,7 @@ CHANNELS = ["DAPI", "CD3", "CD8", "KI67"]
 #: Rows and columns of a chunk, and of a tile.
 CHUNK, TILE = 5, 4
 SPEC = "quantile_clipping/uq_0.99_image"
+GROWN = "quantile_clipping/uq_0.9_lq_0.1_global"
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -94,6 +95,16 @@ def store_standardized(spark, sf_dir):
     return _valued(_dataset(spark, sf_dir, spec=SPEC).pixels().select("tissue_id", "channel_pos", "y", "x", "value"))
 
 
+def store_grown_statistics(spark, sf_dir):
+    """Statistics from counts to which the tissues come in two batches, and all pixels standardized by what the files hold."""
+    d = _dataset(spark, sf_dir)
+    early = [r[0] for r in d.tissues().where("split = 'test'").select("tissue_id").collect()]
+    d.pixel_counts.add(d.masked_pixels(early), "early")
+    d.update_statistics(0.9, 0.1, quantile_level="global", stats_level="global")
+    grown = _dataset(spark, sf_dir, spec=GROWN, quantile_level="global", stats_level="global")
+    return _valued(grown.pixels().select("tissue_id", "channel_pos", "y", "x", "value"))
+
+
 def store_filtered(spark, sf_dir):
     return _valued(_dataset(spark, sf_dir, filters=[("median", {})]).pixels().select("tissue_id", "channel_pos", "y", "x", "value"))
 
@@ -134,6 +145,7 @@ QUERIES = {
     "store_masks": store_masks,
     "store_masked_pixels": store_masked_pixels,
     "store_standardized": store_standardized,
+    "store_grown_statistics": store_grown_statistics,
     "store_filtered": store_filtered,
     "store_tiles": store_tiles,
     "store_tile_stats": store_tile_stats,
@@ -166,6 +178,13 @@ ORACLES = {
         " FROM fg JOIN q USING (tissue_id, channel_pos) GROUP BY ALL)"
         " SELECT tissue_id, channel_pos, y, x, round((least(greatest(value, 0.0), upper) / (upper + 1e-8) - mean) / (std + 1e-8), 5) AS value FROM px JOIN s USING (tissue_id, channel_pos) WHERE upper > 0 AND std > 0"
     ),
+    "store_grown_statistics": sql(
+        ", fg AS (SELECT * FROM px SEMI JOIN m USING (tissue_id, y, x)),"
+        " q AS (SELECT channel_pos, quantile_cont(value, 0.9) AS upper, quantile_cont(value, 0.1) AS lower FROM fg GROUP BY ALL),"
+        " s AS (SELECT channel_pos, upper, lower, avg((least(greatest(value, lower), upper) - lower) / (upper - lower + 1e-8)) AS mean, stddev_pop((least(greatest(value, lower), upper) - lower) / (upper - lower + 1e-8)) AS std"
+        " FROM fg JOIN q USING (channel_pos) GROUP BY ALL)"
+        " SELECT tissue_id, channel_pos, y, x, round(((least(greatest(value, lower), upper) - lower) / (upper - lower + 1e-8) - mean) / (std + 1e-8), 5) AS value FROM px JOIN s USING (channel_pos)"
+    ),
     "store_filtered": sql(
         " SELECT f.tissue_id, f.channel_pos, f.y, f.x, round(quantile_cont(p.value, 0.5), 5) AS value FROM px f, (VALUES (-1), (0), (1)) d(dy), (VALUES (-1), (0), (1)) e(dx), px p"
         " WHERE p.tissue_id = f.tissue_id AND p.channel_pos = f.channel_pos AND p.y = 7 - abs(7 - abs(f.y + dy)) AND p.x = 7 - abs(7 - abs(f.x + dx)) GROUP BY f.tissue_id, f.channel_pos, f.y, f.x"

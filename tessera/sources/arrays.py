@@ -27,10 +27,15 @@ READERS = 16
 TOGETHER = 1 << 20
 
 
-def mask_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the <tissue>.npz files of a folder."""
+def mask_files(spark: SparkSession, folder: str, tissues: list[str] | None = None) -> DataFrame:
+    """(path, content) of the <tissue>.npz files of a folder, or of those of some tissues only."""
     ship_package(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).select("path", "content")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz")
+    if tissues is None:
+        return reader.load(folder).select("path", "content")
+    wanted = {f"{t}.npz" for t in tissues}
+    paths = [f"{folder}/{n}" for n, is_folder in catalog.children(spark, folder) if n in wanted and not is_folder]
+    return (reader.load(paths) if paths else reader.load(folder).where("false")).select("path", "content")
 
 
 def decoded_mask(path: str, data: bytes) -> tuple[str, np.ndarray]:
@@ -56,7 +61,7 @@ def masks(spark: SparkSession, folder: str, labels: bool = False) -> DataFrame:
     return mask_files(spark, folder).mapInArrow(run, "tissue_id string, y int, x int" + (", label int" if labels else ""))
 
 
-def mask_runs(spark: SparkSession, folder: str) -> DataFrame:
+def mask_runs(spark: SparkSession, folder: str, tissues: list[str] | None = None) -> DataFrame:
     """(tissue_id, y, x0, x1): the runs of non-zero pixels of <tissue>.npz files, found where a file is read."""
 
     def run(batches):
@@ -70,7 +75,7 @@ def mask_runs(spark: SparkSession, folder: str) -> DataFrame:
                     y, x0, x1 = (y[::2] + top).astype(np.int32), edges[::2].astype(np.int32), edges[1::2].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([tissue] * len(y), pa.string()), *map(pa.array, (y, x0, x1))], ["tissue_id", "y", "x0", "x1"])
 
-    return mask_files(spark, folder).mapInArrow(run, "tissue_id string, y int, x0 int, x1 int")
+    return mask_files(spark, folder, tissues).mapInArrow(run, "tissue_id string, y int, x0 int, x1 int")
 
 
 def runs_or_full(found: DataFrame, known: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def runs_or_full(found: DataFrame, known: DataFrame, sizes: DataFrame) -> DataFr
     return found.unionByName(full)
 
 
-def mask_sizes(spark: SparkSession, folder: str) -> DataFrame:
+def mask_sizes(spark: SparkSession, folder: str, tissues: list[str] | None = None) -> DataFrame:
     """(tissue_id, h, w) of every mask file, empty masks too."""
 
     def run(batches):
@@ -89,7 +94,7 @@ def mask_sizes(spark: SparkSession, folder: str) -> DataFrame:
             made = [pa.array([t for t, _ in found], pa.string()), *(pa.array([m.shape[i] for _, m in found], pa.int32()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(made, ["tissue_id", "h", "w"])
 
-    return mask_files(spark, folder).mapInArrow(run, "tissue_id string, h int, w int")
+    return mask_files(spark, folder, tissues).mapInArrow(run, "tissue_id string, h int, w int")
 
 
 def masks_or_full(found: DataFrame, known: DataFrame, sizes: DataFrame) -> DataFrame:
