@@ -1,7 +1,8 @@
 """The inventory of a folder of datasets: what its folders and small tables say, as DataFrames.
 
-Folders are listed by name, image stores counted without looking into them; tables are read
-by Spark, a column or two of each.
+Folders are listed by name, image stores counted without looking into them. Tasks walk the
+datasets' folders (walk); where they can't reach them, the driver lists them and Spark reads
+the tables, a column or two of each.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import inventory
-from tessera.sources import catalog
+from tessera.sources import catalog, store, walk
+from tessera.sources.walk import COORDINATES
 
-COORDINATES = "_tile_coordinates.parquet"
 EMPTY_CHANNELS = "dataset string, modality string, channel_index int, channel_name string, uniprot_id string, qc_pass boolean, description string, is_nuclear_marker boolean, channels_path string"
 LISTED = "dataset string, modality string, root string, resolution string, stores int, modality_path string"
 CROP_FILES = "dataset string, resolution string, tiling_method string, crop_file string, crop_size string, path string"
@@ -75,12 +76,32 @@ def _crops(spark: SparkSession, files: list[tuple]) -> DataFrame:
     return _union(parts, spark, f"{CROP_FILES}, tissues_with_crops long, num_crops long")
 
 
+def _wanted(spark: SparkSession, root: str, allow: list[str] | None) -> list[str]:
+    return [d for d in _folders(spark, root) if allow is None or d in allow]
+
+
+def _of_facts(facts: DataFrame, kind: str, schema: str, **columns) -> DataFrame:
+    """Facts of a kind with a schema's columns, some of which have other names among the facts."""
+    of = F.col("kind") == kind
+    names = [c.split() for c in schema.split(", ")]
+    return facts.where(of).select(*[(columns[c] if c in columns else F.col(c)).cast(t).alias(c) for c, t in names])
+
+
 def channels(spark: SparkSession, root: str, allow: list[str] | None = None) -> DataFrame:
     """The channel tables of all multiplex modalities with the derived columns of the channel inventory."""
+    wanted = _wanted(spark, root, allow)
+    if store.reachable(root):
+        return _channels_of(walk.facts(spark, root, wanted, channels_only=True))
+    return _channels_by_driver(spark, root, wanted)
+
+
+def _channels_of(facts: DataFrame) -> DataFrame:
+    return inventory.channel_inventory(_of_facts(facts, "channel", EMPTY_CHANNELS, channel_index=F.col("n"), channel_name=F.col("name"), channels_path=F.col("path")))
+
+
+def _channels_by_driver(spark: SparkSession, root: str, wanted: list[str]) -> DataFrame:
     parts = []
-    for dataset in _folders(spark, root):
-        if allow is not None and dataset not in allow:
-            continue
+    for dataset in wanted:
         for modality in inventory.MULTIPLEX:
             path = f"{root}/{dataset}/{modality}/channels.parquet"
             if not catalog.exists(spark, path):
@@ -95,15 +116,32 @@ def channels(spark: SparkSession, root: str, allow: list[str] | None = None) ->
     return inventory.channel_inventory(_union(parts, spark, EMPTY_CHANNELS))
 
 
+HEADS = "dataset string, metadata_modalities string, disk_roots string, metadata_path string"
+TISSUES = "dataset string, modality string, tissue_id string"
+
+
 def load(spark: SparkSession, root: str, allow: list[str] | None = None) -> dict[str, DataFrame]:
     """datasets, modalities, crops and specs of a folder of datasets, each in its order.
 
-    Datasets without a readable metadata table are left out; `allow` names those wanted.
+    Datasets without a readable metadata table are left out; `allow` names those wanted. The
+    folders are walked once, by the first action on one of the tables, which share what it found.
     """
+    wanted = _wanted(spark, root, allow)
+    return _tables(*(_by_tasks if store.reachable(root) else _by_driver)(spark, root, wanted))
+
+
+def _by_tasks(spark: SparkSession, root: str, wanted: list[str]) -> tuple[DataFrame, ...]:
+    found = walk.facts(spark, root, wanted).persist()
+    places = _of_facts(found, "level", LISTED, root=F.split("modality", "_")[0], resolution=F.col("level"), stores=F.col("n"), modality_path=F.col("path"))
+    crops = _of_facts(found, "crop", f"{CROP_FILES}, tissues_with_crops long, num_crops long", resolution=F.col("level"), tiling_method=F.col("method"), crop_file=F.col("name"), crop_size=F.regexp_replace("name", f"{COORDINATES}$", ""), tissues_with_crops=F.col("n"), num_crops=F.col("m"))
+    specs = _of_facts(found, "spec", SPECS, resolution=F.col("level"), spec=F.col("name"))
+    heads = _of_facts(found, "head", HEADS, metadata_modalities=F.col("name"), disk_roots=F.col("level"), metadata_path=F.col("path"))
+    return _of_facts(found, "tissue", TISSUES, tissue_id=F.col("name")), places, crops, specs, heads, _channels_of(found)
+
+
+def _by_driver(spark: SparkSession, root: str, wanted: list[str]) -> tuple[DataFrame, ...]:
     tissues, listed, crop_files, specs, heads = [], [], [], [], []
-    for dataset in _folders(spark, root):
-        if allow is not None and dataset not in allow:
-            continue
+    for dataset in wanted:
         rows = _tissues(spark, root, dataset)
         if rows is None:
             continue
@@ -125,12 +163,14 @@ def load(spark: SparkSession, root: str, allow: list[str] | None = None) -> dict
                 at = f"{base}/tiling/{level}/{method}"
                 crop_files += [(dataset, level, method, n, f"{at}/{n}") for n, _ in catalog.children(spark, at) if n.endswith(COORDINATES)]
 
-    every = _union(tissues, spark, "dataset string, modality string, tissue_id string")
-    places = spark.createDataFrame(listed, LISTED)
-    crops, spec_rows = _crops(spark, crop_files), spark.createDataFrame(specs, SPECS)
-    per_pair = inventory.modality_rows(places, channels(spark, root, allow), every, crops, spec_rows)
+    every = _union(tissues, spark, TISSUES)
+    places, spec_rows = spark.createDataFrame(listed, LISTED), spark.createDataFrame(specs, SPECS)
+    return every, places, _crops(spark, crop_files), spec_rows, spark.createDataFrame(heads, HEADS), _channels_by_driver(spark, root, wanted)
+
+
+def _tables(every: DataFrame, places: DataFrame, crops: DataFrame, specs: DataFrame, heads: DataFrame, channel_rows: DataFrame) -> dict[str, DataFrame]:
+    per_pair = inventory.modality_rows(places, channel_rows, every, crops, specs)
     per_pair = per_pair.join(places.select("dataset", "modality", "modality_path").distinct(), ["dataset", "modality"])
-    head = spark.createDataFrame(heads, "dataset string, metadata_modalities string, disk_roots string, metadata_path string")
-    head = head.join(every.groupBy("dataset").agg(F.count("*").alias("metadata_rows"), F.count_distinct("tissue_id").alias("unique_metadata_tissues")), "dataset", "left")
-    tables = {"datasets": inventory.dataset_summary(head, per_pair, crops, spec_rows), "modalities": per_pair, "crops": crops, "specs": spec_rows}
+    head = heads.join(every.groupBy("dataset").agg(F.count("*").alias("metadata_rows"), F.count_distinct("tissue_id").alias("unique_metadata_tissues")), "dataset", "left")
+    tables = {"datasets": inventory.dataset_summary(head, per_pair, crops, specs), "modalities": per_pair, "crops": crops, "specs": specs}
     return inventory.drill_down(tables)

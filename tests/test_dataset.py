@@ -8,6 +8,8 @@ import pathlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +230,36 @@ def test_inventory_of_folders(spark, tiled):
     assert collections.load(spark, tiled, ["none"])["datasets"].collect() == []
 
 
+def test_tasks_and_driver_find_the_same(spark, tiled, monkeypatch):
+    from tessera.sources import store
+
+    def everything():
+        tables = {**collections.load(spark, tiled), "channels": collections.channels(spark, tiled).orderBy("dataset", "modality", "channel_index")}
+        return {name: (df.dtypes, [r.asDict() for r in df.collect()]) for name, df in tables.items()}
+
+    by_tasks = everything()
+    monkeypatch.setattr(store, "reachable", lambda folder: False)
+    assert by_tasks == everything() and all(rows for _, rows in by_tasks.values())
+
+
+def test_many_datasets_are_walked_by_tasks(spark, tmp_path):
+    for i in range(60):
+        base = tmp_path / f"d{i:02}"
+        for name, table in (("metadata/tissues.parquet", {"tissue_id": [1, 2, 2], "modality": ["imc", None, "he"]}), ("imc/channels.parquet", {"channel_name": ["DAPI", None]}), ("tiling/0_5mpp/grid/8_tile_coordinates.parquet", {"tissue_id": ["1", None, "1"]})):
+            (base / name).parent.mkdir(parents=True)
+            pq.write_table(pa.table(table), base / name)
+    context = spark.sparkContext
+    context.setJobGroup("walk", "walk")
+    tables = collections.load(spark, f"file:{tmp_path}")
+    assert len(context.statusTracker().getJobIdsForGroup("walk")) == 0
+    rows = tables["crops"].collect()
+    assert [(r.crop_size, r.resolution, r.tissues_with_crops, r.num_crops) for r in rows] == [("8", "0_5mpp", 1, 3)] * 60
+    heads = tables["datasets"].collect()
+    assert [(r.dataset, r.metadata_modalities, r.metadata_rows, r.unique_metadata_tissues) for r in heads] == [(f"d{i:02}", "he, imc", 3, 2) for i in range(60)]
+    found = collections.channels(spark, str(tmp_path), ["d07"]).orderBy("channel_index").collect()
+    assert [(r.channel_index, r.channel_name) for r in found] == [(0, "DAPI"), (1, None)]
+
+
 # Repeated channel names, orders of tables and cohorts, stored indices
 
 
