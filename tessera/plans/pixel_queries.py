@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import user
 from tessera.operators import channels as ch
-from tessera.operators import kernels, states, stats, stencil
+from tessera.operators import kernels, metadata, states, stats, stencil
 from tessera.sources import roles
 
 SPEC = {"clip": "quantile_clipping", "log1p": "quantile_clipping_log1p"}
@@ -77,6 +79,22 @@ def _standardized(how: str):
     return query
 
 
+def own_transform(spark, sf_dir):
+    """Pixels standardized by a Python function of arrays, registered under a name of its own."""
+    user.register_transform("arcsinh_5", lambda value, lower, upper: np.arcsinh(np.minimum(value, upper) / 5))
+    px = foreground(spark, sf_dir)
+    bounds = stats.quantiles(px, "image")
+    m = stats.moments(px, bounds, "image", "global", "arcsinh_5")
+    return stats.standardize(px, bounds, m, "image", "global", "arcsinh_5").select("pix", "tissue_id", "channel", r6("standardized"))
+
+
+def own_labels(spark, sf_dir):
+    """Tissues whose labels a Python function of a value changes, and the codes of the new labels."""
+    change = user.of_values(lambda modality: modality.split("-")[-1].lower())
+    rows = metadata.filtered(roles.tissues(spark, sf_dir), label="modality", change=change)
+    return rows.join(metadata.label_codes(rows, "modality"), "modality").select("tissue_id", "modality", "code")
+
+
 def large_image_stats(spark, sf_dir):
     px = roles.large_pixels(spark, sf_dir).where("fg")
     m = stats.moments(px, stats.quantiles(px, "image"), "image", "image")
@@ -200,6 +218,8 @@ QUERIES = {
     "counted_stats_levels": counted_stats_levels,
     "standardize_pixels": _standardized("clip"),
     "standardize_log1p": _standardized("log1p"),
+    "own_transform": own_transform,
+    "own_labels": own_labels,
     "large_image_stats": large_image_stats,
     "valid_stats_mask": valid_stats_mask,
     "quantiles_wide_pivot": quantiles_wide_pivot,
@@ -290,6 +310,16 @@ ORACLES = {
     ),
     "standardize_pixels": _standard_sql("clip"),
     "standardize_log1p": _standard_sql("log1p"),
+    "own_transform": sql(
+        _q("image") + ", z AS (SELECT f.*, q.upper, ln(least(value, upper) / 5 + sqrt(pow(least(value, upper) / 5, 2) + 1)) AS z FROM fg f JOIN q_image q ON f.tissue_id = q.tissue_id AND f.channel = q.channel),"
+        " m AS (SELECT channel, avg(z) AS mean, stddev_pop(z) AS std FROM z GROUP BY channel)"
+        " SELECT z.pix, z.tissue_id, z.channel, round((z.z - m.mean) / (m.std + 1e-8), 6) AS standardized FROM z JOIN m USING (channel) WHERE upper > 0 AND std > 0"
+    ),
+    "own_labels": sql(
+        ", l AS (SELECT tissue_id, lower(regexp_extract(modality, '[^-]*$')) AS modality FROM tissues),"
+        " c AS (SELECT modality, CAST(row_number() OVER (ORDER BY min(tissue_id)) - 1 AS INT) AS code FROM l GROUP BY modality)"
+        " SELECT tissue_id, modality, code FROM l JOIN c USING (modality)"
+    ),
     "large_image_stats": """WITH px AS (SELECT l_suppkey AS tissue_id, l_returnflag || l_linestatus AS channel, l_extendedprice AS value FROM lineitem WHERE l_tax > 0),
         q AS (SELECT tissue_id, channel, quantile_cont(value, 0.99) AS upper FROM px GROUP BY ALL),
         z AS (SELECT tissue_id, channel, least(greatest(value, 0.0), upper) / (upper + 1e-8) AS z FROM px JOIN q USING (tissue_id, channel))
