@@ -22,9 +22,12 @@ def write_new(tables: dict[str, DataFrame], overwrite: bool = False) -> list[str
     return missing
 
 
-def compute_statistics(pixels: DataFrame, root: str, channels: list[str], upper: float = 0.99, lower: float | None = None, quantile_level: str = "image", stats_level: str = "image", method: str = "quantile_clipping", overwrite: bool = False) -> list[str]:
-    """Quantiles, then means and deviations of the clipped pixels, a wide file for each."""
-    bounds = stats.quantiles(pixels, quantile_level, upper, lower)
+def compute_statistics(pixels: DataFrame, root: str, channels: list[str], upper: float = 0.99, lower: float | None = None, quantile_level: str = "image", stats_level: str = "image", method: str = "quantile_clipping", overwrite: bool = False, ranges: bool | None = None) -> list[str]:
+    """Quantiles, then means and deviations of the clipped pixels, a wide file for each.
+
+    `ranges` as for stats.quantiles: set it for large images of real numbers.
+    """
+    bounds = stats.quantiles(pixels, quantile_level, upper, lower, ranges=ranges)
     found = stats.moments(pixels, bounds, quantile_level, stats_level, method)
     return _write_statistics(bounds, found, root, channels, upper, lower, quantile_level, stats_level, method, overwrite)
 

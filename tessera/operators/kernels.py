@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import stats
 from tessera.session import ship_package
 
 #: Colours of up to five overlaid markers (fixed values).
@@ -78,9 +79,15 @@ def as_pixels(planes: DataFrame, keys: list[str], y: str = "y", x: str = "x") ->
     return rows.select(*keys, (F.col("top") + F.floor(F.col("at") / F.col("w"))).cast("int").alias(y), (F.col("left") + F.col("at") % F.col("w")).cast("int").alias(x), "value")
 
 
-def stretch(planes: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Pixels (keys, y, x, value) with `level`, 0 to 255 between two percentiles of the plane."""
-    bounds = planes.groupBy(*keys).agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
+def stretch(planes: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99, ranges: bool = False) -> DataFrame:
+    """Pixels (keys, y, x, value) with `level`, 0 to 255 between two percentiles of the plane.
+
+    With `ranges` no place holds a plane's distinct values; it takes one more scan.
+    """
+    if ranges:
+        bounds = stats.range_quantiles(planes, keys, high, low).withColumnsRenamed({"lower": "lo", "upper": "hi"})
+    else:
+        bounds = planes.groupBy(*keys).agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
     scaled = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     level = F.when(F.col("hi") > F.col("lo"), F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)) * 255)).otherwise(0)
     return planes.join(bounds, keys).withColumn("level", level.cast("int")).drop("lo", "hi")

@@ -21,13 +21,15 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def quantiles(pixels: DataFrame, level: str, upper: float = 0.99, lower: float | None = None, accuracy: int | None = None) -> DataFrame:
+def quantiles(pixels: DataFrame, level: str, upper: float = 0.99, lower: float | None = None, accuracy: int | None = None, ranges: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles by tissue and channel (image) or channel (global).
 
-    The image level holds an image's distinct values of a channel in one place; the global
-    level goes by ranges of values. `accuracy` asks for the mergeable approximate ones.
+    By ranges of values no place holds a group's distinct values; that takes two scans. It is
+    the way of the global level; the image level takes one scan, and an image's distinct
+    values of a channel meet in one place, unless `ranges` is set, for large images of reals.
+    `accuracy` asks for the mergeable approximate ones.
     """
-    if level == "global" and accuracy is None:
+    if accuracy is None and (level == "global" if ranges is None else ranges):
         return range_quantiles(pixels, LEVELS[level], upper, lower)
     rank = F.percentile if accuracy is None else lambda c, p: F.percentile_approx(c, p, accuracy)
     value = finite(F.col("value").cast("double"))
@@ -35,43 +37,53 @@ def quantiles(pixels: DataFrame, level: str, upper: float = 0.99, lower: float |
     return pixels.groupBy(*LEVELS[level]).agg(rank(value, upper).alias("upper"), low.alias("lower"))
 
 
-#: Ranges that a group's values are counted by.
-RANGES = 64
+#: Ranges that the values between a power of two and the next are counted by.
+RANGES = 256
+#: Below the exponent of every double.
+LEAST_EXPONENT = 1100
+
+
+def value_range(value: Column) -> Column:
+    """The number of a value's range: it never falls as values grow, and is 0 for zeros only.
+
+    Equal steps of the logarithm, mirrored for negative values. Strict logarithms don't fall
+    as their argument grows, and neither does anything that is done with them here.
+    """
+    steps = F.floor((F.log2(F.abs(value)) + LEAST_EXPONENT) * RANGES)
+    return F.coalesce(F.signum(value) * steps, value * 0).cast("long")
 
 
 def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: float | None = None, weight: str | None = None) -> DataFrame:
-    """The same exact quantiles, for few large groups (channels): no task sees all of one.
+    """The same exact quantiles for large groups: no task sees all of one.
 
     `weight` names the column that says how many pixels a row stands for.
 
-    Approximate quantiles cut a group's values into ranges, and counts by range say which
-    ones hold the wanted ranks; only the values of those are counted one by one and put in
-    order. Each step is a scan with partial aggregation; between them travel a row for each
-    group and range, and the distinct values of two or four ranges.
+    Counts by ranges of values say which ranges hold the wanted ranks; only the values of
+    those are counted one by one and put in order. Both steps are scans with partial
+    aggregation; between them travel a row for each group and range, and the distinct values
+    of two or four ranges. The ranges wanted are broadcast where the groups are channels;
+    by other keys, whose number grows, the join is left to their size.
     """
     several = [] if weight is None else [F.col(weight).alias("weight")]
     held_by = F.count("*") if weight is None else F.sum("weight")
-    rows = pixels.select(*keys, finite(F.col("value").cast("double")).alias("value"), *several)
-    groups = rows.select(*keys).groupBy(*keys).agg(F.lit(1).alias("some"))
-    rows = rows.where("value is not null")
-    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("value", steps, RANGES * 20).alias("cuts"))
-    # A row for each group, of which there are as many as channels.
-    located = rows.join(F.broadcast(cuts), keys).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
-    counts = located.groupBy(*keys, "range").agg(held_by.alias("n"))
-    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(*keys))})
+    rows = pixels.select(*keys, finite(F.col("value").cast("double")).alias("value"), *several).withColumn("range", value_range(F.col("value")))
+    counts = rows.groupBy(*keys, "range").agg(held_by.alias("n"))
+    known = F.when(F.col("range").isNotNull(), F.col("n"))
+    before = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("range")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"before": F.coalesce(F.sum(known).over(before), F.lit(0)), "total": F.sum(known).over(Window.partitionBy(*keys))})
 
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("total") - 1)
 
     ends = {f"{name}_{end}": at(position(p)) for name, p in (("upper", upper), ("lower", lower)) if p is not None for end, at in (("lo", F.floor), ("hi", F.ceil))}
-    ranked = placed.withColumns(ends)
-    held = functools.reduce(Column.__or__, [(F.col(e) >= F.col("before")) & (F.col(e) < F.col("before") + F.col("n")) for e in ends])
-    wanted = ranked.where(held).drop("n")
-    few = located.join(F.broadcast(wanted), [*keys, "range"]).groupBy(*keys, "range", "value", "before", "total", *ends).agg(held_by.alias("n"))
+    holds = [(F.col(e) >= F.col("before")) & (F.col(e) < F.col("before") + F.col("n")) for e in ends]
+    held = F.col("range").isNotNull() & functools.reduce(Column.__or__, holds)
+    # A group without any value has a row too, with nothing to look for.
+    wanted = placed.withColumns(ends).where(held | F.col("total").isNull()).drop("n")
+    few = F.broadcast(wanted) if keys == LEVELS["global"] else wanted
+    values = rows.where("range is not null").join(few.where("range is not null"), [*keys, "range"]).groupBy(*keys, "range", "value", "before", "total", *ends).agg(held_by.alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("value"))
-    ordered = few.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    ordered = values.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
     found = ordered.groupBy(*keys, "total").agg(*[F.max(F.when((F.col(e) >= F.col("from")) & (F.col(e) < F.col("upto")), F.col("value"))).alias(e) for e in ends])
 
     def interpolated(name: str, p: float | None) -> Column:
@@ -82,7 +94,8 @@ def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: flo
         return F.when(lo == hi, F.col(f"{name}_lo")).otherwise(between)
 
     made = found.select(*keys, interpolated("upper", upper).alias("upper"), interpolated("lower", lower).alias("lower"))
-    return groups.drop("some").join(made, keys, "left")
+    nothing = wanted.where("total is null").select(*keys, *[F.lit(None).cast("double").alias(n) for n in ("upper", "lower")])
+    return made.unionByName(nothing)
 
 
 def clip(value: Column, lower: Column, upper: Column) -> Column:
@@ -131,6 +144,18 @@ def moments(pixels: DataFrame, bounds: DataFrame, quantile_level: str, stats_lev
     return z.groupBy(*LEVELS[stats_level]).agg(F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"), F.count("z").alias("n"))
 
 
+def moments_by_level(pixels: DataFrame, bounds: DataFrame, quantile_level: str, spec: str = "quantile_clipping") -> dict[str, DataFrame]:
+    """`moments` of both levels from one scan: those of a channel are put together from those of its images."""
+    image = moments(pixels, bounds, quantile_level, "image", spec)
+    # Images without a value have no mean, and 0 values: they add nothing to the sums.
+    n, means = F.nullif(F.sum("n"), F.lit(0)), Window.partitionBy("channel")
+    whole = F.sum(F.col("mean") * F.col("n")).over(means) / F.nullif(F.sum("n").over(means), F.lit(0))
+    apart = image.withColumn("whole", whole)
+    around = F.sum((F.pow("std", F.lit(2.0)) + F.pow(F.col("mean") - F.col("whole"), F.lit(2.0))) * F.col("n"))
+    together = apart.groupBy("channel").agg(F.first("whole").alias("mean"), F.sqrt(around / n).alias("std"), F.sum("n").alias("n"))
+    return {"image": image, "global": together}
+
+
 def valid_stats(upper: Column, lower: Column, mean: Column, std: Column) -> Column:
     """A usable channel: upper and std positive, mean finite, lower finite where there is one."""
     present = lambda c: finite(c).isNotNull()

@@ -48,9 +48,7 @@ def stats_4way_levels(spark, sf_dir):
     px = foreground(spark, sf_dir)
     parts = []
     for q in stats.LEVELS:
-        bounds = stats.quantiles(px, q)
-        for s in stats.LEVELS:
-            m = stats.moments(px, bounds, q, s)
+        for s, m in stats.moments_by_level(px, stats.quantiles(px, q), q).items():
             tissue = F.col("tissue_id") if s == "image" else F.lit(None).cast("long")
             parts.append(m.select(F.lit(q).alias("quantile_level"), F.lit(s).alias("stats_level"), tissue.alias("tissue_id"), "channel", r6("mean"), r6("std"), "n"))
     return reduce(DataFrame.unionByName, parts)

@@ -259,6 +259,40 @@ def test_range_quantiles_equal_the_sorted_ones(spark, values):
         assert np.allclose(got[c], np.quantile(fine * k, [0.93, 0.07]))
 
 
+def test_large_images_by_ranges_and_moments_of_both_levels_from_one_scan(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, c, float(v)) for t in (1, 2, 3) for c in ("a", "b") for v in rng.normal(t, 10.0 ** (t - 2), 400 * t)]
+    rows += [(4, "a", None), (4, "b", 0.0), (1, "a", float("nan")), (5, "none", None)]
+    px = spark.createDataFrame(rows, "tissue_id long, channel string, value double")
+    near = lambda a, b: (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    sides = [{(r.tissue_id, r.channel): (r.upper, r.lower) for r in stats.quantiles(px, "image", 0.97, 0.2, ranges=how).collect()} for how in (None, True)]
+    assert sides[0].keys() == sides[1].keys() and len(sides[0]) == 9
+    assert all(near(x, y) for k in sides[0] for x, y in zip(sides[0][k], sides[1][k], strict=True))
+    clean = px.where("not isnan(value) or value is null")
+    for q in stats.LEVELS:
+        bounds = stats.quantiles(clean, q, 0.97, 0.2)
+        for level, made in stats.moments_by_level(clean, bounds, q).items():
+            keys = stats.LEVELS[level]
+            got, want = ({tuple(r[k] for k in keys): (r["mean"], r["std"], r["n"]) for r in d.collect()} for d in (made, stats.moments(clean, bounds, q, level)))
+            assert got.keys() == want.keys() and all(near(x, y) for k in got for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_stretch_by_ranges_equals_the_plain_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(p, i // 8, i % 8, float(v)) for p in (0, 1) for i, v in enumerate(rng.normal(0, 5, 64))] + [(2, 0, 0, 3.0), (2, 0, 1, 3.0)]
+    planes = spark.createDataFrame(rows, "plane int, y int, x int, value double")
+    plain, by_ranges = (sorted(map(tuple, kernels.stretch(planes, ["plane"], 0.05, 0.9, ranges=how).collect())) for how in (False, True))
+    assert plain == by_ranges and len(plain) == 130
+
+
+def test_value_ranges_never_fall(spark):
+    rng = np.random.default_rng(6)
+    some = np.concatenate([rng.normal(0, 10.0 ** e, 300) for e in (-300, -9, 0, 3, 300)] + [np.nextafter(2.0 ** np.arange(-20, 20), s * np.inf) for s in (-1, 1)])
+    values = sorted({float(v) for v in some} | {float(2.0**i) for i in range(-20, 20)} | {0.0, 5e-324, -5e-324, 1.7e308})
+    got = [r.r for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(stats.value_range(F.col("v")).alias("r")).collect()]
+    assert got == sorted(got) and [v for v, r in zip(values, got, strict=True) if r == 0] == [0.0]
+
+
 def test_first_and_single_rows_of_statistics(spark, tmp_path):
     for name, rows in (("upper_quantiles", [("t1", 1.0), ("t1", 9.0)]), ("means", [("t1", 0.1), ("t2", 0.2)]), ("stds", [("t1", 1.0), ("t2", 2.0)])):
         spark.createDataFrame(rows, "tissue_id string, a double").coalesce(1).write.parquet(str(tmp_path / f"image_level_{name}.parquet"))
