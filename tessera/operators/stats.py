@@ -91,7 +91,8 @@ def range_quantiles(pixels: DataFrame, keys: list[str], upper: float, lower: flo
             return F.lit(None).cast("double")
         at, lo, hi = position(p), F.floor(position(p)), F.ceil(position(p))
         between = (hi - at) * F.col(f"{name}_lo") + (at - lo) * F.col(f"{name}_hi")
-        return F.when(lo == hi, F.col(f"{name}_lo")).otherwise(between)
+        # Between equal values there is nothing to weigh, and weights may miss 1 by a rounding.
+        return F.when((lo == hi) | (F.col(f"{name}_lo") == F.col(f"{name}_hi")), F.col(f"{name}_lo")).otherwise(between)
 
     made = found.select(*keys, interpolated("upper", upper).alias("upper"), interpolated("lower", lower).alias("lower"))
     nothing = wanted.where("total is null").select(*keys, *[F.lit(None).cast("double").alias(n) for n in ("upper", "lower")])
