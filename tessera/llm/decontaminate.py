@@ -13,8 +13,8 @@ from how often walks of edited items agree, which is measured on the items of ea
 
 What the walks leave to chance, or can't see as no whole window fits before a text's end,
 an exact bound finds: an edit breaks at most two word pairs, so of an item's rarest pairs
-a known number is in every stretch within its edits. All such stretches, of whatever size
-and place, are compared with the item too.
+a known number is in every stretch within its edits. Such stretches, of whatever size and
+place, are compared with the item where no candidate of the walks was compared before.
 """
 
 from __future__ import annotations
@@ -259,6 +259,8 @@ class Benchmark:
             out[text] = {item: (item, 0, 0, len(own)) for item in self.whole.get(tuple(own.tolist()), ())}
         if len(words) < 2 or not len(self.pairs):
             return [sorted(found.values()) for found in out]
+        # For each item and text the stretches that the walks had compared, by their first words.
+        seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
         where, pairs = self.known(words)
         sizes = self.sizes[pairs]
         last_word = np.repeat(block.word_offsets[1:], block.n_words)
@@ -276,12 +278,12 @@ class Benchmark:
             able = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
             able = able[able + n <= last_word[able]]
             for k in range(0, len(able), TOGETHER):
-                self._look(probe, able[k : k + TOGETHER], words, block, out)
-        self._compare_bounded(where, pairs, words, block, out)
+                self._look(probe, able[k : k + TOGETHER], words, block, out, seen)
+        self._compare_bounded(where, pairs, words, block, out, seen)
         return [sorted(found.values()) for found in out]
 
-    def _compare_bounded(self, where: np.ndarray, pairs: np.ndarray, words: np.ndarray, block: Block, out: list[dict[int, tuple]]) -> None:
-        """Compare the items with all stretches that hold enough of their rarest pairs."""
+    def _compare_bounded(self, where: np.ndarray, pairs: np.ndarray, words: np.ndarray, block: Block, out: list[dict[int, tuple]], seen: dict[tuple[int, int], list[tuple[int, int]]]) -> None:
+        """Compare the items with the stretches that hold enough of their rarest pairs, but for those seen as a whole."""
         offsets = block.word_offsets
         text = np.searchsorted(offsets, where, "right") - 1
         inside = where + 1 < offsets[text + 1]
@@ -301,6 +303,9 @@ class Benchmark:
         i, j = fits[near], last[near]
         first = np.maximum(offsets[text[i]], at[j] + 2 - most[i])
         end = np.minimum(offsets[text[i] + 1], at[i] + most[i])
+        if seen:
+            left = [not any(a <= x and y <= b for a, b in seen.get((self.items[n][0], t), ())) for n, t, x, y in zip(item[i].tolist(), text[i].tolist(), first.tolist(), end.tolist(), strict=True)]
+            i, first, end = i[left], first[left], end[left]
         # Stretches of an item that overlap are compared as one.
         new = np.ones(len(i), bool)
         new[1:] = (item[i][1:] != item[i][:-1]) | (text[i][1:] != text[i][:-1]) | (first[1:] > end[:-1])
@@ -324,7 +329,7 @@ class Benchmark:
             out[text][name] = hit
         return True
 
-    def _look(self, probe: Probe, starts: np.ndarray, words: np.ndarray, block: Block, out: list[dict[int, tuple]]) -> None:
+    def _look(self, probe: Probe, starts: np.ndarray, words: np.ndarray, block: Block, out: list[dict[int, tuple]], seen: dict[tuple[int, int], list[tuple[int, int]]]) -> None:
         windows = words[starts[:, None] + np.arange(probe.length)]
         met: set[tuple[int, int]] = set()
         found = window_keys([w.embed(windows) for w in probe.walks], probe.positions)
@@ -339,9 +344,13 @@ class Benchmark:
                 continue  # the stretch of an earlier window had this one in it
             text = int(np.searchsorted(block.word_offsets, start, "right")) - 1
             low, high = int(block.word_offsets[text]), int(block.word_offsets[text + 1])
-            first, end = max(low, start - d), min(high, start + probe.length + 2 * d)
+            # As wide as the bound looks around the pairs of a passage that begins up to d words
+            # before or after, so that it needn't look here again.
+            most = probe.length + d
+            first, end = max(low, start - d - most), min(high, start + probe.length + 2 * d + most)
             if self._compare(probe.ids[item], probe.words[item], text, first, end, words, block, out):
-                reach[item] = start + d
+                reach[item] = start + most
+                seen.setdefault((probe.ids[item], text), []).append((first, end))
 
 
 def _item_words(text: str | None) -> np.ndarray:

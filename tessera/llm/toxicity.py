@@ -32,9 +32,9 @@ SAMPLE_ROWS = 6_000
 #: A word or stem must be in texts of so many different labelled toxic groups of copies.
 #: No share of all toxic rows is asked for, which words of a small language never reach.
 SUPPORT = 3
-#: Least log-odds of a learned word or stem, the least of them less a standard error if it
-#: is in texts that aren't toxic, and the most entries of the lexicon.
-LEAST_WEIGHT, LEAST_SURE, LEXICON = 2.5, 2.25, 20_000
+#: Least log-odds of a learned word or stem, and the least of them less a standard error if
+#: it is in texts that aren't toxic.
+LEAST_WEIGHT, LEAST_SURE = 2.5, 2.25
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7, 8)
 #: Words and stems handed on at once.
@@ -276,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((fine + 0.5) / (clean + 1))
 
     able = counted.where((F.col("bad") >= SUPPORT) & (odds(F.greatest(F.col("fine") - 1, F.lit(0))) >= LEAST_WEIGHT))
-    best = able.orderBy(F.desc(F.round(odds(F.col("fine")), 9)), "entry", "kind").limit(LEXICON).collect()
+    # Entries of the sample only, and of SUPPORT toxic texts of it each.
+    best = able.orderBy(F.desc(F.round(odds(F.col("fine")), 9)), "entry", "kind").collect()
     lexicon = _lexicon(best, toxic, clean)
     # A labelled row is measured without its own share in the counts, as new texts are.
     others = {1: _lexicon(best, toxic, clean, (1, 0)), 0: _lexicon(best, toxic, clean, (0, 1))}

@@ -217,6 +217,42 @@ def test_passages_are_found_whatever_the_repetitions_reach(monkeypatch):
     assert [[h[0] for h in hits] for _, block in blocks for hits in bench.search(block)] == [[i] for i in range(len(texts))]
 
 
+def test_walks_find_whole_windows_and_the_bound_what_is_left(monkeypatch):
+    """Edited passages inside texts come from the walks, cut ones at a text's end from the bound."""
+    rng = random.Random(19)
+    texts = [prose(rng, n, 5000) for n in [12, 30, 60] * 20]
+    bench = decontaminate.Benchmark([(i, decontaminate._item_words(" ".join(t))) for i, t in enumerate(texts)])
+    inside = [" ".join([*prose(rng, 80, 9), *edited(rng, t, decontaminate.edits_of(len(t)) // 2), *prose(rng, 80, 9)]) for t in texts]
+    cut = [" ".join(t[: len(t) - decontaminate.edits_of(len(t))]) for t in texts]
+    whole = {}
+    by_bound = decontaminate.Benchmark._compare_bounded
+    for name, docs in (("inside", inside), ("cut", cut)):
+        for how in ("both", "walks"):
+            monkeypatch.setattr(decontaminate.Benchmark, "_compare_bounded", by_bound if how == "both" else lambda *_: None)
+            blocks = decontaminate.textblocks.blocks(pa.array(docs), lower=True, separator=decontaminate.APART)
+            whole[name, how] = sum(any(h[0] == n for h in hits) for n, hits in enumerate(h for _, block in blocks for h in bench.search(block)))
+    assert whole["inside", "both"] == whole["cut", "both"] == len(texts)
+    assert whole["inside", "walks"] >= 0.95 * len(texts) and whole["cut", "walks"] == 0
+
+
+def test_the_bound_compares_nothing_that_the_walks_had(monkeypatch):
+    rng = random.Random(20)
+    texts = [prose(rng, 40, 5000) for _ in range(30)]
+    bench = decontaminate.Benchmark([(i, decontaminate._item_words(" ".join(t))) for i, t in enumerate(texts)])
+    docs = [" ".join([*prose(rng, 200, 9), *t, *prose(rng, 200, 9)]) for t in texts]
+    calls, compare, by_bound = [], decontaminate.Benchmark._compare, decontaminate.Benchmark._compare_bounded
+
+    def bounded(self, *rest):
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate.Benchmark, "_compare", staticmethod(lambda *a: calls.append(a[0]) or compare(*a)))
+            by_bound(self, *rest)
+
+    monkeypatch.setattr(decontaminate.Benchmark, "_compare_bounded", bounded)
+    for _, block in decontaminate.textblocks.blocks(pa.array(docs), lower=True, separator=decontaminate.APART):
+        assert [[h[:2] for h in hits] for hits in bench.search(block)] == [[(i, 0)] for i in range(len(texts))]
+    assert not calls
+
+
 def test_bounded_stretches_miss_nothing_of_repeated_words(monkeypatch):
     """Without any walk, items of few and repeated words: hits as by comparing whole texts."""
     rng = random.Random(15)
