@@ -67,5 +67,9 @@ def test_queries_cover_their_tables(spark, name):
         assert {r.conv_id for r in rows} == {r.conv_id for r in table(spark, SMALLEST, n).collect()} | {-1}
     elif name.startswith("op5_"):
         assert sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in queries.op9_byte_bpe(spark, SMALLEST).collect())
+    elif name.startswith("op13_"):
+        # A row for each component of each vector that is kept, here all of them.
+        kept = table(spark, SMALLEST, "embeddings").collect()
+        assert sorted((r.vec_id, r.component) for r in rows) == sorted((r.vec_id, c) for r in kept for c in range(1, 17))
     elif not name.startswith("op2_"):
         assert len(rows) == table(spark, SMALLEST, n).count()
