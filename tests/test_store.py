@@ -6,10 +6,12 @@ import json
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.plans import store_queries
 from tessera.sources import layout, store
 
 
@@ -153,3 +155,24 @@ def test_missing_chunks_and_nothing_to_fill_them(spark, tmp_path):
     meta = json.loads((tmp_path / "t1.zarr/0/.zarray").read_text())
     (tmp_path / "t1.zarr/0/.zarray").write_text(json.dumps({**meta, "fill_value": None}))
     assert len(pixels_of(store.pixels(spark, str(tmp_path)))) == 48
+
+
+@pytest.fixture(scope="module")
+def uneven(spark, tmp_path_factory):
+    """Embeddings that leave images without their last planes, and one without the first: 0 to 33 but for 21, 23 and 24."""
+    folder = tmp_path_factory.mktemp("uneven")
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 34 and vec_id not in (21, 23, 24)")
+    rows.write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(store_queries.ORACLES))
+def test_images_keep_planes_without_a_pixel(spark, uneven, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{uneven}/embeddings.parquet/*.parquet'")
+    for other in ("events", "lineitem", "orders", "part"):
+        con.execute(f"CREATE VIEW {other} AS SELECT * FROM '/root/testdata/sf0.001/{other}.parquet'")
+    df = store_queries.QUERIES[name](spark, uneven)
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    want = con.execute(f"SELECT {columns} FROM ({store_queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
