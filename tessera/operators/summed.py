@@ -73,30 +73,34 @@ def summed_areas(mask: DataFrame, extents: DataFrame | None = None, block: int =
     return whole.join(above, ["tissue_id", "by", "bx"]).join(cells.select("tissue_id", "by", "bx", "inner"), ["tissue_id", "by", "bx"])
 
 
-def _total(block: int):
+def _total(block: int, y: str = "y", x: str = "x", prefix: str = ""):
     """Pixels above and left of the corner (y, x) of a block row."""
-    dy, dx = (F.col("y") % block).cast("int"), (F.col("x") % block).cast("int")
-    return F.col("base") + F.get("beside", dy) + F.get("above", dx) + F.coalesce(F.get("inner", dy * block + dx), F.lit(0))
+    dy, dx = (F.col(y) % block).cast("int"), (F.col(x) % block).cast("int")
+    base, beside, above, inner = (f"{prefix}{n}" for n in ("base", "beside", "above", "inner"))
+    return F.col(base) + F.get(beside, dy) + F.get(above, dx) + F.coalesce(F.get(inner, dy * block + dx), F.lit(0))
 
 
 def rect_sums(rectangles: DataFrame, areas: DataFrame, extents: DataFrame, block: int = BLOCK) -> DataFrame:
     """rectangles(tissue_id, y0, x0, y1, x1, ...) with `pixels`, the mask's pixels in y0 to below y1, x0 to below x1.
 
     areas are summed_areas with the same block; what lies outside of the extents(tissue_id, h, w) has none,
-    and neither have tissues that these lack.
+    and neither have tissues that these lack. A rectangle goes from one corner's block to the next as one
+    row, which is half of what four rows and their sum would shuffle.
     """
     columns = rectangles.columns
-    known = rectangles.withColumn("__id", F.monotonically_increasing_id()).join(extents.select("tissue_id", F.col("h").alias("__h"), F.col("w").alias("__w")), "tissue_id", "left")
+    known = rectangles.join(extents.select("tissue_id", F.col("h").alias("__h"), F.col("w").alias("__w")), "tissue_id", "left")
 
     def clipped(c: str, most: str):
         return F.greatest(F.lit(0), F.least(F.col(c), F.coalesce(F.col(most), F.lit(0))))
 
-    known = known.withColumns({"__y0": clipped("y0", "__h"), "__y1": clipped("y1", "__h"), "__x0": clipped("x0", "__w"), "__x1": clipped("x1", "__w")})
-    corners = F.array(*[F.struct(F.lit(s).alias("sign"), F.col(a).alias("y"), F.col(b).alias("x")) for s, a, b in ((1, "__y1", "__x1"), (-1, "__y0", "__x1"), (-1, "__y1", "__x0"), (1, "__y0", "__x0"))])
-    each = known.select(*columns, "__id", F.explode(corners).alias("c")).select(*columns, "__id", "c.sign", "c.y", "c.x")
-    each = each.withColumns({"by": F.floor(F.col("y") / block).cast("int"), "bx": F.floor(F.col("x") / block).cast("int")})
-    found = each.join(areas, ["tissue_id", "by", "bx"], "left")
-    return found.groupBy(*columns, "__id").agg(F.coalesce(F.sum(F.col("sign") * _total(block)), F.lit(0)).alias("pixels")).drop("__id")
+    known = known.withColumns({"__y0": clipped("y0", "__h"), "__y1": clipped("y1", "__h"), "__x0": clipped("x0", "__w"), "__x1": clipped("x1", "__w"), "__sum": F.lit(0).cast("long")})
+    # dealt by the join's keys here, so that all four joins share one shuffle of the areas
+    dealt = areas.select("tissue_id", *[F.col(c).alias(f"__{c}") for c in ("by", "bx", "base", "beside", "above", "inner")]).repartition("tissue_id", "__by", "__bx")
+    for sign, y, x in ((1, "__y1", "__x1"), (-1, "__y0", "__x1"), (-1, "__y1", "__x0"), (1, "__y0", "__x0")):
+        at = known.withColumns({"__by": F.floor(F.col(y) / block).cast("int"), "__bx": F.floor(F.col(x) / block).cast("int")})
+        found = at.join(dealt, ["tissue_id", "__by", "__bx"], "left")
+        known = found.select(*columns, "__y0", "__y1", "__x0", "__x1", (F.col("__sum") + sign * F.coalesce(_total(block, y, x, "__"), F.lit(0))).alias("__sum"))
+    return known.select(*columns, F.col("__sum").alias("pixels"))
 
 
 def integral_image(mask: DataFrame, extents: DataFrame | None = None, block: int = BLOCK) -> DataFrame:

@@ -182,3 +182,15 @@ def test_numbers_of_blocks_are_dense_and_in_order(spark):
     rows = spark.createDataFrame([(b, i) for b in (3, 1, 2) for i in range(4, 0, -1)], "b int, i int")
     got = index.numbered(rows, ["b"], ["i"]).collect()
     assert {(r.b, r.i): r.global_id for r in got} == {(b, i): 4 * (b - 1) + i - 1 for b in (1, 2, 3) for i in range(1, 5)}
+
+
+def test_a_rectangle_stays_one_row(spark):
+    """Its corners are looked up one after the other: no sum over corners that shuffles rectangles again."""
+    mask = spark.createDataFrame([("t", y, x) for y in range(9) for x in range(9) if (y + x) % 3], "tissue_id string, y int, x int")
+    laid = spark.createDataFrame([("t", i, -1, 2, 5, 7 + i) for i in range(3)] * 2 + [("u", 9, 0, 0, 4, 4)], "tissue_id string, rect_id int, y0 int, x0 int, y1 int, x1 int")
+    extents = tiling.sizes(mask)
+    made = summed.rect_sums(laid, summed.summed_areas(mask, extents, 4), extents, 4)
+    want = sorted([i, sum(1 for y in range(5) for x in range(2, min(9, 7 + i)) if (y + x) % 3)] for i in (0, 0, 1, 1, 2, 2)) + [[9, 0]]
+    assert sorted([r.rect_id, r.pixels] for r in made.collect()) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "rect_id" in line]
