@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 
 import duckdb
@@ -11,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.operators import jobs
 from tessera.plans import store_queries
-from tessera.sources import layout, store
+from tessera.sources import arrays, layout, store
 
 
 def blosc_frame(data: bytes, width: int, codec: str | None, shuffle: bool, block: int, split: bool = False) -> bytes:
@@ -176,3 +178,31 @@ def test_images_keep_planes_without_a_pixel(spark, uneven, name):
     columns = ", ".join(f'"{c}"' for c in df.columns)
     want = con.execute(f"SELECT {columns} FROM ({store_queries.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_files_are_dealt_to_tasks(spark, tmp_path):
+    for name, data in (("a.npz", b"1"), ("b.npz", b"22"), ("c.txt", b"3"), (".d.npz", b"4")):
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "e.npz").mkdir()
+    got = store.files(spark, str(tmp_path), ".npz").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], bytes(r.content)) for r in got) == [("a.npz", b"1"), ("b.npz", b"22")]
+    assert [r.path for r in store.files(spark, f"file://{tmp_path}", ".npz", ["b.npz", "z.npz"]).collect()] == [f"file://{tmp_path}/b.npz"]
+    # names come without opening the files, which hold no masks here
+    assert sorted(r.tissue_id for r in arrays.mask_names(spark, str(tmp_path)).collect()) == ["a", "b"]
+    batches = [pa.RecordBatch.from_pydict({"n": [i] * 3}) for i in range(5)]
+    assert [b.num_rows for b in store.joined(iter(batches), 6)] == [6, 6, 3]
+
+
+def test_statistics_scan_the_pixels_twice(spark, tmp_path):
+    """Quantiles, then moments; the files are written from what they found."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def watched(batches):
+        (seen / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = [("t", "A", float(v)) for v in range(20)]
+    pixels = spark.createDataFrame(rows, "tissue_id string, channel string, value double").coalesce(1).mapInArrow(watched, "tissue_id string, channel string, value double")
+    assert len(jobs.compute_statistics(pixels, str(tmp_path / "made"), ["A"], 0.9, 0.1)) == 4
+    assert len(list(seen.iterdir())) == 2
