@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch, bounded_sample, bucket_of, aside, cut_points, prepare
+from tessera.llm.shared import Scratch, bounded_sample, bucket_of, aside, cut_points, prepare, values_at  # noqa: F401
 
 BITS = 6
-#: Rows of the sample that gives the ranges of the columns.
+#: Rows of the sample that deals rows to tasks evenly; no result depends on it.
 SAMPLE_ROWS = 20_000
 
 
@@ -52,18 +52,13 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def with_curve(df: DataFrame, dims: list[str], bits: int = BITS, tell_apart: list[str] | None = None) -> DataFrame:
+def with_curve(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """df with `curve`, the Hilbert index of its columns `dims`; nulls count as the lowest values.
 
-    The columns' ranges come from a sample of about SAMPLE_ROWS rows, picked by a hash of
-    dims and of the columns that tell rows with equal dims apart, so that it stays small.
+    The columns' ranges are those of all rows.
     """
-    sample = bounded_sample(df, F.struct(*dims, *(tell_apart or [])), SAMPLE_ROWS).select(*dims).toPandas()
-    cuts = []
-    for name in dims:
-        values = sorted(v for v in sample[name] if not pd.isna(v))
-        picked = {values[len(values) * i // (1 << bits)] for i in range(1, 1 << bits)} if values else set()
-        cuts.append(np.array(sorted(picked)))
+    ranges = 1 << bits
+    cuts = [np.array(values_at(df, name, lambda total: [total * i // ranges for i in range(1, ranges)])) for name in dims]
 
     @F.pandas_udf("long")
     def curve(rows: pd.DataFrame) -> pd.Series:
@@ -95,14 +90,14 @@ def shard(df: DataFrame, dims: list[str], spread: list[str], shards: int = 8, bi
     df, *used = aside(df, names, *used)
     dims, spread, together = used[: len(dims)], used[len(dims) : len(dims) + len(spread)], used[-1] if together else None
     hashes = [f"h{i}" for i in range(len(spread))]
-    keyed = with_curve(df, dims, bits, spread).withColumns({h: F.xxhash64(c) for h, c in zip(hashes, spread, strict=True)})
+    keyed = with_curve(df, dims, bits).withColumns({h: F.xxhash64(c) for h, c in zip(hashes, spread, strict=True)})
     if together is not None:
         firsts = keyed.groupBy(F.col(together).alias("group")).agg(F.min("curve").alias("first_curve"))
         keyed = keyed.join(firsts, keyed[together].eqNullSafe(firsts["group"])).withColumn("curve", F.col("first_curve")).drop("first_curve", "group")
         keyed = Scratch(df.sparkSession).keep(keyed, "keyed")
     order = ["curve", *hashes]
     parts = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = keyed.withColumn("bucket", bucket_of(cut_points(keyed, order, parts), order))
+    placed = keyed.withColumn("bucket", bucket_of(cut_points(keyed, order, parts, SAMPLE_ROWS), order))
     # Rows before each bucket: one number for each bucket.
     before, total = [], 0
     counts = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}

@@ -1,10 +1,10 @@
 """Operator 4: rule statistics of whole texts and isolation forests over them.
 
 Fixed rules reject very short and repetitive texts. For the others isolation forests,
-grown on a bounded sample of labelled rows as they come, give each text its mean path
-length over random splits. Each family of rules has a forest of its own: in one over all
+whose trees are grown on a few rows each, drawn from all labelled ones, give each text its
+mean path length over random splits. Each family of rules has a forest of its own: in one over all
 rates a text that is odd in one family looks as usual as the many that vary in the others.
-The score from which a text counts as anomalous is calibrated on the labels for each
+The score from which a text counts as anomalous is calibrated on all labelled rows for each
 forest, so that hardly any good row is lost; a forest that can't tell bad rows from good
 ones rejects nothing.
 """
@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, aside, prepare
+from tessera.llm.shared import Scratch, aside, prepare, tasks_of, values_at
 from tessera.llm.textblocks import Block, blocks, mix
 
-#: Labelled rows that the forest and its threshold are fitted on, at most.
-SAMPLE_ROWS = 8_000
+#: An isolation tree is grown on so many rows, drawn by chance from all; that is the method, not a bound on the input.
 TREES, TREE_ROWS = 100, 256
 #: Share of good labelled rows that a forest's threshold may reject, and the share of bad
 #: ones that it must reject to be used.
@@ -174,49 +173,79 @@ class Model(NamedTuple):
         return np.max([np.full(len(rates), -1.0), *(r.excess(rates) for r in self.rules)], axis=0)
 
 
+def _threshold(lowest: float, bad: int, beyond: int, first: float | None) -> float | None:
+    """Midway between the good rows' limit and the first bad row beyond it; None if too few bad ones are."""
+    if not bad:
+        return lowest
+    return (lowest + first) / 2 if beyond and beyond >= LEAST_CAUGHT * bad else None
+
+
+def _limit_rank(good: int, bad: int) -> int:
+    """The place, in order, of the good row's score that is the limit: LOST_SHARE is beyond, or none without bad rows."""
+    return int(np.ceil((good - 1) * (1 - LOST_SHARE))) if bad else good - 1
+
+
 def calibrated(good: np.ndarray, bad: np.ndarray) -> float | None:
     """The threshold for scores of rows labelled good and bad, or None if it would reject too few bad ones.
 
     It lies midway between what LOST_SHARE of the good rows is beyond and the first bad
     row beyond that; without bad rows it is the highest score of a good one.
     """
-    if not len(bad):
-        return float(good.max())
-    lowest = float(np.quantile(good, 1 - LOST_SHARE, method="higher"))
+    lowest = float(np.sort(good)[_limit_rank(len(good), len(bad))])
     beyond = bad[bad > lowest]
-    if len(beyond) < LEAST_CAUGHT * len(bad):
-        return None
-    return (lowest + float(beyond.min())) / 2 if len(beyond) else None
+    return _threshold(lowest, len(bad), len(beyond), float(beyond.min()) if len(beyond) else None)
+
+
+def calibrated_rows(scored: DataFrame, name: str, bad: int) -> float | None:
+    """The same of the scores `name` of scored(quality, ...), wherever its rows are."""
+    lowest = values_at(scored.where("quality = 1"), name, lambda n: [_limit_rank(n, bad)])[0]
+    beyond = scored.where("quality <> 1").where(F.col(name) > lowest).agg(F.count("*").alias("n"), F.min(name).alias("first")).first()
+    return _threshold(lowest, bad, beyond["n"], beyond["first"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Forests and the scores from which a text is anomalous, from about SAMPLE_ROWS rows.
+    """Forests and the scores from which a text is anomalous, from all labelled rows.
 
-    None without rows labelled good: then only the fixed rules decide.
+    Texts become counts before they meet their labels, so no text is shuffled. The rows that
+    trees draw from, TREES * TREE_ROWS of them, are picked by a hash; thresholds are exact
+    order statistics of all rows' scores. None without rows labelled good: then only the
+    fixed rules decide.
     """
+    spark = docs.sparkSession
     wanted = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["id"])
-    wanted = bounded_sample(wanted, F.col("id"), SAMPLE_ROWS)
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("quality", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             made = text_stats(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), *(pa.array(made[k]) for k in BASE + MORE)], ["quality", *BASE, *MORE])
-
-    got = known.mapInArrow(run, "quality int, " + ", ".join(f"{k} long" for k in BASE + MORE)).dropDuplicates().toPandas()
-    got = got.sort_values([*BASE, *MORE, "quality"], ignore_index=True)
-    stats = {k: got[k].to_numpy() for k in BASE + MORE}
-    judged = ~base_failed(stats)
-    stats = {k: v[judged] for k, v in stats.items()}
-    good = got["quality"].to_numpy()[judged] == 1
-    if not good.any():
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(made[k]) for k in BASE + MORE)], ["id", *BASE, *MORE])
+
+    columns = ", ".join(f"{k} long" for k in BASE + MORE)
+    scratch = Scratch(spark)
+    known = texts.mapInArrow(run, f"id {kind}, {columns}").join(wanted, "id").drop("id").dropDuplicates()
+    judged = scratch.keep(known.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words").repartition(tasks_of(spark), *BASE, *MORE), "judged")
+    counts = {bool(r["good"]): r["n"] for r in judged.groupBy((F.col("quality") == 1).alias("good")).agg(F.count("*").alias("n")).collect()}
+    good, bad = counts.get(True, 0), counts.get(False, 0)
+    if not good:
         return None
-    rates, rules = features(stats), []
-    for columns in FAMILIES.values():
-        forest = IsolationForest(rates[:, columns])
-        scores = forest.score(rates[:, columns])
-        if (threshold := calibrated(scores[good], scores[~good])) is not None:
+    drawn = F.xxhash64(*BASE, *MORE, "quality")
+    pool = judged.orderBy(drawn, *BASE, *MORE, "quality").limit(TREES * TREE_ROWS).toPandas()
+    rates = features({k: pool[k].to_numpy() for k in BASE + MORE})
+    forests = {f"score_{name}": (columns, IsolationForest(rates[:, columns])) for name, columns in FAMILIES.items()}
+
+    def scores(batches):
+        for batch in batches:
+            each = features({k: batch.column(k).to_numpy() for k in BASE + MORE})
+            made = [pa.array(forest.score(each[:, columns])) for columns, forest in forests.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), *made], ["quality", *forests])
+
+    scored = scratch.keep(judged.mapInArrow(scores, "quality int, " + ", ".join(f"{n} double" for n in forests)), "scored")
+    rules = []
+    for name, (columns, forest) in forests.items():
+        if (threshold := calibrated_rows(scored, name, bad)) is not None:
             rules.append(Rule(columns, forest, threshold))
+    scratch.drop("judged", "scored")
     return Model(rules)
 
 

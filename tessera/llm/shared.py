@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ship_package
@@ -114,6 +116,37 @@ def cut_points(df: DataFrame, order: list[str], parts: int, sample_rows: int = 2
     return sorted({rows[len(rows) * i // parts] for i in range(1, parts)}) if rows else []
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks of a shuffle, for rows that are few bytes and much work, which adaptive execution would put together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def values_at(df: DataFrame, name: str, ranks: Callable[[int], list[int]]) -> list:
+    """The values of a column at the ranks (from 0) that a function names for the count of all rows with one; each value once, in order.
+
+    NULL and NaN aside. Values are counted, dealt to tasks in order, and counted up within a task from
+    what the tasks before it hold: one number a task and the values asked for come to the driver.
+    """
+    known = F.col(name).isNotNull()
+    if df.schema[name].dataType.typeName() in ("float", "double"):
+        known = known & ~F.isnan(name)
+    scratch = Scratch(df.sparkSession)
+    counted = df.where(known).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    dealt = scratch.keep(counted.repartitionByRange(tasks_of(df.sparkSession), "value").withColumn("part", F.spark_partition_id()), "counted")
+    held = dealt.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    total = sum(r["n"] for r in held)
+    wanted = sorted({r for r in ranks(total) if 0 <= r < total})
+    picked = []
+    if wanted:
+        before = zip([r["part"] for r in held], itertools.accumulate([0, *(r["n"] for r in held)]), strict=False)
+        starts = F.create_map(*[F.lit(v) for pair in before for v in pair])
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("value")) + F.element_at(starts, F.col("part"))
+        holds = F.exists(F.array(*[F.lit(r) for r in wanted]), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+        picked = sorted(r["value"] for r in dealt.withColumn("upto", upto).where(holds).select("value").collect())
+    scratch.drop("counted")
+    return picked
+
+
 def bucket_of(points: list, columns: list[str]) -> Column:
     """The number of cut points that are at most the row's columns (none of them null)."""
 

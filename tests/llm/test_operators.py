@@ -604,6 +604,32 @@ def test_curve_ranges_come_from_a_bounded_sample(spark, monkeypatch):
     assert hilbert_shards.shard(same, ["lang"], ["doc_id"]).groupBy("shard").count().where("count <> 250").count() == 0
 
 
+def test_curve_ranges_are_those_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_shards, "SAMPLE_ROWS", 50)
+    rows = [(i, None if i % 7 == 0 else float("nan") if i % 7 == 1 else float(i * i % 1009)) for i in range(1500)]
+    got = hilbert_shards.with_curve(spark.createDataFrame(rows, "id int, v double").repartition(4), ["v"], 4).collect()
+    known = sorted(v for _, v in rows if v is not None and v == v)
+    cuts = sorted({known[len(known) * i // 16] for i in range(1, 16)})
+    cells = np.array([[0 if r.v is None or r.v != r.v else sum(c <= r.v for c in cuts)] for r in got])
+    assert [r.curve for r in got] == hilbert_shards.hilbert_index(cells, 4).tolist()
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SAMPLE_ROWS", 100, raising=False)
+    monkeypatch.setattr(quality_rules, "TREES", 3)
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 99999)) for _ in range(rng.randint(12, 60))) + " #$%" * (25 if i % 10 == 0 else 0) + "!" * (i % 13), "en", "s") for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    model = quality_rules.fit(spark.createDataFrame(docs, DOCS).repartition(3), labels)
+    stats = quality_rules.text_stats(pa.array([d[1] for d in docs]))
+    able, good = ~quality_rules.base_failed(stats), np.array([i % 10 != 0 for i in range(1500)])
+    rates = quality_rules.features(stats)
+    assert model.rules
+    for rule in model.rules:
+        scores = rule.forest.score(rates[:, rule.columns])
+        assert rule.threshold == quality_rules.calibrated(scores[able & good], scores[able & ~good])
+
+
 def test_written_shards_and_matrices_read_back(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}", "en", "s") for i in range(40)], DOCS)
     placed = hilbert_shards.shard(docs, ["lang"], ["text", "doc_id"])
