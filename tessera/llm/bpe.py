@@ -6,8 +6,8 @@ there, and at its root the least rank with the leftmost position. A merge remove
 right neighbour and updates three positions at most, each in logarithmic time, so a piece
 of n bytes costs n log n however long it is. Pieces of like length merge side by side.
 
-Spark deals out the rows; a task encodes each distinct chunk of text once and keeps a
-bounded number of results.
+Spark deals out the rows; a worker merges each distinct piece once while it remembers it,
+and remembers a bounded number: those of late, and of those before them the ones met again.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import base64
 import functools
 import gc
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,22 +27,19 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.shared import aside, prepare, ship_file
 
-#: Remembered chunks in a Python worker; beyond, it starts anew.
+#: Remembered pieces in a Python worker; beyond, those not met again among as many new ones go.
 REMEMBER = 150_000
-#: Longer chunks aren't remembered, so that memory stays bounded.
+#: Longer pieces aren't remembered, so that memory stays bounded.
 REMEMBER_CHARS = 64
 #: Unicode's White_Space; the regex module's \s has four more control characters.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Where two white space characters meet or a text begins or ends with one. Elsewhere a
-#: single space before a character that isn't one always starts a piece.
-TIGHT = re.compile(r"\s\s|^\s|\s$")
-CUT = re.compile(r"(?<=\S) (?=\S)")
-
 NO_RANK = (1 << 31) - 1
 #: Bytes of pieces that merge together.
 FOREST_BYTES = 1 << 18
 #: Longer pieces merge alone.
 ALONE_BYTES = 128
+#: Ids that are decoded together.
+DECODE_IDS = 1 << 16
 #: Characters of text that are encoded together; a longer text is alone.
 TOGETHER = 2_000_000
 
@@ -110,7 +106,7 @@ class RankTree:
 
 
 def pattern_keeps_spaces(pattern: str) -> bool:
-    """Whether texts can be cut before single spaces: no piece of such a pattern goes on over one."""
+    """Whether no piece of the pattern goes on over a single space."""
     pieces = regex.compile(pattern).findall
     letters = "aé文7½.,'’_-\u0301😀"
     return all(pieces(f"{x}{x} {y}{y}") == pieces(x + x) + pieces(f" {y}{y}") for x in letters for y in letters)
@@ -118,7 +114,6 @@ def pattern_keeps_spaces(pattern: str) -> bool:
 
 class Encoded(NamedTuple):
     ids: str
-    n: int
     data: bytes
 
 
@@ -129,7 +124,11 @@ class ByteBPE:
         if not pattern_keeps_spaces(pattern):
             raise ValueError("the pattern must begin a piece at each single space between other characters")
         self.ranks = load_ranks(path)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.decimals = [str(i) for i in range(1 + max(self.ranks.values()))]
+        tokens = dict(zip(self.ranks.values(), self.ranks, strict=True))
+        self.token_sizes = np.array([len(tokens.get(i, b"")) for i in range(len(self.decimals))])
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.token_bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(self.decimals))), np.uint8)
         explicit = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.pieces = regex.compile(explicit).findall
         #: (left id, right id) in one number, sorted, and the rank of the pair.
@@ -142,9 +141,8 @@ class ByteBPE:
         self.pair_keys = np.array([p for p, _ in pairs] + [1 << 62], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs] + [NO_RANK], np.int32)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.first: dict[str, Encoded] = {}
-        self.later: dict[str, Encoded] = {}
-        self.long: set[str] = set()
+        self.known: dict[str, str] = {}
+        self.earlier: dict[str, str] = {}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 32 | right
@@ -153,7 +151,7 @@ class ByteBPE:
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece: the lowest rank merges first, the leftmost among equals."""
-        out: list[list[int]] = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
+        out: list[list[int]] = [[] if rank is None else [rank] for rank in map(self.ranks.get, pieces)]
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             if not out[i] and piece:
@@ -172,7 +170,7 @@ class ByteBPE:
 
     def _merge_alike(self, pieces: list[bytes], width: int) -> list[list[int]]:
         n = np.array([len(p) for p in pieces])
-        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        data = np.array(pieces, f"S{width}").view(np.uint8).reshape(-1, width)
         place = np.arange(width)
         live = place < n[:, None]
         ids = np.zeros((len(pieces), width + 1), np.int32)
@@ -227,50 +225,62 @@ class ByteBPE:
             at = after[at]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, one after another; gathered some tokens at a time."""
+        out = []
+        for k in range(0, len(ids), DECODE_IDS):
+            part = ids[k : k + DECODE_IDS]
+            sizes = self.token_sizes[part]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(self.token_starts[part] - ends + sizes, sizes)
+            out.append(self.token_bytes[at].tobytes())
+        return b"".join(out)
 
     def encode_ids(self, text: str) -> list[int]:
         """Ids of one text, without memory of earlier ones."""
         return [i for ids in self.merge([p.encode() for p in self.pieces(text)]) for i in ids]
 
-    def _learn(self, chunks: list[str], lead: str) -> dict[str, Encoded]:
-        cut = [self.pieces(lead + chunk) for chunk in chunks]
-        distinct = list(set().union(*cut))
-        merged = self.merge([p.encode() for p in distinct])
-        of = {p: Encoded(",".join(map(str, ids)), len(ids), self.decode(ids)) for p, ids in zip(distinct, merged, strict=True)}
-        made = {}
-        for chunk, pieces in zip(chunks, cut, strict=True):
-            if len(pieces) == 1:
-                made[chunk] = of[pieces[0]]
-            else:
-                found = [of[p] for p in pieces]
-                made[chunk] = Encoded(",".join([f.ids for f in found]), sum([f.n for f in found]), b"".join([f.data for f in found]))
-        return made
-
-    def parts(self, texts: list[str]) -> list[list[Encoded]]:
-        """The encoded chunks of each text: texts are cut before single spaces only."""
+    def listed(self, texts: list[str]) -> list[str]:
+        """The decimal ids of each text, joined by commas."""
         gc.disable()  # what is made here holds no cycles, but would be searched for them
         try:
-            cut = [(CUT.split(t) if TIGHT.search(t) else t.split(" ")) if t else [] for t in texts]
-            self._fill(self.first, {c[0] for c in cut if c}, "")
-            self._fill(self.later, set().union(*(c[1:] for c in cut)), " ")
-            first, later = self.first.__getitem__, self.later.__getitem__
-            return [[first(c[0]), *map(later, c[1:])] if c else [] for c in cut]
+            cut = [self.pieces(t) for t in texts]
+            found = [list(map(self.known.get, c)) for c in cut]
+            gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+            new = dict.fromkeys(c[i] for c, g in zip(cut, gaps, strict=True) for i in g)
+            self._fill(list(new))
+            for c, f, g in zip(cut, found, gaps, strict=True):
+                for i in g:
+                    f[i] = self.known[c[i]]
+            for piece in new:
+                if len(piece) > REMEMBER_CHARS:
+                    del self.known[piece]
+            if len(self.known) > REMEMBER:
+                self.known, self.earlier = {}, self.known
+            return [",".join(f) for f in found]
         finally:
-            for memory in (self.first, self.later):
-                for chunk in [c for c in self.long if c in memory]:
-                    del memory[chunk]
-            self.long.clear()
             gc.enable()
 
-    def _fill(self, memory: dict[str, Encoded], chunks: set[str], lead: str) -> None:
-        unknown = [c for c in chunks if c not in memory]
-        if len(memory) + len(unknown) > REMEMBER:
-            memory.clear()
-            unknown = list(chunks)
-        memory.update(self._learn(unknown, lead))
-        self.long.update(c for c in unknown if len(c) > REMEMBER_CHARS)
+    def _fill(self, pieces: list[str]) -> None:
+        unknown = []
+        for piece in pieces:
+            ids = self.earlier.get(piece)
+            if ids is None:
+                unknown.append(piece)
+            else:
+                self.known[piece] = ids
+        decimal = self.decimals.__getitem__
+        for piece, ids in zip(unknown, self.merge([p.encode() for p in unknown]), strict=True):
+            self.known[piece] = ",".join(map(decimal, ids))
+
+    def parts(self, texts: list[str]) -> list[list[Encoded]]:
+        """Each text encoded and decoded: one part, or none if it is empty."""
+        return [[Encoded(ids, self.decode(numbers(ids)))] if ids else [] for ids in self.listed(texts)]
+
+
+def numbers(ids: str) -> np.ndarray:
+    """Ids from decimals joined by commas."""
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -279,16 +289,16 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _in_turn(bpe: ByteBPE, texts: pa.Array) -> Iterator[list[Encoded]]:
-    """The parts of each text, encoded some texts at a time."""
+def _in_turn(bpe: ByteBPE, texts: pa.Array) -> Iterator[str]:
+    """The ids of each text, encoded some texts at a time."""
     some, size = [], 0
     for text in texts:
         some.append(text.as_py() or "")
         size += len(some[-1])
         if size >= TOGETHER:
-            yield from bpe.parts(some)
+            yield from bpe.listed(some)
             some, size = [], 0
-    yield from bpe.parts(some)
+    yield from bpe.listed(some)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -311,10 +321,11 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
         bpe = tokenizer(SparkFiles.get(name), pattern)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for parts in _in_turn(bpe, batch.column(at)):
-                counts.append(sum([p.n for p in parts]))
-                ids.append(hashlib.sha256(",".join([p.ids for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([p.data for p in parts])).hexdigest())
+            for listed in _in_turn(bpe, batch.column(at)):
+                found = numbers(listed)
+                counts.append(len(found))
+                ids.append(hashlib.sha256(listed.encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
@@ -335,7 +346,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -
     def run(batches):
         bpe = tokenizer(SparkFiles.get(name), pattern)
         for batch in batches:
-            ids = [[int(i) for p in parts for i in p.ids.split(",")] for parts in _in_turn(bpe, batch.column(at))]
+            ids = [numbers(listed) for listed in _in_turn(bpe, batch.column(at))]
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], [*(f.name for f in rest), "ids"])
 

@@ -778,6 +778,26 @@ def test_bpe_equals_tiktoken_and_decodes():
         assert b"".join(p.data for p in parts) == text.encode()
 
 
+def test_bpe_merges_a_piece_once_while_it_is_remembered(monkeypatch):
+    """Other signs around a word don't make it another piece, and a full memory keeps what is met again."""
+    own, merged = bpe.ByteBPE(RANKS, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(own, "merge", lambda pieces, merge=own.merge: merged.extend(pieces) or merge(pieces))
+    monkeypatch.setattr(bpe, "REMEMBER", 4)
+    for once, sign in zip("vwxyz", ",.!?)", strict=True):
+        text = f"so erthanou{sign} ederwhat{sign} thing{once}qq"
+        assert b"".join(p.data for parts in own.parts([text]) for p in parts) == text.encode()
+    assert merged.count(b" erthanou") == merged.count(b" ederwhat") == 1
+    held = own.known | own.earlier
+    assert " erthanou" in held and " thingzqq" in held and " thingvqq" not in held and len(held) < 20
+
+
+def test_bpe_decodes_more_ids_than_are_gathered_at_once(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_IDS", 7)
+    own = bpe.ByteBPE(RANKS, public_tokenizers.PATTERN)
+    texts = ["", "x", "Ünïcode 中文 😀 " * 50, "ab " * 7]
+    assert [b"".join(p.data for p in parts).decode() for parts in own.parts(texts)] == texts
+
+
 def test_bpe_digests_on_odd_rows(spark):
     got = bpe.encode_digests(odd_docs(spark), RANKS, public_tokenizers.PATTERN).collect()
     nothing = hashlib.sha256(b"").hexdigest()
